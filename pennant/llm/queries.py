@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennant.llm import fingerprints, mixing, warc
+from pennant.llm import fingerprints, mixing, ngram_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": lambda spark, d: mixing.sizes_and_takes(_table(spark, d, "documents")),
+    "op3_ngram_join": lambda spark, d: ngram_join.near_duplicates(_table(spark, d, "documents")),
     "op6_fingerprints": lambda spark, d: fingerprints.fingerprint_edits(_table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.round_trip(_table(spark, d, "pages")),
 }
