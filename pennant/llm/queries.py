@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennant.llm import fingerprints, mixing, ngram_join, warc
+from pennant.llm import fingerprints, licenses, mixing, ngram_join, pivots, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,13 @@ QUERIES = {
     "op2_mixing": lambda spark, d: mixing.sizes_and_takes(_table(spark, d, "documents")),
     "op3_ngram_join": lambda spark, d: ngram_join.near_duplicates(_table(spark, d, "documents")),
     "op6_fingerprints": lambda spark, d: fingerprints.fingerprint_edits(_table(spark, d, "documents")),
+    "op7_pivots": lambda spark, d: pivots.near_vectors(_table(spark, d, "embeddings")),
+    "op8_licenses": lambda spark, d: licenses.license_scan(_table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.round_trip(_table(spark, d, "pages")),
 }
 
 ORACLES = {
     "op2_mixing": mixing.SQL,
+    "op8_licenses": licenses.SQL,
     "op10_warc": warc.SQL,
 }
