@@ -142,7 +142,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared: int =
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shared_pivots = spark.sparkContext.broadcast(pivots)
     index = written(distinct.mapInArrow(_described(shared_pivots), "vec_id long, copies long, unit binary, pivots array<int>"))
-    lists = index.select("vec_id", "copies", "unit", "pivots", F.explode("pivots").cast("long").alias("pivot"))
+    lists = index.select("vec_id", "copies", "unit", "pivots", F.explode("pivots").alias("pivot")).withColumn("pivot", F.col("pivot").cast("long"))
     sizes = lists.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     grouped = in_blocks(lists.join(F.broadcast(sizes), "pivot"), "pivot", "vec_id", "blocks")
     found = written(grouped.mapInArrow(_linked(threshold, shared), "vec_id long, n_links long, star long"))
