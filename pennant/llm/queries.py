@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennant.llm import fingerprints, licenses, mixing, ngram_join, pivots, quality, warc
+from pennant.llm import fingerprints, licenses, mixing, ngram_join, pii, pivots, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_quality": lambda spark, d: quality.quality_scores(_table(spark, d, "documents"), _table(spark, d, "labels")),
     "op2_mixing": lambda spark, d: mixing.sizes_and_takes(_table(spark, d, "documents")),
     "op3_ngram_join": lambda spark, d: ngram_join.near_duplicates(_table(spark, d, "documents")),
+    "op5_pii": lambda spark, d: pii.span_digests(_table(spark, d, "documents")),
     "op6_fingerprints": lambda spark, d: fingerprints.fingerprint_edits(_table(spark, d, "documents")),
     "op7_pivots": lambda spark, d: pivots.near_vectors(_table(spark, d, "embeddings")),
     "op8_licenses": lambda spark, d: licenses.license_scan(_table(spark, d, "documents")),
