@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennant.llm import fingerprints, licenses, mixing, ngram_join, pii, pivots, quality, warc
+from pennant.llm import fingerprints, licenses, mixing, ngram_join, pii, pivots, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_fingerprints": lambda spark, d: fingerprints.fingerprint_edits(_table(spark, d, "documents")),
     "op7_pivots": lambda spark, d: pivots.near_vectors(_table(spark, d, "embeddings")),
     "op8_licenses": lambda spark, d: licenses.license_scan(_table(spark, d, "documents")),
+    "op9_secrets": lambda spark, d: secrets.secret_digests(_table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.round_trip(_table(spark, d, "pages")),
 }
 
