@@ -95,14 +95,15 @@ HOMOGLYPHS = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "。": ".", "․": ".", "﹒": ".", "﹫": "@",
 }
 #: Characters that show nothing.
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
 #: Digits in words.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 #: Emitted characters, and for each the span of the source it stands for.
 Tape = tuple[str, list[int], list[int]]
 
-_ODD = re.compile(r"[^\x00-¬®-İĲ-ɏ]")
+#: Characters that the first transducer may rewrite: none of the common Latin letters.
+_ODD = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0, 0xAC), (0xAE, 0x130), (0x132, 0x24F))) + "]")
 _NUMBER = "|".join(DIGITS)
 #: Three or more spelled or written digits in a row, at least one of them spelled; "double" and "triple" repeat the next.
 _SPELLED = re.compile(rf"(?i)\b(?:(?:plus[\x20-])?(?:(?:(?:double|triple)[\x20-])?(?:{_NUMBER})|[0-9]+)[\x20,.-]{{1,2}}){{2,}}(?:(?:double|triple)[\x20-])?(?:(?:{_NUMBER})\b|[0-9]+)")
