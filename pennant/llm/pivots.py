@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by the ordered list of its nearest pivots (reference vectors, a bounded
-sample of distinct vectors). Inverted lists hold, for each pivot, the vectors that have it in
+sample of distinct vectors that point in different directions). Inverted lists hold, for each pivot, the vectors that have it in
 their description; two vectors are compared where they share enough pivots, and a pair is linked
 if its cosine in double precision reaches the threshold. Equal directions are one class before
 the index is built. Lists of any size are cut into blocks, each pair of blocks a group of its
@@ -25,9 +25,11 @@ from pennant.llm.ngram_join import in_blocks
 
 THRESHOLD = 0.9
 #: Pivots in a description, and how many of them two vectors have to share to be compared.
-NEAREST, SHARED = 6, 2
+NEAREST, SHARED = 8, 2
 #: Pivots grow with the square root of the number of vectors, up to this many (the bound of the sample).
 MOST_PIVOTS = 4096
+#: No two pivots have this cosine: else a dense group gets many, whose order says little.
+APART = 0.5
 BLOCK = 512
 
 
@@ -54,17 +56,20 @@ def classes(vectors: DataFrame) -> DataFrame:
     return v.groupBy(F.xxhash64("embedding").alias("h"), "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).drop("h")
 
 
-def sample_pivots(distinct: DataFrame, most: int = MOST_PIVOTS) -> tuple[np.ndarray, list[int]]:
-    """Unit reference vectors for each vector length (padded with zeros), from those with the lowest hash of their id."""
+def sample_pivots(distinct: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
+    """Unit reference vectors (padded with zeros), from those with the lowest hash of their id."""
     n = distinct.count()
-    want = int(min(most, max(32, 4 * n**0.5)))
+    want = int(min(most, max(32, 8 * n**0.5)))
     rows = distinct.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).toPandas()["embedding"]
-    width = max((len(r) for r in rows), default=1)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=1)))
+    n_kept = 0
+    for r in rows:
         x = np.asarray(r, np.float64) / np.abs(r).max()
-        out[i, : len(x)] = x / np.sqrt((x * x).sum())
-    return out, [len(r) for r in rows]
+        x /= np.sqrt((x * x).sum())
+        if not n_kept or (out[:n_kept, : len(x)] @ x).max() < APART:
+            out[n_kept, : len(x)] = x
+            n_kept += 1
+    return out[:n_kept]
 
 
 def _described(pivots):
@@ -89,6 +94,30 @@ def _described(pivots):
     return run
 
 
+def _shared(lists: np.ndarray, least: int) -> np.ndarray:
+    """True for each pair of rows that has enough pivots in common."""
+    n = len(lists)
+    bits = np.zeros((n, int(lists.max()) // 64 + 1), np.uint64)
+    for column in lists.T:
+        bits[np.arange(n), column >> 6] |= np.uint64(1) << (column & 63).astype(np.uint64)
+    count = np.zeros((n, n), np.uint8)
+    for word in bits.T:
+        at = np.flatnonzero(word)
+        if len(at) > 1:
+            count[np.ix_(at, at)] += np.bitwise_count(word[at][:, None] & word[at][None, :])
+    return count >= min(least, lists.shape[1])
+
+
+def _in_smallest(ok: np.ndarray, lists: np.ndarray, pivot: int) -> None:
+    """Clears pairs that share a smaller pivot too: they are taken in that one's list."""
+    a, b = np.nonzero(ok)
+    for at in range(0, len(a), 1 << 14):
+        x, y = lists[a[at : at + (1 << 14)]], lists[b[at : at + (1 << 14)]]
+        both = (x[:, :, None] == y[:, None, :]).any(2)
+        gone = (both & (x < pivot)).any(1)
+        ok[a[at : at + (1 << 14)][gone], b[at : at + (1 << 14)][gone]] = False
+
+
 def _linked(threshold: float, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["pivot", "lo", "hi"]):
@@ -106,19 +135,14 @@ def _linked(threshold: float, shared: int):
                 x = np.zeros((n, size.max()))
                 for i, u in enumerate(units[s:e]):
                     x[i, : len(u)] = u
-                present, at = np.unique(lists[s:e], return_inverse=True)
-                has = np.zeros((n, len(present)), np.float32)
-                has[np.arange(n)[:, None], at.reshape(n, -1)] = 1
-                ok = has @ has.T >= min(shared, lists.shape[1])
-                # a pair that shares several pivots is compared in the list of the smallest of them
-                lower = has[:, : np.searchsorted(present, pivot[s])]
-                ok &= lower @ lower.T == 0
+                ok = _shared(lists[s:e], shared)
                 ok &= x @ x.T >= threshold
                 ok &= size[:, None] == size[None, :]
                 if inner[s]:
                     np.fill_diagonal(ok, False)
                 else:
                     ok &= block[s:e, None] != block[None, s:e]
+                _in_smallest(ok, lists[s:e], pivot[s])
                 weight = ok @ copies[s:e]
                 a, b = np.nonzero(np.triu(ok))
                 keep = np.flatnonzero(weight)
@@ -136,7 +160,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared: int =
     spark = vectors.sparkSession
     arrow_batches(spark)
     distinct = written(classes(vectors))
-    pivots, _ = sample_pivots(distinct)
+    pivots = sample_pivots(distinct)
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     if not len(pivots):
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
