@@ -28,9 +28,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennant.llm.common import arrow_batches, shared_dir
+from pennant.llm.common import arrow_batches, shared_dir, written
 
-#: Words in the lexicon at most: those that occur most often, ties by the word.
+#: Words in the lexicon at most: those that occur most often, in whole classes of about equal counts.
 MOST_WORDS = 1 << 16
 #: A word that is longer than this many bytes isn't counted, nor remembered: it is merged anew each time.
 LONG_WORD = 256
@@ -305,8 +305,19 @@ def _put(spark: SparkSession, data: bytes) -> str:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, most_words: int = MOST_WORDS) -> str:
-    """Compiles the most frequent words of the texts; returns the name of the file on the executors."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(most_words).select("word").collect()
+    """Compiles the most frequent words of the texts; returns the name of the file on the executors.
+
+    Words are classed by their counts (eight classes for each doubling), and the highest classes
+    that together have most_words words at most are taken: no more than these reach the driver.
+    """
+    counts = written(word_counts(docs).where("n > 1").withColumn("class", F.floor(F.log2("n") * 8)))
+    least, total = None, 0
+    for c in counts.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():
+        total += c.words
+        if total > most_words:
+            break
+        least = c["class"]
+    top = counts.where(F.col("class") >= least).select("word").collect() if least is not None else []
     return _put(docs.sparkSession, compile_lexicon({w: vocabulary.merge(w) for w in (r.word.encode() for r in top)}))
 
 
