@@ -1,6 +1,10 @@
-"""The league queries by name, each with its SQL oracle where SQL can express it."""
+"""Every query of the league operators, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pennant.plans.queries_core import CORE
+
+_ALL = CORE
+
+QUERIES = {name: q for name, (q, _) in _ALL.items()}
+ORACLES = {name: o for name, (_, o) in _ALL.items() if o}
