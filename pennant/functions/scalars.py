@@ -15,7 +15,7 @@ def col(x: Num | str) -> Column:
 
 
 def clamp(v: Column, low: Num, high: Num) -> Column:
-    """v between low and high."""
+    """v between low and high. v must not be null: least and greatest skip nulls."""
     return F.greatest(col(low), F.least(col(high), v))
 
 
@@ -179,14 +179,16 @@ def upset_risk(winner_pct: Column, margin: Column) -> Column:
     return F.when((winner_pct < 0.58) | (margin <= 2), "High").when((winner_pct < 0.7) | (margin <= 5), "Medium").otherwise("Low")
 
 
-def balls_in_play(hits: Column, inns: Column, ks: Column) -> Column:
-    """F28"""
-    return hits + inns * 3 - ks
+def balls_in_play(hits: Column, runs: Column, ks: Column, inns: Column) -> Column:
+    """of number texts; runs stand in for hits that are no number."""
+    nan = float("nan")
+    h, r = number(hits, nan), number(runs, nan)
+    return F.when(~F.isnan(h), h).when(~F.isnan(r), r).otherwise(0.0) + number(inns, 6.0) * 3 - number(ks)
 
 
 def per_game_text(total: Column, games: Column) -> Column:
-    """one decimal, 0.0 without games."""
-    return F.format_string("%.1f", ratio(total, games))
+    """one decimal, a dash without games."""
+    return F.when(games > 0, F.format_string("%.1f", ratio(total, games))).otherwise("—")
 
 
 def delta_text(delta: Column) -> Column:

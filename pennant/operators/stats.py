@@ -106,7 +106,7 @@ def rates(totals: DataFrame) -> DataFrame:
 def base_tpi(rated: DataFrame, k6: DataFrame, keys: Keys = SEASON) -> DataFrame:
     """The index before the schedule counts; league_k6 stays as a column."""
     out = rated.join(k6, list(keys), "left").withColumn("league_k6", F.coalesce("league_k6", F.lit(4.5)))
-    contact = F.coalesce(clamp((F.col("league_k6") - F.col("total_k6")) * 0.35, -1.25, 1.25), F.lit(0.0))
+    contact = clamp(F.coalesce((F.col("league_k6") - F.col("total_k6")) * 0.35, F.lit(0.0)), -1.25, 1.25)
     return out.withColumn("base_tpi", F.when(F.col("games") > 0, clamp(ratio(F.col("run_diff"), F.col("games")), -8.0, 8.0) + F.col("pct") * 2 + contact).otherwise(0.0))
 
 
@@ -129,7 +129,7 @@ def team_stats(games: DataFrame, teams: DataFrame, cap: int = 8, keys: Keys = SE
     out = base.join(agg, [*keys, "team_id"], "left")
     out = out.withColumn("sos", F.when(F.col("games") > 0, F.coalesce(F.col("opp_tpi_sum") / F.col("games"), F.lit(0.0))).otherwise(0.0))
     swing = clamp(F.col("wd") / F.col("ws") - F.col("run_diff") / F.col("games") + F.col("wo") / F.col("ws") * 0.18, -4.5, 4.5)
-    return out.withColumns({"tpi": F.col("base_tpi") + F.col("sos") * 0.2, "machine_difficulty": F.coalesce(clamp(F.col("extra"), -3.0, 3.0), F.lit(0.0)), "momentum": F.when(F.col("games") >= 3, swing).otherwise(0.0)}).drop("opp_tpi_sum", "extra", "wd", "wo", "ws")
+    return out.withColumns({"tpi": F.col("base_tpi") + F.col("sos") * 0.2, "machine_difficulty": clamp(F.coalesce("extra", F.lit(0.0)), -3.0, 3.0), "momentum": F.when(F.col("games") >= 3, swing).otherwise(0.0)}).drop("opp_tpi_sum", "extra", "wd", "wo", "ws")
 
 
 def head_to_head(games: DataFrame, keys: Keys = SEASON) -> DataFrame:

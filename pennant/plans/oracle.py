@@ -37,7 +37,7 @@ form AS (
   FROM aged GROUP BY season, team_id),
 stats AS (
   SELECT b.*, coalesce(opp_sum / games, 0.0::DOUBLE) AS sos, base_tpi + coalesce(opp_sum / games, 0.0::DOUBLE) * 0.2::DOUBLE AS tpi,
-    coalesce(greatest(-3.0::DOUBLE, least(3.0::DOUBLE, extra)), 0.0::DOUBLE) AS machine_difficulty,
+    CASE WHEN extra IS NULL THEN 0.0::DOUBLE ELSE greatest(-3.0::DOUBLE, least(3.0::DOUBLE, extra)) END AS machine_difficulty,
     CASE WHEN games >= 3 THEN greatest(-4.5::DOUBLE, least(4.5::DOUBLE, wd / ws - run_diff::DOUBLE / games + wo / ws * 0.18::DOUBLE)) ELSE 0.0::DOUBLE END AS momentum
   FROM base b LEFT JOIN form f USING (season, team_id))"""
 H2H = "h2h AS (SELECT season, team_id, opp_id, count(*) FILTER (WHERE runs > opp_runs) AS wins, count(*) FILTER (WHERE runs < opp_runs) AS losses, count(*) FILTER (WHERE runs = opp_runs) AS ties FROM tg GROUP BY season, team_id, opp_id)"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pennant.plans.queries_core import CORE
+from pennant.plans.queries_models import MODELS
 
-_ALL = CORE
+_ALL = CORE | MODELS
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
 ORACLES = {name: o for name, (_, o) in _ALL.items() if o}
