@@ -218,12 +218,10 @@ def csv_cell(value: Column) -> Column:
 
 
 # Weight of a recap item by its kind.
-RECAP_WEIGHTS = {"clinch": 95, "elimination": 95, "cutline": 85, "mover": 72, "faller": 72, "bubble": 70, "chain": 66, "rank": 58, "gold": 55, "summary": 40}
+RECAP_WEIGHTS = {"clinched": 95, "eliminated": 95, "crossed-cut-up": 85, "crossed-cut-down": 85, "biggest-mover": 72, "biggest-faller": 72, "bubble-watch": 70, "dependency-chain": 66, "rank-change": 58, "gold-shift": 55, "summary": 40}
 
 
 def recap_weight(kind: Column, text: Column) -> Column:
     """a rank item without a seed number weighs less."""
-    out = F.lit(40)
-    for k, w in RECAP_WEIGHTS.items():
-        out = F.when(kind == k, w).otherwise(out)
-    return F.when((kind == "rank") & ~text.contains("#"), 45).otherwise(out)
+    known = F.create_map(*[F.lit(x) for kv in RECAP_WEIGHTS.items() for x in kv])
+    return F.when((kind == "rank-change") & ~text.contains("#"), 45).otherwise(F.coalesce(F.try_element_at(known, kind), F.lit(40)))

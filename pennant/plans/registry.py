@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pennant.plans.queries_core import CORE
 from pennant.plans.queries_models import MODELS
+from pennant.plans.queries_race import RACE
 
-_ALL = CORE | MODELS
+_ALL = CORE | MODELS | RACE
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
 ORACLES = {name: o for name, (_, o) in _ALL.items() if o}
