@@ -18,6 +18,8 @@ from pennant.settings import ODDS_ITERATIONS, Settings
 PROJECT_LIMIT, SCENARIO_LIMIT, EXACT_LIMIT, LOCK_LIMIT = 250, 60, 15, 12
 #: Iterations are watched for convergence at every so many, the first time after two.
 WINDOW, SETTLED, FIRST_CHECK = 25, 0.35, 100
+#: Outcomes that are held at a time.
+CHUNK = 1 << 16
 
 
 def fold_teams(stats: DataFrame, h2h: DataFrame, keys: Keys = SEASON) -> DataFrame:
@@ -206,8 +208,7 @@ def exact_status(teams: DataFrame, games: DataFrame, settings: Settings = Settin
 
     magic is clinched or impossible; losses_to_out is 0 for a team that is out, null for one that
     can't be put out by its own losses. Both are null (paused) with more than limit games open.
-    The outcomes are gone through level by level; equal points are one state, with the most losses
-    that the team had on the way.
+    All outcomes are gone through in chunks of a fixed size, for all teams at once.
     """
     cut = settings.gold_cutoff
     win, tie = settings.win_points, settings.tie_points
@@ -215,31 +216,35 @@ def exact_status(teams: DataFrame, games: DataFrame, settings: Settings = Settin
     def run(t: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("team_id", ignore_index=True)
         ids = t["team_id"].tolist()
+        if len(g) > limit:
+            paused = f"Exact numbers are paused above {limit} open games."
+            return pd.DataFrame({"team_id": ids, "magic": None, "losses_to_out": pd.array([None] * len(ids), "Int64"), "text": paused})
         at = {x: i for i, x in enumerate(ids)}
         pairs = [(at[a], at[h]) for a, h in zip(g["away_id"], g["home_id"], strict=True) if a in at and h in at]
-        start = tuple(t["w"] * win + t["t"] * tie)
+        ways = 3 if tie > 0 else 2
+        start = (t["w"] * win + t["t"] * tie).to_numpy(np.float32)
+        always, most = np.ones(len(ids), bool), np.full(len(ids), -1)
+        total = ways ** len(pairs)
+        for low in range(0, total, CHUNK):
+            code = np.arange(low, min(total, low + CHUNK))
+            points = np.repeat(start[:, None], len(code), 1)
+            lost = np.zeros((len(ids), len(code)), np.int8)
+            for a, h in pairs:
+                way, code = code % ways, code // ways
+                points[a] += np.choose(way, [win, 0, tie][:ways]).astype(np.float32)
+                points[h] += np.choose(way, [0, win, tie][:ways]).astype(np.float32)
+                lost[h] += way == 0
+                lost[a] += way == 1
+            for me in range(len(ids)):
+                ahead = (points > points[me]).sum(0) + (points[:me] == points[me]).sum(0)
+                inside = ahead < cut
+                always[me] &= inside.all()
+                most[me] = max(most[me], np.where(inside, lost[me], -1).max())
+        own = np.bincount([x for p in pairs for x in p], minlength=len(ids))
         rows = []
         for me, team in enumerate(ids):
-            if len(g) > limit:
-                rows.append((team, None, None, f"Exact numbers are paused above {limit} open games."))
-                continue
-            states: dict[tuple, int] = {start: 0}
-            for a, h in pairs:
-                after: dict[tuple, int] = {}
-                for points, lost in states.items():
-                    outcomes = [(win, 0.0, h == me), (0.0, win, a == me)] + ([(tie, tie, False)] if tie > 0 else [])
-                    for x, y, loses in outcomes:
-                        new = list(points)
-                        new[a] += x
-                        new[h] += y
-                        key = tuple(new)
-                        after[key] = max(after.get(key, -1), lost + loses)
-                states = after
-            inside = [1 + sum(p > s[me] or (p == s[me] and i < me) for i, p in enumerate(s) if i != me) <= cut for s in states]
-            own = sum(me in p for p in pairs)
-            most = max((lost for lost, ok in zip(states.values(), inside, strict=True) if ok), default=-1)
-            out = most + 1 if most < own or most < 0 else None
-            magic = "clinched" if all(inside) else "impossible"
+            out = int(most[me]) + 1 if most[me] < own[me] or most[me] < 0 else None
+            magic = "clinched" if always[me] else "impossible"
             text = f"Already eliminated from top-{cut}." if out == 0 else f"Cannot be eliminated from top-{cut} this season." if out is None else f"{out} more loss{'' if out == 1 else 'es'} would eliminate the team from top-{cut}."
             rows.append((team, magic, out, "Already clinched." if magic == "clinched" else text))
         return pd.DataFrame(rows, columns=["team_id", "magic", "losses_to_out", "text"]).astype({"losses_to_out": "Int64"})
