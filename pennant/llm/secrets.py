@@ -37,7 +37,7 @@ MIN_LENGTH = 20
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}")
 #: The share of rejections that may be wrong, by length class: short wordlike strings are the
 #: hardest to tell from random ones, so more is rejected there.
-RATES = [0.2, 0.05, 0.01]
+RATES = [0.1, 0.03, 0.01]
 #: p-values are counted in bins of this many to a power of ten, down to 1e-LOWEST.
 BINS, LOWEST = 8, 16
 
