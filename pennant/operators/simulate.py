@@ -14,8 +14,12 @@ from pennant.operators.fold import TEAM_COLUMNS, Season, lcg
 from pennant.operators.stats import SEASON, Keys, is_final, remaining
 from pennant.settings import ODDS_ITERATIONS, Settings
 
-#: Open games above which a computation is not made, as the model's users know it.
-PROJECT_LIMIT, SCENARIO_LIMIT, EXACT_LIMIT, LOCK_LIMIT = 250, 60, 15, 12
+#: Open games above which the reference makes no projection or scenarios; as a limit they are opt-in.
+PROJECT_LIMIT, SCENARIO_LIMIT = 250, 60
+#: Open games above which outcomes, whose number is exponential, are not gone through.
+EXACT_LIMIT, LOCK_LIMIT = 15, 12
+#: Forced games whose scenarios are one group.
+FORCED = 256
 #: Iterations are watched for convergence at every so many, the first time after two.
 WINDOW, SETTLED, FIRST_CHECK = 25, 0.35, 100
 #: Outcomes that are held at a time.
@@ -44,7 +48,7 @@ def by_season(teams: DataFrame, games: DataFrame, run: Callable[[pd.DataFrame, p
         names = [c.strip().split(" ")[0] for c in schema.split(",")]
         if t.empty:
             return pd.DataFrame(columns=[*keys, *names])
-        out = run(t, g.sort_values("ord", ignore_index=True))
+        out = run(t, g.sort_values(["ord", "game_id"], ignore_index=True))
         for i, (k, v) in enumerate(zip(keys, key, strict=True)):
             out.insert(i, k, v)
         return out
@@ -52,12 +56,15 @@ def by_season(teams: DataFrame, games: DataFrame, run: Callable[[pd.DataFrame, p
     return teams.groupBy(*keys).cogroup(games.groupBy(*keys)).applyInPandas(grouped, f"{kinds}, {schema}")
 
 
-def project(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int = PROJECT_LIMIT, keys: Keys = SEASON) -> DataFrame:
-    """MC2: keys, team_id, projected_rank, w, l, t, run_diff after every open game is won by the predicted winner."""
+def project(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int | None = None, keys: Keys = SEASON) -> DataFrame:
+    """MC2: keys, team_id, projected_rank, w, l, t, run_diff after every open game is won by the predicted winner.
+
+    With more than limit games open, if one is given, nothing is played.
+    """
 
     def run(t: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         s = Season(t, settings, 1)
-        for a, h in s.pairs(g) if len(g) <= limit else ():
+        for a, h in s.pairs(g) if limit is None or len(g) <= limit else ():
             if a >= 0:
                 *scores, p = s.predict(a, h)
                 s.play(a, h, p >= 0.5, (scores[0], scores[1]))
@@ -134,42 +141,46 @@ def dashboard(status: DataFrame, projected: DataFrame, odds: DataFrame, settings
 _SCENARIO = "game_id string, winner_id string, team_id string, seed long"
 
 
-def scenarios(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int = SCENARIO_LIMIT, keys: Keys = SEASON) -> DataFrame:
+def scenarios(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int | None = None, keys: Keys = SEASON, block_of: int = FORCED) -> DataFrame:
     """MC8: keys, game_id, winner_id, team_id, seed: final ranks if one open game goes either way and the rest as projected.
 
-    The two outcomes of every game are courses side by side. Seasons with more open games have no rows.
+    The two outcomes of every game are courses side by side; every block_of games of a season are a
+    group of their own. Seasons with more than limit games open, if one is given, have no rows.
     """
+    open_ = games.groupBy(*keys).agg(F.count("*").alias("_n"))
+    open_ = open_ if limit is None else open_.where(F.col("_n") <= limit)
+    last = F.floor((F.col("_n") - 1) / block_of).cast("int")
+    spread = lambda df: df.join(open_, list(keys)).withColumn("block", F.explode(F.sequence(F.lit(0), last))).drop("_n")
 
     def run(t: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        n = len(g)
-        if not n or n > limit:
-            return pd.DataFrame(columns=["game_id", "winner_id", "team_id", "seed"])
-        s = Season(t, settings, 2 * n)
-        live = s.frozen()
+        low = int(t["block"].iloc[0]) * block_of
+        mine = g.iloc[low : low + block_of]
+        n = len(mine)
+        s, live = Season(t, settings, 2 * n), Season(t, settings, 1)
         course = np.arange(2 * n)
+        forced = low + course // 2
         pairs = s.pairs(g)
-        for j, (a, h) in enumerate(pairs):
+        for j, (a, h) in enumerate(pairs[low : low + n]):
             if a >= 0:
                 *scores, _ = live.predict(a, h)
                 s.play(a, h, course == 2 * j, (scores[0], scores[1]), course // 2 == j)
         for j, (a, h) in enumerate(pairs):
             if a >= 0:
                 *scores, p = s.predict(a, h)
-                s.play(a, h, p >= 0.5, (scores[0], scores[1]), course // 2 != j)
-        ranks = s.ranks()
+                s.play(a, h, p >= 0.5, (scores[0], scores[1]), forced != j)
         m = len(s.ids)
-        winner = np.stack([g["away_id"].to_numpy(object), g["home_id"].to_numpy(object)], 1).reshape(-1)
-        return pd.DataFrame({"game_id": np.repeat(np.repeat(g["game_id"].to_numpy(object), 2), m), "winner_id": np.repeat(winner, m), "team_id": np.tile(np.array(s.ids, object), 2 * n), "seed": ranks.reshape(-1)})
+        winner = np.stack([mine["away_id"].to_numpy(object), mine["home_id"].to_numpy(object)], 1).reshape(-1)
+        return pd.DataFrame({"game_id": np.repeat(np.repeat(mine["game_id"].to_numpy(object), 2), m), "winner_id": np.repeat(winner, m), "team_id": np.tile(np.array(s.ids, object), 2 * n), "seed": s.ranks().reshape(-1)})
 
-    return by_season(teams, games, run, _SCENARIO, keys)
+    return by_season(spread(teams), spread(games), run, _SCENARIO, [*keys, "block"]).drop("block")
 
 
-def win_out(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int = PROJECT_LIMIT, keys: Keys = SEASON) -> DataFrame:
+def win_out(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int | None = None, keys: Keys = SEASON) -> DataFrame:
     """MC12's fold: keys, team_id, win_out_seed if a team wins all its games and the others go as predicted now."""
 
     def run(t: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         m = len(t)
-        if len(g) > limit:
+        if limit is not None and len(g) > limit:
             return pd.DataFrame(columns=["team_id", "win_out_seed"])
         s = Season(t, settings, m)
         live = s.frozen()
@@ -184,21 +195,34 @@ def win_out(teams: DataFrame, games: DataFrame, settings: Settings = Settings(),
 
 
 def seeding_locked(teams: DataFrame, games: DataFrame, settings: Settings = Settings(), limit: int = LOCK_LIMIT, keys: Keys = SEASON) -> DataFrame:
-    """MC7: keys, locked: no outcome of the open games changes a rank; false with more than limit games open."""
+    """MC7: keys, locked, open: no outcome of the open games changes a rank.
+
+    With more than limit games open not all outcomes are gone through: false where one in which a team
+    wins or loses all its games changes a rank, else null (paused).
+    """
 
     def run(t: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        n = len(g)
-        locked = n <= limit
-        if 0 < n <= limit:
-            before = Season(t, settings, 1).ranks()[0]
+        n, m = len(g), len(t)
+        locked = n == 0
+        before = Season(t, settings, 1).ranks()[0]
+        if n > limit:
+            s = Season(t, settings, 2 * m)
+            course = np.arange(2 * m)
+            for a, h in s.pairs(g):
+                if a >= 0:
+                    *scores, p = s.predict(a, h)
+                    way = np.where(course // 2 == a, course % 2 == 0, np.where(course // 2 == h, course % 2 == 1, p >= 0.5))
+                    s.play(a, h, way, (scores[0], scores[1]))
+            locked = None if (s.ranks() == before).all() else False
+        elif n:
             s = Season(t, settings, 1 << n)
             course = np.arange(1 << n)
             for j, (a, h) in enumerate(s.pairs(g)):
                 if a >= 0:
                     *scores, _ = s.predict(a, h)
                     s.play(a, h, (course >> j) & 1 == 0, (scores[0], scores[1]))
-            locked = all((s.ranks() == before).all(1))
-        return pd.DataFrame({"locked": [bool(locked)], "open": [n]})
+            locked = bool((s.ranks() == before).all())
+        return pd.DataFrame({"locked": pd.array([locked], "boolean"), "open": [n]})
 
     return by_season(teams, games, run, "locked boolean, open long", keys)
 

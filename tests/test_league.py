@@ -56,6 +56,33 @@ def test_projection_odds_and_exact(spark):
     assert simulate.scenarios(fold, simulate.open_games(g), settings).count() == 6
 
 
+def test_no_limit_of_open_games(spark):
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2), ("A", "C", 5, 2)])
+    fold = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g))
+    rows = [("s", i, f"g{i}", dt.date(2026, 6, 1), *("AB", "BC", "CA")[i % 3]) for i in range(255)]
+    left = spark.createDataFrame(rows, "season string, ord long, game_id string, game_date date, away_id string, home_id string")
+    projected = simulate.project(fold, left).collect()
+    assert sum(r.w + r.l for r in projected) == 2 * 258 and simulate.win_out(fold, left).count() == 3
+    assert all(r.w == 2 for r in simulate.project(fold, left, limit=simulate.PROJECT_LIMIT).where("team_id = 'A'").collect())
+    assert simulate.scenarios(fold, left).count() == 255 * 2 * 3
+    assert simulate.scenarios(fold, left, limit=simulate.SCENARIO_LIMIT).count() == 0
+    assert simulate.seeding_locked(fold, left).first().locked is False
+
+
+def test_scenario_blocks_are_one_run(spark):
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2)] + [(*"ABBCCA"[i % 3 * 2 : i % 3 * 2 + 2], None, None) for i in range(7)])
+    fold, left = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g)), simulate.open_games(g)
+    rows = [sorted(map(tuple, simulate.scenarios(fold, left, block_of=n).collect())) for n in (256, 3, 1)]
+    assert len(rows[0]) == 7 * 2 * 3 and rows[0] == rows[1] == rows[2]
+
+
+def test_locks_above_the_limit(spark):
+    g, t = season(spark, [("A", "B", 9, 3)] * 20 + [("A", "B", None, None)] * 2)
+    fold, left = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g)), simulate.open_games(g)
+    assert simulate.seeding_locked(fold, left).first().locked is True
+    assert simulate.seeding_locked(fold, left, limit=1).first().locked is None
+
+
 def test_random_stream_jumps():
     state, serial = 99, []
     for _ in range(500):
