@@ -153,7 +153,7 @@ MODELS = {
         lambda spark, d: tidy(power.recent_form(league.games(spark, d))),
         sql("tg", "SELECT season, team_id, sum((runs - opp_runs) * (n - age)::DOUBLE / n) / n AS recent_form FROM (SELECT *, least(5, count(*) OVER (PARTITION BY season, team_id)) AS n, row_number() OVER (PARTITION BY season, team_id ORDER BY ord DESC) - 1 AS age FROM tg) WHERE age < 5 GROUP BY season, team_id, n", "recent_form"),
     ),
-    "w5_power_ranks": (lambda spark, d: tidy(_power(spark, d).where("rank <= 6").select("season", "rank", "team_id", "rating")), ""),
+    "w5_power_ranks": (lambda spark, d: tidy(_power(spark, d).select("season", "rank", "team_id", "rating")), ""),
     "fil3_completed_by_date": (lambda spark, d: schedule.completed_by_date(league.games(spark, d)).select("season", "game_id", "seq"), sql("games", "SELECT season, game_id, row_number() OVER (PARTITION BY season ORDER BY game_date, ord) AS seq FROM games WHERE is_final")),
     "fil4_games_of_team": (lambda spark, d: schedule.games_of(league.games(spark, d), "N03").select("season", "game_id", "away_id", "home_id"), sql("games", "SELECT season, game_id, away_id, home_id FROM games WHERE 'N03' IN (away_id, home_id)")),
     "fil5_completed_margins": (lambda spark, d: schedule.completed_with_score(league.games(spark, d)).select("season", "game_id", "margin"), sql("games", "SELECT season, game_id, away_runs - home_runs AS margin FROM games WHERE is_final")),

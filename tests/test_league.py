@@ -83,6 +83,14 @@ def test_locks_above_the_limit(spark):
     assert simulate.seeding_locked(fold, left, limit=1).first().locked is None
 
 
+def test_power_ranks_are_of_all_teams(spark, monkeypatch):
+    from pennant.plans import queries_models as q
+
+    rows = [("s", r, f"T{r}", 1.0 / r) for r in range(1, 9)]
+    monkeypatch.setattr(q, "_power", lambda *_: spark.createDataFrame(rows, "season string, rank long, team_id string, rating double"))
+    assert sorted(r["rank"] for r in q.MODELS["w5_power_ranks"][0](spark, "").collect()) == list(range(1, 9))
+
+
 def test_random_stream_jumps():
     state, serial = 99, []
     for _ in range(500):
