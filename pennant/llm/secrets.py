@@ -2,10 +2,11 @@
 
 The method takes every run of at least MIN_LENGTH encoding characters, infers its encoding, and
 tests the hypothesis that its symbols are random: a chi-squared test of the alphabet's uniformity,
-a runs test around the median and a test of the serial correlation, joined by the harmonic mean
-of their p-values. Per stratum of encoding and length the Benjamini-Hochberg procedure over all
-candidates of the table rejects the hypothesis; what it doesn't reject is a secret. Lengths at
-which a wordlike string couldn't be rejected are no candidates.
+a runs test around the median and a test of the serial correlation, a test of
+equal pairs, one of neighbours and two of letters and pairs of letters as in words, joined by Bonferroni's
+bound. Per stratum of encoding and length the Benjamini-Hochberg procedure over all candidates of
+the table rejects the hypothesis, but never at a p-value above LEVEL, however many candidates are
+wordlike; what it doesn't reject is a secret.
 
 Null texts are empty; empty texts hold nothing; repeated rows get the same result each, and each
 counts in the procedure.
@@ -38,6 +39,8 @@ _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}")
 #: The share of rejections that may be wrong, by length class: short wordlike strings are the
 #: hardest to tell from random ones, so more is rejected there.
 RATES = [0.1, 0.03, 0.01]
+#: No string is rejected at a p-value above this, so about this share of the random strings is lost at most.
+LEVEL = 1e-3
 #: p-values are counted in bins of this many to a power of ten, down to 1e-LOWEST.
 BINS, LOWEST = 8, 16
 
@@ -49,9 +52,12 @@ ENCODINGS = [
     ("base32", _UPPER + "234567", [_UPPER, "234567"], [_UPPER, "234567"]),
     ("base36", _DIGITS + _LOWER, [_DIGITS, _LOWER], [_DIGITS, _LOWER]),
     ("BASE36", _DIGITS + _UPPER, [_DIGITS, _UPPER], [_DIGITS, _UPPER]),
+    ("base26", _LOWER, [_LOWER], [_LOWER]),
+    ("BASE26", _UPPER, [_UPPER], [_UPPER]),
+    ("base52", _UPPER + _LOWER, [_UPPER, _LOWER], [_UPPER, _LOWER]),
     ("base62", _UPPER + _LOWER + _DIGITS, [_UPPER, _LOWER, _DIGITS], [_UPPER, _LOWER, _DIGITS]),
-    ("base64", _UPPER + _LOWER + _DIGITS + "+/", [_UPPER, _LOWER, _DIGITS], [_UPPER, _LOWER, _DIGITS + "+/"]),
-    ("base64url", _UPPER + _LOWER + _DIGITS + "-_", [_UPPER, _LOWER, _DIGITS], [_UPPER, _LOWER, _DIGITS + "-_"]),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/", [_UPPER, _LOWER], [_UPPER, _LOWER, _DIGITS + "+/"]),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "-_", [_UPPER, _LOWER], [_UPPER, _LOWER, _DIGITS + "-_"]),
 ]
 _SETS = [(name, frozenset(alphabet), [frozenset(n) for n in need], {c: i for i, c in enumerate(alphabet)}, [frozenset(c) for c in classes]) for name, alphabet, need, classes in ENCODINGS]
 
@@ -64,6 +70,26 @@ def encoding(symbols: set[str]) -> int | None:
     return None
 
 
+#: Per cent of each letter in English text, a to z.
+_ENGLISH = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074]
+_LETTER = {c: math.log(f) for c, f in zip(_LOWER, _ENGLISH, strict=True)} | {c: math.log(f) for c, f in zip(_UPPER, _ENGLISH, strict=True)}
+#: Pairs of letters that are common in English, German, French or Spanish words.
+_COMMON = frozenset("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ch ei ie ge be un ic li sc au ne da ss ai qu me ll ui em la el ue co ta ad ci do lo os io ma ri ro ce ec om il us".split())
+_LETTER_MEAN = sum(map(math.log, _ENGLISH)) / 26
+_LETTER_VARIANCE = sum((math.log(f) - _LETTER_MEAN) ** 2 for f in _ENGLISH) / 26
+
+
+def _poisson_tail(x: float, mean: float) -> float:
+    """Probability that a Poisson variable is at least x; by the normal distribution for large means."""
+    if mean > 200:
+        return 0.5 * math.erfc((x - 0.5 - mean) / math.sqrt(2 * mean))
+    term, total, i = math.exp(x * math.log(mean) - mean - math.lgamma(x + 1)), 0.0, x
+    while term > 1e-18 * total or i < mean:
+        total, i = total + term, i + 1
+        term *= mean / i
+    return min(1.0, total)
+
+
 def _chi_squared_tail(x: float, df: int) -> float:
     """Probability that a chi-squared variable with df degrees of freedom exceeds x (Wilson and Hilferty)."""
     if x <= 0:
@@ -84,10 +110,10 @@ def randomness(token: str, which: int) -> float:
     for c in token:
         counts[c] = counts.get(c, 0) + 1
     by_class = [(sum(counts.get(c, 0) for c in cl), n * len(cl) / k) for cl in classes]
-    ps = [_chi_squared_tail(sum((o - e) ** 2 / e for o, e in by_class), len(classes) - 1)]
-    # all symbols: the count of equal pairs has a known mean and variance also where expected counts are small
+    ps = [_chi_squared_tail(sum((o - e) ** 2 / e for o, e in by_class), len(classes) - 1)] if len(classes) > 1 else []
+    # all symbols: the count of equal pairs is about a Poisson variable where expected counts are small
     pairs, mean = sum(v * (v - 1) for v in counts.values()) / 2, n * (n - 1) / 2 / k
-    ps.append(0.5 * math.erfc((pairs - mean) / math.sqrt(2 * mean * (1 - 1 / k))))
+    ps.append(_poisson_tail(pairs, mean))
     values = [order[c] - (k - 1) / 2 for c in token]
     high = [v > 0 for v in values]
     above = sum(high)
@@ -105,8 +131,17 @@ def randomness(token: str, which: int) -> float:
     kind = [next(i for i, cl in enumerate(classes) if c in cl) for c in token]
     same = sum((len(cl) / k) ** 2 for cl in classes)
     kept = sum(a == b for a, b in pairwise(kind))
-    ps.append(0.5 * math.erfc((kept - same * (n - 1)) / math.sqrt(2 * same * (1 - same) * (n - 1))))
-    return min(1.0, len(ps) / sum(1 / max(p, 1e-300) for p in ps))
+    if len(classes) > 1:
+        ps.append(0.5 * math.erfc((kept - same * (n - 1)) / math.sqrt(2 * same * (1 - same) * (n - 1))))
+    # letters and pairs of letters as frequent as in words
+    letters = [_LETTER[c] for c in token if c in _LETTER] if k >= 26 else []
+    if letters:
+        ps.append(0.5 * math.erfc((sum(letters) - len(letters) * _LETTER_MEAN) / math.sqrt(2 * len(letters) * _LETTER_VARIANCE)))
+        low = token.lower()
+        both = [low[i : i + 2] for i in range(n - 1) if token[i] in _LETTER and token[i + 1] in _LETTER]
+        if both:
+            ps.append(_poisson_tail(sum(b in _COMMON for b in both), len(both) * len(_COMMON) / 676))
+    return min(1.0, len(ps) * min(ps))
 
 
 def stratum(which: int, length: int) -> int:
@@ -172,7 +207,7 @@ def rejected_from(tested: DataFrame, rates: list[float] = RATES) -> DataFrame:
     above = lambda b: F.aggregate(F.filter("bins", lambda x: x["bin"] >= b), F.lit(0).cast("long"), lambda s, x: s + x["n"])
     rate = F.element_at(F.array(*map(F.lit, rates)), F.least(F.col("stratum") % 32 + 1, F.lit(len(rates))))
     least = F.transform("bins", lambda x: F.when(F.pow(F.lit(10.0), -x["bin"] / float(BINS)) * F.col("m") <= rate * above(x["bin"]), x["bin"]))
-    return per.select("stratum", F.coalesce(F.array_min(least), F.lit(LOWEST * BINS + 1)).alias("reject"))
+    return per.select("stratum", F.greatest(F.coalesce(F.array_min(least), F.lit(LOWEST * BINS + 1)), F.lit(_bin(LEVEL))).alias("reject"))
 
 
 def secrets(docs: DataFrame, rates: list[float] = RATES) -> DataFrame:

@@ -119,6 +119,19 @@ def test_secrets(spark):
     assert secrets.secret_digests(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_random_strings_are_found_among_wordlike_ones(spark):
+    from pennant.llm import secrets
+
+    r = np.random.default_rng(7)
+    sets = {name: list(alphabet) for name, alphabet, *_ in secrets.ENCODINGS}
+    keys = ["".join(r.choice(sets[e], n)) for e in ("base32", "base36", "base62") for n in (20, 24, 32) for _ in range(100)]
+    names = ["".join(r.choice(["Stream", "Reader", "Table", "Handler", "Factory", "Index2", "Remote"], 5)) for _ in range(2000)]
+    got = {x.doc_id: x.spans for x in secrets.secret_digests(frame(spark, [*keys, "x RtqZKbGwvMxuJfLDyhPc y", *names])).collect()}
+    assert sum(got[i] == f"random:0:{len(k)}" for i, k in enumerate(keys)) >= 0.98 * len(keys)
+    assert got[len(keys)] == "random:2:22"
+    assert sum(got[len(keys) + 1 + i] == "" for i in range(len(names))) >= 0.95 * len(names)
+
+
 def test_mixing_takes_its_targets(spark):
     from pennant.llm import mixing
 
