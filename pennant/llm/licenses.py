@@ -82,6 +82,37 @@ KNOWN = [
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
 
+#: Digests of the canonical form of full texts, by licence.
+FULL_TEXTS = [
+    ("Apache-2.0", "6143bef1d1029e4b1164eb0883da072914e5829c61c7fe5315220d8aab1a5ee6"),
+    ("Apache-2.0", "8fc89300d6144d798e99174525314a7abbea202e511feb0823b819c3612a6376"),
+    ("Apache-2.0", "b09e48379efb3bf53c5c950d904ebea346e7e8f0320a4d6db6406eebdc0fe1e9"),
+    ("Artistic-1.0-Perl", "a39214726c05f47d077916b533faf652733fc2d88e8e742a45d26457427c43fe"),
+    ("CC0-1.0", "a1c5451395262a9c57097cf8ed1be6259bce24f74691c20b350916c920658336"),
+    ("GFDL-1.2", "091d3d8b9fecc67ae1858f4c2d21c09ef1757c90b3919f795c6e8ff6e83f8019"),
+    ("GFDL-1.3", "02c039ff6013ec01dc618dc26d1a2106e605e7a23bdcda805cc1b3543d57ba83"),
+    ("GPL-1.0", "0fd74e6f24738ca0c19c7a9868b74d7ce88749df0e6c8637712f9464fa5bf2aa"),
+    ("GPL-1.0", "652eeefe4542a613bbc824b2d3125883eeb0dba3f1a7500aaf53e3f42c7a7609"),
+    ("GPL-1.0", "bcb38aa2b8a0b1776101ad89387d706cf24c12d638b887588720591a839339e0"),
+    ("GPL-2.0", "8522c85260f2761e626c297e5181d805cd00fe055ef16ca2338d518921154343"),
+    ("GPL-2.0", "a74f1eeb28b124d61f4b41d1dfdae0bbf57f0626948953dde2fcf7105aed65f5"),
+    ("GPL-2.0", "f9fc899c93bd744c70a0e48c2bc663cb904023ebd364b4db06be4be809ef7119"),
+    ("GPL-3.0", "6cb36c69867724c4fbfe3314d04fae28caef34f601a4ec822ab1aab1637f447d"),
+    ("GPL-3.0", "dbb87851cec14256d7e26c612cdea702c7f05f5ed1dad90ff6b95d629115d12f"),
+    ("GPL-3.0", "f1c58b3b6ae9cddab1a787a6f5d9a6d65b0f1b47d5d7e0bef0ec522397af3f00"),
+    ("LGPL-2.0", "29707cf9e35d2c823e79cc5767a98cd6b33ca3b39982078cfb16747790f527f6"),
+    ("LGPL-2.0", "4644167a2d957416bb15900d695d3797b4df4f8f93d2849e937cfd165c201f93"),
+    ("LGPL-2.0", "f6926cbd839519a95b12d33aa21195ad0f478c6048c208e041d66218f3dbac0a"),
+    ("LGPL-2.1", "2e855bfe5e2bed583db38779f30970fccea0c62ee2775519c3e95de135207c40"),
+    ("LGPL-2.1", "4cb0a757d858efdedd252d4a0eb87fd9361ad812c440caa7de4f81c9767a0988"),
+    ("LGPL-2.1", "9399a25c7bf3d1056abba0b7bd3666aa103743270f45e1eff943cf42f74c2e3f"),
+    ("LGPL-3.0", "9da940a5cdd0ef8c6da67bf24cbe851115f32bfcb87aa56b7dec93a85f943e6d"),
+    ("MPL-1.1", "94ff42a0ae3e7e9c907d3cfdddf16d991c10dc22cc8214498902fd03bdc34847"),
+    ("MPL-2.0", "38012e6a06af79770946c2e6f2ab20888eaeaa97943326ae9bf6a7a7bacc9a61"),
+    ("Unlicense", "bb28cc84551e602fa595813d0910e669c92cf2465e9b1bdc916144ab8bc37666"),
+    ("Zlib", "4b10349609035ef9f81921ed02147e8589fc2deeba3fe691baa68eea03c86563"),
+]
+
 #: Spellings that mean the same in a licence text (pattern, replacement), on lower case.
 SPELLINGS = [
     ("licence", "license"),
@@ -97,15 +128,19 @@ SPELLINGS = [
 ]
 #: A line that only names who holds the copyright.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|holder:).*$"
+#: The same behind comment signs and with names between: what the scan drops (Java's syntax).
+HOLDER_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*(?:copyright|\(c\)|©)[ \t:]*(?:(?:\(c\)|©|[0-9]{4}|holder:).*|(?!.*(?:licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission))[^\n]{0,100}?\b(?:19|20)[0-9]{2}\b.{0,100}|[\[{<(]*(?:yyyy|year)\b.*)$"
+NAMED_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*(?:Copyright|COPYRIGHT|©)(?:[ \t]*\([cC]\))?(?!.*(?i:licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission|grant))(?:[ \t,]+(?:\p{Lu}[\p{L}.'&-]*|and|by|the|of)){1,8}[ \t]*$"
+RIGHTS_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*all rights reserved\.?[ \t]*$"
 ALL_RIGHTS = r"(?m)^[ \t]*all rights reserved\.?[ \t]*$"
-#: Each known text has one of these, so only lines with one are looked up.
+#: Each text of KNOWN and FULL_TEXTS has one of these, so only lines with one are looked up in the built-in table.
 LINE_MARK = "(?i)licen[cs]e|permission|redistribut"
 
 
 def canonical(text: Column) -> Column:
     """Letters and digits of the text in canonical form; '' for null."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), ALL_RIGHTS, "")
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NAMED_LINE, ""))
+    t = F.regexp_replace(F.regexp_replace(t, HOLDER_LINE, ""), RIGHTS_LINE, "")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.regexp_replace(t, r"[^\p{L}\p{Nd}]+", "")
@@ -116,9 +151,11 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, license for (license, text) pairs; one row per digest."""
-    rows = spark.createDataFrame(known or KNOWN, "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("known")).agg(F.min("license").alias("license"))
+    """known (a digest), license for (license, text) pairs, or of KNOWN and FULL_TEXTS; one row per digest."""
+    rows = spark.createDataFrame(known or KNOWN, "license string, text string").select("license", digest(F.col("text")).alias("known"))
+    if not known:
+        rows = rows.unionByName(spark.createDataFrame(FULL_TEXTS, "license string, known string"))
+    return rows.groupBy("known").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -129,9 +166,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     size estimate allows it.
     """
     spark = docs.sparkSession
+    mark = LINE_MARK if known is None else ""
     known = written(known if known is not None else known_licenses(spark))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    marked = F.transform(F.filter(lines, lambda x: x["text"].rlike(LINE_MARK)), lambda x: F.struct(x["line"], digest(x["text"]).alias("digest")))
+    marked = F.transform(F.filter(lines, lambda x: x["text"].rlike(mark)), lambda x: F.struct(x["line"], digest(x["text"]).alias("digest")))
     rows = written(docs.select("doc_id", F.xxhash64("text").alias("h"), digest(F.col("text")).alias("whole"), marked.alias("lines")))
     found = rows.select("doc_id", "h", F.explode("lines").alias("l")).distinct().join(known, F.col("l.digest") == F.col("known"))
     found = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("l.line", "license"))).alias("n"))

@@ -169,6 +169,34 @@ def test_licenses(spark):
     assert got[0].notices == "MIT:2" and got[0].license is None and got[1].license == "MIT" and got[2].n_notices == 0
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+
+def test_full_licenses_and_copyright_lines(spark):
+    from pennant.llm import licenses
+
+    heads = ["Copyright Jane Doe 2020", "// Copyright (c) 2020 X", "# Copyright Jane Doe", "Copyright law applies here"]
+    texts = [ZLIB, *[f"{h}\nLicensed under the MIT License" for h in heads]]
+    got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert got == {0: "Zlib", 1: "MIT", 2: "MIT", 3: "MIT", 4: None}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {x for x, _ in licenses.FULL_TEXTS}
+
+
+def test_own_license_table_needs_no_mark(spark):
+    from pennant.llm import licenses
+
+    own = licenses.known_licenses(spark, [("House", "All our words are free.")])
+    assert licenses.license_scan(frame(spark, ["x\nAll our words are FREE"]), own).first().notices == "House:2"
+
+
 def test_quality_learns(spark):
     from pennant.llm import quality
 
