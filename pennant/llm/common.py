@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -16,35 +18,112 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Shingles are this many consecutive words; a shorter text with words is one shingle.
 SHINGLE = 5
+#: Rows and bytes of one Arrow batch: texts can be very long.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+_roots: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended, and its folders with it
+        _delete(spark, path)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """A new folder below spark.checkpoint.dir; it goes when the driver's Python ends in order.
+
+    Where the setting is unset, local sessions get a temporary folder; on a cluster that is an
+    error, since executors would each write to their own disk.
+    """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if app not in _roots:
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        _roots[app] = f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/pennant-{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, _roots[app])
+    return f"{_roots[app]}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000, mbytes: int = 4) -> None:
-    """Bounds what one Arrow batch holds, by rows and by bytes: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mbytes << 20)
+class Scratch:
+    """Written tables of one operator's call; they go when the with block ends, or before by drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables = spark, shared_dir(spark), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _forget(self.spark, self.path)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        out = written(df, path)
+        self.tables[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _forget(self.spark, self.tables.pop(id(t))[1])
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df has them (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def replaced(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those that an operator's results of these names replace."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, by rows and by bytes: the same for all operators, and never above the session's own bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def deal(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """Hash-partitions df for a grouped pass over sorted runs of the columns."""
+    """Hash-partitions df for a grouped pass over sorted runs of the columns.
+
+    The number of partitions is fixed on purpose: the groups are bounded, and what they cost is
+    pairs, not bytes, so merging small partitions would leave cores idle.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
 
 
+def in_blocks(members: DataFrame, group: str, by: str, blocks: str) -> DataFrame:
+    """members once for each pair of blocks they belong to: lo <= hi, and block, the row's own."""
+    m = members.withColumn("block", F.pmod(F.xxhash64(by), F.col(blocks)).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
+    m = m.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", blocks)
+    return deal(m, group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4000, nbytes: int = 16 << 20) -> Iterator[pa.Table]:
     """Regroups a stream sorted by keys into tables that end where a group ends.
 
@@ -137,23 +216,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates two star contractions: every node hands its larger, then its smaller
     neighbours to its smallest neighbour, until the edges form one star per component.
-    Neither step makes more than twice its edges, and each is written, so a hub of any
-    degree only adds rows to joins that can be split.
+    Neither step makes more than twice its edges. The smallest neighbours are partial
+    aggregates; they are written before they are joined to the edges, so that both sides of
+    the join are plain shuffles and Spark splits the partition of a hub of any degree.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
-        e = written(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
-        row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
-            break
-        state = tuple(row)
-    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return leaves.unionByName(roots)
+    with Scratch(edges.sparkSession) as tmp:
+        e = tmp.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        state = None
+        while True:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = tmp.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = tmp.table(large)
+            tmp.drop(e, low)
+            low = tmp.table(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
+            e = tmp.table(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
+            tmp.drop(large, low)
+            row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if tuple(row) == state:
+                break
+            state = tuple(row)
+        leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return written(leaves.unionByName(roots))

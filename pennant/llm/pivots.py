@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.llm.common import arrow_batches, connected_components, local_components, starts, whole_groups, written
-from pennant.llm.ngram_join import in_blocks
+from pennant.llm.common import arrow_batches, connected_components, in_blocks, local_components, starts, whole_groups, written
 
 THRESHOLD = 0.9
 #: Pivots in a description, and how many of them two vectors have to share to be compared.

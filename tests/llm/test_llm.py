@@ -6,42 +6,7 @@ import re
 import numpy as np
 import pytest
 
-DOCS = "doc_id long, text string, source string, lang string, n_chars long, kept string"
-
-
-def frame(spark, texts, first=0):
-    return spark.createDataFrame([(None if t == "NOID" else i + first, t, None if i % 5 == 4 else f"s{i % 3}", "en", len(t or ""), "x") for i, t in enumerate(texts)], DOCS)
-
-
-def prose(seed, n):
-    r = np.random.default_rng(seed)
-    return " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega", "theta", "kappa", "sigma"], n))
-
-
-EDGES = [None, "", "  \n", "one", "one two three four five", "one two three four five", "NOID"]
-
-
-def test_ngram_join_is_brute_force(spark):
-    from pennant.llm import ngram_join
-
-    base = [prose(i, 120) for i in range(12)]
-    texts = EDGES + base + [t + " tail" for t in base[:6]] + base[:4] + [prose(1, 60) + " " + prose(50, 60)]
-    got = {r.doc_id: r for r in ngram_join.near_duplicates(frame(spark, texts)).collect() if r.doc_id is not None}
-
-    def shingles(t):
-        w = (t or "").split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = {i: shingles(t) for i, t in enumerate(texts) if t != "NOID"}
-    links = {i: {j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8} for i in sets}
-    for i in sets:
-        seen, todo = {i}, [i]
-        while todo:
-            for j in links[todo.pop()] - seen:
-                seen.add(j)
-                todo.append(j)
-        assert (got[i].n_links, got[i].class_id, got[i].kept) == (len(links[i]), min(seen), i == min(seen))
-    assert ngram_join.near_duplicates(frame(spark, []).limit(0)).count() == 0
+from fixtures import EDGES, frame, prose
 
 
 def test_pivots_are_brute_force(spark):
