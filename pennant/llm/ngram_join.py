@@ -197,8 +197,7 @@ def _verified(threshold: float):
                 order = np.argsort(node)
                 n = len(node)
                 wanted = np.zeros((n, n), bool)
-                pairs = group.filter(pa.compute.is_null(group["node"])).select(["a", "b", "bits"]).to_pylist()
-                for p in pairs:
+                for p in group.filter(pa.compute.is_null(group["node"]))["parts"].to_pylist()[0]:
                     a, b = (order[np.searchsorted(node[order], p[c])] for c in ("a", "b"))
                     wanted[np.ix_(a, b)] |= np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=len(a) * len(b)).astype(bool).reshape(len(a), len(b))
                 sets = [shingle_set(t, hashes) for t in texts["text"].cast(pa.binary()).to_pylist()]
@@ -218,12 +217,17 @@ def _verified(threshold: float):
 
 
 def verified_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tmp: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """node, n_links, star for the nodes of each pair of homes: how many documents they link with there, and a linked node."""
-    need = tmp.table(pairs.select("lo", "hi", F.explode(F.concat("a", "b")).alias("node")).distinct())
+    """node, n_links, star for the nodes of each pair of homes: how many documents they link with there, and a linked node.
+
+    The bitmaps of a pair of homes are brought together first (at most one for each band and pair
+    of a bucket's blocks), so each node is named once there however many bands it shares.
+    """
+    merged = tmp.table(pairs.groupBy("lo", "hi").agg(F.collect_list(F.struct("a", "b", "bits")).alias("parts")))
+    need = tmp.table(merged.select("lo", "hi", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda p: F.concat(p["a"], p["b"]))))).alias("node")))
     keys = need.select("node").distinct().join(reps.select("node", "copies", "r.no_id", "r.doc_id", "r.text_hash"), "node")
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = keys.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "copies", "text").dropDuplicates(["node"])
-    rows = need.join(texts, "node").unionByName(pairs, allowMissingColumns=True)
+    rows = need.join(texts, "node").unionByName(merged, allowMissingColumns=True)
     return deal(rows, "lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(_verified(threshold), "node long, n_links long, star long")
 
 
@@ -235,7 +239,7 @@ def _decided(docs: DataFrame, threshold: float) -> DataFrame:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rid", "n_bytes")).alias("r")
         reps = sigs.where("digest IS NOT NULL").groupBy("digest").agg(first, F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         reps = tmp.table(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "r", F.col("r.n_bytes").alias("n_bytes"), "copies", "sig", "bands"))
-        pairs = tmp.table(surviving_pairs(reps, tmp, threshold))
+        pairs = surviving_pairs(reps, tmp, threshold)
         found = tmp.table(verified_links(pairs, reps, docs.select("doc_id", "text"), tmp, threshold))
         parts = connected_components(found.select(F.col("node").alias("a"), F.col("star").alias("b")))
         links = found.groupBy("node").agg(F.sum("n_links").alias("far"))

@@ -78,7 +78,7 @@ def test_ngram_join_recall(spark):
     r = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(5000)]
     rows = []
-    for c in range(150):
+    for c in range(60):
         words = list(r.choice(vocabulary, 300))
         for k in range(6):
             w = list(words)
@@ -89,13 +89,13 @@ def test_ngram_join_recall(spark):
     want, _ = brute_classes(rows)
     queries = range(0, len(rows), 20)
     assert all(got[i] <= want[i][0] for i in queries)
-    assert sum(got[i] for i in queries) >= 0.99 * sum(want[i][0] for i in queries) > 60
+    assert sum(got[i] for i in queries) >= 0.99 * sum(want[i][0] for i in queries) > 20
 
 
 def test_ngram_join_empty_table_and_long_text(spark):
     from pennant.llm import ngram_join
 
-    long = " ".join(f"w{i % 9973}" for i in range(1_200_000))
+    long = " ".join(f"w{i % 9973}" for i in range(600_000))
     rows = [(1, long), (2, long + " more"), (3, None)]
     got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
