@@ -94,6 +94,13 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        known = {"normalizer": told.get("normalizer") is None, "model": told["model"].get("type", "BPE") == "BPE"}
+        known |= {k: not told["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")}
+        split = told.get("pre_tokenizer") or {}
+        known["pre_tokenizer"] = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        known["added_tokens"] = not any(t.get(k) for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if odd := [k for k, good in known.items() if not good]:
+            raise ValueError(f"{path}: settings that this encoder doesn't follow: {', '.join(odd)}")
         sign = byte_signs()
         ids: dict[str, int] = told["model"]["vocab"]
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
@@ -322,7 +329,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, most_words: int = MOS
 
 
 def encode(docs: DataFrame, path: str, most_words: int = MOST_WORDS, col: str = "ids") -> DataFrame:
-    """docs with the binary column col: the ids of each text as little-endian 32-bit integers. path: tokenizer file."""
+    """docs with the binary column col (in place of one of that name): the ids of each text as little-endian 32-bit integers. path: tokenizer file."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(path)
     name = build_lexicon(docs, vocabulary, most_words)

@@ -2,7 +2,8 @@
 
 A sketch is the sorted array of the k smallest distinct shingle hashes (48 bits, as longs).
 Sketches of parts merge into the sketch of the whole. Null and empty texts have an empty sketch,
-alike to each other (1.0) and to nothing else (0.0).
+alike to each other (1.0) and to nothing else (0.0). Repeated rows get equal results; columns
+other than doc_id and text are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pennant.llm.common import SHINGLE, deal, written
+from pennant.llm.common import SHINGLE, written
 
 K = 128
 BITS = 48
 _BLANK = " \t\n\x0b\f\r"
 #: Stands for a null doc_id, in order and in joins.
 _NONE = -(2**63)
+#: Rows of one id beyond which they are joined apart.
+HOT_ROWS = 4096
 
 
 def let(value: Column, body) -> Column:
@@ -96,20 +99,37 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
 
     The edited text has its last floor(n / 2) code points replaced by the first as many of the
     next document. Of documents that repeat an id, the one whose text hashes lowest counts as
-    the next. The whole texts are shuffled once; each next document sends back only the prefix
-    that its predecessor needs and its sketch.
+    the next; documents without an id count as one with the smallest. The whole texts are shuffled once; each
+    next document sends back only the prefix that its predecessor needs and its sketch. Rows of an id that
+    more than HOT_ROWS rows have are joined to its written prefix apart, where Spark can split them.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), text.alias("text"))
-    lengths = written(base.select("k", F.char_length("text").alias("n")).groupBy("k").agg(F.max("n").alias("n")))
+    lengths = written(base.select("k", F.char_length("text").alias("n")).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("rows")))
     asks = written(lengths.join(ring(lengths), "k").select(F.col("next_k"), F.col("k").alias("asker"), (F.col("n") / 2).cast("int").alias("m")))
-    base = deal(base, "k")
     heads = base.join(asks, F.col("k") == F.col("next_k")).select("asker", F.struct(F.xxhash64("text").alias("h"), F.substr("text", F.lit(1), F.col("m")).alias("head"), sketch(F.col("text"), k).alias("sk")).alias("next"))
     heads = heads.groupBy("asker").agg(F.min("next").alias("next"))
+    hot = lengths.where(F.col("rows") > HOT_ROWS).select(F.col("k").alias("hot_k"))
+    if hot.isEmpty():
+        rows = base.join(heads, F.col("k") == F.col("asker"))
+    else:
+        is_hot = F.col("k") == F.col("hot_k")
+        few = written(heads.join(hot, F.col("asker") == F.col("hot_k"), "left_semi"))
+        rows = base.join(hot, is_hot, "left_anti").join(heads, F.col("k") == F.col("asker")).unionByName(base.join(few, F.col("k") == F.col("asker")))
     n = F.char_length("text")
     cut = (n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.col("next.head"), F.lit(1), cut))
-    rows = base.join(heads, F.col("k") == F.col("asker")).select("k", "text", "next", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.select("k", "text", "next", n.cast("long").alias("n_chars"), edited.alias("edited"))
     rows = rows.select("k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array(sketch(F.col("text"), k), sketch(F.col("edited"), k), F.col("next.sk")).alias("s"))
-    out = F.transform(F.array("s"), lambda s: F.struct(as_text(s[0]).alias("fingerprint"), as_text(s[1]).alias("edited_fingerprint"), resemblance(s[0], s[1], k).alias("near_edited"), resemblance(s[0], s[2], k).alias("near_next"), distinct_shingles(s[0], k).alias("n_shingles")))[0]
+    out = F.transform(
+        F.array("s"),
+        lambda s: F.struct(
+            as_text(s[0]).alias("fingerprint"),
+            as_text(s[1]).alias("edited_fingerprint"),
+            resemblance(s[0], s[1], k).alias("near_edited"),
+            resemblance(s[0], s[2], k).alias("near_next"),
+            containment(s[0], s[1], k).alias("kept_in_edited"),
+            distinct_shingles(s[0], k).alias("n_shingles"),
+        ),
+    )[0]
     return rows.select(F.nullif("k", F.lit(_NONE)).alias("doc_id"), "n_chars", "edited_sha256", out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")

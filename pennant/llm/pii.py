@@ -1,19 +1,25 @@
 """Personal data: identifiers in plain and in disguised writing, with offsets into the source text.
 
 Plain e-mail addresses, IP addresses, payment cards and phone numbers are found in the text as it
-is. Then transducers rewrite the text - homoglyphs and full-width signs to ASCII, invisible
-characters dropped, spelled digits to digits, "[at]", "(dot)" and the like to "@" and "." - and
-carry for each character they emit the span it came from. Identifiers found in the rewritten text
-are mapped back, and added where they touch no plain one of their kind.
-
-Null texts are empty; empty texts hold nothing; repeated rows get the same result each.
+is. Then four transducers rewrite the text, each on the output of the one before: homoglyphs and
+full-width signs to ASCII, invisible characters dropped; spelled digits to digits (English, German,
+French, Spanish); letters that stand for digits inside numbers (O, l, I); "[at]", "(dot)", "arroba" and the
+like to "@" and ".". A transducer is a pattern (the automaton of what it consumes) and a function of
+a match that gives what it emits, each character with the stretch it was made from. A tape
+keeps the way back to the source as runs, one for each stretch of unchanged length, so it stays small for
+texts of any length. Identifiers found on the last tape are mapped back, and added where they touch no plain
+one of their kind.
+
+Null texts are empty; empty texts hold nothing; repeated rows get the same result each. Other
+columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,113 +102,196 @@ HOMOGLYPHS = {
 }
 #: Characters that show nothing.
 INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
-#: Digits in words.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Digits in words of English, German, French and Spanish.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words that repeat the digit behind them, and words for the plus sign.
+REPEATS = {"double": 2, "doble": 2, "doppel": 2, "triple": 3}
+PLUS = ["plus", "más", "mas"]
+#: Words for the signs of an address; those in AT_PLAIN mean nothing else.
+AT_PLAIN = ["arroba", "arobase", "arrobase", "klammeraffe", "ät"]
+AT = ["at", "@", *AT_PLAIN]
+DOT = ["dot", "punkt", "punto", "point", "."]
+#: Letters that stand for digits inside numbers.
+LOOKALIKES = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1"}
+
+#: What an edit puts in place of a stretch: characters, each with the stretch of the tape that it was made from.
+Edit = tuple[int, int, list[tuple[str, int, int]]]
+
+
+class Tape:
+    """A rewritten text and its way back. Run i begins at at[i]; its characters came one by one from lo[i] on, or, if hi[i] is set, all from [lo[i], hi[i])."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.lo, self.hi = text, [0], [0], [0]
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The stretch of the source that the characters a to b were made from."""
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        start = self.lo[i] if self.hi[i] else self.lo[i] + a - self.at[i]
+        return start, self.hi[j] or self.lo[j] + b - self.at[j]
+
+    def relabelled(self, text: str) -> Tape:
+        """The same runs below a text of the same length."""
+        out = Tape(text)
+        out.at, out.lo, out.hi = self.at, self.lo, self.hi
+        return out
+
+    def _put(self, at: int, lo: int, hi: int) -> None:
+        last = len(self.at) - 1
+        one = not hi or hi == lo + 1
+        if last >= 0 and one and not self.hi[last] and self.lo[last] + at - self.at[last] == lo:
+            return  # goes on where the run before ends
+        self.at.append(at)
+        self.lo.append(lo)
+        self.hi.append(0 if one else hi)
+
+    def _copy(self, other: Tape, a: int, b: int, at: int) -> None:
+        i = bisect_right(other.at, a) - 1
+        while i < len(other.at) and other.at[i] < b:
+            start = max(a, other.at[i])
+            self._put(at + start - a, other.lo[i] if other.hi[i] else other.lo[i] + start - other.at[i], other.hi[i])
+            i += 1
+
+    def edited(self, edits: list[Edit]) -> Tape:
+        """The tape with each stretch replaced; edits ascend and don't overlap."""
+        out, parts, n, done = Tape(""), [], 0, 0
+        out.at, out.lo, out.hi = [], [], []
+        for a, b, chars in [*edits, (len(self.text), len(self.text), [])]:
+            if a > done:
+                out._copy(self, done, a, n)
+                parts.append(self.text[done:a])
+                n += a - done
+            for c, x, y in chars:
+                out._put(n, *self.source(x, y))
+                parts.append(c)
+                n += 1
+            done = b
+        out.text = "".join(parts)
+        return out
+
+
+class Transducer:
+    """Rewrites every leftmost match of the pattern to what emit makes of it; None leaves it as it is. likely: a quick test, in lower case behind a space, of whether any can match."""
+
+    def __init__(self, pattern: str, emit: Callable[[re.Match], list | None], likely: str | None = None):
+        self.pattern, self.emit, self.likely = re.compile(pattern), emit, re.compile(likely) if likely else None
+
+    def __call__(self, tape: Tape) -> Tape:
+        if self.likely and not self.likely.search(" " + tape.text.lower()):
+            return tape
+        edits = [(m.start(), m.end(), chars) for m in self.pattern.finditer(tape.text) if (chars := self.emit(m)) is not None]
+        return tape.edited(edits) if edits else tape
+
+
+def _any(words) -> str:
+    return "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+
+
+def _prefixes(words) -> str:
+    """The same with common beginnings taken out, which is faster to search for."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[:1], []).append(w[1:])
+    optional = "?" if by_first.pop("", None) else ""
+    branches = [re.escape(c) + (_prefixes(rest) if any(rest) else "") for c, rest in sorted(by_first.items())]
+    return f"(?:{'|'.join(branches)}){optional}"
+
+
+_NUMBER, _TIMES, _PLUS = _any(DIGITS), _any(REPEATS), _any(PLUS)
+_PART = re.compile(rf"(?i){_PLUS}|{_TIMES}|{_NUMBER}|[0-9]+|[^0-9a-zà-ü]+")
+_WORDS = {k.casefold(): v for k, v in DIGITS.items()}
+
+
+def _ascii(c: str) -> str | None:
+    """What a character that isn't ASCII stands for, or None."""
+    if c in INVISIBLE:
+        return ""
+    digit = unicodedata.decimal(c, None)
+    plain = HOMOGLYPHS.get(c) or (str(digit) if digit is not None else unicodedata.normalize("NFKC", c))
+    return plain if plain != c and plain.isascii() else None
+
+
+class _Letters(dict):
+    """For str.translate: what each character stands for if that is one character, else itself."""
+
+    def __missing__(self, code: int) -> str:
+        plain = _ascii(chr(code)) if code > 127 else None
+        out = self[code] = plain if plain and len(plain) == 1 else chr(code)
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def letters(tape: Tape) -> Tape:
+    """The transducer of single characters. Most keep their length: they are put in place at once, and the runs stay."""
+    if not _ODD.search(tape.text):
+        return tape
+    plain = tape.text.translate(_LETTERS)
+    return _LONGER(tape if plain == tape.text else tape.relabelled(plain))
+
+
+def _spelled(m: re.Match) -> list | None:
+    chars: list[tuple[str, int, int]] = []
+    times, spelled = 1, 0
+    for t in _PART.finditer(m.string, m.start(), m.end()):
+        word, a, b = t[0].casefold(), t.start(), t.end()
+        if word in PLUS:
+            chars.append(("+", a, b))
+        elif word in REPEATS:
+            times = REPEATS[word]
+        elif word in _WORDS:
+            chars += [(_WORDS[word], a, b)] * times
+            times, spelled = 1, spelled + 1
+        elif word[0] in "0123456789":
+            chars += [(c, a + i, a + i + 1) for i, c in enumerate(word)]
+            times = 1
+        elif "." in word:
+            chars.append((".", a, b))
+    return chars if spelled else None
+
+
+def _lookalike(m: re.Match) -> list | None:
+    letters = sum(c in LOOKALIKES for c in m[0])
+    if not letters or 2 * letters > sum(c.isalnum() or c == "|" for c in m[0]):
+        return None
+    return [(LOOKALIKES.get(c, c), m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
 
-#: Emitted characters, and for each the span of the source it stands for.
-Tape = tuple[str, list[int], list[int]]
 
 #: Characters that the first transducer may rewrite: none of the common Latin letters.
 _ODD = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0, 0xAC), (0xAE, 0x130), (0x132, 0x24F))) + "]")
-_NUMBER = "|".join(DIGITS)
-#: Three or more spelled or written digits in a row, at least one of them spelled; "double" and "triple" repeat the next.
-_SPELLED = re.compile(rf"(?i)\b(?:(?:plus[\x20-])?(?:(?:(?:double|triple)[\x20-])?(?:{_NUMBER})|[0-9]+)[\x20,.-]{{1,2}}){{2,}}(?:(?:double|triple)[\x20-])?(?:(?:{_NUMBER})\b|[0-9]+)")
-_TOKEN = re.compile(rf"(?i)plus|double|triple|{_NUMBER}|[0-9]+|[^0-9a-z]+")
-_AT = re.compile(r"(?i)\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?")
-_DOT = re.compile(r"(?i)\x20?[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]\x20?")
-_PLAIN_DOT = re.compile(r"(?i)(?<=[a-z0-9])\x20(?:dot|punkt|punto)\x20(?=[a-z0-9])")
-#: A plain "at" counts only before a name with a "dot" in words.
-_PLAIN_AT = re.compile(r"(?i)(?<=[a-z0-9])\x20at\x20(?=[a-z0-9-]+(?:\x20dot\x20|\x20?[\[({<]\x20?dot))")
-
-
-def plain_tape(text: str) -> Tape:
-    return text, list(range(len(text))), list(range(1, len(text) + 1))
-
-
-def rewrite(tape: Tape, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Tape:
-    """The tape with each stretch [a, b) replaced by characters with their own stretches; edits ascend and don't overlap."""
-    text, lo, hi = tape
-    out, olo, ohi, at = [], [], [], 0
-    for a, b, chars in edits:
-        out.append(text[at:a])
-        olo += lo[at:a]
-        ohi += hi[at:a]
-        for c, x, y in chars:
-            out.append(c)
-            olo.append(lo[x])
-            ohi.append(hi[y - 1])
-        at = b
-    out.append(text[at:])
-    return "".join(out), olo + lo[at:], ohi + hi[at:]
-
-
-def _letters(text: str) -> list:
-    edits = []
-    for m in _ODD.finditer(text):
-        a, c = m.start(), m[0]
-        if c in INVISIBLE:
-            edits.append((a, a + 1, []))
-        elif c in HOMOGLYPHS:
-            edits.append((a, a + 1, [(HOMOGLYPHS[c], a, a + 1)]))
-        else:
-            plain = unicodedata.normalize("NFKC", c)
-            digit = unicodedata.decimal(c, None)
-            plain = str(digit) if digit is not None else plain
-            if plain != c and plain.isascii():
-                edits.append((a, a + 1, [(x, a, a + 1) for x in plain]))
-    return edits
-
-
-def _spelled(text: str) -> list:
-    edits = []
-    for m in _SPELLED.finditer(text):
-        chars: list[tuple[str, int, int]] = []
-        times, spelled = 1, 0
-        for t in _TOKEN.finditer(text, m.start(), m.end()):
-            word, a, b = t[0].lower(), t.start(), t.end()
-            if word == "plus":
-                chars.append(("+", a, b))
-            elif word in ("double", "triple"):
-                times = 2 if word == "double" else 3
-            elif word in DIGITS:
-                chars += [(DIGITS[word], a, b)] * times
-                times, spelled = 1, spelled + 1
-            elif word[0] in "0123456789":
-                chars += [(c, a + i, a + i + 1) for i, c in enumerate(word)]
-                times = 1
-            elif "." in word:
-                chars.append((".", a, b))
-        if spelled:
-            edits.append((m.start(), m.end(), chars))
-    return edits
-
-
-def _signs(text: str) -> list:
-    found = [(m.start(), m.end(), "@") for p in (_AT, _PLAIN_AT) for m in p.finditer(text)]
-    found += [(m.start(), m.end(), ".") for p in (_DOT, _PLAIN_DOT) for m in p.finditer(text)]
-    edits, end = [], 0
-    for a, b, c in sorted(found):
-        if a >= end:
-            edits.append((a, b, [(c, a, b)]))
-            end = b
-    return edits
-
-
-_MAYBE_SIGN = re.compile(r"(?i)[\[({<]\x20?(?:at|dot|@|\.|punkt|punto|point)\x20?[\])}>]|\x20(?:dot|punkt|punto)\x20")
-_MAYBE_DIGITS = re.compile(rf"(?i)\b(?:{_NUMBER})[\x20,.-]{{1,2}}(?:double|triple|{_NUMBER}|[0-9])")
+#: Those of them that stand for none or several characters.
+_LONGER = Transducer("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x20000)) if _ODD.match(c) and (p := _ascii(c)) is not None and len(p) != 1) + "]", lambda m: [(x, m.start(), m.end()) for x in _ascii(m[0])])
+_BEYOND_DOT = rf"(?=[a-z0-9-]+(?:\x20?[\[({{<]\x20?(?:{_any(DOT)})|\x20(?:{_any(DOT[:3])})\x20"
+_SIGNS = rf"""(?xi)
+    \x20? [\[({{<] \x20? (?: (?P<at>{_any(AT)}) | (?:{_any(DOT)}) ) \x20? [\])}}>] \x20?
+  | (?<=[a-z0-9]) \x20 (?: (?P<at2>at) \x20 {_BEYOND_DOT})) | (?P<at3>{_any(AT_PLAIN)}) \x20 {_BEYOND_DOT}|\.[a-z0-9]))
+    | (?:{_any(DOT[:3])}) \x20 (?=[a-z0-9]) )"""
+
+TRANSDUCERS: list[Callable[[Tape], Tape]] = [
+    letters,
+    # three or more spelled or written digits in a row, at least one of them spelled
+    Transducer(
+        rf"(?i)\b(?:(?:(?:{_PLUS})[\x20-])?(?:(?:(?:{_TIMES})[\x20-])?(?:{_NUMBER})|[0-9]+)[\x20,.-]{{1,2}}){{2,}}(?:(?:{_TIMES})[\x20-])?(?:(?:{_NUMBER})\b|[0-9]+)",
+        _spelled,
+        rf"[^a-z0-9à-ü](?:{_prefixes(DIGITS)})[\x20,.-]{{1,2}}(?:{_TIMES}|{_prefixes(DIGITS)}|[0-9])",
+    ),
+    Transducer(r"(?<![A-Za-z0-9|])\+?[0-9OolI|](?:[\x20().-]{0,2}[0-9OolI|]){6,}(?![A-Za-z0-9|])", _lookalike, r"[oli|][\x20().-]{0,2}[0-9]|[0-9][\x20().-]{0,2}[oli|]"),
+    Transducer(_SIGNS, lambda m: [("@" if m["at"] or m["at2"] or m["at3"] else ".", m.start(), m.end())], rf"[\[({{<]\x20?(?:{_any(AT + DOT)})\x20?[\])}}>]|\x20(?:{_prefixes(DOT[:3] + AT_PLAIN)})\x20"),
+]
 
 
 def disguised(text: str) -> list[Span]:
     """Identifiers of the rewritten text, mapped to the source; nothing where no rewriting applies."""
-    tape, changed = None, False
-    for likely, edit in ((_ODD, _letters), (_MAYBE_DIGITS, _spelled), (_MAYBE_SIGN, _signs)):
-        now = tape[0] if tape else text
-        if likely.search(now) and (edits := edit(now)):
-            tape, changed = rewrite(tape or plain_tape(text), edits), True
-    if not changed:
-        return []
-    now, lo, hi = tape
-    return [(k, lo[a], hi[b - 1]) for k, a, b in identifiers(now)]
+    tape = first = Tape(text)
+    for t in TRANSDUCERS:
+        tape = t(tape)
+    return [] if tape is first else [(k, *tape.source(a, b)) for k, a, b in identifiers(tape.text)]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -212,7 +301,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 
 
 def personal_data(docs: DataFrame, col: str = "found") -> DataFrame:
-    """docs with the struct col: base and spans, lists of (kind, start, end)."""
+    """docs with the struct col (in place of one of that name): base and spans, lists of (kind, start, end)."""
     arrow_batches(docs.sparkSession)
     return docs.withColumn(col, by_text(find)(F.col("text")))
 

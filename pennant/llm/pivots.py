@@ -1,34 +1,50 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by the ordered list of its nearest pivots (reference vectors, a bounded
-sample of distinct vectors that point in different directions). Inverted lists hold, for each pivot, the vectors that have it in
-their description; two vectors are compared where they share enough pivots, and a pair is linked
-if its cosine in double precision reaches the threshold. Equal directions are one class before
-the index is built. Lists of any size are cut into blocks, each pair of blocks a group of its
-own, and a group returns counts and a star of edges, never its pairs.
+A vector is described by the ordered list of its nearest pivots (reference vectors, spread over a
+bounded sample so that none is close to another before all regions have one). Inverted lists are
+kept for sets of pivots: a vector stands in the list of each pair (or, in a coarser index, each
+single pivot) of the first pivots of its order of which at least one is in the first half. Two
+vectors that share enough pivots meet in a list, and there they are linked if their cosine in
+double precision reaches the threshold.
+
+How many pivots there are, how many of the order are used, and whether two or one have to be
+shared, is fitted: the links within the sample are found by brute force, and of the settings that
+retrieve RECALL of them the one with the fewest comparisons is taken; the last resort, a single list,
+compares everything. The default is used where the sample has few links. Equal vectors are one node before the index is built. Lists of any size are
+cut into blocks, each pair of blocks a group of its own, a pair is linked only in the smallest list
+that both share, and a group returns counts and a star of edges, never its pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as
-do vectors of different lengths. Rows without a vec_id have no component. Repeated rows are copies.
+do vectors of different lengths. Rows that repeat a vec_id with another vector are other vectors;
+repeated rows are copies. A component is named by its smallest vec_id, by null if it has none.
+Columns other than vec_id and embedding are not read; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.llm.common import arrow_batches, connected_components, in_blocks, local_components, starts, whole_groups, written
+from pennant.llm.common import Scratch, arrow_batches, connected_components, in_blocks, local_components, starts, whole_groups, written
 
 THRESHOLD = 0.9
-#: Pivots in a description, and how many of them two vectors have to share to be compared.
-NEAREST, SHARED = 8, 2
-#: Pivots grow with the square root of the number of vectors, up to this many (the bound of the sample).
+#: Bounds of the sample that the index is fitted on, in vectors and in bytes of doubles.
+SAMPLE_ROWS, SAMPLE_BYTES = 16384, 64 << 20
+#: Pivots grow with the square root of the number of vectors, up to this many: so lists of pairs keep their length until then.
 MOST_PIVOTS = 4096
-#: No two pivots have this cosine: else a dense group gets many, whose order says little.
-APART = 0.5
+#: What is tried: shares of the pivots, pivots of the order that are used, and pivots that have to be shared.
+SHARES, FIRST, SHARED = (1, 4, 16), (4, 6, 8, 12), (2, 1)
+#: Without a good one: the setting where links are few, and that of a single pivot, which compares everything.
+DEFAULT, EVERYTHING = (8, 2), (1, 1)
+#: The share of the sample's links that a setting has to retrieve, the links without which the default is used, and the links that are looked at.
+RECALL, FEW, MOST_LINKS = 0.98, 100, 4000
+#: Comparisons that cost as much as bringing a vector to one more list.
+LIST_COST = 50
 BLOCK = 512
 
 
@@ -38,141 +54,170 @@ def usable(v: Column) -> Column:
     return F.coalesce(~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _unit(rows: pa.Array) -> list[np.ndarray]:
-    """Unit vectors in double precision; scaled first so that squares can't over- or underflow."""
-    out = []
-    flat, offsets = rows.values.to_numpy(zero_copy_only=False).astype(np.float64), rows.offsets.to_numpy()
-    for a, b in zip(offsets, offsets[1:], strict=False):
-        x = flat[a:b] / np.abs(flat[a:b]).max()
-        out.append(x / np.sqrt((x * x).sum()))
-    return out
-
-
-def classes(vectors: DataFrame) -> DataFrame:
-    """vec_id (smallest of its class), copies, members' embedding: one row per distinct vector with a direction."""
-    v = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    v = v.where(usable(F.col("embedding")))
-    return v.groupBy(F.xxhash64("embedding").alias("h"), "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).drop("h")
+def unit(x: np.ndarray) -> np.ndarray:
+    """The unit vector in double precision; scaled first so that squares can't over- or underflow."""
+    x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max()
+    return x / np.sqrt((x * x).sum())
 
 
-def sample_pivots(distinct: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
-    """Unit reference vectors (padded with zeros), from those with the lowest hash of their id."""
-    n = distinct.count()
-    want = int(min(most, max(32, 8 * n**0.5)))
-    rows = distinct.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).toPandas()["embedding"]
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=1)))
-    n_kept = 0
-    for r in rows:
-        x = np.asarray(r, np.float64) / np.abs(r).max()
-        x /= np.sqrt((x * x).sum())
-        if not n_kept or (out[:n_kept, : len(x)] @ x).max() < APART:
-            out[n_kept, : len(x)] = x
-            n_kept += 1
-    return out[:n_kept]
+def stacked(units: list[np.ndarray]) -> np.ndarray:
+    """The vectors as rows, padded with zeros."""
+    if len({len(u) for u in units}) == 1:
+        return np.array(units)
+    out = np.zeros((len(units), max(map(len, units))))
+    for row, u in zip(out, units, strict=True):
+        row[: len(u)] = u
+    return out
 
 
-def _described(pivots):
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of at most that many sample rows, each the farthest from those before; equal directions once."""
+    nearest, out = sample @ sample[0], [0]
+    while len(out) < most:
+        i = int(nearest.argmin())
+        if nearest[i] > 1 - 1e-9:
+            break
+        out.append(i)
+        np.maximum(nearest, sample @ sample[i], out=nearest)
+    return np.array(out)
+
+
+def orders(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest pivots of each row, nearest first."""
+    m = min(m, len(pivots))
+    width = min(x.shape[1], pivots.shape[1])
+    near = -(x[:, :width] @ pivots[:, :width].T)
+    top = np.argpartition(near, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+
+
+def list_keys(order: np.ndarray, shared: int) -> np.ndarray:
+    """The lists that each row stands in: sets of shared pivots of its order, at least one in the first half."""
+    m = order.shape[1]
+    sets = [c for c in combinations(range(m), min(shared, m)) if c[0] < max(1, (m + 1) // 2)]
+    picked = np.sort(order[:, sets], axis=2).astype(np.int64)
+    key = picked[:, :, 0]
+    for i in range(1, picked.shape[2]):
+        key = key * (MOST_PIVOTS + 1) + picked[:, :, i] + 1
+    return np.sort(key, axis=1)
+
+
+def fit(rows: list, n: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, tuple[int, int]]:
+    """Pivots and setting for n vectors, from a sample of them."""
+    x = stacked([unit(r) for r in rows])
+    chosen = spread(x, int(min(MOST_PIVOTS, max(32, 8 * n**0.5))))
+    pivots = x[chosen]
+    rest = np.delete(x, chosen, axis=0)
+    rest = rest if len(rest) > len(x) // 4 else x
+    a, b = [], []
+    for at in range(0, len(rest), 1024):
+        i, j = np.nonzero(rest[at : at + 1024] @ rest.T >= threshold)
+        a.append(i[j > i + at] + at)
+        b.append(j[j > i + at])
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(a) < FEW:
+        return pivots, DEFAULT
+    pick = np.random.default_rng(5).permutation(len(a))[:MOST_LINKS]
+    best = (n * n / 2, pivots[:1], EVERYTHING)
+    for share in SHARES:
+        some = pivots[: max(1, len(pivots) // share)]
+        full = orders(rest, some, max(FIRST))
+        for m, shared in ((m, s) for m in FIRST for s in SHARED if m <= len(some)):
+            keys = list_keys(full[:, :m], shared)
+            count = np.unique(keys, return_counts=True)[1].astype(float)
+            cost = n * keys.shape[1] * LIST_COST + (count * (count - 1)).sum() / 2 * (n / len(rest)) ** 2
+            if cost < best[0]:
+                met = [(keys[i][:, :, None] == keys[j][:, None, :]).any((1, 2)) for i, j in zip(np.array_split(a[pick], 20), np.array_split(b[pick], 20), strict=True)]
+                if np.concatenate(met).mean() >= RECALL:
+                    best = (cost, some, (m, shared))
+    return best[1:]
+
+
+def _described(fitted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref = pivots.value
-        m = min(NEAREST, len(ref))
+        pivots, (m, shared) = fitted.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(batch.column("embedding"))
-            width = max(ref.shape[1], *map(len, unit))
-            x = np.zeros((len(unit), width))
-            for i, u in enumerate(unit):
-                x[i, : len(u)] = u
-            near = -(x[:, : ref.shape[1]] @ ref.T)
-            top = np.argpartition(near, m - 1, axis=1)[:, :m]
-            order = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("copies"), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "copies", "unit", "pivots"]
-            )
+            rows = batch.column("embedding")
+            flat, at = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+            raw = [flat[i:j] for i, j in zip(at, at[1:], strict=False)]
+            keys = list_keys(orders(stacked([unit(r) for r in raw]), pivots, m), shared)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "copies", "raw", "keys"])
 
     return run
 
 
-def _shared(lists: np.ndarray, least: int) -> np.ndarray:
-    """True for each pair of rows that has enough pivots in common."""
-    n = len(lists)
-    bits = np.zeros((n, int(lists.max()) // 64 + 1), np.uint64)
-    for column in lists.T:
-        bits[np.arange(n), column >> 6] |= np.uint64(1) << (column & 63).astype(np.uint64)
-    count = np.zeros((n, n), np.uint8)
-    for word in bits.T:
-        at = np.flatnonzero(word)
-        if len(at) > 1:
-            count[np.ix_(at, at)] += np.bitwise_count(word[at][:, None] & word[at][None, :])
-    return count >= min(least, lists.shape[1])
-
-
-def _in_smallest(ok: np.ndarray, lists: np.ndarray, pivot: int) -> None:
-    """Clears pairs that share a smaller pivot too: they are taken in that one's list."""
+def _earlier(ok: np.ndarray, keys: np.ndarray, key: int) -> None:
+    """Clears pairs that stand together in a smaller list too: they are linked there."""
     a, b = np.nonzero(ok)
     for at in range(0, len(a), 1 << 14):
-        x, y = lists[a[at : at + (1 << 14)]], lists[b[at : at + (1 << 14)]]
-        both = (x[:, :, None] == y[:, None, :]).any(2)
-        gone = (both & (x < pivot)).any(1)
-        ok[a[at : at + (1 << 14)][gone], b[at : at + (1 << 14)][gone]] = False
+        i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        both = (keys[i][:, :, None] == keys[j][:, None, :]).any(2)
+        gone = (both & (keys[i] < key)).any(1)
+        ok[i[gone], j[gone]] = False
 
 
-def _linked(threshold: float, shared: int):
+def _linked(threshold: float, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["pivot", "lo", "hi"]):
-            bounds = [*np.flatnonzero(starts(table, ["pivot", "lo", "hi"])), table.num_rows]
-            ids, copies, block, pivot = (table[c].to_numpy() for c in ("vec_id", "copies", "block", "pivot"))
+        for table in whole_groups(batches, ["key", "lo", "hi"]):
+            bounds = [*np.flatnonzero(starts(table, ["key", "lo", "hi"])), table.num_rows]
+            node, copies, block, key = (table[c].to_numpy() for c in ("node", "copies", "block", "key"))
             inner = table["lo"].to_numpy() == table["hi"].to_numpy()
-            lists = np.array(table["pivots"].to_pylist(), np.int32).reshape(table.num_rows, -1)
-            units = [np.frombuffer(u, np.float64) for u in table["unit"].to_pylist()]
+            keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+            units = [unit(np.frombuffer(r, kind)) for r in table["raw"].to_pylist()]
             out: list[list[np.ndarray]] = [[], [], []]
             for s, e in zip(bounds, bounds[1:], strict=False):
-                n = e - s
-                if n < 2:
+                if e - s < 2:
                     continue
                 size = np.array([len(u) for u in units[s:e]])
-                x = np.zeros((n, size.max()))
-                for i, u in enumerate(units[s:e]):
-                    x[i, : len(u)] = u
-                ok = _shared(lists[s:e], shared)
-                ok &= x @ x.T >= threshold
-                ok &= size[:, None] == size[None, :]
+                x = stacked(units[s:e])
+                ok = (x @ x.T >= threshold) & (size[:, None] == size[None, :])
                 if inner[s]:
                     np.fill_diagonal(ok, False)
                 else:
                     ok &= block[s:e, None] != block[None, s:e]
-                _in_smallest(ok, lists[s:e], pivot[s])
+                _earlier(ok, keys[s:e], key[s])
                 weight = ok @ copies[s:e]
-                a, b = np.nonzero(np.triu(ok))
-                keep = np.flatnonzero(weight)
-                label = local_components(n, a, b)
-                for o, v in zip(out, (ids[s:e][keep], weight[keep], ids[s:e][label[keep]]), strict=True):
+                label = local_components(e - s, *np.nonzero(np.triu(ok)))
+                at = np.flatnonzero(weight)
+                for o, v in zip(out, (node[s:e][at], weight[at], node[s:e][label[at]]), strict=True):
                     o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["vec_id", "n_links", "star"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["node", "n_links", "star"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared: int = SHARED) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each row of vectors (vec_id, embedding)."""
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """vec_id, n_links, component_id, kept (vec_id = component_id): one row for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     arrow_batches(spark)
-    distinct = written(classes(vectors))
-    pivots = sample_pivots(distinct)
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if not len(pivots):
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shared_pivots = spark.sparkContext.broadcast(pivots)
-    index = written(distinct.mapInArrow(_described(shared_pivots), "vec_id long, copies long, unit binary, pivots array<int>"))
-    lists = index.select("vec_id", "copies", "unit", "pivots", F.explode("pivots").alias("pivot")).withColumn("pivot", F.col("pivot").cast("long"))
-    sizes = lists.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    grouped = in_blocks(lists.join(F.broadcast(sizes), "pivot"), "pivot", "vec_id", "blocks")
-    found = written(grouped.mapInArrow(_linked(threshold, shared), "vec_id long, n_links long, star long"))
-    parts = connected_components(found.select(F.col("vec_id").alias("a"), F.col("star").alias("b")))
-    links = found.groupBy("vec_id").agg(F.sum("n_links").alias("far"))
-    reps = distinct.withColumnRenamed("vec_id", "rep").join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select(F.col("embedding").alias("e"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = ids.join(reps, (F.xxhash64("embedding") == F.xxhash64("e")) & (F.col("embedding") == F.col("e")) & F.col("vec_id").isNotNull(), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    with Scratch(spark) as tmp:
+        good = rows.where(usable(F.col("embedding"))).groupBy(F.xxhash64("embedding").alias("h"), "embedding")
+        good = good.agg(F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id")).alias("first"), F.count("*").alias("copies"))
+        good = tmp.table(good.select(F.monotonically_increasing_id().alias("node"), "h", "embedding", "first", "copies"))
+        n, width = good.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        if not n:
+            return written(rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+        # a bounded sample: those with the lowest hashes
+        sample = good.select("embedding").orderBy(F.xxhash64("h"), "h").limit(max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))).toPandas()["embedding"]
+        fitted = spark.sparkContext.broadcast(fit(list(sample), n, threshold))
+        index = tmp.table(good.select("node", "copies", "embedding").mapInArrow(_described(fitted), "node long, copies long, raw binary, keys array<long>"))
+        lists = index.select("node", F.explode("keys").alias("key"))
+        sizes = tmp.table(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+        members = lists.join(sizes, "key").join(index, "node")
+        found = tmp.table(in_blocks(members, "key", "node", "blocks").mapInArrow(_linked(threshold, np.float32 if kind == "float" else np.float64), "node long, n_links long, star long"))
+        parts = connected_components(found.select(F.col("node").alias("a"), F.col("star").alias("b")))
+        links = found.groupBy("node").agg(F.sum("n_links").alias("far"))
+        own = good.select("node", "h", "embedding", "first", "copies").join(links, "node", "left").join(parts, "node", "left")
+        own = tmp.table(own.select("h", F.col("embedding").alias("e"), "first", F.coalesce("component", "node").alias("component"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        best = tmp.table(own.groupBy("component").agg(F.min("first").alias("best")))
+        own = own.join(best, "component").select("h", "e", "n_links", F.col("best.vec_id").alias("component_id"))
+        out = rows.join(own, (F.xxhash64("embedding") == F.col("h")) & (F.col("embedding") == F.col("e")), "left")
+        component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+        out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+        return written(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())))

@@ -4,13 +4,15 @@ A text's features are its words and word pairs and the one, two and three word n
 words' shapes (letters, digits and signs of a word, marked where it repeats the word before),
 hashed into BUCKETS. A feature's value is its share of the n-grams, so the score is a sparse dot
 product that doesn't depend on the length. Null, empty and blank texts have no features and get
-the score of the bias alone. A table without usable labels gives the score 0.5 to every text.
+the score of the bias alone. A table without usable labels gives the score 0.5 to every text, an
+empty table none. Repeated rows get the same score each; rows that repeat an id with another text
+are scored each by its own text. Other columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.llm.common import arrow_batches, written
+from pennant.llm.common import Scratch, arrow_batches, spare
 
 #: Bits of the feature hash; the model holds 8 bytes for each bucket.
 BITS = 18
@@ -36,14 +38,20 @@ CUT = 0.7
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+class _Kinds(dict):
+    """The kind of each character: A upper, a other letters, 0 digits; others stand for themselves."""
+
+    def __missing__(self, c: str) -> str:
+        k = self[c] = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        return k
+
+
+_KINDS = _Kinds()
+
+
 def shape(word: str) -> str:
-    """The kinds of a word's characters, runs of a kind as one: A upper, a other letters, 0 digits; others stand for themselves."""
-    out: list[str] = []
-    for c in word[:64]:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    """The kinds of all of a word's characters, runs of a kind as one."""
+    return "".join(k for k, _ in groupby(map(_KINDS.__getitem__, word)))
 
 
 class _Words(dict):
@@ -75,15 +83,21 @@ def features(text: str | None, words: _Words) -> np.ndarray:
     return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct buckets of each text and how often each occurs."""
+    words, ints = _Words(), pa.list_(pa.int32())
+    for batch in batches:
+        found = [np.unique(features(t, words), return_counts=True) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([f[i].astype(np.int32) for f in found], ints) for i in (0, 1))], ["doc_id", "label", "at", "times"])
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Follow the regularised leader over the rows as they come; the last bucket is the bias."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    words = _Words()
     for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            at, count = np.unique(features(text, words), return_counts=True)
+        for at, times, y in zip(batch.column("at"), batch.column("times"), batch.column("label").to_pylist(), strict=True):
+            at, count = np.append(at.values.to_numpy(), BUCKETS), times.values.to_numpy()
             x = np.append(count * (SCALE / max(1, count.sum())), 1.0)
-            at = np.append(at, BUCKETS)
             w = _weights(z[at], n[at])
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - y) * x
@@ -101,24 +115,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     """Weights of BUCKETS features and the bias. docs: doc_id, text; labels: doc_id and a 0/1 column.
 
     Learns from most_rows rows at most (a documented bound, those whose id hashes lowest; of rows
-    that repeat an id the smallest text and the largest label). Only their ids are broadcast;
-    one task goes through the rows in the order of the hash, and the model has a fixed size.
+    that repeat an id the smallest text and the largest label). Only their ids are broadcast. The
+    texts are hashed in parallel; what the one learning task gets are counts of at most BUCKETS
+    features a row, in the order of a hash that differs by epoch. The model has a fixed size.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-    ids = written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    rows = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"))
-    model = written(rows.select("text", "label").mapInArrow(_learn, "bucket long, weight double")).toPandas()
+    with Scratch(spark) as tmp:
+        ids = tmp.table(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+        hashed = tmp.table(rows.mapInArrow(_hashed, f"doc_id {dict(rows.dtypes)['doc_id']}, label double, at array<int>, times array<int>"))
+        turns = hashed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"))
+        model = tmp.table(turns.select("at", "times", "label").mapInArrow(_learn, "bucket long, weight double")).toPandas()
     weights = np.zeros(BUCKETS + 1)
     weights[model["bucket"]] = model["weight"]
     return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, col: str = "score") -> DataFrame:
-    """docs with the column col: the probability of label 1 for each whole text."""
+    """docs with the column col (in place of one of that name): the probability of label 1 for each whole text."""
     spark = docs.sparkSession
     arrow_batches(spark)
     held = spark.sparkContext.broadcast(weights)
@@ -150,6 +166,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_by_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject."""
+    """The rows of docs, with all their columns, that the classifier doesn't reject."""
     weights = train(docs, labels.where(~is_held_out(F.col("doc_id"))))
-    return score(docs, weights, "_score").where(F.col("_score") >= cut).drop("_score")
+    (col,) = spare(docs, "score")
+    return score(docs, weights, col).where(F.col(col) >= cut).drop(col)

@@ -6,7 +6,10 @@ a runs test around the median and a test of the serial correlation, a test of
 equal pairs, one of neighbours and two of letters and pairs of letters as in words, joined by Bonferroni's
 bound. Per stratum of encoding and length the Benjamini-Hochberg procedure over all candidates of
 the table rejects the hypothesis, but never at a p-value above LEVEL, however many candidates are
-wordlike; what it doesn't reject is a secret.
+wordlike; what it doesn't reject is a secret. So the error that is controlled is that of dropping a
+random string: RATES bounds, for each stratum, the expected share of random strings among those that are
+dropped, and LEVEL the share of random strings that are dropped. The other error, wordlike strings
+that are reported, isn't bounded by the procedure; it falls with the length, and the tests measure it.
 
 Null texts are empty; empty texts hold nothing; repeated rows get the same result each, and each
 counts in the procedure.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.llm.common import arrow_batches, written
+from pennant.llm.common import arrow_batches, replaced, spare, written
 from pennant.llm.spans import SPANS, Span, as_arrow, joined, ordered
 
 #: "random" is the kind of the spans that the method adds.
@@ -211,19 +214,21 @@ def rejected_from(tested: DataFrame, rates: list[float] = RATES) -> DataFrame:
 
 
 def secrets(docs: DataFrame, rates: list[float] = RATES) -> DataFrame:
-    """docs with base and spans, lists of (kind, start, end)."""
+    """docs with base and spans, lists of (kind, start, end); they replace columns of these names, and text goes."""
     arrow_batches(docs.sparkSession)
     scan = F.arrow_udf(_scanned, f"struct<base:{SPANS},tested:{_TESTED}>")
-    out = written(docs.withColumn("_seen", scan(F.col("text"))).drop("text"))
+    same = replaced(docs, "base", "spans", "text")
+    (seen,) = spare(docs, "seen")
+    out = written(docs.select(*same, scan(F.col("text")).alias(seen)))
     # at most one row for each stratum
-    limits = rejected_from(out.select(F.explode("_seen.tested").alias("t")).select("t.*"), rates).collect()
+    limits = rejected_from(out.select(F.explode(F.col(seen)["tested"]).alias("t")).select("t.*"), rates).collect()
     table = F.create_map(*[F.lit(v) for r in limits or [(-1, 0)] for v in r])
-    kept = F.filter("_seen.tested", lambda t: t["bin"] < F.element_at(table, t["stratum"]))
+    kept = F.filter(F.col(seen)["tested"], lambda t: t["bin"] < F.element_at(table, t["stratum"]))
     more = F.transform(kept, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     order = F.array(*map(F.lit, KINDS))
-    ranked = F.transform(F.concat("_seen.base", more), lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("rank"), s["end"], s["kind"]))
+    ranked = F.transform(F.concat(F.col(seen)["base"], more), lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("rank"), s["end"], s["kind"]))
     spans = F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    return out.select(*[c for c in docs.columns if c != "text"], F.col("_seen.base").alias("base"), spans.alias("spans"))
+    return out.select(*same, F.col(seen)["base"].alias("base"), spans.alias("spans"))
 
 
 def _count(kind: str) -> Column:

@@ -15,3 +15,13 @@ def prose(seed, n):
 
 
 EDGES = [None, "", "  \n", "one", "one two three four five", "one two three four five", "NOID"]
+
+#: Extra columns with the names that operators use themselves, and their values.
+CLASHES = {c: f"own {c}" for c in ("size", "source_size", "target", "times", "key", "full", "cut_key", "part", "score", "seen", "base", "spans", "found", "ids", "kept", "d", "h", "mark", "copy", "node", "k", "n")}
+
+
+def clashing(spark, texts):
+    """frame() with a column for each of CLASHES."""
+    from pyspark.sql import functions as F
+
+    return frame(spark, texts).drop("kept").select("*", *[F.lit(v).alias(c) for c, v in CLASHES.items()])

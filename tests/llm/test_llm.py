@@ -1,4 +1,4 @@
-"""Small fixtures against brute force, with nulls, empty and long texts, ties, repeated rows, extra columns."""
+"""BPE, licences and the finding of random strings on small fixtures."""
 
 import hashlib
 import re
@@ -9,20 +9,6 @@ import pytest
 from fixtures import EDGES, frame, prose
 
 
-def test_pivots_are_brute_force(spark):
-    from pennant.llm import pivots
-
-    r = np.random.default_rng(3)
-    v = [list(map(float, x)) for x in r.normal(size=(60, 16))]
-    v += [[float(a + 0.05 * b) for a, b in zip(v[0], r.normal(size=16), strict=True)] for _ in range(8)] + [v[1], v[1]]
-    rows = [(i, x) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 16), (102, [float("nan")] * 16), (103, [1.0, None])]
-    got = {x.vec_id: x for x in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    x = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
-    n = (x @ x.T >= 0.9).sum(1) - 1
-    assert [got[i].n_links for i in range(len(v))] == n.tolist()
-    assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102, 103))
-
-
 def test_bpe_is_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers as P
@@ -59,21 +45,6 @@ def test_lexicon_shares_and_finds():
         assert lex.get(b"walk") is None and lex.get(b"zzz") is None
 
 
-def test_pii_base_and_disguises(spark):
-    from pennant.llm import pii
-
-    texts = ["x bob.q@mail.example.com y", "10.0.0.255 and 10.0.0.256", "4111 1111 1111 1111", "+1 (988) 555-2485", "bob [at] example [dot] com", "plain at example.com", None, ""]
-    got = {r.doc_id: r for r in pii.span_digests(frame(spark, texts)).collect()}
-    assert got[0].spans == "email:2:24" and got[1].spans == "ip:0:10" and got[2].n_card == 1 and got[3].n_phone == 1
-    assert got[4].n_email == 0 and got[4].spans == "email:0:26" and got[5].spans == "" and got[6].spans == got[7].spans == ""
-    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    r = np.random.default_rng(1)
-    for _ in range(3000):
-        t = "".join(r.choice(list("a.@-1 +"), r.integers(0, 20)))
-        assert [m.span() for m in email.finditer(t)] == [s[1:] for s in pii.emails(t)]
-    assert pii.redact(frame(spark, texts)).where("doc_id = 0").first().text == "x <EMAIL> y"
-
-
 def test_secrets(spark):
     from pennant.llm import secrets
 
@@ -97,36 +68,6 @@ def test_random_strings_are_found_among_wordlike_ones(spark):
     assert sum(got[len(keys) + 1 + i] == "" for i in range(len(names))) >= 0.95 * len(names)
 
 
-def test_mixing_takes_its_targets(spark):
-    from pennant.llm import mixing
-
-    rows = mixing.sizes_and_takes(frame(spark, [prose(i, 5 + i % 9) for i in range(300)] + [None, ""])).collect()
-    by = {}
-    for r in rows:
-        by.setdefault((r.source_size, r.target), []).append(r)
-    for (size, target), rs in by.items():
-        assert sum(r.size for r in rs) == size and abs(sum(r.taken for r in rs) - target) <= 14 and all(r.taken <= 3 * r.size for r in rs)
-
-
-def test_fingerprints(spark):
-    from pennant.llm import fingerprints
-
-    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(frame(spark, ["a b c d e f", "a b c d e f", None, ""])).collect()}
-    assert rows[0].fingerprint == rows[1].fingerprint and rows[0].near_next == 1.0
-    assert rows[0].edited_sha256 == hashlib.sha256(b"a b c " [:6] + b"a b c"[:5]).hexdigest()
-    assert rows[2].fingerprint == rows[3].fingerprint == "" and rows[2].near_next == 1.0
-
-
-def test_warc_round_trip(spark):
-    from pennant.llm import warc
-
-    big = "x" * 1500
-    pages = spark.createDataFrame([(1, "http://a", big), (2, "http://b", big), (3, None, "é"), (4, "u", None)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
-    assert (got[1].record_type, got[1].refers_to, got[2].record_type) == ("revisit", 2, "response")
-    assert got[3].payload_digest == hashlib.sha1("é".encode()).hexdigest() and got[4].payload_bytes == 0
-
-
 def test_licenses(spark):
     from pennant.llm import licenses
 
