@@ -225,3 +225,14 @@ def recap_weight(kind: Column, text: Column) -> Column:
     """a rank item without a seed number weighs less."""
     known = F.create_map(*[F.lit(x) for kv in RECAP_WEIGHTS.items() for x in kv])
     return F.when((kind == "rank-change") & ~text.contains("#"), 45).otherwise(F.coalesce(F.try_element_at(known, kind), F.lit(40)))
+
+
+def blank_log(inns: Column | str = "6") -> Column:
+    """a log without anything entered."""
+    sides = [F.lit("").alias(f"{s}_{x}") for s in ("away", "home") for x in ("runs", "hits", "k", "errors", "walks")]
+    return F.struct(*sides, (F.lit(inns) if isinstance(inns, str) else inns).alias("innings"), F.lit(False).alias("is_final"))
+
+
+def team_format(name: Column, w: Column, l: Column, t: Column) -> Column:  # noqa: E741
+    """F8: how a team is shown: its name, abbreviation and record."""
+    return F.struct(display_name(name).alias("display"), team_abbr(name).alias("abbr"), record_text(w, l, t).alias("record"))

@@ -32,3 +32,19 @@ def swap_sides(games: DataFrame, swapped: DataFrame, keys: Keys = SEASON) -> Dat
     g = games.join(swapped.select(*keys, "game_id", F.lit(True).alias("_s")).distinct(), [*keys, "game_id"], "left")
     pick = lambda a, b: F.when(F.col("_s"), F.col(b)).otherwise(F.col(a))
     return g.withColumns({"away_id": pick("away_id", "home_id"), "home_id": pick("home_id", "away_id")}).drop("_s")
+
+
+def enter(logs: DataFrame, entries: DataFrame, bracket: bool = False, keys: Keys = SEASON) -> DataFrame:
+    """MU1: logs after entries (keys, game_id, field, value, change_no): the last value of each field stays.
+
+    A game without a log gets a blank one; logs of bracket games get strikeouts of 0 where they have none.
+    """
+    fields = [c for c in logs.columns if c not in (*keys, "game_id")]
+    last = entries.groupBy(*keys, "game_id").pivot("field", fields).agg(F.max_by("value", "change_no")) if fields else entries
+    new = last.select(*keys, "game_id", *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_entered"))
+    blank = {"innings": F.lit("6"), "is_final": F.lit(False)}
+    types = dict(logs.dtypes)
+    out = logs.withColumn("_there", F.lit(True)).join(new, [*keys, "game_id"], "full_outer")
+    value = lambda f: F.coalesce(F.col(f"_{f}").cast(types[f]), F.when(F.col("_there"), F.col(f)).otherwise(blank.get(f, F.lit(""))))
+    zero = lambda f, v: F.when(F.col("_entered") & (F.coalesce(v, F.lit("")) == ""), "0").otherwise(v) if bracket and f in ("away_k", "home_k") else v
+    return out.select(*keys, "game_id", *[zero(f, value(f)).alias(f) for f in fields])

@@ -142,15 +142,10 @@ def one_result_status(games: DataFrame, stats: DataFrame, h2h: DataFrame, left:
     """MC13: rank and status of every team after each open game goes either way, and title: its points can't be reached."""
     by = [*keys, "game_id", "winner_id"]
     s = one_result_states(games, stats, predicted, settings, keys)
-    played = s.select(*by, "away_id", "home_id").distinct()
-    new = played.select(*by, F.explode(F.array(F.struct(F.col("away_id").alias("team_id"), F.col("home_id").alias("opp_id")), F.struct(F.col("home_id").alias("team_id"), F.col("away_id").alias("opp_id")))).alias("x")).select(*by, "x.*")
     # only the pair of the game has another record than before
-    old = played.select(*by).join(h2h, list(keys))
-    won = F.col("winner_id") == F.col("team_id")
-    met = old.join(new.withColumn("_now", F.lit(1)), [*by, "team_id", "opp_id"], "full_outer")
-    now = F.coalesce("_now", F.lit(0))
-    met = met.select(*by, "team_id", "opp_id", (F.coalesce("wins", F.lit(0)) + now * won.cast("int")).alias("wins"), (F.coalesce("losses", F.lit(0)) + now * (~won).cast("int")).alias("losses"), F.coalesce("ties", F.lit(0)).alias("ties"))
-    ranked = standings.rank_teams(s, met, settings, by)
+    other = F.when(F.col("team_id") == F.col("away_id"), F.col("home_id")).when(F.col("team_id") == F.col("home_id"), F.col("away_id"))
+    own, won = F.coalesce(F.col("opp_id") == other, F.lit(False)), F.col("winner_id") == F.col("team_id")
+    ranked = standings.rank_teams(s, h2h, settings, by, keys, ((own & won).cast("int"), (own & ~won).cast("int")))
     n = s.select(*by, "team_id", "away_id", "home_id").join(left, [*keys, "team_id"], "left").select(*by, "team_id", (F.coalesce("remaining", F.lit(0)) - ((F.col("team_id") == F.col("away_id")) | (F.col("team_id") == F.col("home_id"))).cast("long")).alias("remaining"))
     status = standings.gold_status(ranked.drop("away_id", "home_id"), n, settings, by)
     every = Window.partitionBy(*by)

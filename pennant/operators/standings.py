@@ -28,10 +28,12 @@ def anchors(stats: DataFrame, col: str = "pct", keys: Keys = SEASON) -> DataFram
     return out.withColumn("anchor", F.array_min(F.filter("_lead", lambda a: a >= F.col(col)))).drop("_lead")
 
 
-def rank_teams(stats: DataFrame, h2h: DataFrame, settings: Settings = Settings(), keys: Keys = SEASON) -> DataFrame:
+def rank_teams(stats: DataFrame, h2h: DataFrame, settings: Settings = Settings(), keys: Keys = SEASON, met_keys: Keys | None = None, more: tuple[Column, Column] | None = None) -> DataFrame:
     """Stats with rank: by percentage in tie groups, then the tiebreakers, the index, the id.
 
-    Head-to-head counts in groups of exactly two teams that met.
+    Head-to-head counts in groups of exactly two teams that met, and only for these it is joined.
+    met_keys: the keys of h2h, where it holds for many states; more: wins and losses against
+    opp_id that a state adds to it, from columns of stats.
     """
     out = anchors(stats, "pct", keys)
     group = Window.partitionBy(*keys, "anchor")
@@ -39,7 +41,10 @@ def rank_teams(stats: DataFrame, h2h: DataFrame, settings: Settings = Settings()
     order: list[Column] = [F.col("anchor").desc()]
     if "headToHead" in settings.factors:
         other = F.when(F.col("team_id") == F.col("group_low"), F.col("group_high")).otherwise(F.col("group_low"))
-        out = out.withColumn("opp_id", F.when(F.col("group_size") == 2, other)).join(h2h, [*keys, "team_id", "opp_id"], "left")
+        out = out.withColumn("opp_id", F.when(F.col("group_size") == 2, other)).join(h2h, [*(met_keys or keys), "team_id", "opp_id"], "left")
+        if more:
+            known = lambda c: F.coalesce(F.col(c), F.lit(0))
+            out = out.withColumns({"wins": known("wins") + more[0], "losses": known("losses") + more[1], "ties": known("ties")})
         mine = F.try_divide(F.col("wins") + F.col("ties") * 0.5, F.col("wins") + F.col("losses") + F.col("ties"))
         # the other team's share is what is missing to 1
         out = out.withColumn("h2h_key", F.when(F.abs(mine * 2 - 1) > TOLERANCE, -mine).otherwise(F.lit(0.0)))
@@ -88,8 +93,8 @@ def title_race(status: DataFrame, settings: Settings = Settings(), keys: Keys =
 
 
 def sos_ranks(stats: DataFrame, keys: Keys = SEASON) -> DataFrame:
-    """Keys, team_id, sos_rank."""
-    return stats.select(*keys, "team_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("sos").desc(), "team_id")).cast("long").alias("sos_rank"))
+    """Keys, team_id, sos_rank. Differences below the ninth decimal are noise of the sums."""
+    return stats.select(*keys, "team_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("sos", 9).desc(), "team_id")).cast("long").alias("sos_rank"))
 
 
 def effective_cutoff(teams: DataFrame, cutoff: float | None, keys: Keys = SEASON) -> DataFrame:

@@ -24,17 +24,19 @@ def in_order(games: DataFrame) -> DataFrame:
     return finals(games).withColumns({"seq": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("season"))})
 
 
-def states(games: DataFrame, teams: DataFrame, last: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def states(games: DataFrame, teams: DataFrame, last: int | None = None, since: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(finals with seq, the games of each state, the teams of each state).
 
-    last: only the latest finals count, as if the season had begun with them.
+    last: only the latest finals count, as if the season had begun with them. since: only the
+    states from that many finals before the end on are made, so rows grow with the finals, not with their square.
     """
     f = in_order(games)
     if last is not None:
         f = f.withColumns({"seq": F.col("seq") - F.greatest(F.col("n") - last, F.lit(0)), "n": F.least(F.col("n"), F.lit(last))}).where("seq >= 0")
-    inside = f.withColumn("state", F.explode(F.sequence(F.col("seq") + 1, F.col("n").cast("int")))).drop("seq", "n")
+    first = F.lit(0) if since is None else F.greatest(F.lit(0), F.col("n") - since)
+    inside = f.withColumn("state", F.explode(F.sequence(F.greatest(F.col("seq") + 1, first).cast("int"), F.col("n").cast("int")))).drop("seq", "n")
     n = f.groupBy("season").agg(F.max("n").cast("int").alias("n"))
-    rows = teams.join(n, "season").withColumn("state", F.explode(F.sequence(F.lit(0), F.col("n")))).drop("n")
+    rows = teams.join(n, "season").withColumn("state", F.explode(F.sequence(first.cast("int"), F.col("n")))).drop("n")
     return f.drop("n"), inside, rows
 
 
@@ -50,9 +52,9 @@ def scheduled_games(games: DataFrame) -> DataFrame:
     return team_games(games).groupBy("season", "team_id").agg(F.count("*").alias("scheduled"))
 
 
-def movements(games: DataFrame, teams: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Season, state, team_id, rank, status before and after each final."""
-    _, inside, rows = states(games, teams)
+def movements(games: DataFrame, teams: DataFrame, settings: Settings = Settings(), since: int | None = None) -> DataFrame:
+    """Season, state, team_id, rank, status before and after each final, or each of the latest (since)."""
+    _, inside, rows = states(games, teams, since=since)
     r = ranked_states(inside, rows, scheduled_games(games), settings)
     before = Window.partitionBy("season", "team_id").orderBy("state")
     return r.select("season", "state", "team_id", "name", "rank", "gold_status", F.lag("rank").over(before).alias("rank_before"), F.lag("gold_status").over(before).alias("status_before")).where("state > 0")
@@ -61,7 +63,7 @@ def movements(games: DataFrame, teams: DataFrame, settings: Settings = Settings(
 def season_timeline(games: DataFrame, teams: DataFrame, settings: Settings = Settings(), limit: int = 8) -> DataFrame:
     """The latest finals, newest first (nth): label, score, winner, movement, impact on the cut line."""
     cut = settings.gold_cutoff
-    m = movements(games, teams, settings)
+    m = movements(games, teams, settings, limit)
     shown = display_name(F.col("name"))
     changed = F.col("status_before") != F.col("gold_status")
     message = (

@@ -30,6 +30,23 @@ def team_ids(names: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
     return out
 
 
+def with_team_ids(names: DataFrame, keys: Keys = SEASON) -> DataFrame:
+    """names (keys, name, ord) with team_id: the same as team_ids(), folded in the order of ord within each season's list."""
+
+    def add(state: Column, x: Column) -> Column:
+        base = F.substring(F.regexp_replace(F.upper(x["name"]), "[^A-Z0-9]", ""), 1, 4)
+        base = F.when(base == "", "TEAM").otherwise(base)
+        used = F.transform(state, lambda s: s["team_id"])
+        # of one more candidate than there are ids one at least is free
+        numbered = F.transform(F.sequence(F.lit(1), F.size(state) + 1), lambda n: F.concat(F.substring(base, 1, 3), n.cast("string")))
+        free = F.filter(F.concat(F.array(base), numbered), lambda c: ~F.array_contains(used, c))[0]
+        return F.concat(state, F.array(F.struct(free.alias("team_id"), x["name"].alias("name"), x["ord"].alias("ord"))))
+
+    none = F.array().cast("array<struct<team_id:string,name:string,ord:bigint>>")
+    listed = names.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "name"))).alias("n"))
+    return listed.select(*keys, F.explode(F.aggregate("n", none, add)).alias("t")).select(*keys, "t.team_id", "t.name", "t.ord")
+
+
 def is_text(c: str) -> Column:
     """VAL1: text that says something."""
     return F.coalesce(F.trim(c) != "", F.lit(False))

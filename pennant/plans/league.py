@@ -1,6 +1,7 @@
 """A league derived from the order tables: nations play, orders are games, line items are scores.
 
-The SQL prelude states the same derivation for the oracles.
+Games and teams are derived once for each set of input tables, with one scan of each, and
+written; all queries read them from there. The SQL prelude states the same derivation for the oracles.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pennant.plans.tables import derived
+
 STATS = ["runs", "hits", "k", "errors", "walks"]
 
 
@@ -21,8 +24,16 @@ def team_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("team_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord"))
 
 
+def _paths(sf_dir: str, *names: str) -> list[str]:
+    return [f"{sf_dir}/{n}.parquet" for n in names]
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """season, team_id, name, ord: every nation in every season."""
+    return derived(spark, _paths(sf_dir, "nation", "orders"), "teams", lambda: _teams(spark, sf_dir))
+
+
+def _teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     seasons = _read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("season")).distinct()
     every = team_names(spark, sf_dir).agg(F.collect_list(F.struct("team_id", "name", "ord")).alias("t"))
     return seasons.join(F.broadcast(every)).select("season", F.explode("t").alias("t")).select("season", "t.*")
@@ -53,6 +64,10 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every matchup with its statistics (null unless final), innings and is_final."""
+    return derived(spark, _paths(sf_dir, "orders", "customer", "lineitem"), "games", lambda: _games(spark, sf_dir))
+
+
+def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = matchups(spark, sf_dir).join(logs(spark, sf_dir), F.col("ord") == F.col("log_ord"), "left").drop("log_ord")
     stat = lambda c: F.when(F.col("is_final"), F.coalesce(c, F.lit(0)))
     return g.withColumns({f"{s}_{x}": stat(F.col(f"{s}_{x}")) for s in ("away", "home") for x in STATS}).withColumn("innings", F.lit(6).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pennant.functions.scalars import csv_guard, csv_unguard, display_name, normal_date
-from pennant.operators.validate import team_ids
+from pennant.operators.validate import with_team_ids
 
 # Column names by what they hold; the first that is there counts.
 REQUIRED = {"game_id": ["Game ID"], "date": ["Date"], "away": ["Away Team"], "home": ["Home Team"]}
@@ -40,10 +40,10 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     cols = {k: pick(v) for k, v in (REQUIRED | OPTIONAL).items()}
     if any(cols[k] is None for k in REQUIRED):
         raise ValueError("Missing required columns")
-    numbered = raw.withColumn("_at", F.monotonically_increasing_id())
-    rows = numbered.select("_at", *[(c if c is not None else F.lit("")).alias(k) for k, c in cols.items()])
-    # one schedule is one file of a season; its rows are numbered in the order of the file
-    return rows.withColumn("row_number", F.row_number().over(Window.orderBy("_at")) + 1).drop("_at")
+    # a schedule is a file, which one task reads whole: rows are numbered within it
+    place = Window.partitionBy("_file").orderBy("_at")
+    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), *[(c if c is not None else F.lit("")).alias(k) for k, c in cols.items()])
+    return rows.withColumn("row_number", F.row_number().over(place) + 1).drop("_at", "_file")
 
 
 def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -52,9 +52,9 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     A row without both teams or with an id seen before is an issue. Both runs make a final, whose
     missing strikeouts are 0. Walks allowed are the explicit column's, else the other side's walks.
     """
-    names = [r[0] for r in rows.select(F.explode(F.array("away", "home")).alias("n")).where("n <> ''").distinct().select("n", display_name(F.col("n")).alias("d")).orderBy("d", "n").collect()]
-    shown = [r[0] for r in rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "n string, i int").orderBy("i").select(display_name(F.col("n"))).collect()]
-    teams = rows.sparkSession.createDataFrame([(i, n, k) for k, (i, n) in enumerate(zip(team_ids(shown), names, strict=True))], "team_id string, name string, ord long")
+    names = rows.select(F.explode(F.array("away", "home")).alias("said")).where("said <> ''").distinct().withColumn("name", display_name(F.col("said")))
+    listed = names.select(F.lit("").alias("season"), "name", F.row_number().over(Window.orderBy("name", "said")).cast("long").alias("ord"), "said")  # the league's teams: few
+    teams = with_team_ids(listed.drop("said")).join(listed.select("ord", "said"), "ord").select("team_id", F.col("said").alias("name"), (F.col("ord") - 1).alias("ord"))
     whole = (F.col("away") != "") & (F.col("home") != "")
     r = rows.withColumn("game_id", F.when(F.col("game_id") == "", F.concat(F.lit("game_"), (F.col("row_number") - 2).cast("string"))).otherwise(F.col("game_id")))
     r = r.withColumn("nth", F.when(whole, F.row_number().over(Window.partitionBy("game_id", whole).orderBy("row_number"))))

@@ -7,9 +7,16 @@ from urllib.parse import parse_qs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pennant.sources.storage import FIELDS, LOG, Stored, log_rows
+
 #: Fixed value: characters that a shared snapshot may have.
 MOST = 7000
-_ROWS = "struct<v:int,t:array<array<string>>,m:array<array<string>>>"
+# The views that an address may name.
+VIEWS = ["dashboard", "power", "standings", "teamStats", "games", "model", "settings"]
+#: Both forms of a snapshot: 1 has named fields, 2 has rows; its logs are kept as JSON texts, since their lists mix types.
+_FORMS = f"struct<v:int,teams:array<struct<id:string,name:string>>,matchups:array<struct<id:string,date:string,away:string,home:string>>,logs:map<string,struct<{LOG}>>,t:array<array<string>>,m:array<array<string>>,l:map<string,string>>"
+#: The order of a log's fields in form 2: isFinal is the number 1, and left out if false.
+_ORDER = list(FIELDS)
 
 
 def encode(json: Column) -> Column:
@@ -17,29 +24,63 @@ def encode(json: Column) -> Column:
     return F.translate(F.rtrim(F.base64(json.cast("binary")), F.lit("=")), "+/\r\n", "-_")
 
 
-def decode(text: Column) -> Column:
+def decode(text: Column, most: int | None = MOST) -> Column:
     """SRC9: the JSON document of a text; null for texts that are too long or aren't base64."""
     plain = F.translate(text, "-_", "+/")
     padded = F.rpad(plain, F.ceil(F.length(plain) / 4).cast("int") * 4, "=")
-    return F.when((F.length(text) <= MOST) & text.rlike("^[A-Za-z0-9_-]+$"), F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    fits = (F.length(text) <= most) if most else F.lit(True)
+    return F.when(fits & text.rlike("^[A-Za-z0-9_-]+$"), F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+
+def _quoted(c: str) -> Column:
+    text = F.to_json(F.array(F.coalesce(F.col(c), F.lit(""))))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _log_text() -> Column:
+    parts = [F.when(F.col("is_final"), F.lit("1")) if f == "isFinal" else _quoted(FIELDS[f]) for f in _ORDER]
+    return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("]"))
 
 
-def snapshots(teams: DataFrame, matchups: DataFrame, keys: tuple[str, ...] = ("season",)) -> DataFrame:
-    """SNK6: keys, payload: teams and games of each season as rows of texts; null where it is too large."""
+def snapshots(stored: Stored, keys: tuple[str, ...] = ("season",), most: int | None = MOST) -> DataFrame:
+    """SNK6: keys, payload, too_large: each season's teams, games, logs and settings; the payload is null where it has more than most characters."""
     k = list(keys)
-    t = teams.groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "team_id", "name"))), lambda x: F.array(x["team_id"], x["name"])).alias("t"))
-    m = matchups.groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "game_id", "date_text", "away_id", "home_id"))), lambda x: F.array(x["game_id"], x["date_text"], x["away_id"], x["home_id"])).alias("m"))
-    text = encode(F.to_json(F.struct(F.lit(2).alias("v"), "t", "m")))
-    return t.join(m, k, "left").select(*k, F.when(F.length(text) <= MOST, text).alias("payload"))
-
-
-def expand(shared: DataFrame, keys: tuple[str, ...] = ("season",)) -> tuple[DataFrame, DataFrame]:
-    """SRC9: (teams, matchups) of snapshots (keys, payload); texts that say nothing give no rows."""
-    d = shared.select(*keys, F.from_json(decode(F.col("payload")), _ROWS).alias("d"))
-    at = lambda a, i: F.get(a, F.lit(i))
-    t = d.select(*keys, F.posexplode("d.t").alias("ord", "x")).select(*keys, at("x", 0).alias("team_id"), at("x", 1).alias("name"), F.col("ord").cast("long").alias("ord"))
-    m = d.select(*keys, F.posexplode("d.m").alias("ord", "x")).select(*keys, at("x", 0).alias("game_id"), F.col("ord").cast("long").alias("ord"), at("x", 1).alias("date_text"), at("x", 2).alias("away_id"), at("x", 3).alias("home_id"))
-    return t, m
+    listed = lambda df, cols: df.groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", *cols))), lambda x: F.array(*[x[c] for c in cols])).alias("x"))
+    d = listed(stored.teams, ["team_id", "name"]).withColumnRenamed("x", "t")
+    d = d.join(listed(stored.matchups, ["game_id", "date_text", "away_id", "home_id"]).withColumnRenamed("x", "m"), k, "left")
+    each = stored.logs.select(*k, "game_id", F.concat(_quoted("game_id"), F.lit(":"), _log_text()).alias("log"))
+    d = d.join(each.groupBy(*k).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("game_id", "log"))), lambda x: x["log"]), ",").alias("l")), k, "left").join(stored.settings.select(*k, "settings"), k, "left")
+    json = F.concat(F.lit('{"v":2,"t":'), F.to_json("t"), F.lit(',"m":'), F.coalesce(F.to_json("m"), F.lit("[]")), F.lit(',"l":{'), F.coalesce("l", F.lit("")), F.lit('},"s":'), F.coalesce("settings", F.lit("{}")), F.lit("}"))
+    text = encode(json)
+    large = F.length(text) > most if most else F.lit(False)
+    return d.select(*k, F.when(~large, text).alias("payload"), large.alias("too_large"))
+
+
+def expand(shared: DataFrame, keys: tuple[str, ...] = ("season",), most: int | None = MOST) -> Stored:
+    """SRC9: the tables of snapshots (keys, payload) of either form, not yet coerced; texts that say nothing give no rows."""
+    json = decode(F.col("payload"), most)
+    d = shared.select(*keys, F.from_json(json, _FORMS).alias("d"), F.coalesce(F.get_json_object(json, "$.s"), F.get_json_object(json, "$.settings")).alias("settings"))
+    one = d.where("d.v = 1 AND d.teams IS NOT NULL AND d.matchups IS NOT NULL AND d.logs IS NOT NULL")
+    two = d.where("d.v = 2 AND d.t IS NOT NULL AND d.m IS NOT NULL AND d.l IS NOT NULL")
+    ord_ = F.col("ord").cast("long").alias("ord")
+    at = lambda a, i, none="": F.coalesce(F.get(a, F.lit(i)), F.lit(none))
+    teams = two.select(*keys, F.posexplode("d.t").alias("ord", "x")).select(*keys, at("x", 0).alias("team_id"), at("x", 1).alias("name"), ord_)
+    teams = teams.unionByName(one.select(*keys, F.posexplode("d.teams").alias("ord", "x")).select(*keys, F.col("x.id").alias("team_id"), F.col("x.name").alias("name"), ord_))
+    names = ["game_id", "date_text", "away_id", "home_id"]
+    games = two.select(*keys, F.posexplode("d.m").alias("ord", "x")).select(*keys, *[at("x", i).alias(n) for i, n in enumerate(names)], ord_)
+    games = games.unionByName(one.select(*keys, F.posexplode("d.matchups").alias("ord", "x")).select(*keys, *[F.col(f"x.{f}").alias(n) for f, n in zip(("id", "date", "away", "home"), names, strict=True)], ord_))
+    raw = two.select(*keys, F.explode("d.l").alias("game_id", "raw")).withColumn("x", F.from_json("raw", "array<string>"))
+    final = F.col("raw").rlike(r'^\s*\[\s*(?:"(?:[^"\\]|\\.)*"\s*,\s*){7}1\s*[,\]]')
+    field = lambda i, f: final if f == "isFinal" else at("x", i, "6" if f == "innings" else "")
+    logs = raw.select(*keys, "game_id", *[field(i, f).alias(FIELDS[f]) for i, f in enumerate(_ORDER)]).unionByName(log_rows(F.col("d.logs"), keys, one))
+    return Stored(teams, games, logs, logs.limit(0), one.unionByName(two).select(*keys, "settings"))
+
+
+def share_address(base: str, payload: Column, view: str | None = None, team_id: str | None = None) -> Column:
+    """SNK6: the address of a snapshot; an error where it was too large."""
+    rest = (f"&view={view}" if view in VIEWS else "") + (f"&team={team_id}" if team_id else "")
+    made = F.concat(F.lit(base.partition("#")[0] + "#s="), payload, F.lit(rest))
+    return F.when(payload.isNull(), F.raise_error(F.lit("Snapshot is too large to share as a URL."))).otherwise(made)
 
 
 def address_parts(fragment: str) -> dict[str, str]:

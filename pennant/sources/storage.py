@@ -1,8 +1,11 @@
-"""Stored tables and backup documents."""
+"""Stored tables, backup documents, the one undo snapshot."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -10,8 +13,24 @@ from pyspark.sql.utils import AnalysisException
 TEAMS = "season string, team_id string, name string, ord long"
 MATCHUPS = "season string, game_id string, ord long, date_text string, away_id string, home_id string"
 LOGS = "season string, game_id string, away_runs string, home_runs string, away_hits string, home_hits string, away_k string, home_k string, away_errors string, home_errors string, away_walks string, home_walks string, innings string, is_final boolean"
-_LOG = "awayRuns string, homeRuns string, awayHits string, homeHits string, awayK string, homeK string, awayErrors string, homeErrors string, awayWalksAllowed string, homeWalksAllowed string, innings string, isFinal boolean"
-BACKUP = f"teams array<struct<id:string,name:string>>, matchups array<struct<id:string,date:string,away:string,home:string>>, logs map<string,struct<{', '.join(f'{a}:{b}' for a, b in (p.split(' ') for p in _LOG.split(', ')))}>>"
+SETTINGS = "season string, settings string"
+# Names of a log's fields in documents, and of the columns that hold them.
+FIELDS = {
+    "awayRuns": "away_runs", "awayHits": "away_hits", "awayK": "away_k", "homeRuns": "home_runs", "homeHits": "home_hits", "homeK": "home_k", "innings": "innings", "isFinal": "is_final",
+    "awayErrors": "away_errors", "homeErrors": "home_errors", "awayWalksAllowed": "away_walks", "homeWalksAllowed": "home_walks",
+}
+LOG = ",".join(f"{f}:{'boolean' if f == 'isFinal' else 'string'}" for f in FIELDS)
+DOCUMENT = f"teams array<struct<id:string,name:string>>, matchups array<struct<id:string,date:string,away:string,home:string>>, logs map<string,struct<{LOG}>>, bracketLogs map<string,struct<{LOG}>>"
+
+
+class Stored(NamedTuple):
+    """The tables of seasons; settings are JSON texts."""
+
+    teams: DataFrame
+    matchups: DataFrame
+    logs: DataFrame
+    bracket_logs: DataFrame
+    settings: DataFrame
 
 
 def load(spark: SparkSession, path: str, schema: str | StructType, legacy: str | None = None) -> DataFrame:
@@ -25,27 +44,86 @@ def load(spark: SparkSession, path: str, schema: str | StructType, legacy: str |
     return spark.createDataFrame([], schema)
 
 
-def save(df: DataFrame, path: str) -> None:
-    """SNK5: the table, a folder for each season."""
-    df.write.mode("overwrite").partitionBy("season").parquet(path)
+def load_all(spark: SparkSession, path: str, legacy: str | None = None) -> Stored:
+    """SRC6: the five tables below path."""
+    schemas = {"teams": TEAMS, "matchups": MATCHUPS, "logs": LOGS, "bracket_logs": LOGS, "settings": SETTINGS}
+    return Stored(**{n: load(spark, f"{path}/{n}", s, f"{legacy}/{n}" if legacy else None) for n, s in schemas.items()})
 
 
-def read_backup(spark: SparkSession, path: str, season: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SRC8: (teams, matchups, logs) of a backup document, not yet coerced. Raises ValueError if it holds no teams or games."""
-    doc = spark.read.schema(BACKUP).json(path, multiLine=True)
-    if doc.where("teams IS NOT NULL AND matchups IS NOT NULL").isEmpty():
-        raise ValueError("not a backup of a season")
-    s = F.lit(season).alias("season")
-    teams = doc.select(F.posexplode("teams").alias("ord", "t")).select(s, F.col("t.id").alias("team_id"), F.col("t.name").alias("name"), F.col("ord").cast("long").alias("ord"))
-    games = doc.select(F.posexplode("matchups").alias("ord", "m")).select(s, F.col("m.id").alias("game_id"), F.col("ord").cast("long").alias("ord"), F.col("m.date").alias("date_text"), F.col("m.away").alias("away_id"), F.col("m.home").alias("home_id"))
-    logs = doc.select(F.explode("logs").alias("game_id", "l"))
-    pairs = [("awayRuns", "away_runs"), ("homeRuns", "home_runs"), ("awayHits", "away_hits"), ("homeHits", "home_hits"), ("awayK", "away_k"), ("homeK", "home_k"), ("awayErrors", "away_errors"), ("homeErrors", "home_errors"), ("awayWalksAllowed", "away_walks"), ("homeWalksAllowed", "home_walks"), ("innings", "innings"), ("isFinal", "is_final")]
-    return teams, games, logs.select(s, "game_id", *[F.col(f"l.{a}").alias(b) for a, b in pairs])
+def save(df: DataFrame, path: str) -> bool:
+    """SNK5: writes the table, a folder for each season; False if that failed."""
+    try:
+        df.write.mode("overwrite").partitionBy("season").parquet(path)
+    except Exception as e:  # noqa: BLE001  whatever the store says, the caller goes on with what it has
+        df.sparkSession.sparkContext._jvm.org.apache.logging.log4j.LogManager.getLogger("pennant").warn(f"{path} was not saved: {e}")
+        return False
+    return True
+
+
+def save_all(stored: Stored, path: str) -> bool:
+    """SNK5: the five tables below path; False if one of them failed."""
+    return all([save(df, f"{path}/{n}") for n, df in stored._asdict().items()])
+
+
+def capture_undo(stored: Stored, path: str, label: str) -> bool:
+    """MU5: keeps the tables as the one snapshot that can be restored, in a folder of their own; the pointer to it is written last."""
+    spark, version = stored.teams.sparkSession, f"{path}/undo/{time.time_ns()}"
+    if not save_all(stored, version):
+        return False
+    spark.createDataFrame([(label, version)], "label string, version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/undo/latest")
+    return True
+
+
+def restore_undo(spark: SparkSession, path: str) -> tuple[str, Stored] | None:
+    """MU5: label and tables of the snapshot, None if there is none."""
+    latest = load(spark, f"{path}/undo/latest", "label string, version string").first()
+    return (latest.label, load_all(spark, latest.version)) if latest else None
+
+
+def _listed(rows: list, order: str, keys: list[str], df: DataFrame, name: str, shape) -> DataFrame:
+    return df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, *rows))), shape).alias(name))
 
 
-def backup(teams: DataFrame, matchups: DataFrame, keys: tuple[str, ...] = ("season",)) -> DataFrame:
-    """SNK4: season, document: teams and games of each season as one JSON document."""
+def teams_list(teams: DataFrame, keys: list[str]) -> DataFrame:
+    return _listed(["team_id", "name"], "ord", keys, teams, "teams", lambda x: F.struct(x["team_id"].alias("id"), x["name"].alias("name")))
+
+
+def matchups_list(matchups: DataFrame, keys: list[str]) -> DataFrame:
+    return _listed(["game_id", "date_text", "away_id", "home_id"], "ord", keys, matchups, "matchups", lambda x: F.struct(x["game_id"].alias("id"), x["date_text"].alias("date"), x["away_id"].alias("away"), x["home_id"].alias("home")))
+
+
+def _logs_map(logs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    log = F.struct(*[F.col(c).alias(f) for f, c in FIELDS.items()])
+    return logs.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("game_id", log.alias("log"))))).alias(name))
+
+
+def documents(stored: Stored, keys: tuple[str, ...] = ("season",)) -> DataFrame:
+    """SNK4: season, document: everything about a season as one JSON document."""
     k = list(keys)
-    t = teams.groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "team_id", "name"))), lambda x: F.struct(x["team_id"].alias("id"), x["name"].alias("name"))).alias("teams"))
-    m = matchups.groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "game_id", "date_text", "away_id", "home_id"))), lambda x: F.struct(x["game_id"].alias("id"), x["date_text"].alias("date"), x["away_id"].alias("away"), x["home_id"].alias("home"))).alias("matchups"))
-    return t.join(m, k, "left").select(*k, F.to_json(F.struct("teams", "matchups")).alias("document"))
+    d = teams_list(stored.teams, k)
+    for part in (matchups_list(stored.matchups, k), _logs_map(stored.logs, k, "logs"), _logs_map(stored.bracket_logs, k, "bracketLogs"), stored.settings.select(*k, "settings")):
+        d = d.join(part, k, "left")
+    text = lambda c, none: F.coalesce(F.to_json(c), F.lit(none))
+    parts = [("teams", text("teams", "[]")), ("matchups", text("matchups", "[]")), ("logs", text("logs", "{}")), ("bracketLogs", text("bracketLogs", "{}")), ("settings", F.coalesce("settings", F.lit("{}")))]
+    return d.select(*k, F.concat(F.lit("{"), *[x for i, (n, v) in enumerate(parts) for x in (F.lit(f'{"," * (i > 0)}"{n}":'), v)], F.lit("}")).alias("document"))
+
+
+def log_rows(logs: Column, keys: tuple[str, ...], df: DataFrame) -> DataFrame:
+    return df.select(*keys, F.explode(logs).alias("game_id", "l")).select(*keys, "game_id", *[F.col(f"l.{f}").alias(c) for f, c in FIELDS.items()])
+
+
+def from_documents(docs: DataFrame, keys: tuple[str, ...] = ("season",)) -> Stored:
+    """SRC8: the tables of documents (keys, document), not yet coerced; documents without teams, games or logs give no rows."""
+    d = docs.select(*keys, F.from_json("document", DOCUMENT).alias("d"), F.get_json_object("document", "$.settings").alias("settings")).where("d.teams IS NOT NULL AND d.matchups IS NOT NULL AND d.logs IS NOT NULL")
+    ord_ = F.col("ord").cast("long").alias("ord")
+    teams = d.select(*keys, F.posexplode("d.teams").alias("ord", "t")).select(*keys, F.col("t.id").alias("team_id"), F.col("t.name").alias("name"), ord_)
+    games = d.select(*keys, F.posexplode("d.matchups").alias("ord", "m")).select(*keys, F.col("m.id").alias("game_id"), ord_, F.col("m.date").alias("date_text"), F.col("m.away").alias("away_id"), F.col("m.home").alias("home_id"))
+    return Stored(teams, games, log_rows(F.col("d.logs"), keys, d), log_rows(F.col("d.bracketLogs"), keys, d), d.select(*keys, "settings"))
+
+
+def read_backup(spark: SparkSession, path: str, season: str) -> Stored:
+    """SRC8: the tables of the backup document at path. Raises ValueError if it holds no teams, games or logs."""
+    docs = spark.read.text(path, wholetext=True).select(F.lit(season).alias("season"), F.col("value").alias("document"))
+    if docs.select(F.from_json("document", DOCUMENT).alias("d")).where("d.teams IS NOT NULL AND d.matchups IS NOT NULL AND d.logs IS NOT NULL").isEmpty():
+        raise ValueError("not a backup of a season")
+    return from_documents(docs)

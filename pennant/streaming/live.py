@@ -1,28 +1,75 @@
-"""ST2, ST4: results arrive as a stream; each batch updates the stored games and recomputes the seasons it touches."""
+"""ST2, ST4: results arrive as a stream; each batch is merged into the stored games and recomputes the seasons it touches.
+
+The stored games are a folder of versions, partitioned by version and season: version 0 is the
+beginning, batch n writes version n + 1 of the seasons it touches, and only of those. A season's games are
+those of its latest version before the batch. So a batch that runs again after a failure reads what
+it read before and overwrites what it wrote, and its cost follows the seasons it touches. Of all changes of a game,
+in whatever batch they come, the one with the largest change_no stays.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructType
 
 from pennant.operators import standings, stats
-from pennant.operators.mutations import upsert
 from pennant.settings import Settings
 
 
-def updated_standings(games: DataFrame, teams: DataFrame, changes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Standings of the seasons of changes (rows of games with change_no)."""
-    touched = F.broadcast(changes.select("season").distinct())
-    now = upsert(games.join(touched, "season", "left_semi"), changes, ["season", "game_id"])
-    s = stats.team_stats(now, teams.join(touched, "season", "left_semi"), settings.max_run_differential)
-    return standings.rank_teams(s, stats.head_to_head(now), settings)
+def begin(games: DataFrame, path: str) -> None:
+    """Stores the games (any columns with season and game_id) as version 0."""
+    _write(games.withColumn("change_no", F.lit(-1).cast("long")), path, 0)
+
+
+def _write(games: DataFrame, path: str, version: int) -> None:
+    games.write.mode("overwrite").partitionBy("season").parquet(f"{path}/version={version}")
+
+
+def stored(spark: SparkSession, path: str, schema: StructType, seasons: DataFrame | None = None, before: int | None = None) -> DataFrame:
+    """The stored games, with change_no: of each season (of seasons) the latest version (before a number)."""
+    full = StructType([f for f in schema if f.name not in ("change_no", "version")]).add("change_no", LongType()).add("version", LongType())
+    every = spark.read.schema(full).parquet(path)
+    if before is not None:
+        every = every.where(F.col("version") < before)
+    if seasons is not None:
+        every = every.join(F.broadcast(seasons.select("season").distinct()), "season", "left_semi")
+    latest = every.groupBy("season").agg(F.max("version").alias("version"))
+    return every.join(F.broadcast(latest), ["season", "version"]).drop("version")
+
+
+def merged(games: DataFrame, changes: DataFrame) -> DataFrame:
+    """games with the rows of changes in place of those with equal ids; the largest change_no stays."""
+    w = Window.partitionBy("season", "game_id").orderBy(F.col("change_no").desc())
+    every = games.unionByName(changes.select(*games.columns))
+    return every.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def standings_of(games: DataFrame, teams: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    s = stats.team_stats(games, teams.join(games.select("season").distinct(), "season", "left_semi"), settings.max_run_differential)
+    return standings.rank_teams(s, stats.head_to_head(games), settings)
+
+
+def apply_batch(changes: DataFrame, number: int, path: str, teams: DataFrame, out: str, settings: Settings = Settings()) -> None:
+    """Merges a batch into the stored games and writes the standings of its seasons below out/batch=number."""
+    spark = changes.sparkSession
+    seasons = changes.select("season").distinct()
+    _write(merged(stored(spark, path, changes.schema, seasons, number + 1), changes), path, number + 1)
+    now = stored(spark, path, changes.schema, seasons, number + 2)
+    standings_of(now.drop("change_no"), teams, settings).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
 
-def follow(changes: DataFrame, games: DataFrame, teams: DataFrame, out: str, checkpoint: str, settings: Settings = Settings(), every: str = "1 second") -> StreamingQuery:
-    """Writes, for every batch of changes, the standings of its seasons below out, a folder for each batch."""
+def follow(changes: DataFrame, path: str, teams: DataFrame, out: str, checkpoint: str, settings: Settings = Settings(), every: str | None = "1 second") -> StreamingQuery:
+    """Follows a stream of changes (rows of games with change_no); every: the trigger's interval, None for what is there now."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
 
     def batch(df: DataFrame, number: int) -> None:
-        updated_standings(games, teams, df, settings).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        df.persist()
+        try:
+            if not df.isEmpty():
+                apply_batch(df, number, path, teams, out, settings)
+        finally:
+            df.unpersist()
 
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -21,18 +21,73 @@ def test_schedule_csv(spark, tmp_path):
         schedule_csv.read_rows(spark, str(q))
 
 
-def test_share_and_backup(spark, tmp_path):
+def season_tables(spark):
     from pyspark.sql import functions as F
 
     teams, games = schedule.demo_season(spark)
     games = games.withColumn("date_text", F.date_format("game_date", "M/d"))
-    s = share.snapshots(teams, games)
-    t, m = share.expand(s)
-    assert t.count() == 8 and sorted(r.game_id for r in m.collect())[0] == "demo-01"
-    bad = spark.createDataFrame([("s", "%%%"), ("s", "x" * 8000)], "season string, payload string")
-    assert share.expand(bad)[0].count() == 0
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    logs = games.select("season", "game_id", *[text(c).alias(c) for c in storage.FIELDS.values() if c != "is_final"], "is_final")
+    odd = spark.createDataFrame([("demo", 'g"1', "3", "1", "", "é\\", "", "", "", "", "1", "", "6", True)], storage.LOGS)
+    settings = spark.createDataFrame([("demo", '{"goldCutoff":4,"seasonLabel":"Spring \\"26\\""}')], storage.SETTINGS)
+    return storage.Stored(teams.select("season", "team_id", "name", "ord"), games.select("season", "game_id", "ord", "date_text", "away_id", "home_id"), logs, odd, settings)
+
+
+def rows_of(df):
+    return sorted(str(sorted(r.asDict().items())) for r in df.drop("ord").collect())
+
+
+def test_backup_round_trip_of_every_column(spark, tmp_path):
+    import json
+
+    kept = season_tables(spark)
     doc = tmp_path / "b.json"
-    doc.write_text(storage.backup(teams, games).first().document)
-    assert storage.read_backup(spark, str(doc), "x")[1].count() == 28
-    assert storage.load(spark, str(tmp_path / "none"), storage.TEAMS).count() == 0
+    doc.write_text(storage.documents(kept).first().document)
+    assert set(json.loads(doc.read_text())) == {"teams", "matchups", "logs", "bracketLogs", "settings"}
+    back = storage.read_backup(spark, str(doc), "demo")
+    for name in ("teams", "matchups", "logs", "bracket_logs", "settings"):
+        assert rows_of(getattr(back, name)) == rows_of(getattr(kept, name)), name
+    doc.write_text('{"teams": [], "matchups": {}}')
+    with pytest.raises(ValueError):
+        storage.read_backup(spark, str(doc), "demo")
+
+
+def test_share_round_trip_of_every_column(spark):
+    from pyspark.sql import functions as F
+
+    kept = season_tables(spark)
+    s = share.snapshots(kept, most=None)
+    back = share.expand(s, most=None)
+    for name in ("teams", "matchups", "settings"):
+        assert rows_of(getattr(back, name)) == rows_of(getattr(kept, name)), name
+    assert rows_of(back.logs.where("is_final")) == rows_of(kept.logs.where("is_final"))
+    assert back.logs.count() == kept.logs.count() and back.logs.where("NOT is_final AND away_runs = ''").count() == 10
+    small = share.snapshots(kept, most=100).first()
+    assert small.too_large and small.payload is None
+    with pytest.raises(Exception, match="too large"):
+        share.snapshots(kept, most=100).select(share.share_address("http://x/", F.col("payload"))).collect()
+    url = s.select(share.share_address("http://x/#old", F.lit("abc"), "games", "A")).first()[0]
+    assert url == "http://x/#s=abc&view=games&team=A" and share.address_parts(url.partition("#")[2])["team"] == "A"
+    bad = spark.createDataFrame([("s", "%%%"), ("s", "x" * 8000), ("s", "e30")], "season string, payload string")
+    assert share.expand(bad).teams.count() == 0
+    old = spark.createDataFrame([("s", '{"v":1,"teams":[{"id":"A","name":"Aces"}],"matchups":[{"id":"g","date":"5/1","away":"A","home":"B"}],"logs":{"g":{"awayRuns":"3","isFinal":true}},"settings":{"goldCutoff":2}}')], "season string, j string")
+    first = share.expand(old.select("season", share.encode(F.col("j")).alias("payload")))
+    assert (first.teams.first().name, first.matchups.first().away_id, first.logs.first().away_runs, first.logs.first().is_final) == ("Aces", "A", "3", True)
+
+
+def test_tables_undo_and_entries(spark, tmp_path):
+    kept, place = season_tables(spark), str(tmp_path / "store")
+    assert storage.load_all(spark, place).teams.count() == 0 and storage.restore_undo(spark, place) is None
+    assert storage.save_all(kept, place) and rows_of(storage.load_all(spark, place).logs) == rows_of(kept.logs)
+    (tmp_path / "file").write_text("x")
+    assert storage.save(kept.teams, str(tmp_path / "file" / "below")) is False
+    assert storage.capture_undo(kept, place, "first") and storage.capture_undo(kept._replace(teams=kept.teams.limit(3)), place, "second")
+    label, before = storage.restore_undo(spark, place)
+    assert label == "second" and before.teams.count() == 3 and rows_of(before.bracket_logs) == rows_of(kept.bracket_logs)
+    entries = spark.createDataFrame([("demo", "demo-20", "away_runs", "7", 1), ("demo", "demo-20", "away_runs", "8", 2), ("demo", "new", "is_final", "true", 3)], "season string, game_id string, field string, value string, change_no long")
+    got = {r.game_id: r for r in mutations.enter(kept.logs, entries, bracket=True).collect()}
+    assert (got["demo-20"].away_runs, got["demo-20"].home_k, got["demo-20"].is_final) == ("8", "0", False)
+    assert (got["new"].is_final, got["new"].innings, got["new"].away_hits, got["new"].away_k) == (True, "6", "", "0")
+    assert len(got) == 29 and got["demo-01"].asDict() == next(r for r in kept.logs.collect() if r.game_id == "demo-01").asDict()
+    _, games = schedule.demo_season(spark)
     assert mutations.toggle_final(games, games.select("season", "game_id")).where("is_final").count() == 10
