@@ -133,12 +133,6 @@ MODELS = {
         lambda spark, d: _open(spark, d).select("season", "game_id", fn.run_line(F.col("away_score"), F.col("home_score"), F.col("away_id"), F.col("home_id")).alias("line"), fn.upset_risk(F.greatest("away_pct", F.lit(1.0) - F.col("away_pct")), F.abs(F.col("away_score") - F.col("home_score"))).alias("risk")),
         sql("ranked", f"SELECT season, game_id, CASE WHEN away_score >= home_score THEN away_id ELSE home_id END || printf(' -%.1f', greatest(0.5::DOUBLE, abs(away_score - home_score) - 0.5::DOUBLE)) AS line, CASE WHEN greatest(away_pct, 1 - away_pct) < 0.58 OR abs(away_score - home_score) <= 2 THEN 'High' WHEN greatest(away_pct, 1 - away_pct) < 0.7 OR abs(away_score - home_score) <= 5 THEN 'Medium' ELSE 'Low' END AS risk FROM (SELECT p.*, away_id, home_id FROM ({prediction_sql(False, 1.0)}) p JOIN j USING (season, game_id))", more=_JOINED),
     ),
-    "pm8_elo": (lambda spark, d: tidy(power.elo(league.games(spark, d), league.teams(spark, d))), ""),
-    "pm9_power_ratings": (lambda spark, d: tidy(_power(spark, d).select("season", "rank", "team_id", "name", "rating", "elo", "adj_net", "net_sos", "recent_form", "volatility", "trend", "record", "games")), ""),
-    "pm10_league_predictions": (
-        lambda spark, d: tidy(power.league_predictions(league.games(spark, d), _power(spark, d), stats.head_to_head(league.games(spark, d)), power.data_quality(league.games(spark, d), league.teams(spark, d)))),
-        "",
-    ),
     "a14_data_quality": (
         lambda spark, d: tidy(power.data_quality(league.games(spark, d), league.teams(spark, d)).select("season", "teams", "done", "open", "idle", "tier", F.array_join("warnings", "|").alias("warnings"), F.array_join("actions", "|").alias("actions"))),
         sql(
@@ -153,7 +147,6 @@ MODELS = {
         lambda spark, d: tidy(power.recent_form(league.games(spark, d))),
         sql("tg", "SELECT season, team_id, sum((runs - opp_runs) * (n - age)::DOUBLE / n) / n AS recent_form FROM (SELECT *, least(5, count(*) OVER (PARTITION BY season, team_id)) AS n, row_number() OVER (PARTITION BY season, team_id ORDER BY ord DESC) - 1 AS age FROM tg) WHERE age < 5 GROUP BY season, team_id, n", "recent_form"),
     ),
-    "w5_power_ranks": (lambda spark, d: tidy(_power(spark, d).select("season", "rank", "team_id", "rating")), ""),
     "fil3_completed_by_date": (lambda spark, d: schedule.completed_by_date(league.games(spark, d)).select("season", "game_id", "seq"), sql("games", "SELECT season, game_id, row_number() OVER (PARTITION BY season ORDER BY game_date, ord) AS seq FROM games WHERE is_final")),
     "fil4_games_of_team": (lambda spark, d: schedule.games_of(league.games(spark, d), "N03").select("season", "game_id", "away_id", "home_id"), sql("games", "SELECT season, game_id, away_id, home_id FROM games WHERE 'N03' IN (away_id, home_id)")),
     "fil5_completed_margins": (lambda spark, d: schedule.completed_with_score(league.games(spark, d)).select("season", "game_id", "margin"), sql("games", "SELECT season, game_id, away_runs - home_runs AS margin FROM games WHERE is_final")),
@@ -212,7 +205,6 @@ MODELS = {
         lambda spark, d: tidy(states.movements(league.games(spark, d), league.teams(spark, d)).select("season", "state", "team_id", "rank", "rank_before")),
         state_sql("SELECT * FROM (SELECT split_part(season, '#', 1) AS season, CAST(split_part(season, '#', 2) AS BIGINT) AS state, team_id, rank, lag(rank) OVER (PARTITION BY split_part(season, '#', 1), team_id ORDER BY season) AS rank_before FROM ranked) WHERE state > 0"),
     ),
-    "w9_season_timeline": (lambda spark, d: states.season_timeline(league.games(spark, d), league.teams(spark, d)), ""),
     "pm12_backtest": (lambda spark, d: tidy(_tested(spark, d)), state_sql(_BACKTEST, "p", more=_BACKTEST_J)),
     "a18_backtest_scores": (lambda spark, d: tidy(states.scores(_tested(spark, d))), state_sql(f"SELECT season, avg((p - y) * (p - y)) AS brier, coalesce(count(*) FILTER (WHERE upset AND captured)::DOUBLE / nullif(count(*) FILTER (WHERE upset), 0), 0) AS upset_capture, count(*) AS samples FROM ({_BACKTEST}) GROUP BY season", "brier, upset_capture", more=_BACKTEST_J)),
     "a19_calibration": (lambda spark, d: tidy(states.calibration(_tested(spark, d))), state_sql(f"SELECT season, bucket, avg(p) AS predicted, avg(y) AS actual, count(*) AS samples, bucket * 0.1::DOUBLE AS low, (bucket + 1) * 0.1::DOUBLE AS high FROM (SELECT *, CAST(least(floor(p / 0.1::DOUBLE), 9) AS BIGINT) AS bucket FROM ({_BACKTEST})) GROUP BY season, bucket", "predicted, actual, low, high", more=_BACKTEST_J)),

@@ -146,7 +146,6 @@ def _team_detail(spark: SparkSession, d: str) -> DataFrame:
 _DAY = "2026-05-10"
 
 RACE = {
-    "mc1_one_result_states": (lambda s, d: tidy((r := Race(s, d)) and race.one_result_states(r.games, r.stats, r.predicted).select("season", "game_id", "winner_id", "team_id", "w", "l", "rs", "ra", "run_diff", "pct", "tpi")), ""),
     "mc2_projected_standings": (lambda s, d: Race(s, d).projected, ""),
     "mc3_gold_odds": (lambda s, d: tidy(Race(s, d).odds), ""),
     "mc4_odds_trend": (_trend, ""),
@@ -181,17 +180,11 @@ RACE = {
     "ch3_diff_reasons": (lambda s, d: changes.diff_reasons(_diff(s, d)), ""),
     "ch4_explanations": (lambda s, d: tidy(changes.explanations(_diff(s, d))), ""),
     "ch5_weekly_recap": (lambda s, d: _recap(s, d).withColumn("why", F.array_join("why", " ")), ""),
-    "ch6_change_messages": (lambda s, d: changes.change_messages(_moves(s, d)[2]), ""),
     "ch7_recap_by_week": (lambda s, d: (m := _moves(s, d, "week")) and changes.weekly_recap(m[2], m[3], m[1].teams).select("season", "nth", "kind", "text"), ""),
-    "w13_rank_moves": (
-        lambda s, d: _moves(s, d)[2].select("season", "team_id", "rank_before", "rank", "delta"),
-        "",
-    ),
     "f40_path_summaries": (lambda s, d: (r := Race(s, d)) and changes.path_summary(r.board, r.swings), ""),
     "f41_recap_markdown": (lambda s, d: changes.recap_markdown(_recap(s, d), Settings(), F.lit(_DAY).cast("date")), ""),
     "f41_story_brief": (lambda s, d: changes.story_brief(_recap(s, d), Settings(), F.lit(_DAY).cast("date")), ""),
     "f42_standings_text": (lambda s, d: changes.standings_text(Race(s, d).board, Settings(), F.lit(_DAY).cast("date")), ""),
-    "o13_first_ratings": (lambda s, d: (r := Race(s, d)) and tidy(power.power_ratings(r.games, r.teams, r.stats).where("rank <= 6").select("season", "rank", "name")), ""),
     "f19_simulation_seeds": (
         lambda s, d: simulate.seed_text(league.games(s, d), simulate.odds_extras(Settings())).select("season", fn.fnv1a(F.col("seed_text")).alias("seed"), F.length("seed_text").cast("long").alias("n")),
         sql(

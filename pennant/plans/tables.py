@@ -58,3 +58,8 @@ def derived(spark: SparkSession, sources: list[str], name: str, make: Callable[[
     if key not in _shared:
         _shared[key] = written(make())
     return _shared[key]
+
+
+def forget() -> None:
+    """Lets the next queries derive their tables anew."""
+    _shared.clear()

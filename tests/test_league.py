@@ -23,16 +23,18 @@ def season(spark, results):
     return spark.createDataFrame(rows, GAMES), teams
 
 
-def test_wins_losses_ties(spark):
-    g, t = season(spark, [("A", "B", 8, 4), ("B", "C", 3, 5), ("A", "C", 2, 2)])
-    got = {r.team_id: (r.w, r.l, r.t, r.rs, r.ra) for r in stats.team_totals(g, t).collect()}
-    assert got == {"A": (1, 0, 1, 10, 6), "B": (0, 2, 0, 7, 13), "C": (1, 0, 1, 7, 5)}
+def test_totals_of_a_hand_worked_week(spark):
+    # X beats Y by one, Y and Z part 6-6, Z beats X twice
+    g, t = season(spark, [("X", "Y", 3, 2), ("Y", "Z", 6, 6), ("Z", "X", 7, 1), ("X", "Z", 0, 4), ("Y", "X", None, None)])
+    got = {r.team_id: (r.games, r.w, r.l, r.t, r.rs, r.ra, r.run_diff) for r in stats.team_totals(g, t).collect()}
+    assert got == {"X": (3, 1, 2, 0, 4, 13, -9), "Y": (2, 0, 1, 1, 8, 9, -1), "Z": (3, 2, 0, 1, 17, 7, 10)}
 
 
-def test_run_difference_cap(spark):
-    g, t = season(spark, [("A", "B", 18, 2)])
+def test_each_game_is_capped_by_itself(spark):
+    g, t = season(spark, [("X", "Y", 14, 1), ("X", "Y", 2, 5), ("Y", "X", 11, 0)])
     diffs = lambda cap: {r.team_id: r.run_diff for r in stats.team_totals(g, t, cap).collect()}
-    assert diffs(10) == {"A": 10, "B": -10} and diffs(0) == {"A": 16, "B": -16}
+    # 13, -3, -11: by 6 each 6 - 3 - 6; by 12 each 12 - 3 - 11; without a cap -1
+    assert diffs(6) == {"X": -3, "Y": 3} and diffs(12) == {"X": -2, "Y": 2} and diffs(0) == {"X": -1, "Y": 1}
 
 
 def test_pair_tiebreak_and_status(spark):
@@ -84,11 +86,11 @@ def test_locks_above_the_limit(spark):
 
 
 def test_power_ranks_are_of_all_teams(spark, monkeypatch):
-    from pennant.plans import queries_models as q
+    from pennant.plans import queries_more as q
 
     rows = [("s", r, f"T{r}", 1.0 / r) for r in range(1, 9)]
     monkeypatch.setattr(q, "_power", lambda *_: spark.createDataFrame(rows, "season string, rank long, team_id string, rating double"))
-    assert sorted(r["rank"] for r in q.MODELS["w5_power_ranks"][0](spark, "").collect()) == list(range(1, 9))
+    assert sorted(r["rank"] for r in q.MORE["w5_power_ranks"][0](spark, "").collect()) == list(range(1, 9))
 
 
 def test_random_stream_jumps():
@@ -117,20 +119,22 @@ def test_demo_season_and_round_robin(spark):
     assert schedule.round_robin(teams).count() == 28
 
 
-def test_coercion(spark):
-    s = coerce_settings({"goldCutoff": -3, "maxScoreCap": 500, "tiebreakerOrder": ["headToHead", "runDifferential", "runsAgainst"]})
-    assert s.gold_cutoff == 1 and s.max_score_cap == 35 and s.tiebreaker_order == FACTORS
-    assert validate.team_ids(["Aces", "Acesx", "ACES"]) == ["ACES", "ACE1", "ACE2"]
-    raw = spark.createDataFrame([("s", " A ", "Aces", 0), ("s", "A", "Other", 1), ("s", "", "x", 2)], "season string, team_id string, name string, ord long")
-    assert [(r.team_id, r.name) for r in validate.coerce_teams(raw).collect()] == [("A", "Aces")]
+def test_settings_and_ids_are_coerced(spark):
+    s = coerce_settings({"goldCutoff": 99.4, "winPoints": float("nan"), "tiePoints": True, "defaultGameInnings": 11, "tiebreakerOrder": ["runsFor", 3, "runsFor", "headToHead"], "pitchMode": "robot"})
+    assert (s.gold_cutoff, s.win_points, s.tie_points, s.default_game_innings, s.tiebreaker_order, s.pitch_mode) == (64, 1.0, 0.5, 10, ("runsFor", "headToHead"), "machine")
+    assert validate.team_ids(["Wolf Pack", "wolfhounds", "", "Wolf-1", "W1"]) == ["WOLF", "WOL1", "TEAM", "WOL2", "W1"]
+    names = spark.createDataFrame([("s", n, i) for i, n in enumerate(["Wolf Pack", "wolfhounds", "", "Wolf-1", "WOL1"])], "season string, name string, ord long")
+    assert [r.team_id for r in validate.with_team_ids(names).orderBy("ord").collect()] == validate.team_ids(["Wolf Pack", "wolfhounds", "", "Wolf-1", "WOL1"])
+    raw = spark.createDataFrame([("s", "q ", " Quails", 4), ("s", "q", "Late", 9), ("s", "r", " ", 1), ("t", "q", "Other season", 9)], "season string, team_id string, name string, ord long")
+    assert sorted((r.season, r.team_id, r.name) for r in validate.coerce_teams(raw).collect()) == [("s", "q", "Quails"), ("t", "q", "Other season")]
 
 
-def test_issue_summary(spark):
-    rows = [("missing-team", r, None) for r in (5, 2)] + [("duplicate-id", 7, "g1")] + [("unknown-team", r, "X") for r in range(10, 16)]
-    got = [r.line for r in validate.issue_summary(spark.createDataFrame(rows, "kind string, row_number long, detail string")).orderBy("first_row").collect()]
-    assert got[0] == "2 row(s) skipped: missing Away/Home team (rows 2, 5)"
-    assert got[1] == "1 row(s) skipped: duplicate Game ID (rows 7) — g1"
-    assert got[2] == "6 row(s) skipped: team name mismatch (rows 10, 11, 12, 13, 14, +1 more) — X"
+def test_issue_lines(spark):
+    rows = [("duplicate-id", r, d) for r, d in ((31, "k7"), (12, "k2"), (40, "k7"))] + [("missing-team", 8, None)] + [("unknown-team", r, f"Team {r % 2}") for r in (3, 21, 22, 23, 24, 25, 26)]
+    lines = {r.kind: r.line for r in validate.issue_summary(spark.createDataFrame(rows, "kind string, row_number long, detail string")).collect()}
+    assert lines["duplicate-id"].startswith("3 row(s)") and "12, 31, 40" in lines["duplicate-id"] and lines["duplicate-id"].endswith("k2; k7")
+    assert "+2 more" in lines["unknown-team"] and lines["unknown-team"].endswith("Team 1; Team 0")
+    assert "8" in lines["missing-team"] and "more" not in lines["missing-team"] and "—" not in lines["missing-team"]
 
 
 def test_names_and_dates(spark):
@@ -138,7 +142,22 @@ def test_names_and_dates(spark):
 
     from pennant.functions import scalars as fn
 
-    df = spark.createDataFrame([("NKB Stallions 8U", "05/01"), ("dobbers", "13/1"), ("8u", "5/40"), ("a", "2026-05-01"), ("a", "May 1"), ("a", "5"), ("a", "hello")], "n string, d string")
-    got = df.select(fn.display_name(F.col("n")), fn.normal_date(F.col("d"))).collect()
-    assert [r[0] for r in got[:3]] == ["Stallions", "Dirt Dobbers", "8u"]
-    assert [r[1] for r in got] == ["5/1", "12/1", "5/31", "5/1", "5/1", "", ""]
+    names = {"Union  Comets NKYA": "Comets", "soas": "soas", "The DOBBERS 8u": "Dirt Dobbers", "Unionists": "Unionists"}
+    dates = {"0/0": "1/1", "12/31/99": "12/31", "2026-02-30": "", "2025-11-09": "11/9", "Fri, June 3rd": "6/3", "sept 9, 2026": "9/9", "Juny 4": "", "Feb 29": "", "7": "", None: ""}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", fn.display_name(F.col("n")).alias("v")).collect()
+    assert {r.n: r.v for r in got} == names
+    got = spark.createDataFrame([(k,) for k in dates], "d string").select("d", fn.normal_date(F.col("d")).alias("v")).collect()
+    assert {r.d: r.v for r in got} == dates
+
+
+def test_compared_teams(spark):
+    from pennant.operators import compare
+
+    cols = ["w", "l", "t", "pct", "run_diff", "rsg", "rag", "hpg", "kpg", "opp_kpg", "tpi", "gold_pct", "rank", "projected_rank"]
+    rows = [("s", "A", 3, 1, 0, 0.75, 4, 5.0, 4.0, 6.0, 2.0, 3.0, 1.25, 80.4, 1, 2), ("s", "B", 2, 1, 1, 0.625, 4, 5.5, 4.5, 6.0, 1.0, 3.5, -0.5, 80.6, 2, 1)]
+    board = spark.createDataFrame(rows, "season string, team_id string, " + ", ".join(f"{c} {'double' if isinstance(v, float) else 'long'}" for c, v in zip(cols, rows[0][2:], strict=True)))
+    got = compare.compare_teams(spark.createDataFrame([("s", "A", "B")], "season string, left_id string, right_id string"), board).orderBy("nth").collect()
+    assert [(r.left, r.right, r.better) for r in got] == [
+        ("3-1", "2-1-1", None), ("75%", "63%", "left"), ("+4", "+4", "tie"), ("5.0", "5.5", "right"), ("4.0", "4.5", "left"), ("6.0", "6.0", "tie"),
+        ("2.0", "1.0", "right"), ("3.0", "3.5", "right"), ("+1.25", "-0.50", "left"), ("80%", "81%", "right"), ("#1", "#2", "left"), ("#2", "#1", "right"),
+    ]
