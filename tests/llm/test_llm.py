@@ -114,3 +114,34 @@ def test_quality_learns(spark):
     held = [r for r in rows if r.held_out and r.doc_id < 120]
     assert held and sum(r.predicted == int(r.doc_id < 60) for r in held) / len(held) > 0.9
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_bpe_and_licenses_keep_clashing_columns_and_take_empty_tables(spark):
+    import public_tokenizers as P
+    from fixtures import CLASHES, clashing
+
+    from pennant.llm import bpe, licenses
+
+    docs = clashing(spark, ["the cat", "the cat", None, ""])
+    out = bpe.encode(docs, P.path("byte_bpe_50k.json"), col="token_ids")
+    assert all(r[c] == v for r in out.collect() for c, v in CLASHES.items())
+    assert set(bpe.encode(docs, P.path("byte_bpe_50k.json")).columns) == set(docs.columns)
+    again = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "other"), (None, "Released under the MIT License."), (2, None), (3, "x" * 2_000_000)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.license or "", r.n_notices) for r in licenses.license_scan(again).collect())
+    assert got == [("1", "", 0), ("1", "MIT", 1), ("1", "MIT", 1), ("2", "", 0), ("3", "", 0), ("None", "MIT", 1)]
+    assert licenses.license_scan(docs.limit(0)).count() == 0 and licenses.license_scan(docs).columns == ["doc_id", "license", "n_notices", "notices"]
+
+
+def test_bpe_refuses_settings_it_does_not_follow(tmp_path):
+    import json
+
+    import public_tokenizers as P
+
+    from pennant.llm import bpe
+
+    told = json.loads(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())  # noqa: SIM115
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    told["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    with pytest.raises(ValueError, match="pre_tokenizer, added_tokens"):
+        bpe.Vocabulary(str(tmp_path / "t.json"))
