@@ -84,6 +84,7 @@ class Season:
             sa = np.maximum(1, sa + f["walks_allowed_pg"][h] * 0.28 - f["errors_pg"][a] * 0.18 + f["momentum"][a] * 0.08)
             sh = np.maximum(1, sh + f["walks_allowed_pg"][a] * 0.28 - f["errors_pg"][h] * 0.18 + f["momentum"][h] * 0.08)
             per = lambda c: f[c][a] / np.maximum(ga, 1) - f[c][h] / np.maximum(gh, 1)
+            # Fixed values, as in predict.py: weight, difference; all within 1.
             terms = [(0.3, dpg / 8), (0.25, (fd("rsg") + f["rag"][h] - f["rag"][a]) / 10), (0.15, per("walk_diff") / 5), (0.1, per("hit_diff") / 7), (0.1, per("error_diff") / 4), (0.05, fd("sos") / 8), (0.05, fd("momentum") / 7), (0.05, h2h)]
             edge = (sum(w * np.clip(v, -1, 1) for w, v in terms) - 0.04) * np.clip(0.95 + ag * 0.16, 0.95, 1.25)
             thin_weight = 0.16
@@ -96,6 +97,7 @@ class Season:
             sh = np.maximum(1, sh * (1 - tilt) + swing(h) + max(k, 0) * 0.2)
             lg_k = np.where(played > 0, (f["kpg"] * s["games"]).sum(1) / np.maximum(played, 1), 4.5)
             con = lambda i: (0 if np.isnan(f["total_k6"][i]) else (lg_k - f["total_k6"][i]) * 0.18) + f["hpg"][i] * 0.08
+            # Fixed values, as in predict.py: weight, difference, bound.
             terms = [(0.34, (sa - sh) / 8, 1.35), (0.28, d("tpi") / 7, 1.25), (0.2, (fd("rsg") + (f["rag"][h] - f["rag"][a]) * 0.7) / 9, 1.1), (0.15, d("pct") * 1.35, 1.0), (0.13, dpg / 7, 1.0), (0.1, fd("momentum") / 7, 0.85), (0.08, h2h, 1.0), (0.07, (con(a) - con(h)) / 2.5, 0.75), (0.05, fd("sos") / 8, 0.55)]
             edge = (sum(w * np.clip(v, -b, b) for w, v, b in terms) - 0.06) * np.clip((ga + gh) / 14, 0.35, 1) * np.clip(0.95 + ag * 0.18, 0.95, 1.25)
             thin_weight = 0.18

@@ -12,6 +12,29 @@ from pennant.operators.stats import SEASON, Keys, finals, league_scoring, margin
 START, K_FACTOR, MARGIN_WEIGHT, MOST = 1500.0, 22.0, 1.15, 34.0
 
 
+# Sentences, labels and formats in which results are told.
+SAID = {
+    "no_completed_results": " no completed results.",
+    "add_at_least_two_teams": "Add at least two teams before the model can compare matchups.",
+    "no_completed_scores_are_available": "No completed scores are available, so forecasts are only league-average placeholders.",
+    "add_teams_or_import_a": "Add teams or import a schedule.",
+    "enter_completed_game_scores": "Enter completed game scores.",
+    "add_scores_for_teams_with": "Add scores for teams with no completed games.",
+    "add_future_scheduled_games_to": "Add future scheduled games to generate upcoming predictions.",
+    "s_owns_the_stronger_blended": "%s owns the stronger blended power rating (%.1f vs %.1f).",
+    "has_an_adjusted_net_rating": " has an adjusted net rating edge after opponent-strength correction.",
+    "recent_form_supports_the_projected": "Recent form supports the projected winner.",
+    "head_to_head_results_are": "Head-to-head results are included but capped so one game does not dominate.",
+    "confidence_is_reduced_because_at": "Confidence is reduced because at least one team has fewer than three completed games.",
+    "projected_margin_is_tight_so": "Projected margin is tight, so winner certainty remains limited.",
+    "recent_results_are_volatile_which": "Recent results are volatile, which lowers model confidence.",
+    "small_sample_size_can_make": "Small sample size can make ratings unstable.",
+    "similar_team_ratings_create_a": "Similar team ratings create a close-game risk.",
+    "the_model_needs_completed_scores": "The model needs completed scores before it can forecast this matchup.",
+    "insufficient_completed_game_data": "Insufficient completed game data.",
+}
+
+
 def data_quality(games: DataFrame, teams: DataFrame, keys: Keys = SEASON, least_from_zero: bool = True) -> DataFrame:
     """Tier, warnings and recommended actions of each season.
 
@@ -27,9 +50,9 @@ def data_quality(games: DataFrame, teams: DataFrame, keys: Keys = SEASON, least_
     reached = lambda k: (F.col("done") >= F.col("teams") * k) & (least >= k)
     tier = F.when((F.col("teams") < 2) | (F.col("done") == 0), "Insufficient").when(reached(4), "Excellent").when(reached(3), "Strong").when(reached(1), "Developing").otherwise("Limited")
     few, none = F.col("teams") < 2, F.col("done") == 0
-    idle = F.concat(F.col("idle").cast("string"), F.lit(" team"), F.when(F.col("idle") == 1, " has").otherwise("s have"), F.lit(" no completed results."))
-    warn = F.array_compact(F.array(F.when(few, F.lit("Add at least two teams before the model can compare matchups.")), F.when(none, F.lit("No completed scores are available, so forecasts are only league-average placeholders.")), F.when(F.col("idle") > 0, idle)))
-    act = F.array_compact(F.array(F.when(few, F.lit("Add teams or import a schedule.")), F.when(none, F.lit("Enter completed game scores.")), F.when(F.col("idle") > 0, F.lit("Add scores for teams with no completed games.")), F.when(F.col("open") == 0, F.lit("Add future scheduled games to generate upcoming predictions."))))
+    idle = F.concat(F.col("idle").cast("string"), F.lit(" team"), F.when(F.col("idle") == 1, " has").otherwise("s have"), F.lit(SAID["no_completed_results"]))
+    warn = F.array_compact(F.array(F.when(few, F.lit(SAID["add_at_least_two_teams"])), F.when(none, F.lit(SAID["no_completed_scores_are_available"])), F.when(F.col("idle") > 0, idle)))
+    act = F.array_compact(F.array(F.when(few, F.lit(SAID["add_teams_or_import_a"])), F.when(none, F.lit(SAID["enter_completed_game_scores"])), F.when(F.col("idle") > 0, F.lit(SAID["add_scores_for_teams_with"])), F.when(F.col("open") == 0, F.lit(SAID["add_future_scheduled_games_to"]))))
     return out.select(*keys, "teams", "done", "open", "idle", tier.alias("tier"), warn.alias("warnings"), act.alias("actions"))
 
 
@@ -102,16 +125,16 @@ def league_predictions(games: DataFrame, power: DataFrame, h2h: DataFrame, quali
     fav = lambda c: F.when(away_wins, F.col("a_" + c)).otherwise(F.col("b_" + c))
     dog = lambda c: F.when(away_wins, F.col("b_" + c)).otherwise(F.col("a_" + c))
     factors = F.array_compact(F.array(
-        F.format_string("%s owns the stronger blended power rating (%.1f vs %.1f).", fav("name"), fav("rating"), dog("rating")),
-        F.concat(fav("name"), F.lit(" has an adjusted net rating edge after opponent-strength correction.")),
-        F.when(F.abs(fav("recent_form") - dog("recent_form")) >= 1, F.lit("Recent form supports the projected winner.")),
-        F.when(F.col("wins") + F.col("losses") + F.col("ties") > 0, F.lit("Head-to-head results are included but capped so one game does not dominate.")),
+        F.format_string(SAID["s_owns_the_stronger_blended"], fav("name"), fav("rating"), dog("rating")),
+        F.concat(fav("name"), F.lit(SAID["has_an_adjusted_net_rating"])),
+        F.when(F.abs(fav("recent_form") - dog("recent_form")) >= 1, F.lit(SAID["recent_form_supports_the_projected"])),
+        F.when(F.col("wins") + F.col("losses") + F.col("ties") > 0, F.lit(SAID["head_to_head_results_are"])),
     ))
-    risks = F.concat("warnings", F.array_compact(F.array(F.when(least < 3, F.lit("Small sample size can make ratings unstable.")), F.when(F.abs("m") < 3, F.lit("Similar team ratings create a close-game risk.")))))
+    risks = F.concat("warnings", F.array_compact(F.array(F.when(least < 3, F.lit(SAID["small_sample_size_can_make"])), F.when(F.abs("m") < 3, F.lit(SAID["similar_team_ratings_create_a"])))))
     reasons = F.array_compact(F.array(
-        F.when(least < 3, F.lit("Confidence is reduced because at least one team has fewer than three completed games.")),
-        F.when(F.abs("m") < 3, F.lit("Projected margin is tight, so winner certainty remains limited.")),
-        F.when(wild > 12, F.lit("Recent results are volatile, which lowers model confidence.")),
+        F.when(least < 3, F.lit(SAID["confidence_is_reduced_because_at"])),
+        F.when(F.abs("m") < 3, F.lit(SAID["projected_margin_is_tight_so"])),
+        F.when(wild > 12, F.lit(SAID["recent_results_are_volatile_which"])),
     ))
     expected = lambda v: F.when(ok & (F.col("avg_runs") > 0), F.greatest(F.lit(0.0), half_up(v, 1)))
     return g.select(
@@ -121,8 +144,8 @@ def league_predictions(games: DataFrame, power: DataFrame, h2h: DataFrame, quali
         F.when(ok, half_up(p, 2)).otherwise(0.5).alias("p_a"), F.when(ok, half_up(F.lit(1.0) - p, 2)).otherwise(0.5).alias("p_b"),
         expected(F.col("avg_runs") + F.col("m") / 2).alias("score_a"), expected(F.col("avg_runs") - F.col("m") / 2).alias("score_b"),
         F.when(ok, half_up(score)).otherwise(12).cast("long").alias("confidence"), F.when(ok, _tier(score)).otherwise("Low").alias("confidence_tier"),
-        F.when(ok, reasons).otherwise(F.array(F.lit("The model needs completed scores before it can forecast this matchup."))).alias("reasons"),
-        F.when(ok, factors).otherwise(F.array(F.lit("Insufficient completed game data."))).alias("key_factors"),
+        F.when(ok, reasons).otherwise(F.array(F.lit(SAID["the_model_needs_completed_scores"]))).alias("reasons"),
+        F.when(ok, factors).otherwise(F.array(F.lit(SAID["insufficient_completed_game_data"]))).alias("key_factors"),
         F.when(ok, risks).otherwise(F.col("warnings")).alias("risk_factors"), "tier",
     )
 

@@ -11,6 +11,54 @@ from pennant.operators.stats import SEASON, Keys, points, remaining, team_games
 from pennant.settings import RUN_CAP, Settings
 
 
+# Sentences, labels and formats in which results are told.
+SAID = {
+    "controls_spot": "Controls Spot",
+    "needs_help": "Needs Help",
+    "controls_path": "Controls Path",
+    "long_shot": "Long Shot",
+    "bubble_out": "Bubble Out",
+    "bubble_in": "Bubble In",
+    "likely_in": "Likely In",
+    "locked_in": "Locked In",
+    "work_to_do": "Work To Do",
+    "firmly_in": "Firmly In",
+    "low_impact": "Low Impact",
+    "bubble_game": "Bubble Game",
+    "high_impact": "High Impact",
+    "elimination_scenario": "Elimination Scenario: ",
+    "clinch_scenario": "Clinch Scenario: ",
+    "title_clinch": "Title Clinch-",
+    "have_no_remaining_games_gold": " have no remaining games; Gold Bracket status depends only on outside results.",
+    "win_projects": ": win projects #",
+    "loss_projects": "; loss projects #",
+    "so_outside_help_is_still": ", so outside help is still needed.",
+    "are_eliminated_from_gold_bracket": " are eliminated from Gold Bracket contention.",
+    "win_improves_or_protects_the": ": win improves or protects the Gold Bracket path at #",
+    "loss_still_projects": "; loss still projects #",
+    "have_already_clinched_a_gold": " have already clinched a Gold Bracket spot.",
+    "win_projects_inside_the_gold": ": win projects inside the Gold cut line at #",
+    "loss_drops_outside_the_gold": "; loss drops outside the Gold cut line at #",
+    "get_help_if": " get help if ",
+    "lose_to": " lose to ",
+    "needs_help_from_teams_above": "Needs help from teams above the line.",
+    "currently_above_the_line_but": "Currently above the line, but the projected path is fragile.",
+    "needs_wins_plus_help_from": "Needs wins plus help from teams above the line.",
+    "extra_help_is_still_needed": "; extra help is still needed.",
+    "eliminated_with": "Eliminated with ",
+    "no_games_left_gold_fate": "No games left; Gold fate depends on other finalized results.",
+    "win_protects_the_path": ": win protects the path (#",
+    "loss_still_projects_2": "); loss still projects #",
+    "eliminated_if": "Eliminated if ",
+    "beat_them_next": " beat them next.",
+    "projected_path_reaches_gold_but": "Projected path reaches Gold, but the team still needs the swing games to break their way.",
+    "win_projects_inside_gold": ": win projects inside Gold (#",
+    "loss_falls_outside": "); loss falls outside (#",
+    "controls_a_gold_spot_by": "Controls a Gold spot by protecting the current cut-line cushion.",
+    "controls_the_gold_spot_if": "Controls the Gold spot if the current pace holds.",
+}
+
+
 def own_scenarios(games: DataFrame, scenarios: DataFrame, keys: Keys = SEASON) -> DataFrame:
     """Each team's open games with its seed after a win and after a loss."""
     mine = team_games(remaining(games), keys).select(*keys, "game_id", "team_id", "opp_id", "side", "game_date", "ord")
@@ -51,7 +99,7 @@ def control_levels(board: DataFrame, wins_out: DataFrame, swings: DataFrame, set
     risk = swings.groupBy(*keys, "team_id").agg(F.max(F.col("loss_seed") > cut).alias("risk"))
     b = board.join(wins_out, [*keys, "team_id"], "left").join(risk, [*keys, "team_id"], "left")
     inside, seed = F.col("rank") <= cut, F.col("win_out_seed")
-    made = F.when(seed.isNull(), F.when(inside, "Controls Spot").otherwise("Needs Help")).when((seed <= cut) & ~inside, "Controls Path").when(seed > cut, "Needs Help").when(inside & F.coalesce("risk", F.lit(False)), "At Risk").otherwise("Controls Spot")
+    made = F.when(seed.isNull(), F.when(inside, SAID["controls_spot"]).otherwise(SAID["needs_help"])).when((seed <= cut) & ~inside, SAID["controls_path"]).when(seed > cut, SAID["needs_help"]).when(inside & F.coalesce("risk", F.lit(False)), "At Risk").otherwise(SAID["controls_spot"])
     return b.select(*keys, "team_id", F.when(F.col("gold_status").isin("Clinched", "Eliminated"), F.col("gold_status")).otherwise(made).alias("control"))
 
 
@@ -62,10 +110,10 @@ def bubble_tiers(board: DataFrame, settings: Settings = Settings(), keys: Keys =
     at_cut = F.max(F.when(F.col("rank") == F.least(F.lit(cut), F.col("_n")), F.col("points"))).over(every)
     b = board.withColumn("_n", F.count("*").over(every)).withColumn("_cut", at_cut)
     tier = (
-        F.when(F.col("gold_status") == "Clinched", "Locked In").when(F.col("gold_status") == "Eliminated", "Eliminated")
-        .when((F.col("rank") <= cut - 2) & (F.col("projected_rank") <= cut) & (F.col("gold_pct") >= 80), "Likely In")
-        .when((F.col("rank") <= cut) | (F.col("projected_rank") <= cut), "Bubble In")
-        .when((F.col("gold_pct") >= 20) | (F.col("projected_rank") <= cut + 2) | (F.col("max_points") >= F.col("_cut")), "Bubble Out").otherwise("Long Shot")
+        F.when(F.col("gold_status") == "Clinched", SAID["locked_in"]).when(F.col("gold_status") == "Eliminated", "Eliminated")
+        .when((F.col("rank") <= cut - 2) & (F.col("projected_rank") <= cut) & (F.col("gold_pct") >= 80), SAID["likely_in"])
+        .when((F.col("rank") <= cut) | (F.col("projected_rank") <= cut), SAID["bubble_in"])
+        .when((F.col("gold_pct") >= 20) | (F.col("projected_rank") <= cut + 2) | (F.col("max_points") >= F.col("_cut")), SAID["bubble_out"]).otherwise(SAID["long_shot"])
     )
     return b.select(*keys, "team_id", "rank", "projected_rank", tier.alias("tier"))
 
@@ -88,9 +136,9 @@ def status_labels(board: DataFrame, settings: Settings = Settings(), keys: Keys
     exposed = threats > F.greatest(F.lit(0), F.lit(cut) - F.col("rank"))
     label = (
         F.when(F.col("gold_status").isin("Clinched", "Eliminated"), F.col("gold_status"))
-        .when((F.col("rank") <= cut - 2) & (F.col("projected_rank") <= cut) & (F.col("gold_pct") >= 90) & ~exposed, "Firmly In").when(F.col("rank") <= cut, "In")
+        .when((F.col("rank") <= cut - 2) & (F.col("projected_rank") <= cut) & (F.col("gold_pct") >= 90) & ~exposed, SAID["firmly_in"]).when(F.col("rank") <= cut, "In")
         .when((F.col("projected_rank") <= cut) & (F.col("gold_pct") >= 15), "Alive").when((F.col("gold_pct") >= 25) & (F.col("rank") - cut <= 3), "Alive")
-        .when((F.col("projected_rank") <= cut + 1) & (F.col("gold_pct") >= 12), "Alive").otherwise("Work To Do")
+        .when((F.col("projected_rank") <= cut + 1) & (F.col("gold_pct") >= 12), "Alive").otherwise(SAID["work_to_do"])
     )
     return b.select(*keys, "team_id", label.alias("label"))
 
@@ -177,9 +225,9 @@ def game_badges(games: DataFrame, one_result: DataFrame, board: DataFrame, impac
     b = s.groupBy(*keys, "game_id").agg(F.min(title).alias("t"), F.array_join(F.array_sort(F.collect_set(clinch)), ", ").alias("c"), F.array_join(F.array_sort(F.collect_set(gone)), ", ").alias("e"), near.alias("near"))
     b = b.join(impacts.select(*keys, "game_id", "seed_impact"), [*keys, "game_id"], "left")
     status = (
-        F.when(F.col("t").isNotNull(), F.concat(F.lit("Title Clinch-"), F.col("t.n"))).when(F.col("c") != "", F.concat(F.lit("Clinch Scenario: "), "c"))
-        .when(F.col("e") != "", F.concat(F.lit("Elimination Scenario: "), "e")).when(F.col("seed_impact") >= 2, "High Impact")
-        .when(F.col("near") | (F.col("seed_impact") >= 1), "Bubble Game").otherwise("Low Impact")
+        F.when(F.col("t").isNotNull(), F.concat(F.lit(SAID["title_clinch"]), F.col("t.n"))).when(F.col("c") != "", F.concat(F.lit(SAID["clinch_scenario"]), "c"))
+        .when(F.col("e") != "", F.concat(F.lit(SAID["elimination_scenario"]), "e")).when(F.col("seed_impact") >= 2, SAID["high_impact"])
+        .when(F.col("near") | (F.col("seed_impact") >= 1), SAID["bubble_game"]).otherwise(SAID["low_impact"])
     )
     return b.select(*keys, "game_id", status.alias("status"))
 
@@ -197,15 +245,15 @@ def clinch_scenarios(board: DataFrame, swings: DataFrame, settings: Settings = S
     opp = F.concat(F.when(F.col("side") == "away", "at ").otherwise("vs "), F.coalesce("opp_name", "opp_id"))
     inside, falls = F.col("win_seed") <= cut, F.col("loss_seed") > cut
     line = (
-        F.when(inside & falls, F.concat(opp, F.lit(": win projects inside the Gold cut line at #"), w, F.lit("; loss drops outside the Gold cut line at #"), x, F.lit(".")))
-        .when(inside, F.concat(opp, F.lit(": win improves or protects the Gold Bracket path at #"), w, F.lit("; loss still projects #"), x, F.lit(".")))
-        .when(falls, F.concat(opp, F.lit(": win projects #"), w, F.lit("; loss projects #"), x, F.lit(", so outside help is still needed.")))
-        .otherwise(F.concat(opp, F.lit(": win projects #"), w, F.lit("; loss projects #"), x, F.lit(".")))
+        F.when(inside & falls, F.concat(opp, F.lit(SAID["win_projects_inside_the_gold"]), w, F.lit(SAID["loss_drops_outside_the_gold"]), x, F.lit(".")))
+        .when(inside, F.concat(opp, F.lit(SAID["win_improves_or_protects_the"]), w, F.lit(SAID["loss_still_projects"]), x, F.lit(".")))
+        .when(falls, F.concat(opp, F.lit(SAID["win_projects"]), w, F.lit(SAID["loss_projects"]), x, F.lit(SAID["so_outside_help_is_still"])))
+        .otherwise(F.concat(opp, F.lit(SAID["win_projects"]), w, F.lit(SAID["loss_projects"]), x, F.lit(".")))
     )
     b = board.join(_swing_lines(swings, board, line, keys), [*keys, "team_id"], "left")
     shown = display_name(F.col("name"))
     one = lambda t: F.array(F.concat(shown, F.lit(t)))
-    lines = F.when(F.col("gold_status") == "Clinched", one(" have already clinched a Gold Bracket spot.")).when(F.col("gold_status") == "Eliminated", one(" are eliminated from Gold Bracket contention.")).when(F.col("n_swings") > 0, F.col("lines")).otherwise(one(" have no remaining games; Gold Bracket status depends only on outside results."))
+    lines = F.when(F.col("gold_status") == "Clinched", one(SAID["have_already_clinched_a_gold"])).when(F.col("gold_status") == "Eliminated", one(SAID["are_eliminated_from_gold_bracket"])).when(F.col("n_swings") > 0, F.col("lines")).otherwise(one(SAID["have_no_remaining_games_gold"]))
     return b.select(*keys, "team_id", F.array_join(lines, " | ").alias("lines"))
 
 
@@ -221,8 +269,8 @@ def first_help(games: DataFrame, board: DataFrame, settings: Settings = Settings
     out = board.select(*keys, "team_id").join(pick, [*keys, "team_id"], "left").select(*keys, "team_id", "p.rival_id", "p.rival_opp")
     for c in ("team_id", "rival_id", "rival_opp"):
         out = out.join(names.select(*keys, F.col("team_id").alias(c), F.col("shown").alias(f"n_{c}")), [*keys, c], "left")
-    text = F.concat("n_team_id", F.lit(" get help if "), "n_rival_id", F.lit(" lose to "), "n_rival_opp", F.lit("."))
-    return out.select(*keys, "team_id", F.coalesce(text, F.lit("Needs help from teams above the line.")).alias("help"))
+    text = F.concat("n_team_id", F.lit(SAID["get_help_if"]), "n_rival_id", F.lit(SAID["lose_to"]), "n_rival_opp", F.lit("."))
+    return out.select(*keys, "team_id", F.coalesce(text, F.lit(SAID["needs_help_from_teams_above"])).alias("help"))
 
 
 def clinching_paths(games: DataFrame, board: DataFrame, exact: DataFrame, swings: DataFrame, settings: Settings = Settings(), limit: int = 8, keys: Keys = SEASON) -> DataFrame:
@@ -234,9 +282,9 @@ def clinching_paths(games: DataFrame, board: DataFrame, exact: DataFrame, swings
     s = swings.join(board.select(*keys, "team_id", near.alias("dist"), (F.col("rank") <= cut).alias("inside")), [*keys, "team_id"])
     inside_win, falls = F.col("win_seed") <= cut, F.col("loss_seed") > cut
     line = (
-        F.when(inside_win & falls, F.concat(opp, F.lit(": win projects inside Gold (#"), w, F.lit("); loss falls outside (#"), x, F.lit(").")))
-        .when(inside_win & ~falls & (F.col("dist") <= 2), F.concat(opp, F.lit(": win protects the path (#"), w, F.lit("); loss still projects #"), x, F.lit(".")))
-        .when(~inside_win & ~F.col("inside") & (F.col("dist") <= 3), F.concat(opp, F.lit(": win projects #"), w, F.lit("; extra help is still needed.")))
+        F.when(inside_win & falls, F.concat(opp, F.lit(SAID["win_projects_inside_gold"]), w, F.lit(SAID["loss_falls_outside"]), x, F.lit(").")))
+        .when(inside_win & ~falls & (F.col("dist") <= 2), F.concat(opp, F.lit(SAID["win_protects_the_path"]), w, F.lit(SAID["loss_still_projects_2"]), x, F.lit(".")))
+        .when(~inside_win & ~F.col("inside") & (F.col("dist") <= 3), F.concat(opp, F.lit(SAID["win_projects"]), w, F.lit(SAID["extra_help_is_still_needed"])))
     )
     b = board.join(exact, [*keys, "team_id"], "left").join(_swing_lines(s, board, line, keys), [*keys, "team_id"], "left").join(first_help(games, board, settings, keys), [*keys, "team_id"])
     nxt = schedule.next_games(games, 1, keys).join(board.select(*keys, F.col("team_id").alias("opp_id"), display_name(F.col("name")).alias("next_opp")), [*keys, "opp_id"], "left")
@@ -244,14 +292,14 @@ def clinching_paths(games: DataFrame, board: DataFrame, exact: DataFrame, swings
     done, inside, planned = F.col("magic").isNotNull(), F.col("rank") <= cut, F.col("projected_rank") <= cut
     status = F.when(F.col("gold_status").isin("Clinched", "Eliminated"), F.col("gold_status")).when(F.col("losses_to_out") == 0, "Eliminated").when(F.col("magic") == "clinched", "Clinched").otherwise(F.col("gold_status"))
     main = (
-        F.when(done & inside & planned, F.lit("Controls the Gold spot if the current pace holds.")).when(done & ~inside, F.col("help")).when(done, F.lit(None))
-        .when(inside & planned, F.lit("Controls a Gold spot by protecting the current cut-line cushion.")).when(~inside & planned, F.lit("Projected path reaches Gold, but the team still needs the swing games to break their way."))
-        .when(~inside, F.col("help")).otherwise(F.lit("Currently above the line, but the projected path is fragile."))
+        F.when(done & inside & planned, F.lit(SAID["controls_the_gold_spot_if"])).when(done & ~inside, F.col("help")).when(done, F.lit(None))
+        .when(inside & planned, F.lit(SAID["controls_a_gold_spot_by"])).when(~inside & planned, F.lit(SAID["projected_path_reaches_gold_but"]))
+        .when(~inside, F.col("help")).otherwise(F.lit(SAID["currently_above_the_line_but"]))
     )
     n = F.col("losses_to_out")
-    out = F.when((n == 1) & F.col("next_opp").isNotNull(), F.concat(F.lit("Eliminated if "), "next_opp", F.lit(" beat them next."))).when(n > 0, F.concat(F.lit("Eliminated with "), n.cast("string"), F.when(n == 1, F.lit(" loss.")).otherwise(F.lit(" losses."))))
+    out = F.when((n == 1) & F.col("next_opp").isNotNull(), F.concat(F.lit(SAID["eliminated_if"]), "next_opp", F.lit(SAID["beat_them_next"]))).when(n > 0, F.concat(F.lit(SAID["eliminated_with"]), n.cast("string"), F.when(n == 1, F.lit(" loss.")).otherwise(F.lit(" losses."))))
     notes = F.array_distinct(F.concat(F.array_compact(F.array(main, out)), F.coalesce("lines", F.array().cast("array<string>"))))
-    none = F.when(F.coalesce("n_swings", F.lit(0)) == 0, F.lit("No games left; Gold fate depends on other finalized results.")).otherwise(F.lit("Needs wins plus help from teams above the line."))
+    none = F.when(F.coalesce("n_swings", F.lit(0)) == 0, F.lit(SAID["no_games_left_gold_fate"])).otherwise(F.lit(SAID["needs_wins_plus_help_from"]))
     pct = half_up(F.col("gold_pct"))
     off = F.abs(F.lit(50) - pct)
     b = b.withColumns({"status": status, "dist": near, "notes": F.slice(F.when(F.size(notes) == 0, F.array(none)).otherwise(notes), 1, 3)})

@@ -28,6 +28,11 @@ def _paths(sf_dir: str, *names: str) -> list[str]:
     return [f"{sf_dir}/{n}.parquet" for n in names]
 
 
+def sources(sf_dir: str) -> list[str]:
+    """The tables that the league is derived from."""
+    return _paths(sf_dir, "nation", "customer", "orders", "lineitem")
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """season, team_id, name, ord: every nation in every season."""
     return derived(spark, _paths(sf_dir, "nation", "orders"), "teams", lambda: _teams(spark, sf_dir))

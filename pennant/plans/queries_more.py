@@ -12,7 +12,7 @@ from pennant.plans.oracle import sql
 from pennant.plans.queries_core import ranked_of, stats_of, status_of, tidy
 from pennant.plans.queries_models import _BACKTEST_J, _JOINED, _open, _power, prediction_sql, state_sql
 from pennant.plans.queries_rows import _next, _raw_logs
-from pennant.plans.tables import shared_dir
+from pennant.plans.tables import derived, shared_dir
 from pennant.settings import Settings, coerce_settings
 from pennant.sources import schedule_csv, share, storage
 
@@ -210,6 +210,10 @@ onerank AS (SELECT *, row_number() OVER (PARTITION BY season, game_id, winner_id
 
 
 def _one_result_ranks(s: SparkSession, d: str) -> DataFrame:
+    return derived(s, league.sources(d), "one_result_ranks", lambda: _ranks_after_one(s, d))
+
+
+def _ranks_after_one(s: SparkSession, d: str) -> DataFrame:
     g, t = league.games(s, d), stats_of(s, d)
     return race.one_result_status(g, t, stats.head_to_head(g), stats.remaining_counts(g, t), _open(s, d))
 
@@ -451,3 +455,190 @@ def _winner_labels(s: SparkSession) -> DataFrame:
     from pennant.operators import bracket
 
     return bracket.winner_label(_values(s, [(x,) for x in ("actual", "bye", "projected", "none", None)], "winner_source string"))
+
+
+# --- the race without simulation: a board of records, scenarios of one result more -----------------
+
+
+def _board(s: SparkSession, d: str) -> DataFrame:
+    """A board whose chance is the winning percentage and whose projected seed is the order by run difference."""
+    from pyspark.sql import Window
+
+    by_runs = Window.partitionBy("season").orderBy(F.col("run_diff").desc(), "team_id")
+    return status_of(s, d).withColumns({"gold_pct": F.floor(F.col("pct") * 100).cast("double"), "projected_rank": F.row_number().over(by_runs).cast("long")})
+
+
+def _scenarios(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The seeds that one result more gives, as each team's own scenarios, and the seeds as they are."""
+    seeds = _one_result_ranks(s, d).select("season", "game_id", "winner_id", "team_id", F.col("rank").alias("seed"))
+    return race.own_scenarios(league.games(s, d), seeds), ranked_of(s, d).select("season", "team_id", F.col("rank").alias("projected_rank"))
+
+
+_BOARD = "board AS (SELECT *, floor(pct * 100)::DOUBLE AS gold_pct, row_number() OVER (PARTITION BY season ORDER BY run_diff DESC, team_id) AS projected_rank FROM status)"
+_TIERS = f"""{_BOARD}, at_cut AS (SELECT season, max(points) FILTER (WHERE rank = 7) AS cut FROM status GROUP BY season),
+tiers AS (SELECT season, team_id, rank, projected_rank, CASE WHEN gold_status = 'Clinched' THEN 'Locked In' WHEN gold_status = 'Eliminated' THEN 'Eliminated' WHEN rank <= 5 AND projected_rank <= 7 AND gold_pct >= 80 THEN 'Likely In' WHEN rank <= 7 OR projected_rank <= 7 THEN 'Bubble In' WHEN gold_pct >= 20 OR projected_rank <= 9 OR max_points >= cut THEN 'Bubble Out' ELSE 'Long Shot' END AS tier FROM board JOIN at_cut USING (season))"""
+_LABELS = """SELECT season, team_id, CASE WHEN gold_status IN ('Clinched', 'Eliminated') THEN gold_status WHEN rank <= 5 AND projected_rank <= 7 AND gold_pct >= 90 AND NOT exposed THEN 'Firmly In' WHEN rank <= 7 THEN 'In' WHEN projected_rank <= 7 AND gold_pct >= 15 THEN 'Alive' WHEN gold_pct >= 25 AND rank - 7 <= 3 THEN 'Alive' WHEN projected_rank <= 8 AND gold_pct >= 12 THEN 'Alive' ELSE 'Work To Do' END AS label
+FROM (SELECT b.*, (SELECT count(*) FROM board c WHERE c.season = b.season AND c.rank > 7 AND c.max_points >= b.points) > greatest(0, 7 - b.rank) AS exposed FROM board b)"""
+_IMPORTANT = f"""{_BOARD}, near AS (SELECT season, team_id, greatest(0.0::DOUBLE, 8.0::DOUBLE - abs(rank - 7)) + greatest(0.0::DOUBLE, 50.0::DOUBLE - abs(gold_pct - 50)) / 10 + greatest(0.0::DOUBLE, 5.0::DOUBLE - abs(projected_rank - 7)) AS v FROM board),
+imp AS (SELECT g.season, g.game_id, g.ord, g.away_id, g.home_id, a.v + h.v AS importance FROM games g JOIN near a ON a.season = g.season AND a.team_id = g.away_id JOIN near h ON h.season = g.season AND h.team_id = g.home_id WHERE NOT is_final)"""
+_OWN = f"""{_JOINED}, {_ONE}, {_ONE_RANKED},
+own AS (SELECT g.season, g.game_id, g.team_id, g.opp_id, g.side, g.game_date, g.ord, max(o.rank) FILTER (WHERE o.winner_id = g.team_id) AS win_seed, max(o.rank) FILTER (WHERE o.winner_id <> g.team_id) AS loss_seed
+  FROM all_tg g JOIN onerank o ON o.season = g.season AND o.game_id = g.game_id AND o.team_id = g.team_id WHERE NOT g.is_final GROUP BY ALL),
+swing AS (SELECT season, team_id, row_number() OVER (PARTITION BY season, team_id ORDER BY game_date, ord) AS nth, game_id, opp_id, side, win_seed, loss_seed FROM own QUALIFY nth <= 2)"""
+_SWING_LINE = "CASE WHEN side = 'away' THEN 'at ' ELSE 'vs ' END || o.name || CASE WHEN win_seed <= 7 AND loss_seed > 7 THEN ': win projects inside the Gold cut line at #' || win_seed || '; loss drops outside the Gold cut line at #' || loss_seed || '.' WHEN win_seed <= 7 THEN ': win improves or protects the Gold Bracket path at #' || win_seed || '; loss still projects #' || loss_seed || '.' WHEN loss_seed > 7 THEN ': win projects #' || win_seed || '; loss projects #' || loss_seed || ', so outside help is still needed.' ELSE ': win projects #' || win_seed || '; loss projects #' || loss_seed || '.' END"
+
+
+def _swings(s: SparkSession, d: str) -> DataFrame:
+    own, seeds = _scenarios(s, d)
+    return race.swing_games(own, seeds, _open(s, d))
+
+
+def _standings_text(s: SparkSession, d: str) -> DataFrame:
+    from pennant.operators import changes
+
+    return changes.standings_text(_board(s, d), Settings(), F.lit("2026-05-10").cast("date"))
+
+
+def _now_snapshot(s: SparkSession, d: str) -> DataFrame:
+    from pennant.operators import changes
+
+    board = _board(s, d).withColumns({"projected_w": F.col("w"), "projected_t": F.col("t"), "projected_run_diff": F.col("run_diff")})
+    return changes.snapshot(board, league.games(s, d))
+
+
+def _regular_forecasts(s: SparkSession, d: str) -> DataFrame:
+    from pennant.operators import changes
+
+    return changes.forecasts(league.games(s, d), _open(s, d))
+
+
+def _snapshot_diff(s: SparkSession, d: str) -> DataFrame:
+    """The board's snapshot with the latest window open against the one of now."""
+    from pennant.operators import changes
+
+    before_games, _ = changes.before_window(league.games(s, d))
+    boards = [b.withColumns({"gold_pct": F.floor(F.col("pct") * 100).cast("double"), "projected_w": F.col("w"), "projected_t": F.col("t"), "projected_rank": F.col("rank"), "projected_run_diff": F.col("run_diff")}) for b in _with_window_open(s, d)]
+    return changes.diff(changes.snapshot(boards[0], before_games), changes.snapshot(boards[1], league.games(s, d)))
+
+
+def _diff_sql(body: str) -> str:
+    from pennant.plans.oracle import LEAGUE
+
+    more = """cnt AS (SELECT season, count(*) FILTER (WHERE is_final) AS finals FROM games GROUP BY season),
+bd AS (SELECT s.*, floor(pct * 100)::DOUBLE AS odds, finals FROM status s JOIN cnt USING (season)),
+pr AS (SELECT split_part(a.season, '#', 1) AS season, a.team_id, a.rank <> b.rank AS d_rank, a.odds <> b.odds AS d_odds, a.points <> b.points AS d_points, (a.run_diff, a.rs, a.ra) <> (b.run_diff, b.rs, b.ra) AS d_tied, a.finals <> b.finals AS d_finals, a.rank - b.rank AS rank_by, a.odds - b.odds AS odds_by, a.points - b.points AS points_by
+  FROM bd a JOIN bd b ON split_part(a.season, '#', 1) = split_part(b.season, '#', 1) AND a.team_id = b.team_id AND a.season LIKE '%#1' AND b.season LIKE '%#0')"""
+    return sql("status", body, more=more).replace(LEAGUE, _TWO(LEAGUE))
+
+
+#: Projected points are those of the standings here, so both change together.
+_DIFFS = """SELECT season, team_id, CASE WHEN d_rank OR d_odds OR d_points OR d_tied OR d_finals THEN 'changed' ELSE 'unchanged' END AS status,
+  d_rank::BIGINT + d_odds::BIGINT + 2 * d_points::BIGINT + d_tied::BIGINT + d_finals::BIGINT AS n_changes,
+  concat_ws(',', CASE WHEN d_rank AND d_tied THEN 'tiebreak-change' WHEN d_rank THEN 'projection-change' END, CASE WHEN d_odds THEN 'odds-change' END, CASE WHEN d_points AND NOT (d_rank AND NOT d_tied) THEN 'projection-change' END,
+    CASE WHEN d_points THEN 'result-change' END, CASE WHEN d_tied AND NOT d_rank THEN 'tiebreak-change' END, CASE WHEN d_finals AND NOT d_points THEN 'result-change' END) AS reasons FROM pr"""
+
+MORE |= {
+    "f30_record_tiers": (lambda s, d: race.bubble_tiers(_board(s, d)), sql("status", "SELECT season, team_id, rank, projected_rank, tier FROM tiers", more=_TIERS)),
+    "f31_record_labels": (lambda s, d: race.status_labels(_board(s, d)), sql("status", _LABELS, more=_BOARD)),
+    "o9_record_movement": (lambda s, d: race.bubble_movement(race.bubble_tiers(_board(s, d))), sql("status", "SELECT season, team_id, rank, projected_rank, tier, row_number() OVER (PARTITION BY season ORDER BY CASE WHEN (rank <= 7) <> (projected_rank <= 7) THEN 0 ELSE 1 END, abs(rank - 7), rank) AS place FROM tiers WHERE rank BETWEEN 6 AND 10 OR (rank <= 7) <> (projected_rank <= 7)", more=_TIERS)),
+    "o3_record_importance": (lambda s, d: tidy(race.importance(league.games(s, d), _board(s, d))), sql("status", "SELECT season, game_id, importance FROM imp", "importance", more=_IMPORTANT)),
+    "o2_record_top_games": (lambda s, d: tidy((g := league.games(s, d)) and race.top_games(g, race.importance(g, _board(s, d)))), sql("status", "SELECT season, row_number() OVER (PARTITION BY season ORDER BY round(importance, 9) DESC, ord) AS place, game_id, away_id, home_id, importance FROM imp QUALIFY place <= 5", "importance", more=_IMPORTANT)),
+    "fil8_record_band": (lambda s, d: standings.cut_band(_board(s, d), 7).select("season", "team_id", "projected_rank"), sql("status", "SELECT season, team_id, projected_rank FROM board WHERE projected_rank BETWEEN 5 AND 10", more=_BOARD)),
+    "f42_record_texts": (
+        lambda s, d: _standings_text(s, d),
+        sql("status", "SELECT season, 'Current Season Standings — 5/10' || chr(10) || 'Top 7 make the Gold Bracket.' || chr(10) || chr(10) || string_agg(CASE WHEN rank <= 7 THEN '★' ELSE ' ' END || ' #' || rank || ' ' || name || ' — ' || w || '-' || l || CASE WHEN t > 0 THEN '-' || t ELSE '' END || ' (' || CAST(gold_pct AS BIGINT) || '% Gold)', chr(10) ORDER BY rank) AS text FROM board GROUP BY season", more=_BOARD),
+    ),
+    "ch2_record_diffs": (lambda s, d: _snapshot_diff(s, d).select("season", "team_id", "status", F.size("changes").cast("long").alias("n_changes"), F.array_join("reasons", ",").alias("reasons")), _diff_sql(_DIFFS)),
+    "ch1_record_snapshot": (
+        lambda s, d: tidy(_now_snapshot(s, d).drop("settings")),
+        sql("status", "SELECT season, team_id, projected_rank AS rank, gold_pct AS gold_odds, w * 1.0::DOUBLE + t * 0.5::DOUBLE AS projected_points, points AS standings_points, run_diff, rs, ra, n AS matchup_count, n AS log_count, f AS finalized_count FROM board JOIN (SELECT season, count(*) AS n, count(*) FILTER (WHERE is_final) AS f FROM games GROUP BY season) USING (season)", "gold_odds, projected_points, standings_points", more=_BOARD),
+    ),
+    "o7_regular_forecasts": (
+        lambda s, d: tidy(_regular_forecasts(s, d)),
+        sql("ranked", f"SELECT season, game_id, game_date, winner_id, winner_pct, 'Regular Season' AS source, row_number() OVER (PARTITION BY season ORDER BY game_date, game_id) AS place FROM (SELECT p.season, p.game_id, g.game_date, p.winner_id, greatest(away_pct, 1 - away_pct) AS winner_pct FROM ({prediction_sql(False, 1.0)}) p JOIN games g USING (season, game_id))", "winner_pct", more=_JOINED),
+    ),
+    "mc9_one_result_ranges": (lambda s, d: race.seed_ranges(*_scenarios(s, d)), sql("ranked", "SELECT r.season, r.team_id, least(r.rank, min(least(win_seed, loss_seed))) AS best, greatest(r.rank, max(greatest(win_seed, loss_seed))) AS worst, r.rank AS baseline FROM ranked r LEFT JOIN own USING (season, team_id) GROUP BY r.season, r.team_id, r.rank", more=_OWN)),
+    "mc10_one_result_swings": (lambda s, d: _swings(s, d).select("season", "team_id", "nth", "game_id", "opp_id", "side", "win_seed", "loss_seed"), sql("ranked", "SELECT season, team_id, nth, game_id, opp_id, side, win_seed, loss_seed FROM swing", more=_OWN)),
+    "mc11_one_result_impacts": (
+        lambda s, d: race.game_impacts(_scenarios(s, d)[0], _open(s, d)).select("season", "game_id", "away_seed_win", "away_seed_loss", "home_seed_win", "home_seed_loss", "seed_impact", "impact_label"),
+        sql("ranked", "SELECT season, game_id, aw AS away_seed_win, al AS away_seed_loss, hw AS home_seed_win, hl AS home_seed_loss, greatest(abs(al - aw), abs(hl - hw)) AS seed_impact, CASE WHEN greatest(abs(al - aw), abs(hl - hw)) >= 3 THEN 'High' WHEN greatest(abs(al - aw), abs(hl - hw)) >= 1 THEN 'Medium' ELSE 'Low' END AS impact_label FROM (SELECT season, game_id, " + ", ".join(f"max({r}_seed) FILTER (WHERE side = '{sd}') AS {sd[0]}{r[0]}" for sd in ("away", "home") for r in ("win", "loss")) + " FROM own GROUP BY season, game_id)", more=_OWN),
+    ),
+    "mc16_one_result_lines": (
+        lambda s, d: race.clinch_scenarios(_board(s, d), _swings(s, d)),
+        sql("status", f"SELECT b.season, b.team_id, CASE WHEN b.gold_status = 'Clinched' THEN b.name || ' have already clinched a Gold Bracket spot.' WHEN b.gold_status = 'Eliminated' THEN b.name || ' are eliminated from Gold Bracket contention.' ELSE coalesce(lines, b.name || ' have no remaining games; Gold Bracket status depends only on outside results.') END AS lines FROM status b LEFT JOIN (SELECT s.season, s.team_id, string_agg({_SWING_LINE}, ' | ' ORDER BY nth) AS lines FROM swing s JOIN teams o ON o.season = s.season AND o.team_id = s.opp_id GROUP BY 1, 2) x USING (season, team_id)", more=_OWN),
+    ),
+}
+
+
+# --- operators that others contain, each by itself --------------------------------------------------
+
+
+def _two_snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Snapshots of which one lacks N03 and the other N07."""
+    from pennant.operators import changes
+
+    now = _now_snapshot(s, d)
+    return changes.diff(now.where("team_id <> 'N03'"), now.where("team_id <> 'N07'"))
+
+
+def _legacy(s: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(s)
+    storage.save(league.teams(s, d).select("season", "team_id", "name", "ord"), f"{path}/former")
+    return storage.load(s, f"{path}/now", storage.TEAMS, f"{path}/former")
+
+
+def _bad_files(s: SparkSession) -> DataFrame:
+    """What is said of files without rows, without a required column, and of one with a byte order mark."""
+    said = []
+    for lines in ((), ("Game ID,Date,Away Team,Home Team",), ("Game ID,Date,Away Team", "g,5/1,A"), ("﻿Game ID, DATE,away team,Home  Team", "g,5/1,A,B")):
+        path = shared_dir(s)
+        s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+        try:
+            said.append((len(said), str(schedule_csv.read_rows(s, path).first().home)))
+        except ValueError as e:
+            said.append((len(said), str(e)))
+    return _values(s, said, "i long, said string")
+
+
+_OPP = "SELECT g.season, g.game_id, g.team_id, o.games AS opp_games, o.run_diff AS opp_diff FROM tg g JOIN totals o ON g.season = o.season AND g.opp_id = o.team_id"
+
+
+def _opponents(s: SparkSession, d: str) -> DataFrame:
+    g = league.games(s, d)
+    o = stats.team_totals(g, league.teams(s, d)).select("season", F.col("team_id").alias("opp_id"), F.col("games").alias("opp_games"), F.col("run_diff").alias("opp_diff"))
+    return stats.team_games(stats.finals(g)).join(o, ["season", "opp_id"]).select("season", "game_id", "team_id", "opp_games", "opp_diff")
+
+
+MORE |= {
+    "p1_derived_columns": (lambda s, d: tidy(stats.rates(stats.team_totals(league.games(s, d), league.teams(s, d))).withColumn("net", F.col("rsg") - F.col("rag")).select("season", "team_id", "net")), sql("rates", "SELECT season, team_id, rsg - rag AS net FROM rates", "net")),
+    "p3_public_columns": (lambda s, d: ranked_of(s, d).drop("base_tpi", "league_k6", "away_ks", "home_ks", "away_inns", "home_inns", "sos", "momentum", "machine_difficulty").select("season", "team_id", "rank", "w", "l", "t"), sql("ranked", "SELECT season, team_id, rank, w, l, t FROM ranked")),
+    "j3_opponents": (_opponents, sql("totals", _OPP)),
+    "j5_known_games": (lambda s, d: league.games(s, d).join(league.teams(s, d).where("ord % 3 <> 0").select("season", F.col("team_id").alias("away_id")), ["season", "away_id"], "left_semi").select("season", "game_id"), sql("games", "SELECT season, game_id FROM games g WHERE away_id IN (SELECT team_id FROM teams t WHERE t.season = g.season AND ord % 3 <> 0)")),
+    "j6_orphans": (lambda s, d: validate.added_removed(league.teams(s, d).where("ord <> 4"), league.teams(s, d).where("ord <> 9"), "team_id"), sql("games", "SELECT season, team_id, CASE WHEN ord = 9 THEN 'added' ELSE 'removed' END AS change FROM teams WHERE ord IN (4, 9)")),
+    "j7_snapshot_union": (lambda s, d: _two_snapshots(s, d).select("season", "team_id", "status"), sql("games", "SELECT season, team_id, CASE team_id WHEN 'N03' THEN 'added' WHEN 'N07' THEN 'removed' ELSE 'unchanged' END AS status FROM teams")),
+    "f35_equal_snapshots": (lambda s, d: _two_snapshots(s, d).groupBy("season", "status").agg(F.count("*").alias("n"), F.sum(F.size("changes")).cast("long").alias("changes")), sql("games", "SELECT season, status, n, n * CASE WHEN status = 'unchanged' THEN 0 ELSE 1 END AS changes FROM (SELECT season, CASE team_id WHEN 'N03' THEN 'added' WHEN 'N07' THEN 'removed' ELSE 'unchanged' END AS status, count(*) AS n FROM teams GROUP BY 1, 2)")),
+    "u2_all_ids": (lambda s, d: _two_snapshots(s, d).select("season", "team_id"), sql("games", "SELECT season, team_id FROM teams")),
+    "j8_rivals": (lambda s, d: status_of(s, d).select("season", "team_id", "blockers_ahead", "catchers"), sql("status", "SELECT season, team_id, blockers_ahead, catchers FROM status")),
+    "j9_pairs": (lambda s, d: schedule.round_robin(league.teams(s, d)).groupBy("season", "away_id").agg(F.count("*").alias("n")), sql("games", "SELECT a.season, a.team_id AS away_id, count(*) AS n FROM teams a JOIN teams h ON a.season = h.season AND a.ord < h.ord GROUP BY 1, 2")),
+    "rec4_removed_finals": (lambda s, d: (n := _next(s, d)) and validate.changed_finals(n[0], n[1]).where("change = 'removed'").select("season", "game_id"), sql("games", "SELECT season, game_id FROM games WHERE is_final AND ord % 9 = 0")),
+    "u3_shared_opponents": (lambda s, d: stats.common_opponents(league.games(s, d)).groupBy("season").agg(F.sum("n_common").alias("n")), sql("tg", "SELECT p.season, CAST(count(b.opp_id) AS BIGINT) AS n FROM (SELECT * FROM met WHERE team_id < opp_id) p LEFT JOIN met a ON a.season = p.season AND a.team_id = p.team_id LEFT JOIN met b ON b.season = p.season AND b.team_id = p.opp_id AND b.opp_id = a.opp_id GROUP BY p.season", more="met AS (SELECT DISTINCT season, team_id, opp_id FROM tg)")),
+    "u4_removed_games": (lambda s, d: (n := _next(s, d)) and validate.added_removed(n[0], n[1], "game_id").where("change = 'removed'").select("season", "game_id"), sql("games", "SELECT season, game_id FROM games WHERE ord % 9 = 0")),
+    "f43_finished_seasons": (lambda s, d: stats.counts(league.games(s, d)).select("season", "finalized", fn.date_label(F.col("latest_final")).alias("latest")), sql("games", "SELECT season, count(*) FILTER (WHERE is_final) = count(*) AS finalized, coalesce(strftime(max(game_date) FILTER (WHERE is_final), '%-m/%-d'), 'No Date') AS latest FROM games GROUP BY season")),
+    "pm7_aggression": (lambda s, d: _values(s, [(m, Settings(model_aggression=m).aggression) for m in ("Conservative", "Balanced", "Aggressive")], "model string, factor double"), _sql_values([("Conservative", 0.6), ("Balanced", 1.0), ("Aggressive", 1.4)], "model, factor")),
+    "pm11_predicted_games": (lambda s, d: _open(s, d).select("season", "game_id", "winner_id"), sql("ranked", f"SELECT season, game_id, winner_id FROM ({prediction_sql(False, 1.0)})", more=_JOINED)),
+    "ch3_record_reasons": (
+        lambda s, d: _reasons_of(s, d),
+        _diff_sql("SELECT season, array_to_string(list_sort(list_distinct(flatten(list(string_split(reasons, ','))))), ',') AS reasons FROM (" + _DIFFS + ") WHERE reasons <> '' GROUP BY season"),
+    ),
+    "src2_file_errors": (lambda s, d: _bad_files(s).where("i < 3"), _sql_values([(0, "CSV has no rows"), (1, "CSV has no rows"), (2, "Missing required columns")], "i, said")),
+    "src5_byte_order_mark": (lambda s, d: _bad_files(s).where("i = 3"), _sql_values([(3, "B")], "i, said")),
+    "src7_former_tables": (_legacy, sql("games", "SELECT season, team_id, name, ord FROM teams")),
+}
+
+
+def _reasons_of(s: SparkSession, d: str) -> DataFrame:
+    """The reasons of each season, in the order of the alphabet; seasons in which nothing changed have none."""
+    from pennant.operators import changes
+
+    r = changes.diff_reasons(_snapshot_diff(s, d)).where("reasons <> ''")
+    return r.select("season", F.array_join(F.sort_array(F.split("reasons", ",")), ",").alias("reasons"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,90 +13,93 @@ from pennant.operators import bracket, changes, power, predict, race, schedule,
 from pennant.plans import league
 from pennant.plans.oracle import sql
 from pennant.plans.queries_core import tidy
-from pennant.plans.tables import written
+from pennant.plans.tables import derived, written
 from pennant.settings import TREND_ITERATIONS, Settings
 
 
 class Race:
-    """The relations that the queries share, each written when it is first asked for."""
+    """The relations that the queries share, each written when it is first asked for; those of the tables as they are once in an application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, games: DataFrame | None = None, settings: Settings = Settings()):
-        self.spark, self.settings = spark, settings
-        self.games = written(league.games(spark, sf_dir) if games is None else games)
-        self.teams = written(league.teams(spark, sf_dir))
+        self.spark, self.settings, self.dir, self.own = spark, settings, sf_dir, games is not None
+        self.games = league.games(spark, sf_dir) if games is None else written(games)
+        self.teams = league.teams(spark, sf_dir)
+
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return written(make()) if self.own else derived(self.spark, league.sources(self.dir), f"race {name} {self.settings}", make)
 
     @cached_property
     def stats(self) -> DataFrame:
-        return written(stats.team_stats(self.games, self.teams, self.settings.max_run_differential))
+        return self._kept("stats", lambda: stats.team_stats(self.games, self.teams, self.settings.max_run_differential))
 
     @cached_property
     def h2h(self) -> DataFrame:
-        return written(stats.head_to_head(self.games))
+        return self._kept("h2h", lambda: stats.head_to_head(self.games))
 
     @cached_property
     def left(self) -> DataFrame:
-        return written(stats.remaining_counts(self.games, self.stats))
+        return self._kept("left", lambda: stats.remaining_counts(self.games, self.stats))
 
     @cached_property
     def status(self) -> DataFrame:
-        return written(standings.gold_status(standings.rank_teams(self.stats, self.h2h, self.settings), self.left, self.settings))
+        return self._kept("status", lambda: standings.gold_status(standings.rank_teams(self.stats, self.h2h, self.settings), self.left, self.settings))
 
     @cached_property
     def fold(self) -> DataFrame:
-        return written(simulate.fold_teams(self.stats, self.h2h))
+        return self._kept("fold", lambda: simulate.fold_teams(self.stats, self.h2h))
 
     @cached_property
     def open(self) -> DataFrame:
-        return written(simulate.open_games(self.games))
+        return self._kept("open", lambda: simulate.open_games(self.games))
 
     @cached_property
     def projected(self) -> DataFrame:
-        return written(simulate.project(self.fold, self.open, self.settings))
+        return self._kept("projected", lambda: simulate.project(self.fold, self.open, self.settings))
 
     @cached_property
     def odds(self) -> DataFrame:
-        return written(simulate.gold_odds(self.fold, self.games, self.settings))
+        return self._kept("odds", lambda: simulate.gold_odds(self.fold, self.games, self.settings))
 
     @cached_property
     def board(self) -> DataFrame:
-        return written(simulate.dashboard(self.status, self.projected, self.odds, self.settings))
+        return self._kept("board", lambda: simulate.dashboard(self.status, self.projected, self.odds, self.settings))
 
     @cached_property
     def plain_board(self) -> DataFrame:
         """A snapshot without odds."""
-        return written(simulate.dashboard(self.status, self.projected, self.projected.select("season", "team_id", F.lit(0.0).alias("odds")), self.settings))
+        return self._kept("plain_board", lambda: simulate.dashboard(self.status, self.projected, self.projected.select("season", "team_id", F.lit(0.0).alias("odds")), self.settings))
 
     @cached_property
     def predicted(self) -> DataFrame:
-        return written(predict.predictions(stats.remaining(self.games), self.stats, self.h2h, self.settings))
+        return self._kept("predicted", lambda: predict.predictions(stats.remaining(self.games), self.stats, self.h2h, self.settings))
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return written(simulate.scenarios(self.fold, self.open, self.settings))
+        return self._kept("scenarios", lambda: simulate.scenarios(self.fold, self.open, self.settings))
 
     @cached_property
-    def own(self) -> DataFrame:
-        return written(race.own_scenarios(self.games, self.scenarios))
+    def own_games(self) -> DataFrame:
+        return self._kept("own_games", lambda: race.own_scenarios(self.games, self.scenarios))
 
     @cached_property
     def swings(self) -> DataFrame:
-        return written(race.swing_games(self.own, self.projected, self.predicted))
+        return self._kept("swings", lambda: race.swing_games(self.own_games, self.projected, self.predicted))
 
     @cached_property
     def exact(self) -> DataFrame:
-        return written(simulate.exact_status(self.fold, self.open, self.settings))
+        return self._kept("exact", lambda: simulate.exact_status(self.fold, self.open, self.settings))
 
     @cached_property
     def impacts(self) -> DataFrame:
-        return written(race.game_impacts(self.own, self.predicted))
+        return self._kept("impacts", lambda: race.game_impacts(self.own_games, self.predicted))
 
     @cached_property
     def one_result(self) -> DataFrame:
-        return written(race.one_result_status(self.games, self.stats, self.h2h, self.left, self.predicted, self.settings))
+        return self._kept("one_result", lambda: race.one_result_status(self.games, self.stats, self.h2h, self.left, self.predicted, self.settings))
 
     @cached_property
     def brackets(self) -> DataFrame:
-        return written(bracket.gold_and_silver(self.board, self.fold, no_results(self.spark), self.settings))
+        return self._kept("brackets", lambda: bracket.gold_and_silver(self.board, self.fold, no_results(self.spark), self.settings))
 
 
 def no_results(spark: SparkSession) -> DataFrame:
@@ -140,7 +144,7 @@ def _diff(spark: SparkSession, d: str) -> DataFrame:
 def _team_detail(spark: SparkSession, d: str) -> DataFrame:
     r = Race(spark, d)
     difficulty = schedule.schedule_difficulty(r.games, r.stats).select("season", "team_id", F.col("label").alias("difficulty"), "rating")
-    return tidy(race.team_detail(r.board, race.bubble_tiers(r.board), standings.sos_ranks(r.stats), race.seed_ranges(r.own, r.projected), difficulty, standings.title_race(r.status), r.exact))
+    return tidy(race.team_detail(r.board, race.bubble_tiers(r.board), standings.sos_ranks(r.stats), race.seed_ranges(r.own_games, r.projected), difficulty, standings.title_race(r.status), r.exact))
 
 
 _DAY = "2026-05-10"
@@ -153,7 +157,7 @@ RACE = {
     "mc6_elimination_numbers": (lambda s, d: Race(s, d).exact.where("losses_to_out IS NOT NULL").select("season", "team_id", "losses_to_out"), ""),
     "mc7_seeding_locked": (lambda s, d: (r := Race(s, d)) and simulate.seeding_locked(r.fold, r.open), ""),
     "mc8_scenarios": (lambda s, d: Race(s, d).scenarios, ""),
-    "mc9_seed_ranges": (lambda s, d: (r := Race(s, d)) and race.seed_ranges(r.own, r.projected), ""),
+    "mc9_seed_ranges": (lambda s, d: (r := Race(s, d)) and race.seed_ranges(r.own_games, r.projected), ""),
     "mc10_swing_games": (lambda s, d: tidy(Race(s, d).swings), ""),
     "mc11_game_impacts": (lambda s, d: Race(s, d).impacts, ""),
     "mc12_control_levels": (lambda s, d: (r := Race(s, d)) and race.control_levels(r.board, simulate.win_out(r.fold, r.open), r.swings), ""),
