@@ -642,3 +642,44 @@ def _reasons_of(s: SparkSession, d: str) -> DataFrame:
 
     r = changes.diff_reasons(_snapshot_diff(s, d)).where("reasons <> ''")
     return r.select("season", F.array_join(F.sort_array(F.split("reasons", ",")), ",").alias("reasons"))
+
+
+# --- dashboards, snapshots and explanations on records ------------------------------------------------
+
+
+def _dashboard(s: SparkSession, d: str) -> DataFrame:
+    from pennant.operators import simulate
+
+    b = _board(s, d)
+    projected = b.select("season", "team_id", "projected_rank", "w", "l", "t", "run_diff")
+    return simulate.dashboard(status_of(s, d), projected, b.select("season", "team_id", F.col("gold_pct").alias("odds")))
+
+
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    from pennant.operators import changes
+
+    return changes.explanations(_snapshot_diff(s, d))
+
+
+_DASHBOARD = f"""{_BOARD}, wil AS (SELECT *, gold_pct / 100 AS p FROM board),
+wi2 AS (SELECT *, (p + 3.8416::DOUBLE / 440) / (1 + 3.8416::DOUBLE / 220) AS c, 1.96::DOUBLE * sqrt(p * (1 - p) / 220 + 3.8416::DOUBLE / (4 * 220 * 220)) / (1 + 3.8416::DOUBLE / 220) AS sp FROM wil),
+dash AS (SELECT *, greatest(p - greatest(0, least(1, c - sp)), greatest(0, least(1, c + sp)) - p) * 100 AS gold_margin, row_number() OVER (PARTITION BY season ORDER BY projected_rank, round(gold_pct, 2) DESC, rank) AS model_place FROM wi2)"""
+_COUNT = "CASE WHEN abs(v) = floor(abs(v)) THEN CAST(CAST(abs(v) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', abs(v)) END"
+_EXPLAIN = f"""SELECT season, team_id, nth, text, impact FROM (
+  SELECT *, row_number() OVER (PARTITION BY season, team_id ORDER BY impact DESC, i) AS nth FROM (
+    SELECT season, team_id, i, CASE i WHEN 0 THEN abs(v) * 24 + 12 WHEN 1 THEN abs(v) / 3.0::DOUBLE * 22 + 10 WHEN 2 THEN abs(v) / 0.5::DOUBLE * 18 + 8 ELSE abs(v) / 0.5::DOUBLE * 18 + 7 END AS impact,
+      CASE WHEN i = 0 THEN CASE WHEN d_tied THEN 'Tiebreak movement' ELSE 'Recent results' END || CASE WHEN v < 0 THEN ' lifted the projected finish by ' ELSE ' pushed the projected finish down by ' END || {_COUNT} || CASE WHEN abs(v) = 1 THEN ' spot.' ELSE ' spots.' END
+        WHEN i = 1 THEN CASE WHEN v > 0 THEN 'Gold odds lifted by ' ELSE 'Gold odds dipped by ' END || CAST(CAST(abs(v) AS BIGINT) AS VARCHAR) || CASE WHEN abs(v) = 1 THEN ' point' ELSE ' points' END || CASE WHEN v > 0 AND rank_by > 0 THEN ' as the projected finish moved up.' WHEN v > 0 THEN ' after the projection moved up.' WHEN rank_by > 0 THEN ' after the projected finish moved closer to the cutoff.' ELSE ' after the projection moved down.' END
+        WHEN i = 2 AND v > 0 THEN 'Projected points nudged up by ' || {_COUNT} || ', lifting the Gold outlook.' WHEN i = 2 THEN 'Projected points dipped by ' || {_COUNT} || ', softening the Gold outlook.'
+        WHEN v > 0 THEN 'Standings points moved up by ' || {_COUNT} || ' after recent results.' ELSE 'Standings points dipped by ' || {_COUNT} || ' after recent results.' END AS text
+    FROM (SELECT pr.*, x.i, x.v FROM pr, LATERAL (VALUES (0, rank_by::DOUBLE, 1.0::DOUBLE), (1, odds_by::DOUBLE, 3.0::DOUBLE), (2, points_by::DOUBLE, 0.5::DOUBLE), (3, points_by::DOUBLE, 0.5::DOUBLE)) x(i, v, least_v) WHERE abs(x.v) >= x.least_v))) WHERE nth <= 3"""
+
+MORE |= {
+    "j4_record_board": (
+        lambda s, d: tidy(_dashboard(s, d).select("season", "team_id", "rank", "projected_rank", "projected_w", "projected_l", "gold_pct", "gold_margin", "gold_status")),
+        sql("status", "SELECT season, team_id, rank, projected_rank, w AS projected_w, l AS projected_l, gold_pct, gold_margin, gold_status FROM dash", "gold_pct, gold_margin", more=_DASHBOARD),
+    ),
+    "o1_record_rows": (lambda s, d: _dashboard(s, d).select("season", "model_place", "team_id"), sql("status", "SELECT season, model_place, team_id FROM dash", more=_DASHBOARD)),
+    "mc17_record_snapshot": (lambda s, d: tidy(_dashboard(s, d).select("season", "team_id", "rank", "projected_rank", "gold_status", "max_points", "blockers_ahead")), sql("status", "SELECT season, team_id, rank, projected_rank, gold_status, max_points, blockers_ahead FROM board", "max_points", more=_BOARD)),
+    "ch4_record_explanations": (lambda s, d: tidy(_explained(s, d)), _diff_sql(_EXPLAIN).replace("SELECT * FROM (\nSELECT season, team_id, nth", "SELECT * REPLACE (round(impact + 1e-9, 6) + 0.0 AS impact) FROM (\nSELECT season, team_id, nth")),
+}
