@@ -683,3 +683,56 @@ MORE |= {
     "mc17_record_snapshot": (lambda s, d: tidy(_dashboard(s, d).select("season", "team_id", "rank", "projected_rank", "gold_status", "max_points", "blockers_ahead")), sql("status", "SELECT season, team_id, rank, projected_rank, gold_status, max_points, blockers_ahead FROM board", "max_points", more=_BOARD)),
     "ch4_record_explanations": (lambda s, d: tidy(_explained(s, d)), _diff_sql(_EXPLAIN).replace("SELECT * FROM (\nSELECT season, team_id, nth", "SELECT * REPLACE (round(impact + 1e-9, 6) + 0.0 AS impact) FROM (\nSELECT season, team_id, nth")),
 }
+
+
+# --- paths on records and on one result more -----------------------------------------------------------
+
+
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    """Clinching paths without exact numbers, as for seasons with too many open games."""
+    board = _board(s, d)
+    exact = board.select("season", "team_id", F.lit(None).cast("string").alias("magic"), F.lit(None).cast("long").alias("losses_to_out"))
+    return race.clinching_paths(league.games(s, d), board, exact, _swings(s, d))
+
+
+def _path_texts(s: SparkSession, d: str) -> DataFrame:
+    from pennant.operators import changes
+
+    return changes.path_summary(_board(s, d), _swings(s, d))
+
+
+def _control(s: SparkSession, d: str) -> DataFrame:
+    """Control levels where no season was won out."""
+    board = _board(s, d)
+    return race.control_levels(board, board.select("season", "team_id", F.lit(None).cast("long").alias("win_out_seed")), _swings(s, d))
+
+
+_PATH_LINE = f"""{_BOARD}, {_OWN},
+pl AS (SELECT s.season, s.team_id, string_agg(CASE WHEN side = 'away' THEN 'at ' ELSE 'vs ' END || o.name || ' (win → #' || win_seed || ', loss → #' || loss_seed || ')', ' and ' ORDER BY nth) AS line FROM swing s JOIN teams o ON o.season = s.season AND o.team_id = s.opp_id GROUP BY 1, 2),
+ld AS (SELECT season, name AS leader FROM board WHERE rank = 1)"""
+_PATH_TEXT = """SELECT season, team_id, CASE
+  WHEN gold_status = 'Clinched' THEN name || ' have clinched a Gold Bracket ticket at #' || rank || '; now it''s all about sharpening their blade for seeding battles.'
+  WHEN gold_status = 'Eliminated' THEN name || ' are mathematically eliminated from the Gold race, but they still get to play spoiler and reshape everyone else''s path.'
+  WHEN rank <= 7 AND projected_rank <= 7 THEN name || ' are holding firm at #' || rank || ' with a projection of #' || projected_rank || ' and ' || pct || '% Gold odds — safely above the line for now. Next two pressure points: ' || line || '.'
+  WHEN rank <= 7 THEN name || ' currently own #' || rank || ', but the model sees a slide to #' || projected_rank || ' as the stretch run unfolds (' || pct || '% Gold). ' || CASE WHEN line <> '' THEN 'They need to defend that cushion immediately: ' || line || '.' ELSE 'Every remaining loss is gasoline on the fire.' END
+  WHEN projected_rank <= 7 THEN name || ' are sitting at #' || rank || ' today but are projected to rise to #' || projected_rank || ' (' || pct || '% Gold). The door is cracked open if these next two tilt their way: ' || line || '.'
+  WHEN CAST(pct AS BIGINT) >= 15 THEN name || ' are #' || rank || ' now and project to #' || projected_rank || ' — still outside the line, but ' || pct || '% means they''re alive and dangerous. ' || leader || ' currently set the pace up top.' || CASE WHEN line <> '' THEN ' Swing games to circle: ' || line || '.' ELSE '' END
+  ELSE name || ' are in survival mode (now #' || rank || ', projected #' || projected_rank || ', ' || pct || '% Gold): they need wins plus help from around the league.' || CASE WHEN line <> '' THEN ' Must-watch swings: ' || line || '.' ELSE '' END END AS text
+FROM (SELECT b.season, b.team_id, b.name, b.rank, b.projected_rank, b.gold_status, CAST(CAST(floor(gold_pct + 0.5) AS BIGINT) AS VARCHAR) AS pct, coalesce(line, '') AS line, leader FROM board b LEFT JOIN pl USING (season, team_id) JOIN ld USING (season))"""
+_PATHS = f"""{_BOARD}, {_OWN},
+near AS (SELECT *, least(abs(rank - 7), abs(projected_rank - 7)) AS dist, rank <= 7 AS inside, projected_rank <= 7 AS planned, floor(gold_pct + 0.5)::BIGINT AS pct0 FROM board),
+sl AS (SELECT s.season, s.team_id, list(line ORDER BY nth) FILTER (WHERE line IS NOT NULL) AS lines FROM (
+  SELECT s.season, s.team_id, nth, CASE WHEN win_seed <= 7 AND loss_seed > 7 THEN opp || ': win projects inside Gold (#' || win_seed || '); loss falls outside (#' || loss_seed || ').' WHEN win_seed <= 7 AND dist <= 2 THEN opp || ': win protects the path (#' || win_seed || '); loss still projects #' || loss_seed || '.' WHEN win_seed > 7 AND NOT inside AND dist <= 3 THEN opp || ': win projects #' || win_seed || '; extra help is still needed.' END AS line
+  FROM (SELECT s.*, n.dist, n.inside, CASE WHEN side = 'away' THEN 'At ' ELSE 'Vs ' END || o.name AS opp FROM swing s JOIN near n USING (season, team_id) JOIN teams o ON o.season = s.season AND o.team_id = s.opp_id) s) s GROUP BY 1, 2),
+help AS (SELECT t.season, t.team_id, t.name || ' get help if ' || r.name || ' lose to ' || o.name || '.' AS help FROM near t JOIN (SELECT g.season, g.team_id AS rival, g.opp_id, g.ord, b.rank, b.name FROM all_tg g JOIN board b ON b.season = g.season AND b.team_id = g.team_id WHERE NOT g.is_final AND b.rank BETWEEN 4 AND 7) r ON r.season = t.season AND t.team_id <> r.rival AND t.team_id <> r.opp_id JOIN teams o ON o.season = r.season AND o.team_id = r.opp_id QUALIFY row_number() OVER (PARTITION BY t.season, t.team_id ORDER BY r.rank DESC, r.ord, r.rival) = 1),
+cp AS (SELECT n.*, coalesce(h.help, 'Needs help from teams above the line.') AS help, coalesce(lines, []) AS lines, CASE WHEN gold_status IN ('Alive', 'In') THEN 30 ELSE 0 END + greatest(0, 16 - dist * 4) + CASE WHEN inside <> planned THEN 15 ELSE 0 END + CASE WHEN abs(50 - pct0) <= 35 THEN 15.0::DOUBLE - abs(50 - pct0) / 4 ELSE 0 END AS priority FROM near n LEFT JOIN help h USING (season, team_id) LEFT JOIN sl USING (season, team_id))"""
+_PATH_ROWS = """SELECT season, row_number() OVER (PARTITION BY season ORDER BY priority DESC, rank) AS place, team_id, rank AS seed, projected_rank, pct0 AS gold_pct, gold_status AS status, priority,
+  array_to_string(list_prepend(CASE WHEN inside AND planned THEN 'Controls a Gold spot by protecting the current cut-line cushion.' WHEN planned THEN 'Projected path reaches Gold, but the team still needs the swing games to break their way.' WHEN NOT inside THEN help ELSE 'Currently above the line, but the projected path is fragile.' END, CASE WHEN lines[1] = lines[2] THEN lines[1:1] ELSE lines END)[1:3], ' | ') AS notes
+FROM cp WHERE gold_status NOT IN ('Clinched', 'Eliminated') QUALIFY place <= 8"""
+
+MORE |= {
+    "mc12_record_control": (_control, sql("status", "SELECT season, team_id, CASE WHEN gold_status IN ('Clinched', 'Eliminated') THEN gold_status WHEN rank <= 7 THEN 'Controls Spot' ELSE 'Needs Help' END AS control FROM status")),
+    "f40_record_paths": (_path_texts, sql("status", _PATH_TEXT, more=_PATH_LINE)),
+    "mc15_record_paths": (lambda s, d: tidy(_paths(s, d)), sql("status", _PATH_ROWS, "priority", more=_PATHS)),
+    "o4_record_order": (lambda s, d: _paths(s, d).select("season", "place", "team_id"), sql("status", f"SELECT season, place, team_id FROM ({_PATH_ROWS})", more=_PATHS)),
+}
