@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Shingles are this many consecutive words; a shorter text with words is one shingle.
 SHINGLE = 5
+#: Rows of a small table that a task writes at least, where their number is known.
+FILE_ROWS = 100_000
 #: Rows and bytes of one Arrow batch: texts can be very long.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
@@ -70,8 +72,11 @@ class Scratch:
     def __exit__(self, *_) -> None:
         _forget(self.spark, self.path)
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written; rows: about how many it has, so that few rows don't make many files."""
         path = f"{self.path}/{uuid.uuid4().hex}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         out = written(df, path)
         self.tables[id(out)] = (out, path)
         return out
@@ -221,17 +226,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the join are plain shuffles and Spark splits the partition of a hub of any degree.
     """
     with Scratch(edges.sparkSession) as tmp:
-        e = tmp.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        n = edges.count()
+        e = tmp.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
         state = None
         while True:
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = tmp.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+            low = tmp.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), n)
             large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-            large = tmp.table(large)
+            large = tmp.table(large, n)
             tmp.drop(e, low)
-            low = tmp.table(large.groupBy("u").agg(F.min("v").alias("m")))
+            low = tmp.table(large.groupBy("u").agg(F.min("v").alias("m")), n)
             small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
-            e = tmp.table(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
+            e = tmp.table(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct(), n)
             tmp.drop(large, low)
             row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if tuple(row) == state:
