@@ -111,8 +111,8 @@ def fit(rows: list, n: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, t
     rest = np.delete(x, chosen, axis=0)
     rest = rest if len(rest) > len(x) // 4 else x
     a, b = [], []
-    for at in range(0, len(rest), 1024):
-        i, j = np.nonzero(rest[at : at + 1024] @ rest.T >= threshold)
+    for at in range(0, len(rest), 128):
+        i, j = np.nonzero(rest[at : at + 128] @ rest.T >= threshold)
         a.append(i[j > i + at] + at)
         b.append(j[j > i + at])
     a, b = np.concatenate(a), np.concatenate(b)
