@@ -2,7 +2,8 @@
 
 Canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything
 but letters and digits dropped. Null and empty texts match nothing; a table without rows gives
-none. Rows that repeat both doc_id and text get the same result each.
+none. Rows that repeat both doc_id and text get the same result each. Columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -194,8 +195,9 @@ def _canonical_sql(text: str) -> str:
 
 SQL = f"""
 WITH k AS (
-  SELECT sha256({_canonical_sql("t")}) AS digest, min(l) AS license
-  FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS v(l, t) GROUP BY 1),
+  SELECT digest, min(l) AS license FROM (
+    SELECT sha256({_canonical_sql("t")}) AS digest, l FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS v(l, t)
+    UNION ALL SELECT digest, l FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in FULL_TEXTS)}) AS w(l, digest)) GROUP BY 1),
 d AS (SELECT doc_id, text, string_split_regex(coalesce(text, ''), '\\r?\\n') AS lines FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS t FROM d),
 n AS (
