@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennant.llm import bpe, fingerprints, licenses, mixing, ngram_join, pii, pivots, quality, secrets, warc
+from pennant.llm import bpe, fingerprints, licenses, mixing, ngram_join, pii, pivots, quality, search, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,12 @@ QUERIES = {
     "op8_licenses": lambda spark, d: licenses.license_scan(_table(spark, d, "documents")),
     "op9_secrets": lambda spark, d: secrets.secret_digests(_table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.round_trip(_table(spark, d, "pages")),
+    "op11_search": lambda spark, d: search.ranked(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
 }
 
 ORACLES = {
     "op2_mixing": mixing.SQL,
     "op8_licenses": licenses.SQL,
     "op10_warc": warc.SQL,
+    "op11_search": search.SQL,
 }
