@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennant.llm import bpe, conversations, fingerprints, licenses, mixing, ngram_join, pii, pivots, quality, search, secrets, warc
+from pennant.llm import bpe, conversations, fingerprints, language, licenses, mixing, ngram_join, pii, pivots, quality, search, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ QUERIES = {
     "op10_warc": lambda spark, d: warc.round_trip(_table(spark, d, "pages")),
     "op11_search": lambda spark, d: search.ranked(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
     "op12_conversations": lambda spark, d: conversations.damage_audits(_table(spark, d, "conversations")),
+    "op13_language": lambda spark, d: language.languages(_table(spark, d, "documents")),
 }
 
 ORACLES = {
