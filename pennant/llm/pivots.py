@@ -2,17 +2,20 @@
 
 A vector is described by the ordered list of its nearest pivots (reference vectors, spread over a
 bounded sample so that none is close to another before all regions have one). Inverted lists are
-kept for sets of pivots: a vector stands in the list of each pair (or, in a coarser index, each
-single pivot) of the first pivots of its order of which at least one is in the first half. Two
-vectors that share enough pivots meet in a list, and there they are linked if their cosine in
-double precision reaches the threshold.
-
-How many pivots there are, how many of the order are used, and whether two or one have to be
-shared, is fitted: the links within the sample are found by brute force, and of the settings that
-retrieve RECALL of them the one with the fewest comparisons is taken; the last resort, a single list,
-compares everything. The default is used where the sample has few links. Equal vectors are one node before the index is built. Lists of any size are
-cut into blocks, each pair of blocks a group of its own, a pair is linked only in the smallest list
-that both share, and a group returns counts and a star of edges, never its pairs.
+kept for sets of pivots: a vector stands in the list of each three, two or one of the first pivots of
+its order of which at least one is in the first half. Two vectors that share enough pivots meet in a
+list, and there they are linked if their cosine in double precision reaches the threshold.
+
+How many pivots there are, how many of the order are used, and how many have to be shared, is fitted
+and always measured: on the sample's own links, where it has some, and on copies of sample vectors
+moved away by exactly the threshold, half of them in any direction and half towards another vector
+of the sample. Such pairs exist for any table, and are the hardest to find. Of the settings that
+retrieve RECALL of the links and HARDEST of the copies the one with the fewest comparisons in the
+whole table is taken. Pivots grow with the square root of the table as far as the sample has them;
+from there on more of them have to be shared, so that lists stay short. The last resort, a single
+list, compares everything. Equal vectors are one node before the index is built. Lists of any size
+are cut into blocks, each pair of blocks a group of its own, a pair is linked only in the smallest
+list that both share, and a group returns counts and a star of edges, never its pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as
 do vectors of different lengths. Rows that repeat a vec_id with another vector are other vectors;
@@ -35,14 +38,18 @@ from pennant.llm.common import Scratch, arrow_batches, connected_components, in_
 THRESHOLD = 0.9
 #: Bounds of the sample that the index is fitted on, in vectors and in bytes of doubles.
 SAMPLE_ROWS, SAMPLE_BYTES = 16384, 64 << 20
-#: Pivots grow with the square root of the number of vectors, up to this many: so lists of pairs keep their length until then.
+#: Pivots grow with the square root of the number of vectors, up to this many; then more of them have to be shared.
 MOST_PIVOTS = 4096
 #: What is tried: shares of the pivots, pivots of the order that are used, and pivots that have to be shared.
-SHARES, FIRST, SHARED = (1, 4, 16), (4, 6, 8, 12), (2, 1)
-#: Without a good one: the setting where links are few, and that of a single pivot, which compares everything.
-DEFAULT, EVERYTHING = (8, 2), (1, 1)
-#: The share of the sample's links that a setting has to retrieve, the links without which the default is used, and the links that are looked at.
-RECALL, FEW, MOST_LINKS = 0.98, 100, 4000
+SHARES, FIRST, SHARED = (1, 4, 16), (4, 6, 8, 12, 16), (3, 2, 1)
+#: A setting brings a vector to at most so many lists.
+MOST_LISTS = 128
+#: The setting of a single pivot, which compares everything.
+EVERYTHING = (1, 1)
+#: The share of the sample's links, and of copies at the threshold, that a setting has to retrieve.
+RECALL, HARDEST = 0.98, 0.95
+#: The links from which on they are measured, and the links and copies that are looked at.
+FEW, MOST_LINKS = 100, 3000
 #: Comparisons that cost as much as bringing a vector to one more list.
 LIST_COST = 50
 BLOCK = 512
@@ -87,25 +94,49 @@ def orders(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     """The m nearest pivots of each row, nearest first."""
     m = min(m, len(pivots))
     width = min(x.shape[1], pivots.shape[1])
-    near = -(x[:, :width] @ pivots[:, :width].T)
-    top = np.argpartition(near, m - 1, axis=1)[:, :m]
-    return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    out = np.empty((len(x), m), np.int64)
+    for at in range(0, len(x), 1024):
+        near = -(x[at : at + 1024, :width] @ pivots[:, :width].T)
+        top = np.argpartition(near, m - 1, axis=1)[:, :m]
+        out[at : at + 1024] = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    return out
+
+
+def sets_of(m: int, shared: int) -> list[tuple[int, ...]]:
+    """Which places of an order make a list: at least one in the first half."""
+    return [c for c in combinations(range(m), min(shared, m)) if c[0] < max(1, (m + 1) // 2)]
 
 
 def list_keys(order: np.ndarray, shared: int) -> np.ndarray:
-    """The lists that each row stands in: sets of shared pivots of its order, at least one in the first half."""
-    m = order.shape[1]
-    sets = [c for c in combinations(range(m), min(shared, m)) if c[0] < max(1, (m + 1) // 2)]
-    picked = np.sort(order[:, sets], axis=2).astype(np.int64)
+    """The lists that each row stands in: sets of shared pivots of its order."""
+    picked = np.sort(order[:, sets_of(order.shape[1], shared)], axis=2).astype(np.int64)
     key = picked[:, :, 0]
     for i in range(1, picked.shape[2]):
         key = key * (MOST_PIVOTS + 1) + picked[:, :, i] + 1
     return np.sort(key, axis=1)
 
 
+def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows of a and b, keys of lists, share one."""
+    out, step = np.zeros(len(a), bool), max(1, (1 << 23) // (a.shape[1] * b.shape[1]))
+    for at in range(0, len(a), step):
+        out[at : at + step] = (a[at : at + step, :, None] == b[at : at + step, None, :]).any((1, 2))
+    return out
+
+
+def moved(x: np.ndarray, towards: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of exactly the threshold's cosine: rows of x, and rows turned from them towards others; where that is possible."""
+    side = towards - (x * towards).sum(1, keepdims=True) * x
+    size = np.linalg.norm(side, axis=1)
+    some = size > 1e-6
+    x, side = x[some], side[some] / size[some, None]
+    return x, threshold * x + (1 - threshold**2) ** 0.5 * side
+
+
 def fit(rows: list, n: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, tuple[int, int]]:
     """Pivots and setting for n vectors, from a sample of them."""
-    x = stacked([unit(r) for r in rows])
+    r = np.random.default_rng(5)
+    x = stacked([unit(v) for v in rows])
     chosen = spread(x, int(min(MOST_PIVOTS, max(32, 8 * n**0.5))))
     pivots = x[chosen]
     rest = np.delete(x, chosen, axis=0)
@@ -116,21 +147,29 @@ def fit(rows: list, n: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, t
         a.append(i[j > i + at] + at)
         b.append(j[j > i + at])
     a, b = np.concatenate(a), np.concatenate(b)
-    if len(a) < FEW:
-        return pivots, DEFAULT
-    pick = np.random.default_rng(5).permutation(len(a))[:MOST_LINKS]
+    pairs = []
+    if len(a) >= FEW:
+        pick = r.permutation(len(a))[:MOST_LINKS]
+        pairs.append((RECALL, rest[a[pick]], rest[b[pick]]))
+    some = rest[r.permutation(len(rest))[:MOST_LINKS]]
+    used = np.abs(some).sum(0) > 0
+    for towards in (r.normal(size=some.shape) * used, rest[r.integers(0, len(rest), len(some))]):
+        copies = moved(some, towards, threshold)
+        if len(copies[0]):
+            pairs.append((HARDEST, *copies))
     best = (n * n / 2, pivots[:1], EVERYTHING)
     for share in SHARES:
-        some = pivots[: max(1, len(pivots) // share)]
-        full = orders(rest, some, max(FIRST))
-        for m, shared in ((m, s) for m in FIRST for s in SHARED if m <= len(some)):
+        near = pivots[: max(1, len(pivots) // share)]
+        full = orders(rest, near, max(FIRST))
+        ends = [(least, orders(u, near, max(FIRST)), orders(v, near, max(FIRST))) for least, u, v in pairs]
+        for m, shared in ((m, s) for m in FIRST for s in SHARED if s < m <= len(near) and len(sets_of(m, s)) <= MOST_LISTS):
+            if n * len(sets_of(m, shared)) * LIST_COST >= best[0] or any(met(list_keys(u[:, :m], shared), list_keys(v[:, :m], shared)).mean() < least for least, u, v in ends):
+                continue
             keys = list_keys(full[:, :m], shared)
             count = np.unique(keys, return_counts=True)[1].astype(float)
             cost = n * keys.shape[1] * LIST_COST + (count * (count - 1)).sum() / 2 * (n / len(rest)) ** 2
             if cost < best[0]:
-                met = [(keys[i][:, :, None] == keys[j][:, None, :]).any((1, 2)) for i, j in zip(np.array_split(a[pick], 20), np.array_split(b[pick], 20), strict=True)]
-                if np.concatenate(met).mean() >= RECALL:
-                    best = (cost, some, (m, shared))
+                best = (cost, near, (m, shared))
     return best[1:]
 
 
@@ -152,8 +191,9 @@ def _described(fitted):
 def _earlier(ok: np.ndarray, keys: np.ndarray, key: int) -> None:
     """Clears pairs that stand together in a smaller list too: they are linked there."""
     a, b = np.nonzero(ok)
-    for at in range(0, len(a), 1 << 14):
-        i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+    step = max(64, (1 << 24) // keys.shape[1] ** 2)
+    for at in range(0, len(a), step):
+        i, j = a[at : at + step], b[at : at + step]
         both = (keys[i][:, :, None] == keys[j][:, None, :]).any(2)
         gone = (both & (keys[i] < key)).any(1)
         ok[i[gone], j[gone]] = False

@@ -61,6 +61,27 @@ def test_pivot_recall(kind):
     assert np.unique(keys, return_counts=True)[1].max() < len(x) / 2
 
 
+@pytest.mark.parametrize("kind", ["cone", "clusters", "spread"])
+@pytest.mark.parametrize("n", [20_000, 10_000_000])
+def test_pivot_recall_without_links_in_the_sample(kind, n):
+    """No two sample vectors are near: pairs of held-out vectors, just above the threshold, share a list nevertheless."""
+    from pennant.llm import pivots
+
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 128 if kind == "clusters" else 64
+    centre = {"cone": unit(r.normal(size=(1, d))), "clusters": unit(r.normal(size=(20, d))), "spread": np.zeros((1, d))}[kind]
+    like = {"cone": 0.7, "clusters": 0.8, "spread": 0.0}[kind]
+    x = unit(like**0.5 * centre[r.integers(0, len(centre), 7000)] + (1 - like) ** 0.5 * unit(r.normal(size=(7000, d))))
+    fitted, (m, shared) = pivots.fit(list(x[1000:]), n)
+    held = x[:1000]
+    _, near = pivots.moved(held, r.normal(size=held.shape), 0.902)
+    keys = [pivots.list_keys(pivots.orders(v, fitted, m), shared) for v in (held, near)]
+    assert pivots.met(*keys).mean() >= 0.9
+    if n > 20_000:
+        assert np.unique(keys[0], return_counts=True)[1].max() < 300
+
+
 def test_pivots_that_say_nothing_compare_everything():
     from pennant.llm import pivots
 
