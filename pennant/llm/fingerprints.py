@@ -8,16 +8,19 @@ other than doc_id and text are not read; an empty table gives none.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pennant.llm.common import SHINGLE, written
+from pennant.llm.common import SHINGLE, spare, written
 
 K = 128
 BITS = 48
 _BLANK = " \t\n\x0b\f\r"
-#: Stands for a null doc_id, in order and in joins.
-_NONE = -(2**63)
+#: Stands for a null doc_id, in order and in joins: below every long.
+_NONE = Decimal(-(2**63) - 1)
+_ID = "decimal(20,0)"
 #: Rows of one id beyond which they are joined apart.
 HOT_ROWS = 4096
 
@@ -52,9 +55,10 @@ def merge_all(sketches: DataFrame, by: list[str], col: str, k: int = K) -> DataF
     The hashes are made distinct before they are ranked, so no group is gathered in one task
     before it has been reduced, except for its distinct hashes.
     """
-    each = sketches.select(*by, F.explode(col).alias("h")).distinct()
-    low = each.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= k)
-    return low.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias(col))
+    h, r = spare(sketches, "h", "r")
+    each = sketches.select(*by, F.explode(col).alias(h)).distinct()
+    low = each.withColumn(r, F.row_number().over(Window.partitionBy(*by).orderBy(h))).where(F.col(r) <= k)
+    return low.groupBy(*by).agg(F.sort_array(F.collect_list(h)).alias(col))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -79,7 +83,7 @@ def as_text(a: Column) -> Column:
 
 
 def ring(ids: DataFrame) -> DataFrame:
-    """k, next_k for distinct longs k: the next larger, and the smallest behind the largest.
+    """k, next_k for distinct numbers k: the next larger, and the smallest behind the largest.
 
     The ids are range-partitioned and written, so that each partition finds its own neighbours;
     only one row per partition takes part in the step across partitions.
@@ -104,7 +108,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     more than HOT_ROWS rows have are joined to its written prefix apart, where Spark can split them.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), text.alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast(_ID), F.lit(_NONE).cast(_ID)).alias("k"), text.alias("text"))
     lengths = written(base.select("k", F.char_length("text").alias("n")).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("rows")))
     asks = written(lengths.join(ring(lengths), "k").select(F.col("next_k"), F.col("k").alias("asker"), (F.col("n") / 2).cast("int").alias("m")))
     heads = base.join(asks, F.col("k") == F.col("next_k")).select("asker", F.struct(F.xxhash64("text").alias("h"), F.substr("text", F.lit(1), F.col("m")).alias("head"), sketch(F.col("text"), k).alias("sk")).alias("next"))
@@ -132,4 +136,4 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
             distinct_shingles(s[0], k).alias("n_shingles"),
         ),
     )[0]
-    return rows.select(F.nullif("k", F.lit(_NONE)).alias("doc_id"), "n_chars", "edited_sha256", out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
+    return rows.select(F.nullif("k", F.lit(_NONE).cast(_ID)).cast("long").alias("doc_id"), "n_chars", "edited_sha256", out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
