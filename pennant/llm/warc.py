@@ -43,8 +43,10 @@ _READ = [("record_id", "string"), ("page_id", "long"), ("url", "string"), ("payl
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _uuid(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("/", page_id.cast("string"), digest).cast("binary"))
+def _uuid(page_id: Column, digest: Column, serial: Column | None = None) -> Column:
+    """The record's name; serial tells rows of one page_id and payload apart, null for the one that revisits refer to."""
+    parts = [F.coalesce(page_id.cast("string"), F.lit("none")), digest] + ([serial.cast("string")] if serial is not None else [])
+    h = F.md5(F.concat_ws("/", *parts).cast("binary"))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -55,16 +57,29 @@ def _uri(page_id: Column, url: Column) -> Column:
 
 
 def resolved(pages: DataFrame, tmp: Scratch, min_bytes: int = 1000) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type, refers_to and refers_uri."""
+    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type, refers_to, refers_uri and serial.
+
+    serial numbers the rows that repeat a page_id and payload, but for one of each; only such rows are
+    written once more, and no group of them is brought together.
+    """
     html = F.coalesce("html", F.lit("")).cast("binary")
     p = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
+    again = tmp.table(p.groupBy(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest"))
     heads = p.where(F.col("payload_bytes") >= min_bytes).select("page_id", "url", "payload_digest", "payload_bytes")
     first = heads.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has_id"), "page_id", "url")).alias("first"), F.count("*").alias("n"))
     # written before the join, so that Spark can split a digest that many headers share
     first = tmp.table(first.where("n > 1 AND first.has_id").select("payload_digest", "payload_bytes", F.col("first.page_id").alias("refers_to"), _uri(F.col("first.page_id"), F.col("first.url")).alias("refers_uri")))
     revisits = heads.drop("url").join(first, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     revisits = tmp.table(revisits.select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to", "refers_uri").distinct())
-    out = p.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left").drop("id", "digest")
+    if again.isEmpty():
+        p = p.withColumn("serial", F.lit(None).cast("long"))
+    else:
+        numbered = tmp.table(p.join(again, same).withColumn("serial", F.monotonically_increasing_id()))
+        first_of = tmp.table(numbered.groupBy("id", "digest").agg(F.min("serial").alias("named")))
+        numbered = numbered.drop("id", "digest").join(first_of, same).withColumn("serial", F.nullif("serial", "named")).drop("id", "digest", "named")
+        p = p.join(again, same, "left_anti").withColumn("serial", F.lit(None).cast("long")).unionByName(numbered)
+    out = p.join(revisits, same, "left").drop("id", "digest")
     return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
@@ -79,7 +94,7 @@ def _headers(date: str) -> tuple[Column, Column]:
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", _uuid(F.col("page_id"), F.col("payload_digest"))),
+        line("WARC-Record-ID", _uuid(F.col("page_id"), F.col("payload_digest"), F.col("serial"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _uri(F.col("page_id"), F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
