@@ -127,13 +127,10 @@ SPELLINGS = [
     ("per cent", "percent"),
     ("favour", "favor"),
 ]
-#: A line that only names who holds the copyright.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|holder:).*$"
-#: The same behind comment signs and with names between: what the scan drops (Java's syntax).
-HOLDER_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*(?:copyright|\(c\)|©)[ \t:]*(?:(?:\(c\)|©|[0-9]{4}|holder:).*|(?!.*(?:licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission))[^\n]{0,100}?\b(?:19|20)[0-9]{2}\b.{0,100}|[\[{<(]*(?:yyyy|year)\b.*)$"
-NAMED_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*(?:Copyright|COPYRIGHT|©)(?:[ \t]*\([cC]\))?(?!.*(?i:licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission|grant))(?:[ \t,]+(?:\p{Lu}[\p{L}.'&-]*|and|by|the|of)){1,8}[ \t]*$"
+#: Lines that only name who holds the copyright, behind comment signs too (Java's syntax).
+HOLDER_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*(?:copyright|\(c\)|©)[ \t:]*(?:(?:\(c\)|©|[0-9]{4}|holder:).*|(?!.*(?:licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission))(?=.*\b(?:19|20)[0-9]{2}\b).*+|[\[{<(]*(?:yyyy|year)\b.*)$"
+NAMED_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*(?:Copyright|COPYRIGHT|©)(?:[ \t]*\([cC]\))?(?!.*(?i:licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission|grant))(?:[ \t,]+(?:\p{Lu}[\p{L}.'&-]*|and|by|the|of))++[ \t]*$"
 RIGHTS_LINE = r"(?m)^[ \t#*/;%!<>|\"'-]*all rights reserved\.?[ \t]*$"
-ALL_RIGHTS = r"(?m)^[ \t]*all rights reserved\.?[ \t]*$"
 #: Each text of KNOWN and FULL_TEXTS has one of these, so only lines with one are looked up in the built-in table.
 LINE_MARK = "(?i)licen[cs]e|permission|redistribut"
 
@@ -185,9 +182,25 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The line patterns' parts for SQL, whose expressions have no lookahead.
+_SIGNS = "^[ \\t#*/;%!<>|\"'-]*"
+_HOLDS = _SIGNS + r"(copyright|\(c\)|©)[ \t:]*"
+_NAMES = _SIGNS + r"(Copyright|COPYRIGHT|©)([ \t]*\([cC]\))?([ \t,]+(\p{Lu}[\p{L}.'&-]*|and|by|the|of))+[ \t]*$"
+_BANNED = "licen[cs]e|notice|holder|owner|law|statement|disclaimer|permission"
+
+
+def _dropped_sql(line: str) -> str:
+    """Whether one of the line patterns drops a line."""
+    match = lambda text, pattern: f"regexp_matches({text}, {_quoted(pattern)})"
+    low = f"lower({line})"
+    dated = f"({match(low, _HOLDS)} AND NOT {match(low, _BANNED)} AND {match(low, r'\b(19|20)[0-9]{2}\b')})"
+    holder = f"({match(low, _HOLDS + r'(\(c\)|©|[0-9]{4}|holder:)')} OR {dated} OR {match(low, _HOLDS + r'[\[{<(]*(yyyy|year)\b')})"
+    named = f"({match(line, _NAMES)} AND NOT {match(low, _BANNED + '|grant')})"
+    return f"({holder} OR {named} OR {match(low, _SIGNS + r'all rights reserved\.?[ \t]*$')})"
+
+
 def _canonical_sql(text: str) -> str:
-    t = f"lower(coalesce({text}, ''))"
-    t = f"regexp_replace(regexp_replace({t}, {_quoted(COPYRIGHT_LINE)}, '', 'g'), {_quoted(ALL_RIGHTS)}, '', 'g')"
+    t = f"lower(array_to_string(list_filter(string_split(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: NOT {_dropped_sql('x')}), chr(10)))"
     for a, b in SPELLINGS:
         t = f"replace({t}, {_quoted(a)}, {_quoted(b)})"
     return f"regexp_replace({t}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"

@@ -223,3 +223,45 @@ def test_a_revisit_of_another_payload_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="no response with the payload"):
         warc.read_archive(spark, path).collect()
     assert warc.digest_of("sha1:" + "A" * 32) == "0" * 40
+
+
+def test_sketches_of_groups_with_names_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    from pennant.llm import fingerprints as f
+
+    rows = spark.createDataFrame([(1, 2, "a b c d e f"), (1, 2, "b c d e f g"), (1, 3, None)], "h int, r int, text string")
+    got = {(x.h, x.r): len(x.s) for x in f.merge_all(rows.select("h", "r", f.sketch(F.col("text")).alias("s")), ["h", "r"], "s").collect()}
+    assert got == {(1, 2): 3}
+
+
+def test_smallest_id_is_not_null(spark):
+    import hashlib
+
+    from pennant.llm import fingerprints as f
+
+    low = -(2**63)
+    docs = spark.createDataFrame([(low, "a b c d"), (None, "e f g h"), (2**63 - 1, "i j k l")], "doc_id long, text string")
+    got = {r.doc_id: r.edited_sha256 for r in f.fingerprint_edits(docs).collect()}
+    # null comes first, then the smallest long, then the largest, whose next is null again
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in {None: "e f a b", low: "a b i j", 2**63 - 1: "i j e f"}.items()}
+
+
+def test_archive_names_each_record_once(spark, tmp_path):
+    """Rows that repeat page_id and payload, and nameless pages of one payload, are records of their own; revisits find theirs."""
+    import gzip
+    import io
+    from glob import glob
+
+    from pennant.llm import warc
+
+    big = "x" * 2000
+    rows = [(1, "u", big), (1, "u", big), (1, "u", big), (2, "u", big), (2, "v", big), (None, "u", "same"), (None, "u", "same"), (None, "u", big), (3, None, "same"), (3, "w", None), (3, "w", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    warc.write_archive(pages, path)
+    ids = [h["warc-record-id"] for f in glob(f"{tmp_path}/a/files/*") for h, _ in warc.records(io.BufferedReader(gzip.open(f))) if h["warc-type"] != "warcinfo"]
+    assert len(ids) == len(set(ids)) == len(rows)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect()), key=str)
+    want = [(i, len(h or ""), "revisit" if h == big and i != 2 else "response", 2 if h == big and i != 2 else None) for i, _, h in rows]
+    assert got == sorted(want, key=str)

@@ -96,6 +96,74 @@ def test_full_licenses_and_copyright_lines(spark):
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {x for x, _ in licenses.FULL_TEXTS}
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <"""
+
+
+def full_texts():
+    """Licence texts that are on this machine: (licence, text), those of the GNU project also without their appendix."""
+    import importlib.metadata as metadata
+    from pathlib import Path
+
+    found = [("Zlib", ZLIB), *[("Unlicense", UNLICENSE + end) for end in ("https://unlicense.org>", "https://unlicense.org/>", "http://unlicense.org/>")]]
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    for name, licence in names.items():
+        file = Path("/usr/share/common-licenses") / name
+        if file.exists():
+            text = file.read_text()
+            found.append((licence, text))
+            end = "END OF TERMS AND CONDITIONS"
+            if end in text:
+                found += [(licence, text[: text.index(end)]), (licence, text[: text.index(end)] + end)]
+    for package in ("requests", "packaging", "tzdata"):
+        try:
+            files = [f for f in metadata.files(package) or [] if "LICENSE" in f.name]
+        except metadata.PackageNotFoundError:
+            continue
+        found += [("Apache-2.0", t) for f in files if "Apache License" in (t := f.locate().read_text())]
+    return found
+
+
+def test_every_digest_has_a_text(spark):
+    """Each digest of a full text is that of a text on this machine, under the licence's name."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from pennant.llm import licenses
+
+    texts = full_texts()
+    rows = spark.createDataFrame(texts, "license string, text string").select("license", licenses.digest(F.col("text")).alias("d")).collect()
+    of = {r.d: r.license for r in rows}
+    known = {d: name for name, d in licenses.FULL_TEXTS}
+    assert all(of[d] == known[d] for d in of if d in known) and {"Zlib", "Unlicense"} <= {known[d] for d in known if d in of}
+    if Path("/usr/share/common-licenses/MPL-2.0").exists():
+        assert [(known[d], d) for d in known if d not in of] == []
+
+
+def test_copyright_lines_of_any_length(spark):
+    """Long lines of names and years are dropped whole, in Spark and in SQL."""
+    import duckdb
+
+    from pennant.llm import licenses
+
+    grant = "Licensed under the MIT License"
+    heads = ["Copyright (c) 2020 " + "x" * 150, "Copyright " + "Jane Doe, " * 30 + "2020", "Copyright 2019-2021 " + "some words " * 3000, "Copyright " + " ".join(["Ann"] * 9000), "Copyright Jane von Doe", "copyright notice of 2020", "# (c) Jane 1999", "   * All Rights Reserved.", "Copyright [yyyy] [name]", "(c) x, a law of 1990"]
+    docs = frame(spark, [f"{h}\n{grant}" for h in heads] + [f"{grant}\r\n© 2001", "", None])
+    plain = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: r[0])
+    got = plain(licenses.license_scan(docs).collect())
+    assert [g[1] for g in got] == ["MIT"] * 4 + [None, None] + ["MIT"] * 3 + [None, "MIT", None, None]
+    documents = docs.toPandas()  # noqa: F841  read by name
+    assert plain(duckdb.sql(licenses.SQL).fetchall()) == got
+
+
 def test_own_license_table_needs_no_mark(spark):
     from pennant.llm import licenses
 
