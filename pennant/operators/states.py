@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 
 from pennant.functions.scalars import date_label, display_name
 from pennant.operators import standings, stats
-from pennant.operators.predict import predictions
-from pennant.operators.stats import SEASON, Keys, finals, team_games
+from pennant.operators.asof import in_order
+from pennant.operators.stats import SEASON, Keys, team_games
 from pennant.settings import RUN_CAP, Settings
 
 STATE = ("season", "state")
 
 
-def in_order(games: DataFrame) -> DataFrame:
-    """Finals with seq, their place by date and id from 0, and n, the season's finals."""
-    w = Window.partitionBy("season").orderBy(F.col("game_date").asc_nulls_last(), "game_id")
-    return finals(games).withColumns({"seq": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("season"))})
-
-
 def states(games: DataFrame, teams: DataFrame, last: int | None = None, since: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(finals with seq, the games of each state, the teams of each state).
 
@@ -89,17 +83,6 @@ def season_timeline(games: DataFrame, teams: DataFrame, settings: Settings = Set
     )
 
 
-def backtest(games: DataFrame, teams: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """PM12: each final without a tie, predicted from the finals before it: season, game_id, p, y, upset, captured."""
-    f, inside, rows = states(games, teams)
-    s = stats.team_stats(inside, rows, RUN_CAP, STATE)
-    asked = f.withColumnRenamed("seq", "state").where("away_runs <> home_runs")
-    p = predictions(asked, s, stats.head_to_head(inside, STATE), settings, STATE)
-    y = (F.col("away_runs") > F.col("home_runs")).cast("long")
-    fav = F.col("away_pct") >= 0.5
-    return p.select("season", "game_id", F.col("away_pct").alias("p"), y.alias("y"), (fav != (y == 1)).alias("upset"), ((F.col("away_pct") <= 0.45) | (F.col("away_pct") >= 0.55)).alias("captured"))
-
-
 def scores(tested: DataFrame, keys: Keys = SEASON) -> DataFrame:
     """Brier score, share of upsets among sure predictions, sample size."""
     upsets = F.count_if("upset")

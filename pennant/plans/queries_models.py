@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pennant.functions import scalars as fn
-from pennant.operators import power, predict, schedule, states, stats, trends
+from pennant.operators import asof, power, predict, schedule, states, stats, trends
 from pennant.plans import league, oracle
 from pennant.plans.oracle import sql
 from pennant.plans.queries_core import stats_of, tidy
@@ -104,7 +104,7 @@ _BACKTEST = f"SELECT split_part(p.season, '#', 1) AS season, p.game_id, away_pct
 
 
 def _tested(spark: SparkSession, d: str) -> DataFrame:
-    return states.backtest(league.games(spark, d), league.teams(spark, d))
+    return asof.backtest(league.games(spark, d), league.teams(spark, d))
 
 
 def _power(spark: SparkSession, d: str) -> DataFrame:
