@@ -4,11 +4,12 @@ A text's words (runs of letters, in lower case) are labelled one by one: a word'
 language is the sum of the weights of its features (affixes of one to three letters, n-grams of
 two to four, the word itself, the languages whose lexicon of frequent words holds it and the one
 where it is most frequent), hashed into BUCKETS; between neighbours stand learned transitions.
+Words that are new to a task are scored together, in arrays over all their letters.
 Forward-backward gives each word's probabilities. code_switches() returns runs of words of one
 language; a whole text's language is the one with the largest mean probability over its words.
 
 The lexicons come from counts over all texts that may be learnt from. The field's weights are learnt
-in one task from a bounded sample: for each language one span of SPAN words from each of at most
+in one task from a bounded sample: for each language one span of SPAN words from each of about
 SAMPLE / languages texts, those whose id hashes lowest. Spans of random lengths are strung together
 across languages, so that transitions between languages are learnt, and the likelihood's gradient
 is followed with a step by feature. The model has a fixed size.
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from pennant.llm.common import Scratch, arrow_batches, spare
 
 #: Buckets of the feature hash, for each of which a language has a weight.
-BUCKETS = 1 << 17
-#: Texts that the weights are learnt from at most, over all languages, and words of each.
+BITS = 17
+BUCKETS = 1 << BITS
+#: About how many texts the weights are learnt from, over all languages (never 1.2 times as many), and words of each.
 SAMPLE, SPAN = 8192, 48
 #: Words of all languages' lexicons at most.
 LEXICON = 40_000
@@ -54,58 +56,102 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LONG = 1 << 20
 
 
-def words(text: str | None) -> Iterator[str] | list[str]:
-    """A text's words, in lower case; those with no letter (numerals of other kinds) aside."""
-    text = (text or "").lower()
-    found = _WORD.findall(text) if len(text) < _LONG else (m[0] for m in _WORD.finditer(text))
-    if text.isascii():
-        return found
-    return filter(_lettered, found)
+def words(text: str | None) -> list[str] | Iterator[str]:
+    """A text's words, as they are written; runs of numerals of other kinds are among them, see lettered()."""
+    text = text or ""
+    return _WORD.findall(text) if len(text) < _LONG else (m[0] for m in _WORD.finditer(text))
 
 
-def _lettered(word: str) -> bool:
+def lettered(word: str) -> bool:
     return word[0].isalpha() or any(map(str.isalpha, word))
 
 
-def features(word: str, lexicon: dict[str, tuple[int, int]], n_langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values. lexicon: word -> bits of the languages that list it, and the one where it is commonest."""
-    names = [f"={word}"] + [f"^{word[:n]}" for n in (1, 2, 3)] + [f"{word[-n:]}$" for n in (1, 2, 3)]
-    value = [1.0] * len(names)
-    held, common = lexicon.get(word, (0, -1))
-    listed = [f"#{i}" for i in range(n_langs) if held >> i & 1] + ([f"!{common}"] if common >= 0 else ["!"])
-    names += listed
-    value += [1.0] * len(listed)
-    edged = f"<{word}>"
-    grams = [edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
-    names += grams
-    value += [len(grams) ** -0.5 * 2] * len(grams)
-    return np.fromiter((xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names), np.int64, len(names)), np.array(value)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _C
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(found: list[str], lexicon: dict[str, tuple[int, int]], n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and values of all words' features, by word, and how many each word has.
+
+    lexicon: word -> bits of the languages that list it, and the one where it is commonest.
+    """
+    n = len(found)
+    size = np.fromiter(map(len, found), np.int64, n) + 2
+    end = np.cumsum(size)
+    start = end - size
+    letters = np.frombuffer("".join(f"<{w}>" for w in found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(n), size)
+    left = np.repeat(end, size) - np.arange(len(letters))  # letters from a place to its word's end
+    owner, at, value = [], [], []
+
+    def add(own: np.ndarray, hashed: np.ndarray, what: int, values: np.ndarray | float = 1.0) -> None:
+        owner.append(own)
+        at.append(_bucket(hashed * _A + np.uint64(what * int(_B) % 2**64)))
+        value.append(np.broadcast_to(values, len(own)))
+
+    grams = np.maximum(size - 1, 0) + np.maximum(size - 2, 0) + np.maximum(size - 3, 0)
+    share = 2.0 / np.sqrt(grams)
+    h = letters
+    for k in (2, 3, 4):
+        h = h[: len(letters) - k + 1] * _B + letters[k - 1 :]
+        whole = np.flatnonzero(left[: len(h)] >= k)
+        add(word[whole], h[whole], k, share[word[whole]])
+    for k in (1, 2, 3):
+        some = np.flatnonzero(size - 2 >= k)
+        for edge, first in ((0, start[some] + 1), (1, end[some] - 1 - k)):
+            h = letters[first]
+            for i in range(1, k):
+                h = h * _B + letters[first + i]
+            add(some, h, 8 + 2 * k + edge)
+    add(np.arange(n), np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, n), 5)
+    listed = [(i, *lexicon[w]) for i, w in enumerate(found) if w in lexicon]
+    own = np.array([x[0] for x in listed], np.int64)
+    add(own, np.array([x[2] for x in listed], np.uint64), 20)
+    for lang in range(n_langs):
+        has = np.array([x[1] >> lang & 1 for x in listed], bool)
+        add(own[has], np.full(int(has.sum()), lang, np.uint64), 21)
+    unlisted = np.ones(n, bool)
+    unlisted[own] = False
+    add(np.flatnonzero(unlisted), np.zeros(int(unlisted.sum()), np.uint64), 22)
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(at)[order], np.concatenate(value)[order], np.bincount(owner, minlength=n)
 
 
 class Scores(dict):
-    """Each word's number; its scores for the languages are that row of table()."""
+    """Each written word's number, -1 without a letter; row i of table() is what number i makes each language's odds."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model, self.rows, self.done = model, [], np.empty((0, len(model["langs"])))
+        self.model, self.new, self.done = model, [], np.empty((0, len(model["langs"])))
 
     def __missing__(self, word: str) -> int:
-        at, value = features(word, self.model["lexicon"], len(self.model["langs"]))
-        self.rows.append(value @ self.model["weights"][at])
-        n = self[word] = len(self)
+        if not lettered(word):
+            n = self[word] = -1
+            return n
+        n = self[word] = len(self.done) + len(self.new)
+        self.new.append(word.lower())
         return n
 
     def table(self) -> np.ndarray:
-        if self.rows:
-            self.done = np.concatenate([self.done, np.array(self.rows)])
-            self.rows = []
+        """exp of the scores, each row's largest 1."""
+        parts = [self.done]
+        for i in range(0, len(self.new), 20_000):
+            at, value, count = features(self.new[i : i + 20_000], self.model["lexicon"], len(self.model["langs"]))
+            e = np.add.reduceat(self.model["weights"][at] * value[:, None], np.cumsum(count) - count)
+            parts.append(np.exp(e - e.max(1, keepdims=True)))
+        self.new, self.done = [], np.concatenate(parts)
         return self.done
 
     def forget(self) -> None:
         """Between batches: the numbers given so far are no longer used."""
-        if len(self) > REMEMBERED:
+        if len(self.done) > REMEMBERED:
             self.clear()
-            self.rows, self.done = [], self.done[:0]
+            self.done = self.done[:0]
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -113,12 +159,12 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def probabilities(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def probabilities(odds: np.ndarray | _Lazy, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Forward-backward over texts laid end to end, in slabs of chunks: text numbers, word numbers, probabilities.
 
-    scores: a function of word numbers is enough, see _Lazy; lengths: words of each text, none 0.
+    odds: by word, exp of its scores; lengths: words of each text, none 0.
     """
-    n_langs = len(start)
+    k = len(start)
     begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     per = -(-lengths // CHUNK)
     text = np.repeat(np.arange(len(lengths)), per)
@@ -126,55 +172,65 @@ def probabilities(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, mo
     first = begin[text] + rank * CHUNK
     size = np.minimum(CHUNK, lengths[text] - rank * CHUNK)
     step, enter = np.exp(move - move.max()), np.exp(start - start.max())
+    back_step = np.ascontiguousarray(step.T)
 
     def local(at: slice) -> np.ndarray:
-        """exp of the scores of the chunks' words: chunks x CHUNK x languages, 1 behind a chunk's end."""
-        where = first[at, None] + np.arange(CHUNK)
-        inside = np.arange(CHUNK) < size[at, None]
-        e = scores[np.where(inside, where, 0)]
-        return np.where(inside[:, :, None], np.exp(e - e.max(2, keepdims=True)), 1.0)
+        """The odds of the chunks' words: CHUNK x chunks x languages, 1 behind a chunk's end."""
+        where = first[at] + np.arange(CHUNK)[:, None]
+        inside = np.arange(CHUNK)[:, None] < size[at]
+        out = odds[np.where(inside, where, 0)]
+        out[~inside] = 1.0
+        return out
 
     slabs = [slice(i, min(i + SLAB, len(text))) for i in range(0, len(text), SLAB)]
-    # what a chunk does to the probabilities in front of it
-    product = np.empty((len(text), n_langs, n_langs))
+    # what a chunk does to the probabilities in front of it; a text's last chunk is followed by none
+    product = np.empty((len(text), k, k))
     if len(lengths) < len(text):
         for at in slabs:
             b, n, fresh = local(at), size[at], rank[at] == 0
-            p = np.broadcast_to(np.eye(n_langs), (len(n), n_langs, n_langs))
-            for t in range(CHUNK):
-                p_next = (p @ step) * b[:, t, None, :]
+            p = np.tile(np.eye(k), (len(n), 1, 1))
+            for t in range(int(n.max())):
+                p_next = (p.reshape(-1, k) @ step).reshape(p.shape) * b[t][:, None, :]
                 if t == 0:
-                    p_next[fresh] = (enter * b[fresh, 0])[:, None, :]
-                p_next /= p_next.sum((1, 2), keepdims=True)
-                p = np.where((t < n)[:, None, None], p_next, p)
-            product[at] = p
-    before, behind = np.full((len(text), n_langs), 1.0 / n_langs), np.ones((len(text), n_langs))
+                    p_next[fresh] = (enter * b[0, fresh])[:, None, :]
+                if t % 8 == 7:
+                    p_next /= p_next.sum((1, 2), keepdims=True)
+                over = t >= n
+                if over.any():
+                    p_next[over] = p[over]
+                p = p_next
+            product[at] = p / p.sum((1, 2), keepdims=True)
+    before, behind = np.full((len(text), k), 1.0 / k), np.ones((len(text), k))
     head = np.flatnonzero(rank == 0)
-    for k in range(1, int(per.max(initial=1))):
-        c = head[per > k] + k
+    for i in range(1, int(per.max(initial=1))):
+        c = head[per > i] + i
         before[c] = _normal((before[c - 1, None, :] @ product[c - 1])[:, 0])
-        c = head[per > k] + per[per > k] - 1 - k
+        c = head[per > i] + per[per > i] - 1 - i
         behind[c] = _normal((product[c + 1] @ behind[c + 1, :, None])[:, :, 0])
     for at in slabs:
         b, n, fresh = local(at), size[at], rank[at] == 0
         ahead = np.empty_like(b)
         a = before[at]
         for t in range(int(n.max())):
-            a_next = (a @ step) * b[:, t]
+            a = (a @ step) * b[t]
             if t == 0:
-                a_next[fresh] = enter * b[fresh, 0]
-            a = ahead[:, t] = _normal(a_next)
+                a[fresh] = enter * b[0, fresh]
+            a = ahead[t] = _normal(a)
         back = behind[at]
         for t in range(int(n.max()) - 1, -1, -1):
-            here = (t < n)[:, None]
-            ahead[:, t] = _normal(ahead[:, t] * back)
-            back = np.where(here, _normal((b[:, t] * back) @ step.T), back)
+            ahead[t] *= back
+            new = (b[t] * back) @ back_step
+            new /= new.sum(1, keepdims=True)
+            over = t >= n
+            if over.any():
+                new[over] = back[over]
+            back = new
         inside = np.arange(CHUNK) < n[:, None]
-        yield np.repeat(text[at], n), (first[at, None] + np.arange(CHUNK))[inside], ahead[inside]
+        yield np.repeat(text[at], n), (first[at, None] + np.arange(CHUNK))[inside], _normal(ahead.swapaxes(0, 1)[inside])
 
 
 class _Lazy:
-    """Rows of a table of word scores by the numbers of the words in their texts."""
+    """Rows of a table of words by the numbers of the words in their texts."""
 
     def __init__(self, table: np.ndarray, numbers: np.ndarray):
         self.table, self.numbers = table, numbers
@@ -216,14 +272,13 @@ def learn(spans: list[tuple[int, list[str]]], lexicon: dict, n_langs: int) -> tu
     for _ in range(EPOCHS):
         for i in r.permutation(len(spans)):
             lang, span = spans[i]
-            own = [number.setdefault(w, len(number)) for w in span[: int(r.integers(1, len(span) + 1))]]
+            own = [number.setdefault(w.lower(), len(number)) for w in span[: int(r.integers(1, len(span) + 1))]]
             stream += own
             labels += [lang] * len(own)
     n = max(1, len(stream) // LENGTH)
     stream, labels = (np.resize(np.array(v), (n, LENGTH)) for v in (stream, labels))
-    rows = [features(w, lexicon, n_langs) for w in number]
-    at, value = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])
-    ends = np.cumsum([len(x[0]) for x in rows])
+    at, value, counts = features(list(number), lexicon, n_langs)
+    ends = np.cumsum(counts)
     starts = np.concatenate([[0], ends[:-1]])
     weights, start, move = np.zeros((BUCKETS, n_langs)), np.zeros(n_langs), np.zeros((n_langs, n_langs))
     spent = [np.full_like(x, 1e-2) for x in (weights, start, move)]
@@ -248,20 +303,22 @@ def learn(spans: list[tuple[int, list[str]]], lexicon: dict, n_langs: int) -> tu
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words by language, counted within the task as far as these fit."""
-    held: Counter[tuple[str, str]] = Counter()
+    held: dict[str, Counter[str]] = {}
 
     def packed() -> pa.RecordBatch:
-        keys = list(held)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
+        rows = Counter()
+        for lang, counts in held.items():
+            for w, n in counts.items():
+                if lettered(w):
+                    rows[lang, w.lower()] += n
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], ["lang", "word", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for w, n in Counter(words(text)).items():
-                held[lang, w] += n
-            if len(held) > COUNTED:
-                yield packed()
+            held.setdefault(lang, Counter()).update(words(text))
+        if sum(map(len, held.values())) > COUNTED:
+            yield packed()
     if held:
         yield packed()
 
@@ -271,7 +328,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = list(words(text))
+            found = [w for w in words(text) if lettered(w)]
             at = h % max(1, len(found) - SPAN + 1)
             out.append(found[at : at + SPAN])
         yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["h", "lang", "words"])
@@ -290,16 +347,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> dict
         langs = sorted(r.lang for r in totals.select("lang").collect())
         if not langs:
             return {"langs": []}
-        each = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-        listed = counts.withColumn("place", F.row_number().over(each)).where(F.col("place") <= max(1, lexicon // len(langs)))
+        # the least count from which on a language's words fit its lexicon: from the number of words of each count
+        sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
+        down = Window.partitionBy("lang").orderBy(F.desc("n"))
+        least = sizes.withColumn("words", F.sum("words").over(down)).where(F.col("words") <= max(1, lexicon // len(langs))).groupBy("lang").agg(F.min("n").alias("least"))
+        listed = counts.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least"))
         rows = listed.join(F.broadcast(totals), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share")).collect()
         index = {lang: i for i, lang in enumerate(langs)}
         words_of: dict[str, tuple[int, int]] = {}
         for word, of in groupby(sorted(rows, key=lambda r: r.word), key=lambda r: r.word):
             of = list(of)
             words_of[word] = (sum(1 << index[r.lang] for r in of), index[max(of, key=lambda r: (r.share, r.lang)).lang])
-        h = F.xxhash64("doc_id")
-        picked = docs.select("lang", "doc_id", h.alias("h")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= max(1, sample // len(langs)))
+        all_ids = tmp.table(docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct())
+        share = all_ids.groupBy("lang").agg((F.lit(sample / len(langs)) / F.count("*")).alias("share"))
+        # hashes are spread evenly: those below a language's share of their range are about as many as asked for
+        picked = all_ids.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 12) < F.col("share") * float(1 << 52))
         ids = tmp.table(picked.select("lang", "doc_id", "h"))
         texts = docs.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
         spans = tmp.table(texts.select("h", "lang", "text").mapInArrow(_spans, "h long, lang string, words array<string>").where(F.size("words") > 0))
@@ -327,6 +389,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> dict
 def _numbered(texts: list[str | None], scores: Scores) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all words of the texts, end to end, and how many words each text has."""
     found = [np.fromiter(map(scores.__getitem__, words(t)), np.int32) for t in texts]
+    found = [f[f >= 0] if len(f) and f.min() < 0 else f for f in found]
     lengths = np.array([len(f) for f in found], np.int64)
     return (np.concatenate(found) if len(found) else np.empty(0, np.int32)), lengths
 

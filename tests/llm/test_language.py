@@ -37,7 +37,7 @@ def test_probabilities_equal_enumeration():
     lengths = np.array([1, 5, 3, 7])
     scores, start, move = r.normal(size=(16, 3)) * 2, r.normal(size=3), r.normal(size=(3, 3))
     got = np.empty((16, 3))
-    for _, at, p in L.probabilities(scores, lengths, start, move):
+    for _, at, p in L.probabilities(np.exp(scores), lengths, start, move):
         got[at] = p
     ends = np.cumsum(lengths)
     want = np.concatenate([enumerated(scores[e - n : e], start, move) for n, e in zip(lengths, ends, strict=True)])
@@ -65,7 +65,7 @@ def test_long_texts_in_chunks_and_slabs(monkeypatch):
     for slab in (5, 8192):
         monkeypatch.setattr(L, "SLAB", slab)
         got, texts = np.full_like(scores, np.nan), np.empty(len(scores), int)
-        for text_of, at, p in L.probabilities(scores, lengths, start, move):
+        for text_of, at, p in L.probabilities(np.exp(scores), lengths, start, move):
             got[at], texts[at] = p, text_of
         assert np.allclose(got, want) and (texts == np.repeat(np.arange(7), lengths)).all()
 
@@ -86,10 +86,26 @@ def test_gradient_equals_differences():
 
 
 def test_words():
-    assert list(L.words("Ab-c1d É_ß ² Ⅷ x")) == ["ab", "c", "d", "é", "ß", "x"]
-    assert list(L.words(None)) == list(L.words("12 .. ²")) == []
+    of = lambda t: [w.lower() for w in L.words(t) if L.lettered(w)]
+    assert of("Ab-c1d É_ß ² Ⅷ x") == ["ab", "c", "d", "é", "ß", "x"]
+    assert of(None) == of("12 .. ²") == []
     long = "Word é " * 300_000
-    assert list(L.words(long)) == ["word", "é"] * 300_000
+    assert of(long) == ["word", "é"] * 300_000
+
+
+def test_features_are_those_of_the_word_alone():
+    """A word's features don't depend on the words beside it, and count its n-grams, affixes, self and lexicon marks."""
+    lexicon = {"the": (0b11, 1), "ß": (0b10, 1)}
+    found = ["the", "a", "ß", "日本語", "thorough", "x" * 5000]
+    at, value, count = L.features(found, lexicon, 2)
+    ends = np.cumsum(count)
+    for w, n, e in zip(found, count, ends, strict=True):
+        one = L.features([w], lexicon, 2)
+        assert n == one[2][0] and (at[e - n : e] == one[0]).all() and np.allclose(value[e - n : e], one[1])
+        marks = 1 + bin(lexicon[w][0]).count("1") if w in lexicon else 1
+        grams = sum(max(0, len(w) + 2 - k + 1) for k in (2, 3, 4))
+        assert n == grams + 2 * min(3, len(w)) + 1 + marks
+        assert np.isclose(np.sort(value[e - n : e])[:grams].max() if grams > 4 else 0.5, 2 / grams**0.5 if grams > 4 else 0.5)
 
 
 @pytest.fixture(scope="module")
