@@ -186,21 +186,112 @@ def one_result_states(games: DataFrame, stats: DataFrame, predicted: DataFrame,
     return t.withColumn("tpi", F.when(on, tpi).otherwise(F.col("tpi"))).drop("a", "h", "_d", "_r", "sos")
 
 
+def _season_lines(stats: DataFrame, h2h: DataFrame, left: DataFrame, settings: Settings, keys: Keys) -> DataFrame:
+    """One row for each season: its teams in the order of their ids as an array, and all records between them by place * teams + place."""
+    t = stats.join(left, [*keys, "team_id"], "left").withColumns({"points": points(settings.win_points, settings.tie_points), "remaining": F.coalesce("remaining", F.lit(0)).cast("long")})
+    t = t.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("team_id")) - 1)
+    most = F.col("points") + F.col("remaining") * float(settings.win_points)
+    line = F.struct("place", "team_id", "pct", "run_diff", "ra", "rs", F.round("tpi", 4).alias("tpi"), "points", most.alias("most"))
+    lines = t.groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    places = t.select(*keys, "team_id", "place")
+    met = h2h.join(places, [*keys, "team_id"]).join(places.select(*keys, F.col("team_id").alias("opp_id"), F.col("place").alias("other")), [*keys, "opp_id"])
+    met = met.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("place", "other"), F.struct("wins", "losses", "ties")))).alias("met"))
+    n = F.size("lines")
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("wins", "losses", "ties")])
+    records = F.transform(F.sequence(F.lit(0), n * n - 1), lambda i: F.coalesce(F.element_at("met", F.struct(F.floor(i / n).cast("int").alias("place"), (i % n).cast("int").alias("other"))), none))
+    return lines.join(met, list(keys), "left").select(*keys, "lines", records.alias("records"))
+
+
+def _after_one(games: DataFrame, stats: DataFrame, predicted: DataFrame, settings: Settings, keys: Keys) -> DataFrame:
+    """keys, game_id, winner_id and of both teams of each open game and winner what that result makes of them: four lines a game."""
+    cap = max(0, min(RUN_CAP, settings.max_run_differential)) or RUN_CAP * 10
+    g = remaining(games).join(predicted.select(*keys, "game_id", "away_score", "home_score"), [*keys, "game_id"]).select(*keys, "game_id", "away_id", "home_id", "away_score", "home_score")
+    for side in ("away", "home"):
+        line = F.struct("games", "w", "t", "rs", "ra", "run_diff", "sos").alias(side)
+        g = g.join(stats.select(*keys, F.col("team_id").alias(f"{side}_id"), line), [*keys, f"{side}_id"], "left")
+    g = g.withColumn("winner_id", F.explode(F.array("away_id", "home_id")))
+    away_won = F.col("winner_id") == F.col("away_id")
+    a = F.when(away_won & (F.col("away_score") <= F.col("home_score")), F.col("home_score") + 1).otherwise(F.col("away_score"))
+    h = F.when(~away_won & (F.col("home_score") <= F.col("away_score")), F.col("away_score") + 1).otherwise(F.col("home_score"))
+    g = g.withColumns({"a": a, "h": h})
+
+    def line(side: str, mine: str, other: str) -> Column:
+        t, d = F.col(side), F.col(mine) - F.col(other)
+        games = t["games"] + 1
+        pct = (t["w"] + (d > 0).cast("int") + t["t"] * 0.5) / games
+        diff = t["run_diff"] + F.greatest(F.least(d, F.lit(cap)), F.lit(-cap))
+        tpi = clamp(diff / games, -8.0, 8.0) + pct * 2 + t["sos"] * 0.2
+        return F.struct(pct.alias("pct"), diff.alias("run_diff"), (t["ra"] + F.col(other)).alias("ra"), (t["rs"] + F.col(mine)).alias("rs"), F.round(tpi, 4).alias("tpi"), (d > 0).alias("won"))
+
+    return g.select(*keys, "game_id", "winner_id", "away_id", "home_id", line("away", "a", "h").alias("away"), line("home", "h", "a").alias("home"))
+
+
 def one_result_status(games: DataFrame, stats: DataFrame, h2h: DataFrame, left: DataFrame, predicted: DataFrame, settings: Settings = Settings(), keys: Keys = SEASON) -> DataFrame:
-    """MC13: rank and status of every team after each open game goes either way, and title: its points can't be reached."""
+    """MC13: rank and status of every team after each open game goes either way, and title: its points can't be reached.
+
+    One row for each game and winner, which holds its season's teams as an array: only the lines of
+    the game's two teams are new, the others keep theirs, and the array is put in order once. Nothing
+    is grouped by game and winner; a row for each team is made at the end.
+    """
+    cut, win = settings.gold_cutoff, float(settings.win_points)
+    g = _after_one(games, stats, predicted, settings, keys).join(_season_lines(stats, h2h, left, settings, keys), list(keys))
+
+    def changed(x: Column, new: Column) -> Column:
+        gain = F.when(new["won"], win).otherwise(0.0)
+        most = x["most"] - F.when(new["won"], 0.0).otherwise(win)
+        return F.struct(x["place"], x["team_id"], new["pct"].alias("pct"), new["run_diff"].cast("long").alias("run_diff"), new["ra"].cast("long").alias("ra"), new["rs"].cast("long").alias("rs"), new["tpi"].alias("tpi"), (x["points"] + gain).alias("points"), most.alias("most"))
+
+    kept = lambda x: F.struct(x["place"], x["team_id"], x["pct"], x["run_diff"].cast("long").alias("run_diff"), x["ra"].cast("long").alias("ra"), x["rs"].cast("long").alias("rs"), x["tpi"], x["points"], x["most"])
+    is_away, is_home = (lambda x: x["team_id"] == F.col("away_id")), (lambda x: x["team_id"] == F.col("home_id"))
+    g = g.withColumn("t", F.transform("lines", lambda x: F.when(is_away(x), changed(x, F.col("away"))).when(is_home(x), changed(x, F.col("home"))).otherwise(kept(x))))
+    g = g.drop("lines", "away", "home")
+
+    # the teams by percentage, each with the value that leads its tie group
+    start = F.array().cast("array<struct<anchor:double,place:int>>")
+
+    def led(found: Column, x: Column) -> Column:
+        last = F.element_at(found, -1)["anchor"]
+        value = -x["minus"]
+        return F.concat(found, F.array(F.struct(F.when((F.size(found) == 0) | (last - value > standings.TOLERANCE), value).otherwise(last).alias("anchor"), x["place"].alias("place"))))
+
+    by_pct = F.sort_array(F.transform("t", lambda x: F.struct((-x["pct"]).alias("minus"), x["place"])))
+    g = g.withColumn("led", F.aggregate(by_pct, start, led))
+    n = F.size("t")
+
+    def h2h_key(i: Column, x: Column) -> Column:
+        """Minus the share of the games against the other of a group of two, 0 if that is a half or there is no such group."""
+        same = lambda j: F.coalesce(F.get("led", j)["anchor"] == F.get("led", i)["anchor"], F.lit(False)) & (j >= 0)
+        ahead, behind = same(i - 1) & ~same(i - 2) & ~same(i + 1), same(i + 1) & ~same(i + 2) & ~same(i - 1)
+        once = lambda value, body: F.transform(F.array(value), body)[0]
+
+        def share(other: Column) -> Column:
+            rival, won = F.get("t", other), (F.col("winner_id") == x["team_id"]).cast("int")
+            own = ((is_away(x) & is_home(rival)) | (is_home(x) & is_away(rival))).cast("int")
+            r = F.get("records", x["place"] * n + other)
+            return once(F.struct(r["wins"].alias("w"), r["losses"].alias("l"), r["ties"].alias("t"), own.alias("own")), lambda r: F.try_divide(r["w"] + won * r["own"] + r["t"] * 0.5, r["w"] + r["l"] + r["t"] + r["own"]))
+
+        key = lambda mine: F.coalesce(F.when(F.abs(mine * 2 - 1) > standings.TOLERANCE, -mine), F.lit(0.0))
+        other = F.get("led", F.when(ahead, i - 1).when(behind, i + 1))["place"]
+        return once(other, lambda o: F.when(o.isNull(), 0.0).otherwise(once(share(o), key)))
+
+    terms = {"headToHead": h2h_key, "runDifferential": lambda i, x: -x["run_diff"], "runsAgainst": lambda i, x: x["ra"], "runsFor": lambda i, x: -x["rs"]}
+
+    def order(i: Column) -> Column:
+        x = F.get("t", F.get("led", i)["place"])
+        return F.struct((-F.get("led", i)["anchor"]).alias("a"), *[terms[f](i, x).alias(f) for f in settings.factors], (-x["tpi"]).alias("tpi"), x["team_id"].alias("team_id"), x["place"].alias("place"))
+
+    g = g.withColumn("sorted", F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), order)))
     by = [*keys, "game_id", "winner_id"]
-    s = one_result_states(games, stats, predicted, settings, keys)
-    # only the pair of the game has another record than before
-    other = F.when(F.col("team_id") == F.col("away_id"), F.col("home_id")).when(F.col("team_id") == F.col("home_id"), F.col("away_id"))
-    own, won = F.coalesce(F.col("opp_id") == other, F.lit(False)), F.col("winner_id") == F.col("team_id")
-    ranked = standings.rank_teams(s, h2h, settings, by, keys, ((own & won).cast("int"), (own & ~won).cast("int")))
-    n = s.select(*by, "team_id", "away_id", "home_id").join(left, [*keys, "team_id"], "left").select(*by, "team_id", (F.coalesce("remaining", F.lit(0)) - ((F.col("team_id") == F.col("away_id")) | (F.col("team_id") == F.col("home_id"))).cast("long")).alias("remaining"))
-    status = standings.gold_status(ranked.drop("away_id", "home_id"), n, settings, by)
-    every = Window.partitionBy(*by)
-    best = F.sort_array(F.collect_list("max_points").over(every), asc=False)
-    mine = F.col("max_points")
-    others = F.when(best[0] == mine, F.try_element_at(best, F.lit(2))).otherwise(best[0])
-    return status.withColumn("title", F.coalesce(others < F.col("points"), F.lit(True)))
+    # outer: else Spark infers a filter on the array, which computes it anew for each of its elements
+    g = g.select(*by, "t", F.posexplode_outer("sorted").alias("i", "o"))
+    me = F.get("t", F.col("o.place"))
+    g = g.select(*by, "t", F.col("o.team_id").alias("team_id"), (F.col("i") + 1).cast("long").alias("rank"), me["points"].alias("points"), me["most"].alias("max_points"), F.col("o.place").alias("place"))
+    blockers = F.size(F.filter("t", lambda y: y["points"] > F.col("max_points"))).cast("long")
+    catchers = (F.size(F.filter("t", lambda y: y["most"] >= F.col("points"))) - 1).cast("long")
+    title = ~F.exists("t", lambda y: (y["place"] != F.col("place")) & (y["most"] >= F.col("points")))
+    g = g.withColumns({"blockers_ahead": blockers, "catchers": catchers, "title": title}).drop("t", "place")
+    status = F.when(F.col("blockers_ahead") >= cut, "Eliminated").when(F.col("catchers") < cut, "Clinched").when(F.col("rank") <= cut, "In").otherwise("Alive")
+    return g.withColumn("gold_status", status)
 
 
 def game_badges(games: DataFrame, one_result: DataFrame, board: DataFrame, impacts: DataFrame, settings: Settings = Settings(), keys: Keys = SEASON) -> DataFrame:
