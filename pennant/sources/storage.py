@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import time
+import uuid
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
+
+from pennant.sources.commits import Commits
 
 TEAMS = "season string, team_id string, name string, ord long"
 MATCHUPS = "season string, game_id string, ord long, date_text string, away_id string, home_id string"
@@ -44,25 +49,61 @@ def load(spark: SparkSession, path: str, schema: str | StructType, legacy: str |
     return spark.createDataFrame([], schema)
 
 
+SCHEMAS = {"teams": TEAMS, "matchups": MATCHUPS, "logs": LOGS, "bracket_logs": LOGS, "settings": SETTINGS}
+
+
 def load_all(spark: SparkSession, path: str, legacy: str | None = None) -> Stored:
-    """SRC6: the five tables below path."""
-    schemas = {"teams": TEAMS, "matchups": MATCHUPS, "logs": LOGS, "bracket_logs": LOGS, "settings": SETTINGS}
-    return Stored(**{n: load(spark, f"{path}/{n}", s, f"{legacy}/{n}" if legacy else None) for n, s in schemas.items()})
+    """SRC6, SRC7: the five tables of the latest commit below path.
+
+    Without one, tables that lie there or at the former place are carried over: once, as a first
+    commit of all five, from which every later reader reads.
+    """
+    latest = Commits(spark, f"{path}/commits").current()
+    if latest is None:
+        found = Stored(**{n: load(spark, f"{path}/{n}", s, f"{legacy}/{n}" if legacy else None) for n, s in SCHEMAS.items()})
+        if all(df.isEmpty() for df in found) or not save_all(found, path):
+            return found
+        latest = Commits(spark, f"{path}/commits").current()
+    return Stored(**{n: load(spark, f"{path}/{latest[1]['version']}/{n}", s) for n, s in SCHEMAS.items()})
+
+
+#: What a store that can't be written to raises, in Java's names.
+_STORE = re.compile(r"java\.(?:io|nio\.file|net)\.\w*Exception|org\.apache\.hadoop\.\S*Exception")
 
 
 def save(df: DataFrame, path: str) -> bool:
-    """SNK5: writes the table, a folder for each season; False if that failed."""
+    """Writes the table, a folder for each season; False if the store failed. Wrong plans and failing rows are raised."""
     try:
         df.write.mode("overwrite").partitionBy("season").parquet(path)
-    except Exception as e:  # noqa: BLE001  whatever the store says, the caller goes on with what it has
+    except (Py4JJavaError, PySparkException) as e:
+        if isinstance(e, AnalysisException) or not _STORE.search(str(e)):
+            raise
         df.sparkSession.sparkContext._jvm.org.apache.logging.log4j.LogManager.getLogger("pennant").warn(f"{path} was not saved: {e}")
         return False
     return True
 
 
 def save_all(stored: Stored, path: str) -> bool:
-    """SNK5: the five tables below path; False if one of them failed."""
-    return all([save(df, f"{path}/{n}") for n, df in stored._asdict().items()])
+    """SNK5: the five tables below path, by one commit; False if one of them failed, and then all stay as they were.
+
+    They are written to a version of their own, and the commit that names it is the last step. The
+    version before stays, for those who read it now; older ones go.
+    """
+    spark, version = stored.teams.sparkSession, f"versions/{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    try:
+        commits = Commits(spark, f"{path}/commits")
+        before = commits.current()
+        if not all(save(df, f"{path}/{version}/{n}") for n, df in stored._asdict().items()):
+            commits.remove(version)
+            return False
+        commits.commit({"version": version, "before": before[1]["version"] if before else None}, before[0] if before else 0)
+        kept = {version, before[1]["version"] if before else None}
+        commits.remove(*[f"versions/{v}" for v in commits.beside("versions") if f"versions/{v}" not in kept])
+    except Py4JJavaError as e:
+        if not _STORE.search(str(e)):
+            raise
+        return False
+    return True
 
 
 def capture_undo(stored: Stored, path: str, label: str) -> bool:

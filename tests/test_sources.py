@@ -91,3 +91,46 @@ def test_tables_undo_and_entries(spark, tmp_path):
     assert len(got) == 29 and got["demo-01"].asDict() == next(r for r in kept.logs.collect() if r.game_id == "demo-01").asDict()
     _, games = schedule.demo_season(spark)
     assert mutations.toggle_final(games, games.select("season", "game_id")).where("is_final").count() == 10
+
+
+def test_five_tables_are_one_commit(spark, tmp_path, monkeypatch):
+    """A table that fails leaves all five as they were; a failure of the plan is raised; the former place is carried over once."""
+    kept, place = season_tables(spark), str(tmp_path / "store")
+    assert storage.save_all(kept, place)
+    changed = kept._replace(teams=kept.teams.limit(2), settings=kept.settings.where("false"))
+    plain = storage.save
+
+    def fourth_fails(df, path):
+        return False if path.endswith("bracket_logs") else plain(df, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(storage, "save", fourth_fails)
+        assert storage.save_all(changed, place) is False
+    now = storage.load_all(spark, place)
+    assert rows_of(now.teams) == rows_of(kept.teams) and rows_of(now.settings) == rows_of(kept.settings)
+    assert len(list((tmp_path / "store" / "versions").iterdir())) == 1
+    assert storage.save_all(changed, place) and storage.load_all(spark, place).teams.count() == 2
+    for _ in range(2):
+        assert storage.save_all(kept, place)
+    assert len(list((tmp_path / "store" / "versions").iterdir())) == 2
+    with pytest.raises(Exception, match="no_such_column"):
+        storage.save(kept.teams.selectExpr("season", "raise_error('no_such_column') AS x"), str(tmp_path / "x"))
+    # a former place without commits: carried over by the first reader, then left alone
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    for name, df in kept._asdict().items():
+        plain(df, f"{old}/{name}")
+    assert rows_of(storage.load_all(spark, new, old).logs) == rows_of(kept.logs)
+    plain(kept.teams.limit(1), f"{old}/teams")
+    assert rows_of(storage.load_all(spark, new, old).teams) == rows_of(kept.teams) and len(list((tmp_path / "new" / "commits").glob("*.json"))) == 1
+
+
+def test_of_two_commits_at_once_one_fails(spark, tmp_path):
+    from pennant.sources.commits import Commits
+
+    a, b = Commits(spark, str(tmp_path / "c")), Commits(spark, str(tmp_path / "c"))
+    assert a.current() is None and a.commit({"x": 1}, 0) == 1
+    with pytest.raises(RuntimeError):
+        b.commit({"x": 2}, 0)
+    for i in range(3):
+        a.commit({"x": i})
+    assert b.current() == (4, {"x": 2}) and len(list((tmp_path / "c").glob("*.json"))) == 2

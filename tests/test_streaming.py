@@ -49,3 +49,45 @@ def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
     first = ranks(spark.read.parquet(f"{out}/batch=0"))
     live.apply_batch(changes, 0, place, teams, out)
     assert ranks(spark.read.parquet(f"{out}/batch=0")) == first and live.stored(spark, place, changes.schema).where("is_final").count() == 19
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    """Data and manifest are written, the commit isn't: readers see what was there, and the batch runs again."""
+    import pytest
+
+    from pennant.sources.commits import Commits
+
+    teams, games = schedule.demo_season(spark)
+    place, out = str(tmp_path / "games"), str(tmp_path / "out")
+    live.begin(games, place)
+    changes = scored(games, ["demo-20"], (9, 2), 1)
+
+    def fails(*_):
+        raise OSError("the store is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Commits, "commit", fails)
+        with pytest.raises(OSError):
+            live.apply_batch(changes, 0, place, teams, out)
+    assert live.stored(spark, place, changes.schema).where("is_final").count() == 18
+    live.apply_batch(changes, 0, place, teams, out)
+    assert live.stored(spark, place, changes.schema).where("is_final").count() == 19
+
+
+def test_batches_open_only_their_seasons_and_compaction_keeps_them(spark, tmp_path):
+    teams, games = schedule.demo_season(spark)
+    games = games.unionByName(games.withColumn("season", F.lit("other")))
+    place, out = str(tmp_path / "games"), str(tmp_path / "out")
+    live.begin(games, place)
+    for i, g in enumerate(("demo-20", "demo-21", "demo-22")):
+        live.apply_batch(scored(games.where("season = 'demo'"), [g], (9, 2), i), i, place, teams, out)
+    schema = scored(games, ["demo-20"], (9, 2), 1).schema
+    opened = {f.split("/games/games/")[1].split("/")[0] for f in live.stored(spark, place, schema).inputFiles() if "/games/games/" in f}
+    assert len(opened) == 2 and "begin" in opened  # the other season, and the latest batch
+    before = sorted(map(str, live.stored(spark, place, schema).collect()))
+    live.compact(spark, place, schema)
+    assert sorted(map(str, live.stored(spark, place, schema).collect())) == before
+    left = sorted(p.name[:7] for p in (tmp_path / "games" / "games").iterdir())
+    assert left == ["batch-0", "begin", "compact"]  # the last batch can still start again
+    live.apply_batch(scored(games.where("season = 'demo'"), ["demo-22"], (9, 2), 2), 2, place, teams, out)
+    assert sorted(map(str, live.stored(spark, place, schema).collect())) == before
