@@ -236,3 +236,11 @@ def blank_log(inns: Column | str = "6") -> Column:
 def team_format(name: Column, w: Column, l: Column, t: Column) -> Column:  # noqa: E741
     """F8: how a team is shown: its name, abbreviation and record."""
     return F.struct(display_name(name).alias("display"), team_abbr(name).alias("abbr"), record_text(w, l, t).alias("record"))
+
+
+def match_score(query: Column, target: Column) -> Column:
+    """2 if the target holds the query, 1 if it holds its characters in order (or the query is empty), else 0; letters in either case, null targets are empty."""
+    q, t = F.lower(query), F.lower(F.coalesce(target, F.lit("")))
+    step = lambda i, c: i + F.when(F.substr(q, i + 1, F.lit(1)) == c, 1).otherwise(0)
+    held = F.aggregate(F.split(t, ""), F.lit(0), step)
+    return F.when(F.length(q) == 0, 1).when(F.contains(t, q), 2).when(held == F.length(q), 1).otherwise(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pennant.functions.scalars import display_name, week_ending
+from pennant.functions.scalars import display_name, match_score, week_ending
 from pennant.operators.stats import SEASON, Keys, finals, is_final, remaining, team_games
 
 
@@ -128,3 +128,11 @@ def demo_season(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         stat((F.col("i") + F.col("a")) % 6 + 2, "away_k"), stat((F.col("i") + F.col("h")) % 6 + 2, "home_k"), *zero, F.lit(6).cast("long").alias("innings"),
     )
     return teams, games
+
+
+def found_commands(commands: DataFrame, queries: DataFrame, keys: Keys = SEASON) -> DataFrame:
+    """For each query (keys, query) the commands (keys, label, hint, ord) that match it by label or hint, best first, with score and place."""
+    score = F.greatest(match_score(F.col("query"), F.col("label")), match_score(F.col("query"), F.col("hint")))
+    hits = commands.join(queries, list(keys)).withColumn("score", score.cast("long")).where("score > 0")
+    w = Window.partitionBy(*keys, "query").orderBy(F.desc("score"), "ord")
+    return hits.withColumn("place", F.row_number().over(w).cast("long"))

@@ -184,6 +184,23 @@ _COMPARED = " UNION ALL ".join(
     ]
 ).replace("{j}", "ranked a JOIN ranked b ON a.season = b.season AND b.rank = a.rank + 1")
 
+# --- commands found by name -----------------------------------------------------------------------
+
+
+def _found(s: SparkSession, d: str) -> DataFrame:
+    """Every team looked up by its name's consonants and by the first four letters of the next one's."""
+    t = league.teams(s, d).select("season", F.col("name").alias("label"), F.col("team_id").alias("hint"), "ord")
+    short = F.array(F.regexp_replace("label", "[AEIOU ]", ""), F.lower(F.left("label", F.lit(4))))
+    queries = t.select("season", F.explode(short).alias("query")).distinct()
+    return schedule.found_commands(t, queries).select("season", "query", "place", "label", "score")
+
+
+_IN_ORDER = "regexp_matches(lower({t}), array_to_string(list_transform(string_split(lower(query), ''), lambda c: regexp_escape(c)), '.*'))"
+_SCORE = "CASE WHEN query = '' THEN 1 WHEN contains(lower({t}), lower(query)) THEN 2 WHEN " + _IN_ORDER + " THEN 1 ELSE 0 END"
+_FOUND = f"""SELECT season, query, row_number() OVER (PARTITION BY season, query ORDER BY score DESC, ord) AS place, label, score FROM (
+  SELECT t.season, query, t.name AS label, ord, CAST(greatest({_SCORE.format(t="t.name")}, {_SCORE.format(t="t.team_id")}) AS BIGINT) AS score
+  FROM teams t JOIN (SELECT DISTINCT season, unnest([regexp_replace(name, '[AEIOU ]', '', 'g'), lower(left(name, 4))]) AS query FROM teams) q USING (season)) WHERE score > 0"""
+
 # --- one result more -----------------------------------------------------------------------------
 
 
@@ -415,6 +432,7 @@ MORE = {
     ),
     "w5_power_ranks": (lambda s, d: tidy(_power(s, d).select("season", "rank", "team_id", "rating")), _power_sql("SELECT season, rank, team_id, rating FROM power", "rating")),
     "o13_first_ratings": (lambda s, d: _power(s, d).where("rank <= 6").select("season", "rank", "name"), _power_sql("SELECT season, rank, name FROM power WHERE rank <= 6")),
+    "o11_found_commands": (lambda s, d: _found(s, d), sql("games", _FOUND)),
     "mc1_one_result_states": (
         lambda s, d: tidy(_one_result(s, d).select("season", "game_id", "winner_id", "team_id", "w", "l", "rs", "ra", "run_diff", "pct", "tpi")),
         sql("ranked", "SELECT season, game_id, winner_id, team_id, w, l, rs, ra, run_diff, pct, tpi FROM one", "pct, tpi", more=f"{_JOINED}, {_ONE}"),

@@ -161,3 +161,12 @@ def test_compared_teams(spark):
         ("3-1", "2-1-1", None), ("75%", "63%", "left"), ("+4", "+4", "tie"), ("5.0", "5.5", "right"), ("4.0", "4.5", "left"), ("6.0", "6.0", "tie"),
         ("2.0", "1.0", "right"), ("3.0", "3.5", "right"), ("+1.25", "-0.50", "left"), ("80%", "81%", "right"), ("#1", "#2", "left"), ("#2", "#1", "right"),
     ]
+
+
+def test_match_scores(spark):
+    """Held whole, held in order, not held; any case; empty queries match all."""
+    from pennant.functions.scalars import match_score
+
+    rows = [("", "x", 1), ("go", "Go to scores", 2), ("gts", "Go to scores", 1), ("stg", "Go to scores", 0), ("GTS", "go to scores", 1), ("a", None, 0), ("", None, 1), ("aa", "a", 0), ("ß.", "Straße. ", 1), ("s.", "a.s", 0)]
+    df = spark.createDataFrame(rows, "q string, t string, want int")
+    assert [(r.got, r.q) for r in df.select(match_score(df.q, df.t).alias("got"), "q").collect()] == [(r[2], r[0]) for r in rows]
