@@ -91,3 +91,41 @@ def test_batches_open_only_their_seasons_and_compaction_keeps_them(spark, tmp_pa
     assert left == ["batch-0", "begin", "compact"]  # the last batch can still start again
     live.apply_batch(scored(games.where("season = 'demo'"), ["demo-22"], (9, 2), 2), 2, place, teams, out)
     assert sorted(map(str, live.stored(spark, place, schema).collect())) == before
+
+
+def test_the_latest_request_wins(spark, tmp_path):
+    """The first of two requests is cancelled while it runs, and only the second one's result is there."""
+    import threading
+    import time
+
+    from pyspark import InheritableThread
+
+    from pennant.streaming.latest import Latest
+
+    table = Latest(spark, str(tmp_path / "table"))
+    assert table.read("id long").count() == 0
+    began, ended = tmp_path / "began", {}
+
+    def slowly(batches):
+        began.touch()
+        time.sleep(60)
+        yield from batches
+
+    def first():
+        at = time.time()
+        ended["first"] = (table.run(lambda: spark.range(3).coalesce(1).mapInPandas(slowly, "id long")), time.time() - at)
+
+    thread = InheritableThread(target=first)
+    thread.start()
+    while not began.exists():
+        time.sleep(0.1)
+    assert table.run(lambda: spark.range(5)) is True
+    thread.join(50)
+    assert ended["first"][0] is False and ended["first"][1] < 50
+    assert table.read("id long").count() == 5
+    assert table.run(lambda: spark.range(2)) and table.run(lambda: spark.range(7)) and table.read("id long").count() == 7
+    assert len(list((tmp_path / "table" / "versions").iterdir())) == 2 and threading.active_count() < 50
+    import pytest
+
+    with pytest.raises(Exception, match="no_such"):
+        table.run(lambda: spark.range(1).selectExpr("raise_error('no_such') AS id"))
