@@ -184,6 +184,17 @@ _COMPARED = " UNION ALL ".join(
     ]
 ).replace("{j}", "ranked a JOIN ranked b ON a.season = b.season AND b.rank = a.rank + 1")
 
+# --- a schedule file for each season --------------------------------------------------------------
+
+
+def _season_files(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Every season written to a schedule file of its own, all read in one and parsed."""
+    path = shared_dir(s)
+    games = league.games(s, d).withColumn("date_text", fn.date_label(F.col("game_date")))
+    schedule_csv.write_seasons(games, league.teams(s, d).select("season", "team_id", "name"), path)
+    return schedule_csv.parse(schedule_csv.read_seasons(s, path)[0])
+
+
 # --- commands found by name -----------------------------------------------------------------------
 
 
@@ -387,6 +398,11 @@ MORE = {
         sql("games", "SELECT kind, rows[1] AS first_row, n || ' row(s) skipped: ' || CASE kind WHEN 'missing-team' THEN 'missing Away/Home team' WHEN 'unknown-team' THEN 'team name mismatch' ELSE 'duplicate Game ID' END || ' (rows ' || array_to_string(rows[1:5], ', ') || CASE WHEN n > 5 THEN ', +' || (n - 5) || ' more' ELSE '' END || ')' || CASE WHEN kind = 'unknown-team' THEN ' — ' || d1 || '; ' || d2 ELSE '' END AS line FROM (SELECT ['missing-team', 'unknown-team', 'duplicate-id'][ord % 3 + 1] AS kind, count(*) AS n, list(ord ORDER BY ord) AS rows FROM games GROUP BY 1), (SELECT min(away_id) FILTER (WHERE nth = 1) AS d1, min(away_id) FILTER (WHERE nth = 2) AS d2 FROM (SELECT away_id, row_number() OVER (ORDER BY min(ord)) AS nth FROM games WHERE ord % 3 = 1 GROUP BY away_id))"),
     ),
     "src1_schedule_rows": (lambda s, d: _schedule(s, d).select("game_id", "date", "away", "home", "away_runs", "home_runs", "innings"), sql("games", "SELECT game_id, strftime(game_date, '%-m/%-d') AS date, a.n_name AS away, h.n_name AS home, coalesce(CAST(away_runs AS VARCHAR), '') AS away_runs, coalesce(CAST(home_runs AS VARCHAR), '') AS home_runs, '6' AS innings FROM games JOIN nation a ON away_id = 'N' || lpad(CAST(a.n_nationkey AS VARCHAR), 2, '0') JOIN nation h ON home_id = 'N' || lpad(CAST(h.n_nationkey AS VARCHAR), 2, '0')")),
+    "src1_season_files": (lambda s, d: _season_files(s, d)[2].select("season", "game_id", "away_runs", "home_runs", "away_hits", "home_hits", "away_k", "home_k", "is_final"), sql("games", "SELECT season, game_id, " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in ("away_runs", "home_runs", "away_hits", "home_hits", "away_k", "home_k")) + ", is_final FROM games")),
+    "src3_season_games": (
+        lambda s, d: (p := _season_files(s, d)) and p[1].select("season", "game_id", "ord", "date_text", *[F.col(f"{x}_id").alias(x) for x in _SIDES]).join(p[0].select("season", F.col("team_id").alias("away"), F.col("name").alias("away_name")), ["season", "away"]).select("season", "game_id", "ord", "date_text", "away_name"),
+        sql("games", "SELECT season, game_id, row_number() OVER (PARTITION BY season ORDER BY ord) + 1 AS ord, strftime(game_date, '%-m/%-d') AS date_text, n_name AS away_name FROM games JOIN nation ON away_id = 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')"),
+    ),
     "src3_parsed_logs": (lambda s, d: schedule_csv.parse(_schedule(s, d))[2].select("game_id", "away_runs", "home_runs", "away_hits", "home_hits", "away_k", "home_k", "is_final"), sql("games", "SELECT game_id, " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in ("away_runs", "home_runs", "away_hits", "home_hits", "away_k", "home_k")) + ", is_final FROM games")),
     "src3_parsed_teams": (lambda s, d: schedule_csv.parse(_schedule(s, d))[0].select("name", "ord"), sql("games", "SELECT n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS ord FROM nation WHERE 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') IN (SELECT away_id FROM games UNION SELECT home_id FROM games)")),
     "src4_unguarded": (lambda s, d: league.team_names(s, d).select("team_id", fn.csv_unguard(F.concat(F.lit(" '"), F.when(F.col("ord") % 2 == 0, "=").otherwise(""), "name")).alias("cell")), f"SELECT {_TEAM} AS team_id, CASE WHEN n_nationkey % 2 = 0 THEN '=' || n_name ELSE chr(39) || n_name END AS cell FROM nation"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,29 +50,69 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("row_number", F.row_number().over(place) + 1).drop("_at", "_file")
 
 
+_FIELDS = [*REQUIRED, *OPTIONAL]
+
+
+def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (season, content) to their rows, each file by its own header; a file that can't be used is one row with its problem."""
+    names = ["season", "row_number", "problem", *_FIELDS]
+    for batch in batches:
+        for season, content in zip(batch.column("season").to_pylist(), batch.column("content"), strict=True):
+            lines = csv.reader(io.StringIO(content.as_py().decode("utf-8-sig", "replace"), newline=""))
+            head = next((x for x in lines if any(map(str.strip, x))), [])
+            at = {normal_header(h): i for i, h in reversed(list(enumerate(head)))}
+            places = [next((at[normal_header(n)] for n in (REQUIRED | OPTIONAL)[f] if normal_header(n) in at), None) for f in _FIELDS]
+            out = []
+            if any(p is None for p in places[: len(REQUIRED)]):
+                out.append((season, None, "Missing required columns" if head else "CSV has no rows", *[""] * len(_FIELDS)))
+            else:
+                for n, x in enumerate((x for x in lines if x), 2):
+                    out.append((season, n, None, *["" if p is None or p >= len(x) else x[p].strip() for p in places]))
+                if not out:
+                    out.append((season, None, "CSV has no rows", *[""] * len(_FIELDS)))
+            for i in range(0, len(out), 10_000):
+                columns = list(zip(*out[i : i + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "row_number" else pa.string()) for k, c in zip(names, columns, strict=True)], names)
+
+
+def read_seasons(spark: SparkSession, path: str, season: str = r"season=([^/]+)/|([^/]+?)(?:\.csv)?$") -> tuple[DataFrame, DataFrame]:
+    """SRC1 of many files: (rows, issues). rows are those of read_rows with the season that a file's path names (the
+    pattern's group that matches); each file is read by its own header, in either layout, and numbers its own rows. A
+    file without rows or without a required column is an issue, and the others are read nevertheless (files of no bytes are not seen).
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
+    named = F.coalesce(*[F.nullif(F.regexp_extract("path", season, i + 1), F.lit("")) for i in range(re.compile(season).groups)])
+    text = ", ".join(f"{f} string" for f in _FIELDS)
+    every = files.select(named.alias("season"), "content").mapInArrow(_file_rows, f"season string, row_number long, problem string, {text}")
+    issues = every.where("problem IS NOT NULL").select("season", F.col("problem").alias("kind"), "row_number", F.lit(None).cast("string").alias("detail"))
+    return every.where("problem IS NULL").select("season", "row_number", *[csv_unguard(F.col(f)).alias(f) for f in _FIELDS]), issues
+
+
 def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """SRC1, SRC3: (teams, matchups, logs, issues) of a schedule's rows.
+    """SRC1, SRC3: (teams, matchups, logs, issues) of a schedule's rows; of each season's own, if rows have a season.
 
     A row without both teams or with an id seen before is an issue. Both runs make a final, whose
     missing strikeouts are 0. Walks allowed are the explicit column's, else the other side's walks.
     """
-    names = rows.select(F.explode(F.array("away", "home")).alias("said")).where("said <> ''").distinct().withColumn("name", display_name(F.col("said")))
-    listed = names.select(F.lit("").alias("season"), "name", F.row_number().over(Window.orderBy("name", "said")).cast("long").alias("ord"), "said")  # the league's teams: few
-    teams = with_team_ids(listed.drop("said")).join(listed.select("ord", "said"), "ord").select("team_id", F.col("said").alias("name"), (F.col("ord") - 1).alias("ord"))
+    keys = ["season"] if "season" in rows.columns else []
+    rows = rows if keys else rows.withColumn("season", F.lit(""))
+    names = rows.select("season", F.explode(F.array("away", "home")).alias("said")).where("said <> ''").distinct().withColumn("name", display_name(F.col("said")))
+    listed = names.select("season", "name", F.row_number().over(Window.partitionBy("season").orderBy("name", "said")).cast("long").alias("ord"), "said")  # a league's teams: few
+    teams = with_team_ids(listed.drop("said")).join(listed.select("season", "ord", "said"), ["season", "ord"]).select("season", "team_id", F.col("said").alias("name"), (F.col("ord") - 1).alias("ord"))
     whole = (F.col("away") != "") & (F.col("home") != "")
     r = rows.withColumn("game_id", F.when(F.col("game_id") == "", F.concat(F.lit("game_"), (F.col("row_number") - 2).cast("string"))).otherwise(F.col("game_id")))
-    r = r.withColumn("nth", F.when(whole, F.row_number().over(Window.partitionBy("game_id", whole).orderBy("row_number"))))
+    r = r.withColumn("nth", F.when(whole, F.row_number().over(Window.partitionBy("season", "game_id", whole).orderBy("row_number"))))
     kind = F.when(~whole, "missing-team").when(F.col("nth") > 1, "duplicate-id")
-    issues = r.select(kind.alias("kind"), "row_number", F.when(whole, F.col("game_id")).alias("detail")).where("kind IS NOT NULL")
+    issues = r.select(*keys, kind.alias("kind"), "row_number", F.when(whole, F.col("game_id")).alias("detail")).where("kind IS NOT NULL")
     kept = r.where("nth = 1")
     for side in ("away", "home"):
-        kept = kept.join(teams.select(F.col("name").alias(side), F.col("team_id").alias(f"{side}_id")), side)
-    matchups = kept.select("game_id", F.col("row_number").cast("long").alias("ord"), normal_date(F.col("date")).alias("date_text"), "away_id", "home_id")
+        kept = kept.join(teams.select("season", F.col("name").alias(side), F.col("team_id").alias(f"{side}_id")), ["season", side])
+    matchups = kept.select(*keys, "game_id", F.col("row_number").cast("long").alias("ord"), normal_date(F.col("date")).alias("date_text"), "away_id", "home_id")
     final = (F.col("away_runs") != "") & (F.col("home_runs") != "")
     k = lambda c: F.when(final & (F.col(c) == ""), "0").otherwise(F.col(c)).alias(c)
     walks = lambda own, other: F.coalesce(F.nullif(F.col(own), F.lit("")), F.col(other)).alias(own)
-    logs = kept.select("game_id", "away_runs", "home_runs", "away_hits", "home_hits", k("away_k"), k("home_k"), "away_errors", "home_errors", walks("away_walks", "home_bb"), walks("home_walks", "away_bb"), F.when(F.col("innings") == "", "6").otherwise(F.col("innings")).alias("innings"), final.alias("is_final"))
-    return teams, matchups, logs, issues
+    logs = kept.select(*keys, "game_id", "away_runs", "home_runs", "away_hits", "home_hits", k("away_k"), k("home_k"), "away_errors", "home_errors", walks("away_walks", "home_bb"), walks("home_walks", "away_bb"), F.when(F.col("innings") == "", "6").otherwise(F.col("innings")).alias("innings"), final.alias("is_final"))
+    return (teams if keys else teams.drop("season")), matchups, logs, issues
 
 
 def team_list(text: str) -> list[str]:
@@ -76,11 +120,11 @@ def team_list(text: str) -> list[str]:
     return list(dict.fromkeys(n for n in (p.strip() for p in re.split(r"\r?\n|,", text)) if n))
 
 
-def layout(games: DataFrame, names: DataFrame, mode: str = "machine") -> DataFrame:
-    """SNK1, SNK3: games (text or whole numbers) as the columns of a schedule file."""
+def layout(games: DataFrame, names: DataFrame, mode: str = "machine", keys: tuple[str, ...] = ()) -> DataFrame:
+    """SNK1, SNK3: games (text or whole numbers) as the columns of a schedule file, behind the keys."""
     g = games
     for side in ("away", "home"):
-        g = g.join(names.select(F.col("team_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")), f"{side}_id", "left")
+        g = g.join(names.select(*keys, F.col("team_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")), [*keys, f"{side}_id"], "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     head = [text("game_id").alias("Game ID"), text("date_text").alias("Date")]
 
@@ -92,10 +136,16 @@ def layout(games: DataFrame, names: DataFrame, mode: str = "machine") -> DataFra
         bip = F.col(f"{s}_hits").try_cast("double") + F.col("innings").try_cast("double") * 3 - F.col(f"{s}_k").try_cast("double")
         return [*cols, text(f"{s}_k").alias(f"{t} K"), F.coalesce(bip.cast("long").cast("string"), F.lit("")).alias(f"{t} BIP")]
 
-    out = g.orderBy("ord").select(*head, text("innings").alias("Innings"), *side("away"), *side("home"))
-    return out.select(*[csv_guard(F.col(f"`{c}`")).alias(c) for c in out.columns])
+    in_order = g.repartition(*keys).sortWithinPartitions(*keys, "ord") if keys else g.orderBy("ord")
+    out = in_order.select(*keys, *head, text("innings").alias("Innings"), *side("away"), *side("home"))
+    return out.select(*keys, *[csv_guard(F.col(f"`{c}`")).alias(c) for c in out.columns if c not in keys])
 
 
 def write(games: DataFrame, names: DataFrame, path: str, mode: str = "machine") -> None:
     """SNK1: a schedule file (a folder of parts) at path."""
     layout(games, names, mode).write.option("escape", '"').csv(path, header=True, mode="overwrite", emptyValue="")
+
+
+def write_seasons(games: DataFrame, names: DataFrame, path: str, mode: str = "machine") -> None:
+    """SNK1 for many seasons: a folder for each season, with a schedule file in it, all in one job."""
+    layout(games, names, mode, ("season",)).write.option("escape", '"').partitionBy("season").csv(path, header=True, mode="overwrite", emptyValue="")

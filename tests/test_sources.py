@@ -134,3 +134,18 @@ def test_of_two_commits_at_once_one_fails(spark, tmp_path):
     for i in range(3):
         a.commit({"x": i})
     assert b.current() == (4, {"x": 2}) and len(list((tmp_path / "c").glob("*.json"))) == 2
+
+
+def test_many_schedule_files_in_one_read(spark, tmp_path):
+    """Each file by its own header and with ids, duplicates and teams of its own; unusable files are issues."""
+    (tmp_path / "a.csv").write_text("Game ID,Date,Away Team,Away Runs,Home Team,Home Runs\ng1,5/1,Aces,3,Bears,2\ng1,5/2,Aces,,Bears,\n", encoding="utf-8-sig")
+    (tmp_path / "b.csv").write_text('Home Team,Away Team,Date,Game ID,Home Runs,Away Runs,Away BB\nBears,"Cats, big",5/3,g1,1,4,7\n\n,Cats,5/4,,,\nBears,Dogs\n')
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "d.csv").write_text("\n")
+    rows, bad = schedule_csv.read_seasons(spark, str(tmp_path))
+    assert {(r.season, r.kind) for r in bad.collect()} == {("c", "Missing required columns"), ("d", "CSV has no rows")}
+    teams, games, logs, issues = schedule_csv.parse(rows)
+    assert sorted((r.season, r.team_id, r.name) for r in teams.collect()) == [("a", "ACES", "Aces"), ("a", "BEAR", "Bears"), ("b", "BEAR", "Bears"), ("b", "CAT1", "Cats, big"), ("b", "CATS", "Cats"), ("b", "DOGS", "Dogs")]
+    assert sorted((r.season, r.kind, r.row_number) for r in issues.collect()) == [("a", "duplicate-id", 3), ("b", "missing-team", 3)]
+    assert sorted((r.season, r.game_id, r.away_id, r.home_id, r.date_text) for r in games.collect()) == [("a", "g1", "ACES", "BEAR", "5/1"), ("b", "g1", "CAT1", "BEAR", "5/3"), ("b", "game_2", "DOGS", "BEAR", "")]
+    assert {(r.season, r.game_id): (r.away_runs, r.home_walks, r.is_final) for r in logs.collect()} == {("a", "g1"): ("3", "", True), ("b", "g1"): ("4", "7", True), ("b", "game_2"): ("", "", False)}
