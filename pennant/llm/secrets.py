@@ -1,32 +1,41 @@
 """Secrets: assignments, access keys and hexadecimal strings, and strings that look random.
 
 The method takes every run of at least MIN_LENGTH encoding characters, infers its encoding, and
-tests the hypothesis that its symbols are random: a chi-squared test of the alphabet's uniformity,
-a runs test around the median and a test of the serial correlation, a test of
-equal pairs, one of neighbours and two of letters and pairs of letters as in words, joined by Bonferroni's
-bound. Per stratum of encoding and length the Benjamini-Hochberg procedure over all candidates of
-the table rejects the hypothesis, but never at a p-value above LEVEL, however many candidates are
-wordlike; what it doesn't reject is a secret. So the error that is controlled is that of dropping a
-random string: RATES bounds, for each stratum, the expected share of random strings among those that are
-dropped, and LEVEL the share of random strings that are dropped. The other error, wordlike strings
-that are reported, isn't bounded by the procedure; it falls with the length, and the tests measure it.
+measures how random its symbols look: a chi-squared test of the alphabet's uniformity, a runs test
+around the median and a test of the serial correlation, a test of equal pairs, one of neighbours and two
+of letters and pairs of letters as in words, joined by Bonferroni's bound.
+
+What is reported are discoveries against the hypothesis that a candidate is wordlike: put together
+from words of the table, as identifiers are. A chain over pairs of letters is fitted on all texts (without the
+candidates themselves); NULLS strings of it, for each stratum of encoding and length, give the
+distribution of the battery's p-value for wordlike strings. Per stratum the Benjamini-Hochberg procedure
+over all candidates of the table picks those that look more random than wordlike strings do: RATES bounds,
+by length, the expected share of wordlike strings among those that are reported. A string whose
+randomness the battery rejects at LEVEL is never reported. The other error, random strings that are not
+reported, falls with the length and rises the rarer they are among the candidates of their stratum; the
+tests measure it. Where the candidates of a stratum are all but wordlike, a secret among them can stay below what
+NULLS strings resolve.
 
 Null texts are empty; empty texts hold nothing; repeated rows get the same result each, and each
-counts in the procedure.
+counts in the procedure. An empty table gives no rows; other columns stay, but for text and those that
+the results replace. Texts of any length are scanned whole; without letters the chain is that of English.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.llm.common import arrow_batches, replaced, spare, written
+from pennant.llm.common import arrow_batches, deal, replaced, spare, written
 from pennant.llm.spans import SPANS, Span, as_arrow, joined, ordered
 
 #: "random" is the kind of the spans that the method adds.
@@ -39,11 +48,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 MIN_LENGTH = 20
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}")
-#: The share of rejections that may be wrong, by length class: short wordlike strings are the
-#: hardest to tell from random ones, so more is rejected there.
+#: The share of reported strings that may be wordlike, by length (from 20, 40, 80 on): short ones are the
+#: hardest to tell apart, so more is allowed there.
 RATES = [0.1, 0.03, 0.01]
-#: No string is rejected at a p-value above this, so about this share of the random strings is lost at most.
+#: No string is reported whose randomness is rejected at this level.
 LEVEL = 1e-3
+#: Wordlike strings by which the p-values of a stratum are measured, and in how many parts they are made.
+NULLS, PARTS = 8192, 16
+#: Length classes, STEPS to a doubling from MIN_LENGTH; the last one has no end.
+STEPS, LENGTHS = 4, 13
 #: p-values are counted in bins of this many to a power of ten, down to 1e-LOWEST.
 BINS, LOWEST = 8, 16
 
@@ -148,8 +161,13 @@ def randomness(token: str, which: int) -> float:
 
 
 def stratum(which: int, length: int) -> int:
-    """Encoding and length class (doubling from MIN_LENGTH) as one number."""
-    return which * 32 + min(31, int(math.log2(length / MIN_LENGTH)))
+    """Encoding and length class as one number."""
+    return which * LENGTHS + min(LENGTHS - 1, int(STEPS * math.log2(length / MIN_LENGTH)))
+
+
+def shortest(stratum: int) -> int:
+    """The least length of a stratum's strings: those that look most random, whatever they are."""
+    return math.ceil(MIN_LENGTH * 2 ** (stratum % LENGTHS / STEPS))
 
 
 def _bin(p: float) -> int:
@@ -188,40 +206,145 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
     return out
 
 
+#: States of the chain of letters: a to z, and all that isn't a letter.
+_STATES, _BETWEEN = 27, 26
+_STATE = np.full(256, _BETWEEN, np.int64)
+_STATE[[ord(c) for c in _LOWER + _UPPER]] = [*range(26), *range(26)]
+#: The chain's weight, in letters, before any text is seen: English letters, common pairs more often, words of five letters.
+PRIOR = 1000
+
+
+def letter_pairs(text: str) -> np.ndarray:
+    """How often each pair of states follows in the text, without its candidates."""
+    codes = _STATE[np.frombuffer(f" {_CANDIDATE.sub(' ', text)} ".encode("ascii", "replace"), np.uint8)]
+    return np.bincount(codes[:-1] * _STATES + codes[1:], minlength=_STATES * _STATES)
+
+
+def chain(counts: dict[int, int]) -> list[list[float]]:
+    """Weights of the next state by state, from counts of pairs and the prior."""
+    share = [f / sum(_ENGLISH) for f in _ENGLISH]
+    out = []
+    for i in range(_STATES):
+        row = [PRIOR / _STATES * f * (4 if i < 26 and _LOWER[i] + _LOWER[j] in _COMMON else 1) for j, f in enumerate(share)]
+        row = [w + counts.get(i * _STATES + j, 0) for j, w in enumerate(row)]
+        out.append([*row, 0.0 if i == _BETWEEN else PRIOR / _STATES / 4 + counts.get(i * _STATES + _BETWEEN, 0)])
+    return out
+
+
+class Wordlike:
+    """Strings of an encoding that are put together from words of the chain, as identifiers are."""
+
+    def __init__(self, weights: list[list[float]], which: int):
+        name, alphabet, *_ = _SETS[which]
+        self.which = which
+        self.upper = not alphabet & set(_LOWER)
+        self.mixed = bool(alphabet & set(_UPPER)) and not self.upper
+        self.digits = [c for c in _DIGITS if c in alphabet]
+        self.marks = [c for c in "+/-_" if c in alphabet]
+        fits = [c in alphabet or c.upper() in alphabet for c in _LOWER] + [True]
+        self.sums = [list(accumulate(w if ok else 0.0 for w, ok in zip(row, fits, strict=True))) for row in weights]
+
+    def _word(self, draw: random.Random) -> str:
+        out, state = "", _BETWEEN
+        while True:
+            sums = self.sums[state]
+            state = min(_BETWEEN, bisect_right(sums, draw.random() * sums[-1]))
+            if state == _BETWEEN:
+                return out
+            out += _LOWER[state]
+
+    def _drawn(self, draw: random.Random, n: int) -> str:
+        out, capitals = "", draw.random() < 0.5
+        while len(out) < n:
+            word = self._word(draw)
+            if self.upper:
+                word = word.upper()
+            elif self.mixed and (out or capitals):
+                word = word[:1].upper() + word[1:]
+            out += word
+            if self.digits and draw.random() < 0.3:
+                out += "".join(draw.choice(self.digits) for _ in range(draw.randint(1, 4)))
+            if self.marks and draw.random() < 0.5:
+                out += draw.choice(self.marks)
+        return out[:n]
+
+    def draw(self, draw: random.Random, n: int) -> str:
+        """A string of n symbols, if possible one of which the encoding is inferred."""
+        for _ in range(20):
+            out = self._drawn(draw, n)
+            if encoding(set(out)) == self.which:
+                break
+        return out
+
+
 _TESTED = "array<struct<start:int,end:int,stratum:int,bin:int>>"
 _TESTED_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("bin", pa.int32())]))
+_PAIRS = "array<struct<pair:int,n:bigint>>"
+_PAIRS_TYPE = pa.list_(pa.struct([("pair", pa.int32()), ("n", pa.int64())]))
 
 
 def _scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Base spans and tested candidates of each text; the first row of a batch holds the batch's pairs of letters."""
     for batch in batches:
         texts = [t.as_py() or "" for t in batch]
         base = [base_spans(t) for t in texts]
         tested = [[dict(zip(("start", "end", "stratum", "bin"), c, strict=True)) for c in candidates(t, b)] for t, b in zip(texts, base, strict=True)]
-        yield pa.StructArray.from_arrays([as_arrow(base), pa.array(tested, _TESTED_TYPE)], ["base", "tested"])
+        total = sum(map(letter_pairs, texts), np.zeros(_STATES * _STATES, np.int64))
+        pairs = [[{"pair": int(i), "n": int(total[i])} for i in np.flatnonzero(total)], *[None] * len(texts)][: len(texts)]
+        yield pa.StructArray.from_arrays([as_arrow(base), pa.array(tested, _TESTED_TYPE), pa.array(pairs, _PAIRS_TYPE)], ["base", "tested", "pairs"])
+
+
+def wordlike_bins(strata: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """stratum, bin of NULLS wordlike strings for each stratum, by the chain of the counts of pairs. strata: stratum, each once."""
+    weights = chain(counts)
 
+    @F.arrow_udf("array<int>")
+    def bins(strata: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for s, part in zip(strata.to_pylist(), parts.to_pylist(), strict=True):
+            draw, which = random.Random(f"{s}:{part}"), s // LENGTHS
+            words, n = Wordlike(weights, which), shortest(s)
+            out.append([_bin(randomness(words.draw(draw, n), which)) for _ in range(NULLS // PARTS)])
+        return pa.array(out, pa.list_(pa.int32()))
 
-def rejected_from(tested: DataFrame, rates: list[float] = RATES) -> DataFrame:
-    """stratum, bin: the least bin that Benjamini and Hochberg's procedure rejects. tested: stratum, bin.
+    parts = deal(strata.select("stratum", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")), "stratum", "part")
+    return parts.select("stratum", F.explode(bins("stratum", "part")).alias("bin"))
 
-    Only counts by stratum and bin leave the tasks (at most 32 * len(ENCODINGS) * (LOWEST * BINS + 1) rows).
+
+def reported_below(tested: DataFrame, null: DataFrame, rates: list[float] = RATES) -> DataFrame:
+    """stratum, below: strings in bins below it are Benjamini and Hochberg's discoveries. tested, null: stratum, bin.
+
+    The p-value of a bin is the share of null's strings, and of the one tested, that look at least as random.
+    Only counts by stratum and bin leave the tasks (at most LENGTHS * len(ENCODINGS) * (LOWEST * BINS + 1) rows).
     """
-    n = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
-    per = n.groupBy("stratum").agg(F.sum("n").alias("m"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    above = lambda b: F.aggregate(F.filter("bins", lambda x: x["bin"] >= b), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    rate = F.element_at(F.array(*map(F.lit, rates)), F.least(F.col("stratum") % 32 + 1, F.lit(len(rates))))
-    least = F.transform("bins", lambda x: F.when(F.pow(F.lit(10.0), -x["bin"] / float(BINS)) * F.col("m") <= rate * above(x["bin"]), x["bin"]))
-    return per.select("stratum", F.greatest(F.coalesce(F.array_min(least), F.lit(LOWEST * BINS + 1)), F.lit(_bin(LEVEL))).alias("reject"))
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        n = df.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+        return n.groupBy("stratum").agg(F.collect_list(F.struct("bin", "n")).alias(name))
+
+    upto = lambda bins, b: F.aggregate(F.filter(bins, lambda x: x["bin"] <= b), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    end = F.lit(LOWEST * BINS)
+    per = counted(tested, "found").join(counted(null, "wordlike"), "stratum", "left")
+    per = per.withColumns({"m": upto("found", end), "nulls": upto(F.coalesce("wordlike", F.slice("found", 1, 0)), end)})
+    p = lambda b: (1 + upto(F.coalesce("wordlike", F.slice("found", 1, 0)), b)) / (1 + F.col("nulls"))
+    doubling = ((F.col("stratum") % LENGTHS) / STEPS).cast("int")
+    rate = F.element_at(F.array(*map(F.lit, rates)), F.least(doubling + 1, F.lit(len(rates))))
+    ok = F.transform("found", lambda x: F.when(p(x["bin"]) * F.col("m") <= rate * upto("found", x["bin"]), x["bin"] + 1))
+    return per.select("stratum", F.least(F.coalesce(F.array_max(ok), F.lit(0)), F.lit(_bin(LEVEL))).alias("below"))
 
 
 def secrets(docs: DataFrame, rates: list[float] = RATES) -> DataFrame:
     """docs with base and spans, lists of (kind, start, end); they replace columns of these names, and text goes."""
     arrow_batches(docs.sparkSession)
-    scan = F.arrow_udf(_scanned, f"struct<base:{SPANS},tested:{_TESTED}>")
+    scan = F.arrow_udf(_scanned, f"struct<base:{SPANS},tested:{_TESTED},pairs:{_PAIRS}>")
     same = replaced(docs, "base", "spans", "text")
     (seen,) = spare(docs, "seen")
     out = written(docs.select(*same, scan(F.col("text")).alias(seen)))
-    # at most one row for each stratum
-    limits = rejected_from(out.select(F.explode(F.col(seen)["tested"]).alias("t")).select("t.*"), rates).collect()
+    # at most _STATES * _STATES rows, and one for each stratum
+    counts = out.select(F.explode(F.col(seen)["pairs"]).alias("t")).groupBy("t.pair").agg(F.sum("t.n").alias("n")).collect()
+    tested = out.select(F.explode(F.col(seen)["tested"]).alias("t")).select("t.stratum", "t.bin")
+    null = wordlike_bins(tested.select("stratum").distinct(), {r.pair: r.n for r in counts})
+    limits = reported_below(tested, null, rates).collect()
     table = F.create_map(*[F.lit(v) for r in limits or [(-1, 0)] for v in r])
     kept = F.filter(F.col(seen)["tested"], lambda t: t["bin"] < F.element_at(table, t["stratum"]))
     more = F.transform(kept, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))

@@ -164,33 +164,60 @@ def test_p_values_by_hand():
 
 
 def test_procedure_is_benjamini_and_hochberg(spark):
+    """Against p-values counted by hand on the wordlike strings; a stratum without any of them reports nothing."""
     from pennant.llm import secrets
 
     r = np.random.default_rng(9)
-    rows, want = [], {}
-    for stratum, share in ((0, 0.9), (33, 0.4), (66, 0.0)):
-        bins = [int(r.integers(20, 128)) if r.random() < share else int(r.integers(0, 9)) for _ in range(400)]
-        rows += [(stratum, b) for b in bins]
-        rate = secrets.RATES[min(stratum % 32, len(secrets.RATES) - 1)]
-        ps = sorted((10 ** (-b / secrets.BINS), b) for b in bins)
-        ok = [b for i, (p, b) in enumerate(ps, 1) if p * len(ps) <= rate * sum(q <= p for q, _ in ps)]
-        want[stratum] = max(min(ok, default=secrets.LOWEST * secrets.BINS + 1), secrets._bin(secrets.LEVEL))
-    got = {x.stratum: x.reject for x in secrets.rejected_from(spark.createDataFrame(rows, "stratum int, bin int")).collect()}
-    assert got == want
-
-
-@pytest.mark.parametrize("n", [20, 24, 32, 40])
-def test_both_errors_by_length(n):
-    """Of random strings at most 1 % are dropped at LEVEL; of wordlike ones fewer are reported the longer they are."""
+    end = secrets.LOWEST * secrets.BINS
+    rows, null, want = [], [], {}
+    for stratum, share in ((0, 0.9), (5, 0.4), (secrets.LENGTHS + 9, 0.0), (2, 1.0)):
+        bins = [int(r.integers(20, end + 1)) if r.random() < share else int(r.integers(0, 9)) for _ in range(400)]
+        words = [] if stratum == 2 else [int(r.integers(4, 100)) for _ in range(2000)]
+        rows, null = rows + [(stratum, b) for b in bins], null + [(stratum, b) for b in words]
+        rate = secrets.RATES[min(stratum % secrets.LENGTHS // secrets.STEPS, len(secrets.RATES) - 1)]
+        p = lambda b: (1 + sum(w <= b for w in words)) / (1 + len(words))  # noqa: E731, B023
+        ok = [b + 1 for b in bins if p(b) * len(bins) <= rate * sum(x <= b for x in bins)]
+        want[stratum] = min(max(ok, default=0), secrets._bin(secrets.LEVEL))
+    tables = [spark.createDataFrame(x, "stratum int, bin int") for x in (rows, null)]
+    assert {x.stratum: x.below for x in secrets.reported_below(*tables).collect()} == want
+    assert want[0] and want[2] == 0
+
+
+#: Identifiers are made of these; the texts that the chain is fitted on hold other words too.
+IDENTIFIERS = ["stream", "reader", "table", "handler", "factory", "index", "remote", "value", "user", "name", "config", "search", "window", "result", "message", "buffer", "service", "account", "session", "manager"]
+PROSE = "the reader of this table keeps an index of every value while a remote user sends the message and the service answers with the name of the window that the search result belongs to before another session starts"
+
+
+@pytest.mark.parametrize(("n", "wordlike", "missed"), [(20, 0.12, 0.05), (24, 0.12, 0.03), (32, 0.05, 0.02), (40, 0.02, 0.02), (80, 0.01, 0.01)])
+def test_both_errors_by_length(spark, n, wordlike, missed):
+    """The share of wordlike strings among the reported ones, and of random strings that aren't reported."""
     from pennant.llm import secrets
 
     r = np.random.default_rng(n)
-    level = secrets._bin(secrets.LEVEL)
     alphabet = list(secrets.ENCODINGS[8][1])
-    keys = ["".join(r.choice(alphabet, n)) for _ in range(1000)]
-    words = ["Stream", "Reader", "Table", "handler", "Factory", "index", "Remote", "value", "user", "Name", "Config", "2"]
-    names = ["".join(r.choice(words, 12))[:n] for _ in range(1000)]
-    dropped = lambda t: (e := secrets.encoding(set(t))) is not None and secrets._bin(secrets.randomness(t, e)) >= level
-    assert sum(map(dropped, keys)) <= 10
-    reported = sum(secrets.encoding(set(t)) is not None and not dropped(t) for t in names)
-    assert reported <= {20: 300, 24: 150, 32: 50, 40: 20}[n]
+    keys = ["".join(r.choice(alphabet, n)) for _ in range(400)]
+    names = ["".join(str(w).title() + (str(r.integers(0, 100)) if r.random() < 0.3 else "") for w in r.choice(IDENTIFIERS, n // 3))[:n] for _ in range(400)]
+    docs = frame(spark, [f"{PROSE} {k} and {m}" for k, m in zip(keys, names, strict=True)])
+    at = len(PROSE) + 1
+    found = {(x.doc_id, s.start) for x in secrets.secrets(docs).collect() for s in x.spans if s.kind == "random"}
+    right = sum(start == at for _, start in found)
+    assert len(found) - right <= wordlike * max(1, len(found))
+    assert 400 - right <= missed * 400
+
+
+def test_chain_of_letters(spark):
+    """Pairs by hand; candidates don't count; strings of every encoding, the same for the same seed."""
+    import random
+
+    from pennant.llm import secrets
+
+    pairs = secrets.letter_pairs("Ab é ab " + "x1" * 20)
+    state = lambda c: 26 if c == " " else ord(c) - 97
+    assert {k: int(pairs[state(k[0]) * 27 + state(k[1])]) for k in (" a", "ab", "b ", "xx")} == {" a": 2, "ab": 2, "b ": 2, "xx": 0}
+    assert pairs[: 26 * 27].sum() == 4 and secrets.letter_pairs("").sum() == 1
+    weights = secrets.chain({})
+    for which in range(len(secrets.ENCODINGS)):
+        one, two = (secrets.Wordlike(weights, which).draw(random.Random("7"), 48) for _ in range(2))
+        assert one == two and len(one) == 48 and secrets.encoding(set(one)) == which
+    for s in range(secrets.LENGTHS * len(secrets.ENCODINGS)):
+        assert secrets.stratum(s // secrets.LENGTHS, secrets.shortest(s)) == s
