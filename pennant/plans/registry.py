@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pennant.plans.queries_core import CORE
+from pennant.plans.queries_events import EVENTS
 from pennant.plans.queries_models import MODELS
 from pennant.plans.queries_more import MORE
 from pennant.plans.queries_race import RACE
 from pennant.plans.queries_rows import ROWS
 
-_ALL = CORE | MODELS | RACE | ROWS | MORE
+_ALL = CORE | MODELS | RACE | ROWS | MORE | EVENTS
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
 ORACLES = {name: o for name, (_, o) in _ALL.items() if o}
