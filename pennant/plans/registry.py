@@ -7,9 +7,11 @@ from pennant.plans.queries_events import EVENTS
 from pennant.plans.queries_models import MODELS
 from pennant.plans.queries_more import MORE
 from pennant.plans.queries_race import RACE
+from pennant.plans.queries_recap import RECAP
 from pennant.plans.queries_rows import ROWS
+from pennant.plans.queries_scalars import SCALARS
 
-_ALL = CORE | MODELS | RACE | ROWS | MORE | EVENTS
+_ALL = CORE | MODELS | RACE | ROWS | MORE | EVENTS | RECAP | SCALARS
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
 ORACLES = {name: o for name, (_, o) in _ALL.items() if o}

@@ -120,6 +120,11 @@ def team_list(text: str) -> list[str]:
     return list(dict.fromkeys(n for n in (p.strip() for p in re.split(r"\r?\n|,", text)) if n))
 
 
+def listed_teams(text: Column) -> Column:
+    """SRC13: the same of a column of lists, as arrays; null without a list."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"\r?\n|,"), lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")), lambda n: n != ""))
+
+
 def layout(games: DataFrame, names: DataFrame, mode: str = "machine", keys: tuple[str, ...] = ()) -> DataFrame:
     """SNK1, SNK3: games (text or whole numbers) as the columns of a schedule file, behind the keys."""
     g = games

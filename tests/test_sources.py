@@ -149,3 +149,13 @@ def test_many_schedule_files_in_one_read(spark, tmp_path):
     assert sorted((r.season, r.kind, r.row_number) for r in issues.collect()) == [("a", "duplicate-id", 3), ("b", "missing-team", 3)]
     assert sorted((r.season, r.game_id, r.away_id, r.home_id, r.date_text) for r in games.collect()) == [("a", "g1", "ACES", "BEAR", "5/1"), ("b", "g1", "CAT1", "BEAR", "5/3"), ("b", "game_2", "DOGS", "BEAR", "")]
     assert {(r.season, r.game_id): (r.away_runs, r.home_walks, r.is_final) for r in logs.collect()} == {("a", "g1"): ("3", "", True), ("b", "g1"): ("4", "7", True), ("b", "game_2"): ("", "", False)}
+
+
+def test_team_lists_of_a_column(spark):
+    from pyspark.sql import functions as F
+
+    from pennant.sources import schedule_csv
+
+    texts = ["Aces, Bears\r\nCubs\n\n Aces ,Dogs,", "", ",\n ,", "\tOne team\n", "a\rb"]
+    df = spark.createDataFrame([*[(t,) for t in texts], (None,)], "text string")
+    assert [r.names for r in df.select(schedule_csv.listed_teams(F.col("text")).alias("names")).collect()] == [*map(schedule_csv.team_list, texts), None]
