@@ -9,6 +9,7 @@ from pennant.operators import standings as st
 from pennant.operators import stats as s
 from pennant.plans import league
 from pennant.plans.oracle import RANKED, sql
+from pennant.plans.tables import derived
 from pennant.settings import Settings
 
 
@@ -22,13 +23,18 @@ def _games(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return league.games(spark, d), league.teams(spark, d)
 
 
-def stats_of(spark: SparkSession, d: str) -> DataFrame:
-    return s.team_stats(*_games(spark, d))
+def stats_of(spark: SparkSession, d: str, settings: Settings = Settings()) -> DataFrame:
+    """The teams' statistics, derived once for a state of the tables: every query that ranks or predicts reads them."""
+    return derived(spark, league.sources(d), f"stats {settings.max_run_differential}", lambda: s.team_stats(*_games(spark, d), settings.max_run_differential))
+
+
+def h2h_of(spark: SparkSession, d: str) -> DataFrame:
+    """Records of team against team, derived once like the statistics."""
+    return derived(spark, league.sources(d), "h2h", lambda: s.head_to_head(league.games(spark, d)))
 
 
 def ranked_of(spark: SparkSession, d: str, settings: Settings = Settings()) -> DataFrame:
-    g, t = _games(spark, d)
-    return st.rank_teams(s.team_stats(g, t, settings.max_run_differential), s.head_to_head(g), settings)
+    return st.rank_teams(stats_of(spark, d, settings), h2h_of(spark, d), settings)
 
 
 def status_of(spark: SparkSession, d: str, settings: Settings = Settings()) -> DataFrame:

@@ -9,13 +9,13 @@ from pennant.functions import scalars as fn
 from pennant.operators import asof, power, predict, schedule, states, stats, trends
 from pennant.plans import league, oracle
 from pennant.plans.oracle import sql
-from pennant.plans.queries_core import stats_of, tidy
+from pennant.plans.queries_core import h2h_of, stats_of, tidy
 from pennant.settings import Settings
 
 
 def _open(spark: SparkSession, d: str, settings: Settings = Settings()) -> DataFrame:
     g = league.games(spark, d)
-    return predict.predictions(stats.remaining(g), stats_of(spark, d), stats.head_to_head(g), settings)
+    return predict.predictions(stats.remaining(g), stats_of(spark, d), h2h_of(spark, d), settings)
 
 
 def _c(x: str, low: float, high: float) -> str:

@@ -9,7 +9,7 @@ from pennant.functions import scalars as fn
 from pennant.operators import compare, mutations, power, predict, race, schedule, standings, states, stats, validate
 from pennant.plans import league
 from pennant.plans.oracle import sql
-from pennant.plans.queries_core import ranked_of, stats_of, status_of, tidy
+from pennant.plans.queries_core import h2h_of, ranked_of, stats_of, status_of, tidy
 from pennant.plans.queries_models import _BACKTEST_J, _JOINED, _open, _power, prediction_sql, state_sql
 from pennant.plans.queries_rows import _next, _raw_logs
 from pennant.plans.tables import derived, shared_dir
@@ -157,7 +157,7 @@ def _power_sql(body: str, doubles: str = "", more: str = "") -> str:
 
 def _forecasts(s: SparkSession, d: str) -> DataFrame:
     g, t = league.games(s, d), league.teams(s, d)
-    return power.league_predictions(g, _power(s, d), stats.head_to_head(g), power.data_quality(g, t))
+    return power.league_predictions(g, _power(s, d), h2h_of(s, d), power.data_quality(g, t))
 
 
 def _tiles(s: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ def _one_result_ranks(s: SparkSession, d: str) -> DataFrame:
 
 def _ranks_after_one(s: SparkSession, d: str) -> DataFrame:
     g, t = league.games(s, d), stats_of(s, d)
-    return race.one_result_status(g, t, stats.head_to_head(g), stats.remaining_counts(g, t), _open(s, d))
+    return race.one_result_status(g, t, h2h_of(s, d), stats.remaining_counts(g, t), _open(s, d))
 
 
 def _with_window_open(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pennant.functions import scalars as fn
 from pennant.operators import bracket, changes, power, predict, race, schedule, simulate, standings, states, stats
 from pennant.plans import league
 from pennant.plans.oracle import sql
-from pennant.plans.queries_core import tidy
+from pennant.plans.queries_core import h2h_of, stats_of, tidy
 from pennant.plans.tables import derived, written
 from pennant.settings import TREND_ITERATIONS, Settings
 
@@ -30,11 +30,11 @@ class Race:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return self._kept("stats", lambda: stats.team_stats(self.games, self.teams, self.settings.max_run_differential))
+        return self._kept("stats", lambda: stats.team_stats(self.games, self.teams, self.settings.max_run_differential)) if self.own else stats_of(self.spark, self.dir, self.settings)
 
     @cached_property
     def h2h(self) -> DataFrame:
-        return self._kept("h2h", lambda: stats.head_to_head(self.games))
+        return self._kept("h2h", lambda: stats.head_to_head(self.games)) if self.own else h2h_of(self.spark, self.dir)
 
     @cached_property
     def left(self) -> DataFrame:
