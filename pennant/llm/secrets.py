@@ -10,7 +10,8 @@ from words of the table, as identifiers are. A chain over pairs of letters is fi
 candidates themselves); NULLS strings of it, for each stratum of encoding and length, give the
 distribution of the battery's p-value for wordlike strings. Per stratum the Benjamini-Hochberg procedure
 over all candidates of the table picks those that look more random than wordlike strings do: RATES bounds,
-by length, the expected share of wordlike strings among those that are reported. A string whose
+by length, the expected share of wordlike strings among those that are reported, as far as identifiers
+are like the chain's strings; those of words that the texts lack are reported more often. A string whose
 randomness the battery rejects at LEVEL is never reported. The other error, random strings that are not
 reported, falls with the length and rises the rarer they are among the candidates of their stratum; the
 tests measure it. Where the candidates of a stratum are all but wordlike, a secret among them can stay below what
