@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from pennant.operators import bracket, schedule, simulate, standings, stats, validate
-from pennant.operators.fold import Season, lcg
+from pennant.operators.fold import Season, lcg, streams
 from pennant.settings import FACTORS, Settings, coerce_settings
 
 GAMES = "season string, game_id string, ord long, game_date date, away_id string, home_id string, is_final boolean, " + ", ".join(f"{s}_{x} long" for s in ("away", "home") for x in stats.STATS) + ", innings long"
@@ -78,6 +78,34 @@ def test_scenario_blocks_are_one_run(spark):
     assert len(rows[0]) == 7 * 2 * 3 and rows[0] == rows[1] == rows[2]
 
 
+def test_iterations_abreast_are_one_run(spark):
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2)] + [(*"ABBCCA"[i % 3 * 2 : i % 3 * 2 + 2], None, None) for i in range(7)])
+    fold, left = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g)), simulate.open_games(g)
+    seeds = simulate.seed_text(g, simulate.odds_extras(Settings()))
+    run = lambda iterations, abreast: sorted(map(tuple, simulate.simulate(fold, left, seeds, Settings(gold_cutoff=1), iterations, abreast=abreast).collect()))
+    assert len(run(60, 10)) == 3 * 3 and run(60, 10) == run(60, 1) == run(60, 2)
+    assert run(26, 10) == run(26, 1)
+
+
+def test_a_single_course_is_kept_in_plain_numbers():
+    columns = {c: [1.0, 2.0, 3.0] for c in simulate.TEAM_COLUMNS} | {"games": [0.0, 4.0, 9.0], "total_k6": [None, 5.0, 6.0], "pct": [0.0, 0.5, 0.6]}
+    t = pd.DataFrame({"team_id": ["A", "B", "C"], "met": [None, [{"opp_id": "C", "wins": 1, "losses": 2, "ties": 1}], [{"opp_id": "B", "wins": 2, "losses": 1, "ties": 1}]], **columns})
+    for mode in ("machine", "player"):
+        one, many = (Season(t, Settings(pitch_mode=mode), n) for n in (1, 3))
+        for a, h in [(0, 1), (1, 2), (2, 0), (2, 1)] * 5:
+            x, y = one.predict(a, h), many.predict(a, h)
+            assert all(type(v) in (float, int) for v in x) and all(np.allclose(v, w, atol=1e-12) for v, w in zip(x, y, strict=True))
+            one.play(a, h, x[2] >= 0.5, x[:2])
+            many.play(a, h, y[2] >= 0.5, y[:2])
+        assert (many.ranks() == one.ranks()).all()
+
+
+def test_draws_are_made_in_pieces():
+    pieces = list(streams(99, [0, 123], 700))
+    assert [len(p) for p in pieces] == [512, 188]
+    assert np.array_equal(np.concatenate(pieces), np.stack([lcg(99, 0, 700), lcg(99, 123, 700)], 1))
+
+
 def test_locks_above_the_limit(spark):
     g, t = season(spark, [("A", "B", 9, 3)] * 20 + [("A", "B", None, None)] * 2)
     fold, left = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g)), simulate.open_games(g)
@@ -170,3 +198,11 @@ def test_match_scores(spark):
     rows = [("", "x", 1), ("go", "Go to scores", 2), ("gts", "Go to scores", 1), ("stg", "Go to scores", 0), ("GTS", "go to scores", 1), ("a", None, 0), ("", None, 1), ("aa", "a", 0), ("ß.", "Straße. ", 1), ("s.", "a.s", 0)]
     df = spark.createDataFrame(rows, "q string, t string, want int")
     assert [(r.got, r.q) for r in df.select(match_score(df.q, df.t).alias("got"), "q").collect()] == [(r[2], r[0]) for r in rows]
+
+
+def test_close_percentages_are_one_group(spark):
+    # as the reference does: A's 0.50004 and B's 0.5 are tied, so the run difference decides; C's 0.4998 is behind
+    rows = [("s", "A", 0.50004, 1, 9, 9, 0.0), ("s", "B", 0.5, 5, 9, 9, 0.0), ("s", "C", 0.4998, 99, 9, 9, 0.0)]
+    s = spark.createDataFrame(rows, "season string, team_id string, pct double, run_diff long, rs long, ra long, tpi double")
+    none = spark.createDataFrame([], "season string, team_id string, opp_id string, wins long, losses long, ties long")
+    assert {r.team_id: r["rank"] for r in standings.rank_teams(s, none).collect()} == {"A": 2, "B": 1, "C": 3}
