@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from pennant.operators import bracket, schedule, simulate, standings, stats, validate
-from pennant.operators.fold import Season, lcg, streams
+from pennant.operators.fold import Abreast, Season, lcg, streams
 from pennant.settings import FACTORS, Settings, coerce_settings
 
 GAMES = "season string, game_id string, ord long, game_date date, away_id string, home_id string, is_final boolean, " + ", ".join(f"{s}_{x} long" for s in ("away", "home") for x in stats.STATS) + ", innings long"
@@ -206,3 +206,62 @@ def test_close_percentages_are_one_group(spark):
     s = spark.createDataFrame(rows, "season string, team_id string, pct double, run_diff long, rs long, ra long, tpi double")
     none = spark.createDataFrame([], "season string, team_id string, opp_id string, wins long, losses long, ties long")
     assert {r.team_id: r["rank"] for r in standings.rank_teams(s, none).collect()} == {"A": 2, "B": 1, "C": 3}
+
+
+def test_courses_abreast_are_predicted_and_played_as_alone():
+    """Rows of buffers give bit by bit what new arrays give, also from a started season on, with thin and unrated teams."""
+    rng = np.random.default_rng(3)
+    m = 5
+    columns = {c: rng.normal(5, 1.5, m) for c in simulate.TEAM_COLUMNS} | {"games": [0.0, 1.0, 4.0, 9.0, 8.0], "w": [0.0, 1.0, 2.0, 4.0, 4.0], "t": [0.0, 0.0, 1.0, 0.0, 0.0], "total_k6": [None, 5.0, 6.0, None, 4.0]}
+    t = pd.DataFrame({"team_id": list("ABCDE"), "met": [None, None, [{"opp_id": "D", "wins": 1, "losses": 2, "ties": 1}], [{"opp_id": "C", "wins": 2, "losses": 1, "ties": 1}], None], **columns})
+    games = [tuple(map(int, rng.choice(m, 2, replace=False))) for _ in range(200)]
+    draws = rng.random((200, 4))
+    for settings in (Settings(), Settings(pitch_mode="player"), Settings(max_run_differential=0, model_aggression="Aggressive")):
+        slow, fast, late = Season(t, settings, 4), Abreast(t, settings, 4), Season(t, settings, 4)
+        for i, ((a, h), draw) in enumerate(zip(games, draws, strict=True)):
+            *scores, p = slow.predict(a, h)
+            slow.play(a, h, draw < p, (scores[0], scores[1]))
+            fast.game(a, h, lambda p, draw=draw: draw < p)
+            if i < 50:
+                *scores, p = late.predict(a, h)
+                late.play(a, h, draw < p, (scores[0], scores[1]))
+            else:
+                late = late if isinstance(late, Abreast) else Abreast(None, settings, 4, late)
+                late.game(a, h, lambda p, draw=draw: draw < p)
+        for c in ("games", "pct", "tpi", "run_diff", "rs", "ra"):
+            assert all(np.array_equal(slow.state[c], np.broadcast_to(x.state[c], (m, 4))) for x in (fast, late)), c
+        assert np.array_equal(slow.wins, fast.wins) and (slow.ranks() == fast.ranks()).all() and (slow.ranks() == late.ranks()).all()
+
+
+def test_scenarios_of_chosen_games_only(spark):
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2)] + [(*"ABBCCA"[i % 3 * 2 : i % 3 * 2 + 2], None, None) for i in range(9)])
+    fold, left = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g)), simulate.open_games(g)
+    every = sorted(map(tuple, simulate.scenarios(fold, left).where("game_id IN ('g3', 'g7')").collect()))
+    only = spark.createDataFrame([("s", "g3"), ("s", "g7"), ("s", "g7")], "season string, game_id string")
+    assert len(every) == 2 * 2 * 3 and every == sorted(map(tuple, simulate.scenarios(fold, left, only=only).collect()))
+    assert every == sorted(map(tuple, simulate.scenarios(fold, left, only=only, block_of=1).collect()))
+
+
+def test_swings_make_scenarios_of_the_next_games_only(spark, tmp_path, monkeypatch):
+    from pennant.plans.queries_race import Race
+
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2)] + [(*"ABBCCA"[i % 3 * 2 : i % 3 * 2 + 2], None, None) for i in range(12)])
+    made, real = [], simulate.scenarios
+    monkeypatch.setattr(simulate, "scenarios", lambda *a, **b: made.append(real(*a, **b)) or made[-1])
+    monkeypatch.setattr("pennant.plans.queries_race.league.teams", lambda *_: t)
+    assert Race(spark, str(tmp_path), g).swings.count() == 3 * 2
+    assert sum(x.select("game_id").distinct().count() for x in made) == 3
+
+
+def test_pairs_won_out_count_all_their_games(spark):
+    """The next game of a pair is predicted as its first, so a count does what one game after the other did."""
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2), ("A", "C", 5, 5)] + [(*"ABBCCAAC"[i % 4 * 2 : i % 4 * 2 + 2], None, None) for i in range(14)])
+    fold, left = simulate.fold_teams(stats.team_stats(g, t), stats.head_to_head(g)), simulate.open_games(g)
+    teams, games = fold.toPandas(), left.orderBy("ord").toPandas()
+    s, live, course = Season(teams, Settings(), 3), Season(teams, Settings(), 1), np.arange(3)
+    for a, h in s.pairs(games):
+        *scores, p = live.predict(a, h)
+        s.play(a, h, np.where(course == a, True, np.where(course == h, False, p >= 0.5)), (scores[0], scores[1]))
+    assert {r.team_id: r.win_out_seed for r in simulate.win_out(fold, left).collect()} == dict(zip(s.ids, np.diagonal(s.ranks()).tolist(), strict=True))
+    assert "times" in simulate.win_out(fold, left)._jdf.queryExecution().logical().toString()
+    assert simulate.win_out(fold, left, limit=13).count() == 0 and simulate.win_out(fold, left, limit=14).count() == 3
