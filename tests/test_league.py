@@ -279,3 +279,58 @@ def test_ranks_of_all_states_by_blocks(spark):
     assert len(want) == 25 * 7
     for block in (1024, 7):
         assert sorted(map(tuple, running.movements(g, t, Settings(gold_cutoff=3), block).select(columns).collect())) == want
+
+
+def test_states_of_one_result_are_made_once_a_pair(spark):
+    """Open games of the same teams have the same states; the badges are those of every game by itself."""
+    from pyspark.sql import functions as F
+
+    from pennant.operators import predict, race
+
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2), ("C", "A", 1, 5)] + [(*"ABBCAB"[i % 3 * 2 : i % 3 * 2 + 2], None, None) for i in range(9)])
+    s, h2h = stats.team_stats(g, t), stats.head_to_head(g)
+    left, settings = stats.remaining_counts(g, s), Settings(gold_cutoff=1)
+    predicted = predict.predictions(stats.remaining(g), s, h2h, settings)
+    pairs = race.open_pairs(g, predicted)
+    states = race.pair_status(pairs, s, h2h, left, settings)
+    assert pairs.count() == 9 and states.count() == 2 * 2 * 3
+    every = race.one_result_status(g, s, h2h, left, predicted, settings)
+    assert every.count() == 9 * 2 * 3
+    one = every.where("game_id = 'g5'").select("winner_id", "team_id", "rank", "title", "gold_status")
+    alone = race.one_result_status(g.where("game_id = 'g5' OR is_final"), s, h2h, left, predicted, settings).select(one.columns)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, alone.collect()))
+    board = standings.gold_status(standings.rank_teams(s, h2h, settings), left, settings)
+    impacts = pairs.select("season", "game_id", F.lit(0).cast("long").alias("seed_impact"))
+    badges = {r.game_id: r.status for r in race.game_badges(g, pairs, states, board, impacts, settings).collect()}
+    assert len(badges) == 9 and set(badges.values()) <= {"Bubble Game", "Low Impact"}
+
+
+def test_a_course_of_predicted_winners_is_bit_by_bit_the_same():
+    rng = np.random.default_rng(5)
+    m = 6
+    columns = {c: rng.normal(5, 1.5, m) for c in simulate.TEAM_COLUMNS} | {"games": [0.0, 1.0, 4.0, 9.0, 8.0, 3.0], "w": [0.0, 1.0, 2.0, 4.0, 4.0, 1.0], "t": [0.0, 0.0, 1.0, 0.0, 0.0, 1.0], "total_k6": [None, 5.0, 6.0, None, 4.0, 5.5]}
+    t = pd.DataFrame({"team_id": list("ABCDEF"), "met": [None, None, [{"opp_id": "D", "wins": 1, "losses": 2, "ties": 1}], [{"opp_id": "C", "wins": 2, "losses": 1, "ties": 1}], None, None], **columns})
+    pairs = [tuple(map(int, rng.choice(m, 2, replace=False))) for _ in range(1500)] + [(-1, -1)]
+    for settings in (Settings(), Settings(pitch_mode="player"), Settings(max_run_differential=0, model_aggression="Aggressive")):
+        slow, fast = Season(t, settings, 1), Season(t, settings, 1)
+        for a, h in pairs[:-1]:
+            *scores, p = slow.predict(a, h)
+            slow.play(a, h, p >= 0.5, (scores[0], scores[1]))
+        fast.play_all(pairs)
+        assert slow.state == fast.state and slow.wins == fast.wins and (slow.ranks() == fast.ranks()).all()
+        assert (slow.played, slow.scored, slow.struck) == (fast.played, fast.scored, fast.struck)
+
+
+def test_recaps_share_what_was_before_the_window(spark, tmp_path, monkeypatch):
+    from pennant.plans import queries_race as q
+
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2), ("C", "A", 1, 5)] + [(*"ABBCCA"[i % 3 * 2 : i % 3 * 2 + 2], None, None) for i in range(6)])
+    made, real = [], simulate.project
+    monkeypatch.setattr(q.league, "games", lambda *_: g)
+    monkeypatch.setattr(q.league, "teams", lambda *_: t)
+    monkeypatch.setattr(q.league, "sources", lambda *_: [str(tmp_path)])
+    monkeypatch.setattr(q, "stats_of", lambda *_: stats.team_stats(g, t))
+    monkeypatch.setattr(q, "h2h_of", lambda *_: stats.head_to_head(g))
+    monkeypatch.setattr(simulate, "project", lambda *a, **b: made.append(1) or real(*a, **b))
+    assert q._recap(spark, str(tmp_path)).count() > 0 and q._diff(spark, str(tmp_path)).count() == 3
+    assert len(made) == 2
