@@ -6,6 +6,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,20 +59,19 @@ def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["season", "row_number", "problem", *_FIELDS]
     for batch in batches:
         for season, content in zip(batch.column("season").to_pylist(), batch.column("content"), strict=True):
-            lines = csv.reader(io.StringIO(content.as_py().decode("utf-8-sig", "replace"), newline=""))
+            # decoded and read as a stream: a task holds a file's bytes and one batch of its rows
+            lines = csv.reader(io.TextIOWrapper(pa.BufferReader(content.as_buffer()), "utf-8-sig", "replace", newline=""))
             head = next((x for x in lines if any(map(str.strip, x))), [])
             at = {normal_header(h): i for i, h in reversed(list(enumerate(head)))}
             places = [next((at[normal_header(n)] for n in (REQUIRED | OPTIONAL)[f] if normal_header(n) in at), None) for f in _FIELDS]
-            out = []
             if any(p is None for p in places[: len(REQUIRED)]):
-                out.append((season, None, "Missing required columns" if head else "CSV has no rows", *[""] * len(_FIELDS)))
+                rows = iter([(season, None, "Missing required columns" if head else "CSV has no rows", *[""] * len(_FIELDS))])
             else:
-                for n, x in enumerate((x for x in lines if x), 2):
-                    out.append((season, n, None, *["" if p is None or p >= len(x) else x[p].strip() for p in places]))
-                if not out:
-                    out.append((season, None, "CSV has no rows", *[""] * len(_FIELDS)))
-            for i in range(0, len(out), 10_000):
-                columns = list(zip(*out[i : i + 10_000], strict=True))
+                read = ((season, n, None, *["" if p is None or p >= len(x) else x[p].strip() for p in places]) for n, x in enumerate((x for x in lines if x), 2))
+                first = next(read, (season, None, "CSV has no rows", *[""] * len(_FIELDS)))
+                rows = chain([first], read)
+            while out := list(islice(rows, 10_000)):
+                columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "row_number" else pa.string()) for k, c in zip(names, columns, strict=True)], names)
 
 

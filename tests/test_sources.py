@@ -159,3 +159,50 @@ def test_team_lists_of_a_column(spark):
     texts = ["Aces, Bears\r\nCubs\n\n Aces ,Dogs,", "", ",\n ,", "\tOne team\n", "a\rb"]
     df = spark.createDataFrame([*[(t,) for t in texts], (None,)], "text string")
     assert [r.names for r in df.select(schedule_csv.listed_teams(F.col("text")).alias("names")).collect()] == [*map(schedule_csv.team_list, texts), None]
+
+
+def test_files_are_read_as_streams():
+    """A season's file of many rows passes in batches, never as one list."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pennant.sources.schedule_csv import _file_rows
+
+    line = "g{:06d},5/1,Aces,Bears,6,3,4,5,6,7,8\r\n"
+    text = "\ufeffGame ID,Date,Away Team,Home Team,Innings,Away Runs,Home Runs,Away Hits,Home Hits,Away K,Home K\r\n" + "".join(line.format(i) for i in range(60_000))
+    files = pa.RecordBatch.from_arrays([pa.array(["s", "t", "u", "v"]), pa.array([text.encode(), b"", b"Game ID,Date,Away Team,Home Team\n", b'Date,Home Team,Away Team,Game ID\n5/2,"B\nb",A,x'])], ["season", "content"])
+    tracemalloc.start()
+    rows, others = 0, []
+    for b in _file_rows(iter([files])):
+        if b.column("season")[0].as_py() == "s":
+            rows += b.num_rows
+        else:
+            others += b.to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 60_000 and peak < 20e6
+    assert [(r["season"], r["row_number"], r["problem"], r["home"]) for r in others] == [("t", None, "CSV has no rows", ""), ("u", None, "CSV has no rows", ""), ("v", 2, None, "B\nb")]
+
+
+def test_shared_settings_are_read_in_one_pass(spark):
+    """Both forms at once, with their filter; a snapshot is neither decoded nor parsed for each form."""
+    import base64
+
+    from pennant.sources import share
+
+    docs = ['{"v":2,"t":[["A","Aces"]],"m":[],"l":{},"s":{"goldCutoff":3}}', '{"v":1,"teams":[{"id":"A","name":"Aces"}],"matchups":[],"logs":{},"settings":{"goldCutoff":5}}', '{"v":2,"t":[],"s":{"goldCutoff":9}}', '{"v":3,"t":[],"m":[],"l":{},"s":{}}']
+    rows = [(str(i), base64.urlsafe_b64encode(d.encode()).decode().rstrip("=")) for i, d in enumerate(docs)]
+    settings = share.expand(spark.createDataFrame(rows, "season string, payload string")).settings
+    assert sorted(map(tuple, settings.collect())) == [("0", '{"goldCutoff":3}'), ("1", '{"goldCutoff":5}')]
+    assert "Union" not in settings._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_changed_ids_are_made_distinct(spark):
+    from pennant.operators import validate
+
+    ids = lambda *x: spark.createDataFrame([("s", i) for i in x], "season string, game_id string")
+    out = validate.added_removed(ids("a", "b", "b", "c", None), ids("b", "c", "c", "d", "d"), "game_id")
+    assert sorted(map(str, out.collect())) == sorted(f"Row(season='s', game_id={i!r}, change='{c}')" for i, c in (("a", "added"), (None, "added"), ("d", "removed")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Join") : plan.index("Aggregate", plan.index("Join"))] and plan.index("Aggregate") < plan.index("Join") and plan.count("Aggregate") == 2
