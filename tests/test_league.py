@@ -281,6 +281,56 @@ def test_ranks_of_all_states_by_blocks(spark):
         assert sorted(map(tuple, running.movements(g, t, Settings(gold_cutoff=3), block).select(columns).collect())) == want
 
 
+def shuffled(spark, job):
+    """Rows that job writes to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    jvm, none = spark.sparkContext._gateway.jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    job()
+    return sum(n for i, n in stages().items() if i not in before)
+
+
+def played(n, ids, seed):
+    """n random finals."""
+    rng = np.random.default_rng(seed)
+    return [(*map(str, rng.choice(list(ids), 2, replace=False)), *map(int, rng.integers(0, 5, 2))) for _ in range(n)]
+
+
+def test_backtest_by_blocks_is_that_of_each_state(spark):
+    """Blocks of any size predict as the statistics of the finals before do; a team without a listed opponent or game counts too."""
+    from pyspark.sql import functions as F
+
+    from pennant.operators import asof, predict, states
+    from pennant.settings import RUN_CAP
+
+    g, t = season(spark, [*played(28, "ABCDEZ", 3), ("A", "Y", None, None)])
+    g = g.withColumns({f"{s}_{c}": F.when(F.col("is_final"), F.col("ord") * k % 7) for s, k in (("away", 3), ("home", 5)) for c in ("k", "hits", "errors", "walks")})
+    t = t.where("team_id <> 'Z'")  # Z plays, but isn't listed; Y is listed, but hasn't played
+    keys = states.STATE
+    finals, inside, rows = states.states(g, t)
+    s = stats.team_stats(inside, rows, RUN_CAP, keys)
+    for settings in (Settings(), Settings(pitch_mode="player")):
+        p = predict.predictions(finals.withColumn("state", F.col("seq").cast("int")), s, stats.head_to_head(inside, keys), settings, keys)
+        want = {r.game_id: r.away_pct for r in p.where("away_runs <> home_runs").collect()}
+        assert len(want) > 20 and len(set(want.values())) > 8
+        for block in (4096, 5, 1):
+            got = {r.game_id: r.p for r in asof.backtest(g, t, settings, block).collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_backtest_moves_no_row_for_each_opponent_met(spark):
+    from pennant.operators import asof
+
+    g, t = season(spark, played(30, "ABCDEFGHIJKLMNOPQRST", 4))
+    assert shuffled(spark, asof.backtest(g, t).collect) < 30 * 2 * 10
+
+
 def test_states_of_one_result_are_made_once_a_pair(spark):
     """Open games of the same teams have the same states; the badges are those of every game by itself."""
     from pyspark.sql import functions as F
