@@ -9,7 +9,7 @@ from pennant.functions import scalars as fn
 from pennant.operators import compare, mutations, power, predict, race, schedule, standings, states, stats, validate
 from pennant.plans import league
 from pennant.plans.oracle import sql
-from pennant.plans.queries_core import h2h_of, ranked_of, stats_of, status_of, tidy
+from pennant.plans.queries_core import h2h_of, ranked_of, six_decimals, stats_of, status_of, tidy
 from pennant.plans.queries_models import _BACKTEST_J, _JOINED, _open, _power, prediction_sql, state_sql
 from pennant.plans.queries_rows import _next, _raw_logs
 from pennant.plans.tables import derived, shared_dir
@@ -217,7 +217,10 @@ _FOUND = f"""SELECT season, query, row_number() OVER (PARTITION BY season, query
 
 def _one_result(s: SparkSession, d: str) -> DataFrame:
     g = league.games(s, d)
-    return race.one_result_states(g, stats_of(s, d), _open(s, d))
+    pairs = stats.remaining(g).select("season", "away_id", "home_id").distinct()
+    predicted = predict.predictions(pairs, stats_of(s, d), h2h_of(s, d))
+    # rounded as tidy() does, but on lines of pairs and seasons
+    return race.one_result_states(g, stats_of(s, d), predicted, value=six_decimals)
 
 
 _ONE = f"""pr AS (SELECT season, game_id, away_id, home_id, away_score, home_score FROM ({prediction_sql(False, 1.0)}) JOIN (SELECT season, game_id, away_id, home_id FROM games) USING (season, game_id)),
@@ -450,7 +453,7 @@ MORE = {
     "o13_first_ratings": (lambda s, d: _power(s, d).where("rank <= 6").select("season", "rank", "name"), _power_sql("SELECT season, rank, name FROM power WHERE rank <= 6")),
     "o11_found_commands": (lambda s, d: _found(s, d), sql("games", _FOUND)),
     "mc1_one_result_states": (
-        lambda s, d: tidy(_one_result(s, d).select("season", "game_id", "winner_id", "team_id", "w", "l", "rs", "ra", "run_diff", "pct", "tpi")),
+        lambda s, d: _one_result(s, d).select("season", "game_id", "winner_id", "team_id", "w", "l", "rs", "ra", "run_diff", "pct", "tpi"),
         sql("ranked", "SELECT season, game_id, winner_id, team_id, w, l, rs, ra, run_diff, pct, tpi FROM one", "pct, tpi", more=f"{_JOINED}, {_ONE}"),
     ),
     "mc13_one_result_ranks": (lambda s, d: _one_result_ranks(s, d).select("season", "game_id", "winner_id", "team_id", "rank"), sql("ranked", "SELECT season, game_id, winner_id, team_id, rank FROM onerank", more=f"{_JOINED}, {_ONE}, {_ONE_RANKED}")),

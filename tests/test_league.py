@@ -331,6 +331,34 @@ def test_backtest_moves_no_row_for_each_opponent_met(spark):
     assert shuffled(spark, asof.backtest(g, t).collect) < 30 * 2 * 10
 
 
+def test_totals_after_one_result_by_pairs(spark):
+    """Lines are made once a pair and predicted score; each game's rows are the totals as if it had been played, also against a team that isn't listed."""
+    from pyspark.sql import functions as F
+
+    from pennant.operators import predict, race
+
+    left = [(*"ABBCABZA"[i % 4 * 2 : i % 4 * 2 + 2], None, None) for i in range(8)]
+    g, t = season(spark, [("A", "B", 9, 3), ("B", "C", 4, 2), ("C", "A", 1, 15), *left])
+    t = t.where("team_id <> 'Z'")
+    s = stats.team_stats(g, t)
+    predicted = predict.predictions(stats.remaining(g).select("season", "away_id", "home_id").distinct(), s, stats.head_to_head(g))
+    score = {(r.away_id, r.home_id): (r.away_score, r.home_score) for r in predicted.collect()}
+    assert len(score) == 3
+    states = race.one_result_states(g, s, predicted, value=lambda c: F.round(c, 3))
+    rows = {(r.game_id, r.winner_id, r.team_id): r for r in states.collect()}
+    assert len(rows) == states.count() == 8 * 2 * 3
+    for i, (a, h, *_) in enumerate(left[:4], 3):
+        for winner in (a, h):
+            x, y = score[a, h]
+            x, y = (max(x, y + 1), y) if winner == a else (x, max(y, x + 1))
+            here = F.col("game_id") == f"g{i}"
+            new = g.withColumns({"away_runs": F.when(here, x).otherwise(F.col("away_runs")), "home_runs": F.when(here, y).otherwise(F.col("home_runs")), "is_final": here | F.col("is_final")})
+            for want in stats.rates(stats.team_totals(new, t)).collect():
+                for game in (f"g{i}", f"g{i + 4}"):
+                    got = rows[game, winner, want.team_id]
+                    assert all(got[c] == want[c] for c in ("games", "w", "l", "t", "rs", "ra", "run_diff")) and got.pct == round(want.pct, 3)
+
+
 def test_states_of_one_result_are_made_once_a_pair(spark):
     """Open games of the same teams have the same states; the badges are those of every game by itself."""
     from pyspark.sql import functions as F
