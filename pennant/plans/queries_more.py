@@ -502,7 +502,7 @@ def _board(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     by_runs = Window.partitionBy("season").orderBy(F.col("run_diff").desc(), "team_id")
-    return status_of(s, d).withColumns({"gold_pct": F.floor(F.col("pct") * 100).cast("double"), "projected_rank": F.row_number().over(by_runs).cast("long")})
+    return derived(s, league.sources(d), "record board", lambda: status_of(s, d).withColumns({"gold_pct": F.floor(F.col("pct") * 100).cast("double"), "projected_rank": F.row_number().over(by_runs).cast("long")}))
 
 
 def _scenarios(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -526,8 +526,15 @@ _SWING_LINE = "CASE WHEN side = 'away' THEN 'at ' ELSE 'vs ' END || o.name || CA
 
 
 def _swings(s: SparkSession, d: str) -> DataFrame:
-    own, seeds = _scenarios(s, d)
-    return race.swing_games(own, seeds, _open(s, d))
+    """Only games that are among the next two of a team get a result more: their number doesn't grow with the season."""
+    g, t = league.games(s, d), stats_of(s, d)
+
+    def made() -> DataFrame:
+        near = g.join(schedule.next_games(g, 2).select("season", "game_id").distinct(), ["season", "game_id"], "left_semi")
+        seeds = race.one_result_status(near, t, h2h_of(s, d), stats.remaining_counts(g, t), _open(s, d))
+        return race.swing_games(race.own_scenarios(near, seeds.withColumnRenamed("rank", "seed")), ranked_of(s, d).withColumnRenamed("rank", "projected_rank"), _open(s, d))
+
+    return derived(s, league.sources(d), "record swings", made)
 
 
 def _standings_text(s: SparkSession, d: str) -> DataFrame:
