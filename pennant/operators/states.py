@@ -34,6 +34,12 @@ def states(games: DataFrame, teams: DataFrame, last: int | None = None, since: i
     return f.drop("n"), inside, rows
 
 
+def state_games(games: DataFrame) -> DataFrame:
+    """Season, state, n: how many finals each state holds, as running counts; no game has a row in each later state."""
+    so_far = Window.partitionBy("season").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return in_order(games).select("season", (F.col("seq") + 1).cast("long").alias("state"), F.count("*").over(so_far).alias("n"))
+
+
 def ranked_states(inside: DataFrame, rows: DataFrame, scheduled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Rank and mathematical status of every team in every state. scheduled: season, team_id, scheduled games."""
     s = stats.team_stats(inside, rows, RUN_CAP, STATE)
