@@ -413,8 +413,8 @@ MORE = {
     "snk5_stored_logs": (lambda s, d: _saved(s, d).logs, sql("games", _LOGS_SQL)),
     "src8_backup_logs": (lambda s, d: storage.from_documents(storage.documents(_stored(s, d))).logs, sql("games", _LOGS_SQL)),
     "snk4_backup_games": (lambda s, d: storage.from_documents(storage.documents(_stored(s, d))).matchups.drop("ord"), sql("games", "SELECT season, game_id, strftime(game_date, '%-m/%-d') AS date_text, away_id, home_id FROM games")),
-    "src9_shared_finals": (lambda s, d: share.expand(share.snapshots(_stored(s, d), most=None), most=None).logs.where("is_final"), sql("games", _LOGS_SQL + " WHERE is_final")),
-    "snk6_shared_settings": (lambda s, d: share.expand(share.snapshots(_stored(s, d), most=None), most=None).settings, sql("games", "SELECT DISTINCT season, '{\"goldCutoff\":7,\"seasonLabel\":\"' || season || '\"}' AS settings FROM teams")),
+    "src9_shared_finals": (lambda s, d: share.from_parts(share.in_parts(_stored(s, d))).logs.where("is_final"), sql("games", _LOGS_SQL + " WHERE is_final")),
+    "snk6_shared_settings": (lambda s, d: share.from_parts(share.in_parts(_stored(s, d))).settings, sql("games", "SELECT DISTINCT season, '{\"goldCutoff\":7,\"seasonLabel\":\"' || season || '\"}' AS settings FROM teams")),
     "src10_addresses": (lambda s, d: _values(s, [(f, p.get("s"), p.get("view"), p.get("team")) for f in ("#s=abc&view=games&team=N01", "s=x", "", "#view=power") for p in [share.address_parts(f)]], "fragment string, payload string, view string, team string"), _sql_values([("#s=abc&view=games&team=N01", "abc", "games", "N01"), ("s=x", "x", None, None), ("", None, None, None), ("#view=power", None, "power", None)], "fragment, payload, view, team")),
     "src13_team_lists": (lambda s, d: _values(s, list(enumerate(schedule_csv.team_list("Aces, Bears\r\nCubs\n\n Aces ,Dogs,"))), "i long, name string"), _sql_values(list(enumerate(["Aces", "Bears", "Cubs", "Dogs"])), "i, name")),
     "snk1_schedule_layout": (
